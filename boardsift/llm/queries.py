@@ -2,6 +2,7 @@
 
 from boardsift.llm.chat_format import OP8_SQL, op8
 from boardsift.llm.decontaminate import OP1_SQL, op1
+from boardsift.llm.quality import op10
 from boardsift.llm.token_files import op9
 from boardsift.llm.tokens import op6, op7
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op7_token_count": op7,
     "op8_chat_format": op8,
     "op9_token_files": op9,
+    "op10_quality": op10,
 }
 
 ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op8_chat_format": OP8_SQL}
