@@ -2,12 +2,14 @@
 
 from boardsift.llm.chat_format import OP8_SQL, op8
 from boardsift.llm.decontaminate import OP1_SQL, op1
+from boardsift.llm.language import op3
 from boardsift.llm.quality import op10
 from boardsift.llm.token_files import op9
 from boardsift.llm.tokens import op6, op7
 
 QUERIES = {
     "op1_decontaminate": op1,
+    "op3_language": op3,
     "op6_bpe_codec": op6,
     "op7_token_count": op7,
     "op8_chat_format": op8,
