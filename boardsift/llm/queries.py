@@ -6,11 +6,13 @@ from boardsift.llm.embeddings import op5
 from boardsift.llm.jaccard import op4
 from boardsift.llm.language import op3
 from boardsift.llm.quality import op10
+from boardsift.llm.suffixes import op2
 from boardsift.llm.token_files import op9
 from boardsift.llm.tokens import op6, op7
 
 QUERIES = {
     "op1_decontaminate": op1,
+    "op2_suffix_dedup": op2,
     "op3_language": op3,
     "op4_jaccard_join": op4,
     "op5_embedding_dedup": op5,
