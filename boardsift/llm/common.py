@@ -40,8 +40,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def without(docs: DataFrame, dropped: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """Documents whose (doc_id, hash of text) isn't among the dropped ones' (doc_id, key); few of them are broadcast, more are joined by shuffle."""
+    dropped = stored(dropped.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")), "dropped")
+    side = F.broadcast(dropped) if dropped.count() <= limit else dropped
+    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_k")), "left_anti")
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "id", rounds: int = 40) -> DataFrame:

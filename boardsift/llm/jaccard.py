@@ -180,7 +180,7 @@ def with_sets(docs: DataFrame, id_: str, keep: list[str]) -> DataFrame:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), k1 and k2 (the set's 128-bit key), parts."""
+    """doc_id, key (hash of its text), n (set size), k1 and k2 (the set's 128-bit key), parts."""
 
     def work(batches):
         for b in batches:
@@ -190,10 +190,10 @@ def described(docs: DataFrame) -> DataFrame:
                 total = np.zeros(len(sizes), np.uint64)
                 np.add.at(total, owner, mixed(h, seed))
                 keys.append(pa.array(total.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), *keys, _lists(*part_keys(h, sizes), pa.int64())], ["doc_id", "n", "k1", "k2", "parts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sizes, pa.int64()), *keys, _lists(*part_keys(h, sizes), pa.int64())], ["doc_id", "key", "n", "k1", "k2", "parts"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(work, "doc_id long, n long, k1 long, k2 long, parts array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    return rows.mapInArrow(work, "doc_id long, key long, n long, k1 long, k2 long, parts array<long>")
 
 
 def agreeing(rows: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def dealt(members: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, key (hash of its text), n_shingles, component_id of every document."""
     small_batches(docs.sparkSession)
     known = stored(described(docs), "sets")
     reps = known.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"))
@@ -291,9 +291,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(with_sets(texts, "id", ["region", "id"]).where("size(s) > 0"), "members")
     edges = verified(dealt(members, sizes))
     linked = components(ids, stored(edges, "edges"))
-    found = known.select("doc_id", "n", "k1", "k2").join(reps, ["n", "k1", "k2"], "left").join(linked, "id", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))
+    found = known.select("doc_id", "key", "n", "k1", "k2").join(reps, ["n", "k1", "k2"], "left").join(linked, "id", "left")
+    return found.select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("key")

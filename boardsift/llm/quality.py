@@ -87,16 +87,16 @@ N = len(statistics("a"))
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and x, the statistics of its text."""
+    """doc_id, key (hash of its text) and x, the text's statistics."""
     small_batches(docs.sparkSession)
 
     def work(batches):
         for b in batches:
             x = pa.array([statistics(t) for t in b.column("text").to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), x], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), x], ["doc_id", "key", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, x array<double>")
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(work, f"doc_id {kind}, key long, x array<double>")
 
 
 class Fourier:
@@ -205,7 +205,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score: one row per document."""
+    """doc_id, key (hash of its text), score: one row per document."""
     x = stored(measured(docs), "statistics")
     known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("double").alias("y")).where(~F.coalesce(held_out(), F.lit(True)))
     train = x.join(known, "doc_id").select((F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("/fold"))) % FOLDS).cast("int").alias("fold"), "x", "y")
@@ -214,10 +214,10 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def work(batches):
         for b in batches:
             score = model(matrix(b.column("x"))) if b.num_rows else []
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(score, pa.float64())], ["doc_id", "key", "score"])
 
     kind = x.schema["doc_id"].dataType.simpleString()
-    return x.mapInArrow(work, f"doc_id {kind}, score double")
+    return x.mapInArrow(work, f"doc_id {kind}, key long, score double")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

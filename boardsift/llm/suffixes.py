@@ -289,33 +289,34 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans.groupBy("d").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, raw (bytes of the text), kept (those that stay), spans (removed ranges): a row for each row."""
+def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, other columns to keep, n_bytes, kept (bytes that stay), n_spans (removed runs): a row for each row."""
     small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("d", F.xxhash64("text"))
-    counts = rows.groupBy("d").agg(F.count("*").alias("m"), F.min_by("doc_id", F.struct("doc_id")).alias("one"))
-    copies = counts.where("m > 1").select("d", "one")
+    counts = rows.groupBy("d").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one"))
+    copies = counts.where("copies > 1")
     few = copies.count() <= BROADCAST_ROWS
     marked = rows.join(F.broadcast(copies) if few else copies, "d", "left")
-    first = marked.where("one is null or doc_id <=> one").select("d", "text")
+    first = marked.where("copies is null or doc_id <=> one").select("d", "text")
     spans = repeated_spans(first)
     found = marked.join(stored(spans, "spans"), "d", "left")
 
     def remove(batches):
         for b in batches:
             out = []
-            for doc_id, text, copied, own in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "copied", "spans")), strict=True):
+            for text, copied, own in zip(*(b.column(k).to_pylist() for k in ("text", "copied", "spans")), strict=True):
                 raw = text.encode("utf-8", "replace")
                 cut = [(0, len(raw))] if copied and len(raw) >= LENGTH else covered([(s["a"], s["a"] + s["n"]) for s in own or []])
                 ends = [0, *(x for c in cut for x in c), len(raw)]
-                out.append((doc_id, len(raw), b"".join(raw[s:e] for s, e in zip(ends[::2], ends[1::2], strict=True)), len(cut)))
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("doc_id").type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64())], ["doc_id", "n_bytes", "kept", "n_spans"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = found.select("doc_id", "text", F.col("one").isNotNull().alias("copied"), "spans")
-    return found.mapInArrow(remove, f"doc_id {kind}, n_bytes long, kept binary, n_spans long")
+                out.append((len(raw), b"".join(raw[s:e] for s, e in zip(ends[::2], ends[1::2], strict=True)), len(cut)))
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in same), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], [*same, "n_bytes", "kept", "n_spans"])
+
+    same = ("doc_id", *keep)
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in same)
+    found = found.select(*same, "text", F.col("copies").isNotNull().alias("copied"), "spans")
+    return found.mapInArrow(remove, f"{kinds}, n_bytes long, kept binary, n_spans long")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
