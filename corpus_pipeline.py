@@ -1,3 +1,80 @@
-STAGES = []
+"""Training-corpus pipeline: quality filter, near-duplicates, repeated passages, benchmark leaks, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All stages but the last return the
+columns of ``documents``; a row is told apart from others with its doc_id by a hash of its text.
+"""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from boardsift.llm import decontaminate, jaccard, quality, suffixes, tokens
+from boardsift.llm.common import stored, table, without
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality classifier rejects."""
+    docs = docs.select(*COLUMNS)
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
+    return without(docs, scored.where(F.col("score") < quality.THRESHOLD))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest doc_id of each group of near-duplicates."""
+    docs = docs.select(*COLUMNS)
+    return without(docs, jaccard.near_duplicates(docs).where("doc_id <> component_id"))
+
+
+def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages that also occur elsewhere; a letter that a cut goes through goes whole. Documents with nothing left go."""
+    left = suffixes.without_repeats(docs.select(*COLUMNS), ("lang", "source"))
+    return _decoded(left).where("n_bytes = 0 or text <> ''").select(*COLUMNS)
+
+
+def _decoded(left: DataFrame) -> DataFrame:
+    """Whole letters of the kept bytes."""
+
+    def work(batches):
+        for b in batches:
+            texts = [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
+            names = ["doc_id", "lang", "source", "n_bytes"]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(texts, pa.string())], [*names, "text"])
+
+    kinds = ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in ("doc_id", "lang", "source"))
+    out = left.select("doc_id", "lang", "source", "n_bytes", "kept").mapInArrow(work, f"{kinds}, n_bytes long, text string")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    docs = docs.select(*COLUMNS)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, found.where("n_hit > 0"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and the text they decode to."""
+    return tokens.encode_texts(docs, tokens.tokenizer_file("word_bpe_49k.json"), ("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeated_text", repeated_text_stage),
+    ("decontamination", decontamination_stage),
+    ("tokens", token_stage),
+]
+
+#: Stages that SQL can't express: the pipeline is tested against brute-force versions instead.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
