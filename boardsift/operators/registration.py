@@ -100,8 +100,8 @@ def register(source: np.ndarray, classes: list, target: np.ndarray, labels: list
             ratio = scale * float(np.hypot(*size)) / max(1e-9, float(np.hypot(*reach)))
             if not 0.02 <= ratio <= 4.0:
                 continue
-            near = nearest_pairs(apply(m, own), target, agree, tolerance)
-            found.append((sum(agree[a, b] for a, b in near), len(near), m, flip))
+            near = np.linalg.norm(apply(m, own)[:, None] - target[None], axis=2) <= tolerance
+            found.append((int((near & agree).any(1).sum()), int(near.any(1).sum()), m, flip))
     best = None
     for _, _, m, flip in sorted(found, key=lambda x: (-x[0], -x[1]))[:3]:
         own, reach_now = source * [1.0, flip], tolerance

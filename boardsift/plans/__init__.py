@@ -1,3 +1,3 @@
 """Queries over the derived inspection tables, by kind of operator."""
 
-MODULES = ("scalars",)
+MODULES = ("scalars", "rules", "aggregates", "windows", "joins", "assignment", "datasets", "files")

@@ -32,13 +32,12 @@ PAIRS = """
 WITH p AS (SELECT a.board_id, a.no AS a_no, b.no AS b_no, a.x1 ax1, a.y1 ay1, a.x2 ax2, a.y2 ay2, b.x1 bx1, b.y1 by1, b.x2 bx2, b.y2 by2,
   greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i,
   (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ba
-  FROM det a JOIN det b ON a.board_id = b.board_id AND a.no < b.no AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2
-  WHERE a.no <= 40 AND b.no <= 40) """
+  FROM det a JOIN det b ON a.board_id = b.board_id AND a.no < b.no AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2) """
 
 
 def met(spark, sf_dir):
-    """Overlapping boxes among a board's first forty."""
-    d = view(spark, sf_dir, "det").where("no <= 40").select("board_id", "no", B.of().alias("b"))
+    """Overlapping boxes of a board."""
+    d = view(spark, sf_dir, "det").select("board_id", "no", B.of().alias("b"))
     a, b = (d.select("board_id", F.col("no").alias(f"{k}_no"), F.col("b").alias(k)) for k in "ab")
     return a.join(b, "board_id").where((F.col("a_no") < F.col("b_no")) & B.touch(F.col("a"), F.col("b")))
 
@@ -113,13 +112,13 @@ WITH c AS (SELECT *, greatest(round_even(0.35 * greatest(x2 - x1, y2 - y1), 0),
 w AS (SELECT *, x1 - m AS wx1, y1 - m AS wy1, x2 + m AS wx2, y2 + m AS wy2 FROM c),
 j AS (SELECT w.board_id, w.no, d.no AS lead_no, d.x1, d.y1, d.x2, d.y2, wx1, wy1,
   greatest(d.x1, wx1) AS cx1, greatest(d.y1, wy1) AS cy1, least(d.x2, wx2) AS cx2, least(d.y2, wy2) AS cy2
-  FROM w JOIN det d ON w.board_id = d.board_id AND d.label = 'pads' AND d.x1 < wx2 AND wx1 < d.x2 AND d.y1 < wy2 AND wy1 < d.y2 WHERE w.no <= 30)
+  FROM w JOIN det d ON w.board_id = d.board_id AND d.label = 'pads' AND d.x1 < wx2 AND wx1 < d.x2 AND d.y1 < wy2 AND wy1 < d.y2)
 SELECT board_id, no, lead_no, cx1 - wx1 AS x1, cy1 - wy1 AS y1, cx2 - wx1 AS x2, cy2 - wy1 AS y2
 FROM j WHERE (cx2 - cx1) * (cy2 - cy1) >= 0.55 * ((x2 - x1) * (y2 - y1))""", ("det",))
 def crop_window(spark, sf_dir):
     d, b = view(spark, sf_dir, "det"), B.of()
     m = F.greatest(F.bround(F.lit(0.35) * F.greatest(B.width(b), B.height(b)), 0), F.lit(6.0))
-    windows = d.where("label not in ('pads', 'pins') and no <= 30").select(*KEY, B.box(F.col("x1") - m, F.col("y1") - m, F.col("x2") + m, F.col("y2") + m).alias("w"))
+    windows = d.where("label not in ('pads', 'pins')").select(*KEY, B.box(F.col("x1") - m, F.col("y1") - m, F.col("x2") + m, F.col("y2") + m).alias("w"))
     leads = d.where("label = 'pads'").select("board_id", F.col("no").alias("lead_no"), b.alias("l"))
     w, lead, c = F.col("w"), F.col("l"), F.col("c")
     j = windows.join(leads, "board_id").where(B.touch(lead, w)).withColumn("c", B.overlap(lead, w)).where(B.area(c) >= F.lit(0.55) * B.area(lead))

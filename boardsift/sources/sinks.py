@@ -15,7 +15,7 @@ def yolo_line(class_id: Column, b: Column, w: int, h: int) -> Column:
 
 def fixed(c: Column, digits: int) -> Column:
     """Fixed decimals; nothing for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", c), F.lit("")) if digits else F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(c.isNull(), "").otherwise(F.format_string(f"%.{digits}f", c) if digits else c.cast("string"))
 
 
 def csv_lines(rows: DataFrame, columns: dict[str, Column], guard: bool = True) -> DataFrame:
