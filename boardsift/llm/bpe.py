@@ -9,6 +9,7 @@ a round.
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -113,27 +114,45 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
-_ODD = regex.compile(r"[\x1c-\x1f]")
-_SPACES = regex.compile(f"[{SPACE}]+")
+#: Letters and numbers of Latin texts, which need no Unicode tables.
+_LATIN_LETTERS, _LATIN_NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
+_BEYOND = re.compile("[^\x00-\x1b -\u017f]")
+_LATIN_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN_LETTERS}]+|[{_LATIN_NUMBERS}]|[^{SPACE}{_LATIN_LETTERS}{_LATIN_NUMBERS}]+")
+_LATIN_BYTE = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN_LETTERS}]+| ?[{_LATIN_NUMBERS}]+| ?[^{SPACE}{_LATIN_LETTERS}{_LATIN_NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+)
+_BYTE = regex.compile(BYTE_PATTERN)
 
 
-def spaced(text: str) -> list[str]:
-    """The runs between white space."""
-    return [x for x in _SPACES.split(text) if x] if _ODD.search(text) else text.split()
+def byte_words(text: str) -> list[str]:
+    """Pre-tokens of byte-level files."""
+    return (_BYTE if _BEYOND.search(text) else _LATIN_BYTE).findall(text)
+
+
+def latin(text: str) -> bool:
+    return not _BEYOND.search(text)
+
+
+def latin_words(text: str) -> list[str]:
+    """Lower-cased pre-tokens of a Latin text for files with word ends."""
+    return _LATIN_WORD.findall(text.lower())
 
 
 class Cache:
-    """What a worker knows of chunks it has met; `learn` makes the values of new ones. Beyond the bound it keeps those of the batch at hand."""
+    """What a task knows of words it has met; `learn` makes the values of new ones. Of two generations the older is forgotten when the younger is full."""
 
-    def __init__(self, learn, limit: int = 500_000):
-        self.learn, self.limit, self.known = learn, limit, {}
+    def __init__(self, learn, limit: int = 150_000):
+        self.learn, self.limit, self.known, self.old = learn, limit, {}, {}
 
-    def add(self, texts: list[list[str]]) -> dict:
-        """All chunks of the batch, known by now."""
+    def add(self, texts: list[list]) -> dict:
+        """All words of the batch, known by now."""
         met = set(chain.from_iterable(texts))
-        new = list(met - self.known.keys())
-        if len(self.known) + len(new) > self.limit:
-            self.known = {k: self.known[k] for k in met & self.known.keys()}
+        if len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
+        new = met - self.known.keys()
+        again = new & self.old.keys()
+        self.known.update((k, self.old[k]) for k in again)
+        new = list(new - again)
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             self.known.update(zip(part, self.learn(part), strict=True))

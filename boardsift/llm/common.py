@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of text that a Python worker holds at once.
-BATCH_ROWS = 1000
+BATCH_ROWS = 300
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +43,22 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidy(work):
+    """A function over Arrow batches after which its worker gives memory back: workers live on from stage to stage."""
+
+    @functools.wraps(work)
+    def tidied(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from work(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def without(docs: DataFrame, dropped: DataFrame, limit: int = 2_000_000) -> DataFrame:
     """Documents whose (doc_id, hash of text) isn't among the dropped ones' (doc_id, key); few of them are broadcast, more are joined by shuffle."""
     dropped = stored(dropped.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")), "dropped")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import components, small_batches, stored, table
+from boardsift.llm.common import components, small_batches, stored, table, tidy
 
 TABLES, PROBES, SCALE, THRESHOLD, CELL, SEED = 5, 4, 0.7, 0.93, 2000, 8
 
@@ -168,7 +168,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
                     ["id", "t", "cell", "home"],
                 )
 
-    placed = stored(known.select("id", "v").mapInArrow(place, "id long, t int, cell long, home boolean"), "cells")
+    placed = stored(known.select("id", "v").mapInArrow(tidy(place), "id long, t int, cell long, home boolean"), "cells")
     full = placed.join(known.select("id", "label"), "id").groupBy("label", "t", "cell").agg(F.count("*").alias("n")).where(f"n > {CELL}")
     rows = placed.join(known, "id").join(full, ["label", "t", "cell"], "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / CELL).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -193,7 +193,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
                 )
 
     met = rows.repartition(*keys).sortWithinPartitions(*keys)
-    met = stored(met.mapInArrow(link, "a long, b long, n long"), "meetings")
+    met = stored(met.mapInArrow(tidy(link), "a long, b long, n long"), "meetings")
     counts = met.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     grouped_ids = components(known.select("id").distinct(), met.where("b is not null").select("a", "b"))
     rep = known.join(grouped_ids, "id").join(counts, "id", "left").select("label", "v", "component", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsift.llm.bpe import Cache
-from boardsift.llm.common import components, small_batches, stored, table
+from boardsift.llm.common import components, small_batches, stored, table, tidy
 from boardsift.llm.embeddings import forest, grouped
 from boardsift.llm.token_files import mixed
 
@@ -42,15 +42,14 @@ def _learn(words: list[bytes]) -> list[int]:
     return [int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in words]
 
 
-@lru_cache(1)
 def word_hashes() -> Cache:
     return Cache(_learn)
 
 
-def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[str | None], words: Cache, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one after the other, and how many each has."""
     cut = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
-    get = word_hashes().add(cut).__getitem__
+    get = words.add(cut).__getitem__
     sizes = np.fromiter(map(len, cut), np.int64, len(cut))
     flat = np.fromiter(map(get, chain.from_iterable(cut)), np.uint64, int(sizes.sum()))
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))  # words from here to the end of the text
@@ -171,20 +170,22 @@ def with_sets(docs: DataFrame, id_: str, keep: list[str]) -> DataFrame:
     """The kept columns and `s`, the set of ``text``."""
 
     def work(batches):
+        words = word_hashes()
         for b in batches:
-            h, sizes = shingle_sets(b.column("text").to_pylist())
+            h, sizes = shingle_sets(b.column("text").to_pylist(), words)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), _lists(h.astype(np.int64), sizes, pa.int64())], [*keep, "s"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(work, f"{schema}, s array<long>")
+    return docs.select(*keep, "text").mapInArrow(tidy(work), f"{schema}, s array<long>")
 
 
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of its text), n (set size), k1 and k2 (the set's 128-bit key), parts."""
 
     def work(batches):
+        words = word_hashes()
         for b in batches:
-            h, sizes = shingle_sets(b.column("text").to_pylist())
+            h, sizes = shingle_sets(b.column("text").to_pylist(), words)
             owner, keys = np.repeat(np.arange(len(sizes)), sizes), []
             for seed in (21, 22):
                 total = np.zeros(len(sizes), np.uint64)
@@ -193,7 +194,7 @@ def described(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sizes, pa.int64()), *keys, _lists(*part_keys(h, sizes), pa.int64())], ["doc_id", "key", "n", "k1", "k2", "parts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(work, "doc_id long, key long, n long, k1 long, k2 long, parts array<long>")
+    return rows.mapInArrow(tidy(work), "doc_id long, key long, n long, k1 long, k2 long, parts array<long>")
 
 
 def agreeing(rows: DataFrame) -> DataFrame:
@@ -212,7 +213,7 @@ def agreeing(rows: DataFrame) -> DataFrame:
             pairs = np.unique(np.c_[ids, low][ids != low], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return rows.repartition("part").sortWithinPartitions("part", "id").mapInArrow(work, "a long, b long").distinct()
+    return rows.repartition("part").sortWithinPartitions("part", "id").mapInArrow(tidy(work), "a long, b long").distinct()
 
 
 def verified(members: DataFrame) -> DataFrame:
@@ -231,7 +232,7 @@ def verified(members: DataFrame) -> DataFrame:
                 a, b = (np.concatenate(x) for x in zip(*sets.edges, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
-    return members.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(work, "a long, b long")
+    return members.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(tidy(work), "a long, b long")
 
 
 def dealt(members: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -271,7 +272,7 @@ def dealt(members: DataFrame, sizes: DataFrame) -> DataFrame:
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int64()))], ["region", "cell", "home", "id", "s"])
 
-    cells = members.join(large.select("region"), "region", "left_semi").select("region", "id", "s").mapInArrow(work, whole.schema)
+    cells = members.join(large.select("region"), "region", "left_semi").select("region", "id", "s").mapInArrow(tidy(work), whole.schema)
     return whole.join(large.select("region"), "region", "left_anti").unionByName(cells)
 
 

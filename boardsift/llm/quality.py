@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import small_batches, stored, table
+from boardsift.llm.common import small_batches, stored, table, tidy
 
 FEATURES, GAMMA, RIDGE, FOLDS, SUMS, BINS, THRESHOLD, SEED = 384, 0.04, 1e-3, 4, 16, 2000, 0.3, 20
 _PUNCT = str.maketrans("", "", string.punctuation)
@@ -96,7 +96,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), x], ["doc_id", "key", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(work, f"doc_id {kind}, key long, x array<double>")
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(tidy(work), f"doc_id {kind}, key long, x array<double>")
 
 
 class Fourier:
@@ -134,7 +134,7 @@ def summed(rows: DataFrame, partial, names: int) -> list[np.ndarray]:
         return pd.DataFrame([[int(pdf.g.iloc[0]), *(np.sum([np.frombuffer(x, "<f8") for x in pdf[f"s{i}"]], axis=0).tobytes() for i in range(names))]], columns=pdf.columns)
 
     schema = "g int, " + ", ".join(f"s{i} binary" for i in range(names))
-    groups = rows.mapInArrow(work, schema).groupBy("g").applyInPandas(add, schema).drop("g").collect()  # at most SUMS rows
+    groups = rows.mapInArrow(tidy(work), schema).groupBy("g").applyInPandas(add, schema).drop("g").collect()  # at most SUMS rows
     return [np.sum([np.frombuffer(r[i], "<f8") for r in groups], axis=0) for i in range(names)] if groups else []
 
 
@@ -217,7 +217,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(score, pa.float64())], ["doc_id", "key", "score"])
 
     kind = x.schema["doc_id"].dataType.simpleString()
-    return x.mapInArrow(work, f"doc_id {kind}, key long, score double")
+    return x.mapInArrow(tidy(work), f"doc_id {kind}, key long, score double")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,10 +18,9 @@ empty table makes no shards.
 from __future__ import annotations
 
 import json
-import os
 import re
 import zlib
-from functools import lru_cache
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -29,42 +28,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from boardsift.llm import bpe
-from boardsift.llm.common import small_batches, stored, table
-from boardsift.llm.tokens import byte_chunks, tokenizer_file
+from boardsift.llm.common import small_batches, stored, table, tidy
+from boardsift.llm.tokens import byte_words, library, tokenizer_file
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES, STARTS = 8 << 20, 1_000_000
 SHARD_SCHEMA = "shard int, n_docs long, n_ids long, payload binary, index binary"
 _GAMMA, _LEVELS = 2.0, 48
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, asked once for each distinct chunk."""
+    """Ids of whole texts by the tokenizers library: its model is asked once for each distinct word that a task remembers."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.library = library(path)
         self.specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.split = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code, self.kind = ("H", "<u2") if self.library.get_vocab_size() <= 1 << 16 else ("I", "<u4")
+        self.letters = str.maketrans(dict(enumerate(bpe.byte_letters())))
         self.cache = bpe.Cache(self.learn)
 
-    def learn(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch(chunks, add_special_tokens=False)]
+    def learn(self, words: list[str]) -> list[bytes]:
+        split, letters = self.library.model.tokenize, self.letters
+        return [array(self.code, [self.specials[w]] if w in self.specials else [t.id for t in split(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in words]
 
     def texts(self, texts: list[str | None], end: int) -> list[bytes]:
-        cut = [byte_chunks(t or "", self.specials, self.split) for t in texts]
-        get, tail = self.cache.add(cut).__getitem__, np.array([end], dtype=self.kind).tobytes()
-        return [b"".join(map(get, cs)) + tail for cs in cut]
-
-
-@lru_cache(4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+        cut = [byte_words(t or "", self.specials, self.split) for t in texts]
+        get, tail = self.cache.add(cut).__getitem__, array(self.code, [end]).tobytes()
+        return [b"".join(map(get, ws)) + tail for ws in cut]
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -176,17 +168,17 @@ def write_shards(docs: DataFrame, path: str, end: int = 0, shard_bytes: int = SH
     n = max(1, -(-total // shard_bytes))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("c")).first().c if n > 1 else None
     cuts = np.array(sorted(set(cuts or [])), dtype=np.int64)
-    kind = encoder(path).kind
+    kind = Encoder(path).kind
 
     def encode(batches):
-        own = encoder(path)
+        own = Encoder(path)
         for b in batches:
             ids = b.column("doc_id")
             shard = np.searchsorted(cuts, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), ids, b.column("h"), pa.array(own.texts(b.column("text").to_pylist(), end), pa.binary())], ["shard", "doc_id", "h", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    encoded = rows.mapInArrow(encode, "shard int, doc_id long, h long, ids binary")
+    encoded = rows.mapInArrow(tidy(encode), "shard int, doc_id long, h long, ids binary")
     return stored(encoded.groupBy("shard").applyInPandas(lambda rows: built_shard(rows, kind), SHARD_SCHEMA), "shards")
 
 
@@ -208,8 +200,9 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    joined = shards.join(starts, F.col("shard") == F.col("s")).select("payload", "index", "base")
-    return joined.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    few = shards.count() <= STARTS
+    joined = shards.join(F.broadcast(starts) if few else starts, F.col("shard") == F.col("s")).select("payload", "index", "base")
+    return joined.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def fetch(shards: DataFrame, keys: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Encoding, decoding and counting of tokens with public tokenizer files.
 
-Texts are cut at white space into chunks that cannot influence each other; a worker encodes each distinct chunk once, in
-numpy merge rounds (`bpe.Merges`), and looks the others up. Special tokens written in a text count as those tokens, as
+Texts are cut into words, which merges never cross; a task encodes a distinct word once, in numpy merge rounds
+(`bpe.Merges`), and looks the others up while it remembers them. Special tokens written in a text count as those tokens, as
 the library has it by default.
 
 Defined results: null text counts as empty; an empty text has no tokens; repeated rows each get a row; other columns are
@@ -10,22 +10,16 @@ ignored; an empty table gives no rows. The path of the tokenizer file is a param
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
-from itertools import chain
-from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from boardsift.llm import bpe
-from boardsift.llm.common import small_batches, table
-
-
-_FIRST, _SECOND, _THIRD = map(itemgetter, range(3))
+from boardsift.llm.common import small_batches, table, tidy
 
 
 def tokenizer_file(name: str) -> str:
@@ -35,82 +29,61 @@ def tokenizer_file(name: str) -> str:
 
 
 class WordCodec:
-    """Lower-casing BPE with word ends: chunk -> (tokens, ids as text, tokens as text)."""
+    """Lower-casing BPE with word ends. A task keeps the ids of distinct words."""
 
     def __init__(self, path: str):
         self.m = bpe.merges(path)
-        self.pattern = regex.compile(bpe.WORD_PATTERN)
         self.cache = bpe.Cache(self.learn)
-        library = Tokenizer.from_file(path)
-        self.normal, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.names = {i: str(i) for i in self.m.tokens}
+        self.normal, self.cut = library(path).normalizer.normalize_str, library(path).pre_tokenizer.pre_tokenize_str
+        self.kind = np.uint16 if max(self.m.tokens) < 1 << 16 else np.uint32
+        self.names = [str(i) for i in range(max(self.m.tokens) + 1)]
 
-    def learn(self, chunks: list[str]) -> list[tuple[int, str, str]]:
+    def learn(self, words: list[str]) -> list[bytes]:
         special = self.m.specials
-        cut = [[] if c in special else self.words(c) for c in chunks]
-        words = list(dict.fromkeys(chain.from_iterable(cut)))
-        symbols, counts = self.m.encode([w.encode() for w in words])
-        flat = symbols.tolist()
-        ids, tokens = list(map(self.names.__getitem__, flat)), list(map(self.m.tokens.__getitem__, flat))
-        made, at = {}, 0
-        for w, n in zip(words, counts.tolist(), strict=True):
-            made[w] = (n, " ".join(ids[at : at + n]), " ".join(tokens[at : at + n]))
-            at += n
-        out = []
-        for c, ws in zip(chunks, cut, strict=True):
-            if len(ws) == 1:
-                out.append(made[ws[0]])
-            elif c in special:
-                out.append((1, str(special[c]), c))
-            else:
-                own = [made[w] for w in ws]
-                out.append((sum(x[0] for x in own), " ".join([x[1] for x in own]), " ".join([x[2] for x in own])))
-        return out
-
-    def words(self, chunk: str) -> list[str]:
-        """Normalised and split; beyond Latin letters by the library's own character classes."""
-        if chunk.isascii():
-            return self.pattern.findall(chunk.lower())
-        text = self.normal(chunk)
-        if max(text) <= "\u024f":
-            return self.pattern.findall(text)
+        symbols, counts = self.m.encode([b"" if w in special else w.encode() for w in words])
+        data, size = symbols.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+        ends = (np.cumsum(counts) * size).tolist()
+        return [self.kind(special[w]).tobytes() if w in special else data[z - n * size : z] for w, n, z in zip(words, counts.tolist(), ends, strict=True)]
+
+    def words(self, text: str) -> list[str]:
+        """Normalised and split; beyond Latin texts by the library's own tables."""
+        if bpe.latin(text):
+            return bpe.latin_words(text)
+        text = self.normal(text)
         return [text[a:b] for _, (a, b) in self.cut(text)]
 
     def texts(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """For each text: tokens, ids joined by spaces, decoded text."""
-        cut = [self._chunks(t or "") for t in texts]
-        get = self.cache.add(cut).__getitem__
+        cut = [self._words(t or "") for t in texts]
+        get, name, token = self.cache.add(cut).__getitem__, self.names.__getitem__, self.m.tokens.__getitem__
         out = []
-        for cs in cut:
-            found = list(map(get, cs))
-            out.append((sum(map(_FIRST, found)), " ".join(map(_SECOND, found)), " ".join(map(_THIRD, found))))
+        for ws in cut:
+            ids = np.frombuffer(b"".join(map(get, ws)), self.kind).tolist()
+            out.append((len(ids), " ".join(map(name, ids)), " ".join(map(token, ids))))
         return out
 
-    def _chunks(self, text: str) -> list[str]:
+    def _words(self, text: str) -> list[str]:
         if not any(s in text for s in self.m.specials):
-            return bpe.spaced(text)
+            return self.words(text)
         cut, at = [], 0
         for m in self.m.split.finditer(text):
-            cut += [*bpe.spaced(text[at : m.start()]), m[0]]
+            cut += [*self.words(text[at : m.start()]), m[0]]
             at = m.end()
-        return cut + bpe.spaced(text[at:])
+        return cut + self.words(text[at:])
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.m.tokens[i] for i in ids)
 
 
-_CHUNK = re.compile(rf" ?[^{bpe.SPACE}]+|[{bpe.SPACE}]+(?![^{bpe.SPACE}])|[{bpe.SPACE}]+")
-
-
-def byte_chunks(text: str, specials: dict, split) -> list[str]:
-    """Parts that byte-level pre-tokenization never joins: a run of other letters with one space before it, or white space."""
+def byte_words(text: str, specials: dict, split) -> list[str]:
+    """Pre-tokens of a byte-level file; special tokens are words of their own."""
     if not any(s in text for s in specials):
-        return _CHUNK.findall(text)
+        return bpe.byte_words(text)
     cut, at = [], 0
     for m in split.finditer(text):
-        cut += [*_CHUNK.findall(text[at : m.start()]), m[0]]
+        cut += [*bpe.byte_words(text[at : m.start()]), m[0]]
         at = m.end()
-    return cut + _CHUNK.findall(text[at:])
+    return cut + bpe.byte_words(text[at:])
 
 
 class ByteCounter:
@@ -118,31 +91,22 @@ class ByteCounter:
 
     def __init__(self, path: str):
         self.m = bpe.merges(path)
-        self.pattern = regex.compile(bpe.BYTE_PATTERN)
         self.cache = bpe.Cache(self.learn)
 
-    def learn(self, chunks: list[str]) -> list[int]:
+    def learn(self, words: list[str]) -> list[int]:
         special = self.m.specials
-        cut = [[] if c in special else self.pattern.findall(c) for c in chunks]
-        words = list(dict.fromkeys(chain.from_iterable(cut)))
-        _, counts = self.m.encode([w.encode() for w in words])
-        made = dict(zip(words, counts.tolist(), strict=True))
-        return [1 if c in special else sum(map(made.__getitem__, ws)) for c, ws in zip(chunks, cut, strict=True)]
+        _, counts = self.m.encode([b"x" if w in special else w.encode() for w in words])
+        return counts.tolist()
 
     def texts(self, texts: list[str | None]) -> list[int]:
-        cut = [byte_chunks(t or "", self.m.specials, self.m.split) for t in texts]
+        cut = [byte_words(t or "", self.m.specials, self.m.split) for t in texts]
         get = self.cache.add(cut).__getitem__
-        return [sum(map(get, cs)) for cs in cut]
-
-
-@lru_cache(4)
-def word_codec(path: str) -> WordCodec:
-    return WordCodec(path)
+        return [sum(map(get, ws)) for ws in cut]
 
 
 @lru_cache(4)
-def byte_counter(path: str) -> ByteCounter:
-    return ByteCounter(path)
+def library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
 
 
 def encode_texts(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -151,13 +115,13 @@ def encode_texts(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
     rows = docs.select(*keep, "text")
 
     def work(batches):
-        codec = word_codec(path)
+        codec = WordCodec(path)
         for b in batches:
             n, ids, text = zip(*codec.texts(b.column("text").to_pylist()), strict=True) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], [*keep, "n_tokens", "ids", "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInArrow(work, f"{schema}, n_tokens long, ids string, decoded string")
+    return rows.mapInArrow(tidy(work), f"{schema}, n_tokens long, ids string, decoded string")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,13 +134,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def work(batches):
-        counter = byte_counter(path)
+        counter = ByteCounter(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counter.texts(b.column("text").to_pylist()), pa.int64()), b.column("n_bytes")], ["doc_id", "n_tokens", "n_bytes"])
 
     rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc_id {kind}, n_tokens long, n_bytes long").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return rows.mapInArrow(tidy(work), f"doc_id {kind}, n_tokens long, n_bytes long").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
