@@ -19,13 +19,30 @@ from pyspark.sql import functions as F
 from boardsift.llm.common import table
 
 WINDOW = 10
+#: What a word is; texts are cut at its complement.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The gaps between words in a text that isn't lower-cased yet: the same words, without normalising them first.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def lowered(text: str):
+    """A-Z in lower case: where a text is ASCII throughout, that is all that lower() changes, and it is faster."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(F.col(text), UPPER, LOWER))
+
+
 def words(text: str):
     """Normalised words of a text column; null: none."""
-    return F.coalesce(F.regexp_extract_all(F.translate(F.col(text), UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    cut = F.split(lowered(text), GAP)
+    first = F.when(F.get(cut, F.lit(0)) == "", 2).otherwise(1)
+    rest = F.size(cut) - first + 1 - F.when((F.size(cut) > 1) & (F.get(cut, F.size(cut) - 1) == ""), 1).otherwise(0)
+    return F.coalesce(F.slice(cut, first, F.greatest(rest, F.lit(0))), F.array().cast("array<string>"))
+
+
+def word_count(text: str):
+    cut = F.split(F.col(text), GAP)
+    ends = F.when(F.get(cut, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(cut) > 1) & (F.get(cut, F.size(cut) - 1) == ""), 1).otherwise(0)
+    return F.when(F.col(text).isNull(), 0).otherwise(F.size(cut) - ends).cast("long")
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -44,7 +61,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broad
     lengths = sorted(r[0] for r in known.select("l").distinct().collect())  # at most `window` values
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     base = docs.select("doc_id", F.xxhash64("text").alias("key"), words("text").alias("ws"))
-    counted = base.select("doc_id", "key", F.size("ws").cast("long").alias("n_words"))
+    counted = docs.select("doc_id", F.xxhash64("text").alias("key"), word_count("text").alias("n_words"))
     if not lengths:
         return counted.select("*", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
     rows = base.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("l")).where(F.size("ws") >= F.col("l"))
