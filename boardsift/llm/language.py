@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import small_batches, table
+from boardsift.llm.common import small_batches, table, tidy
 
 SAMPLE, BUCKETS, SEQUENCES, LENGTH, STEPS, BLOCK, WORDS, LEXICON, SEED = 1200, 1 << 15, 4000, 40, 40, 64, 300_000, 300, 3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -224,8 +224,10 @@ def held_out(doc_id: str = "doc_id"):
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Crf:
     """Fit on a bounded sample of the training folds' labelled rows."""
     known = docs.where("text is not null and lang is not null").where(~F.coalesce(held_out(), F.lit(True)))
-    rows = known.select("text", "lang", F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).alias("h")).orderBy("h", "text", "lang").limit(sample).collect()
-    return fit([(r.text, r.lang) for r in rows])
+    known = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")))
+    last = known.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # texts don't take part in the sort
+    rows = sorted((r.h, r.text, r.lang) for r in known.where(F.col("h") <= F.lit(last)).select("h", "text", "lang").collect())[:sample] if last is not None else []
+    return fit([(text, lang) for _, text, lang in rows])
 
 
 def identify(docs: DataFrame, model: Crf) -> DataFrame:
@@ -240,7 +242,7 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), f"doc_id {kind}, lang_pred string, score double")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
