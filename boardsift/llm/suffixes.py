@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import small_batches, stored, table
+from boardsift.llm.common import small_batches, stored, table, tidy
 from boardsift.llm.embeddings import grouped
 from boardsift.llm.token_files import mixed
 
-LENGTH, GRAM, CHUNK, BROADCAST_ROWS = 200, 100, 200_000, 2_000_000
+LENGTH, GRAM, CHUNK, BROADCAST_ROWS, BROADCAST_FRAGMENTS = 200, 100, 200_000, 1_000_000, 1_000_000
 _FACTOR = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(5).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -82,8 +82,10 @@ def fragments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def sorted_suffixes(text: np.ndarray) -> np.ndarray:
-    """Starts in order of their suffixes to depth `LENGTH` at least, by doubling."""
-    rank, depth, n = text.astype(np.int64), 1, len(text)
+    """Starts in order of their suffixes to depth `LENGTH` at least, by doubling. A closing 0 ranks by its string."""
+    closed, depth, n = np.flatnonzero(text == 0), 1, len(text)
+    rank = text.astype(np.int64) + len(closed)
+    rank[closed] = np.arange(len(closed))
     while True:
         after = np.zeros(n, np.int64)
         after[: n - depth] = rank[depth:] + 1 if depth < n else 0
@@ -105,7 +107,6 @@ class Shard:
         text = np.frombuffer(b"".join(s.translate(_UP) + b"\0" for s in strings), np.uint8) if strings else np.zeros(0, np.uint8)
         self.ends = np.flatnonzero(text == 0)
         order = sorted_suffixes(text) if len(text) else np.zeros(0, np.int64)
-        order = np.r_[self.ends, order[text[order] != 0]] if len(text) else order
         self.order = order  # start of the suffix at each rank
         before = np.where(np.isin(order, np.r_[0, self.ends[:-1] + 1]), 0, text[order - 1]) if len(text) else text
         self.transform = before.astype(np.uint8)
@@ -125,8 +126,8 @@ def merged(a: Shard, b: Shard, depth: int = LENGTH) -> tuple[np.ndarray, np.ndar
     symbols = np.empty(n, np.uint8)
     edge = np.zeros(n, bool)
     counts = np.bincount(np.r_[first, second], minlength=256)
-    edge[np.minimum(np.cumsum(counts)[counts > 0], n - 1)] = True
-    edge[0] = False
+    ends = np.cumsum(counts)
+    edge[ends[(ends > 0) & (ends < n)]] = True
     for _ in range(depth):
         symbols[~z], symbols[z] = first, second
         order = np.argsort(symbols, kind="stable")
@@ -212,15 +213,38 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         for b in batches:
             d = b.column("d").to_numpy()
             owner, a, n, anchor, own = fragments([t.encode("utf-8", "replace") for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int64)), pa.array(own.astype(np.int64)), pa.array(d[owner]), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "t", "d", "a", "n"])
-
-    kind = "h long, t long, d long, a int, n int"
-    rows = docs.where(f"octet_length(text) >= {LENGTH}").select("d", "text").mapInArrow(cut, kind).repartition("h").sortWithinPartitions("h", "t")
+            if not len(own):
+                continue
+            # what this batch repeats is settled here: its ranges go as c = 0, one fragment stands for all with c = 2
+            _, first, same, count = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+            often = np.flatnonzero(count[same] > 1)
+            keep = np.r_[np.flatnonzero(count[same] == 1), first[count > 1]]
+            ends = a[often] + n[often]
+            new = np.r_[True, (owner[often][1:] != owner[often][:-1]) | (a[often][1:] > ends[:-1])][: len(often)]
+            s, z = often[new], ends[np.r_[np.flatnonzero(new)[1:] - 1, len(often) - 1]] if len(often) else ends
+            cols = [
+                (anchor[keep].astype(np.int64), mixed(d[owner[s]] + a[s], 3).astype(np.int64)),
+                (own[keep].astype(np.int64), np.zeros(len(s), np.int64)),
+                (d[owner[keep]], d[owner[s]]),
+                (a[keep], a[s]),
+                (n[keep], z - a[s]),
+                (np.minimum(count[same[keep]], 2), np.zeros(len(s), np.int64)),
+            ]
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), k) for x, k in zip(cols, kinds, strict=True)], ["h", "t", "d", "a", "n", "c"])
+
+    kind = "h long, t long, d long, a int, n int, c int"
+    rows = docs.where(f"octet_length(text) >= {LENGTH}").select("d", "text").mapInArrow(tidy(cut), kind).repartition("h").sortWithinPartitions("h", "t")
 
     def alike(batches):
         held = None
         for b in batches:
-            cols = [b.column(k).to_numpy() for k in ("h", "t", "d", "a", "n")]
+            cols = [b.column(k).to_numpy() for k in ("h", "t", "d", "a", "n", "c")]
+            settled = cols[-1] == 0
+            if settled.any():
+                h, _, d, a, n, c = (x[settled] for x in cols)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (h, d, a, n, c))], ["h", "d", "a", "n", "state"])
+                cols = [x[~settled] for x in cols]
             if held is not None:
                 cols = [np.r_[x, y] for x, y in zip(held, cols, strict=True)]
             if not len(cols[0]):
@@ -232,13 +256,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield from several(held)
 
     def several(cols):
-        h, t, d, a, n = cols
+        h, t, d, a, n, c = cols
         if not len(h):
             return
         new_h = np.r_[True, h[1:] != h[:-1]]
         new_t = new_h | np.r_[True, t[1:] != t[:-1]]
         gh, gt = np.cumsum(new_h) - 1, np.cumsum(new_t) - 1
-        in_h, in_t = np.bincount(gh)[gh], np.bincount(gt)[gt]
+        in_h, in_t = np.bincount(gh, c)[gh], np.bincount(gt, c)[gt]
         often = in_t > 1
         open_h = np.bincount(gh, ~often & (in_h > 1))[gh] > 0  # a fragment of one copy beside others
         c = np.where(often, 0, 1).astype(np.int32)
@@ -249,9 +273,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (h, d, a, n)), pa.array(state)], ["h", "d", "a", "n", "state"])
 
     # state 0: repeated as a whole; 1: to be judged, one copy; 2: to be judged against, several copies
-    shared = stored(rows.mapInArrow(alike, "h long, d long, a int, n int, state int"), "fragments")
+    shared = stored(rows.mapInArrow(tidy(alike), "h long, d long, a int, n int, state int"), "fragments")
     open_ = shared.where("state > 0").groupBy("d").agg(F.collect_list(F.struct("h", "a", "n", "state")).alias("fs"))
-    few = open_.count() <= BROADCAST_ROWS
+    few = (open_.agg(F.sum(F.size("fs"))).first()[0] or 0) <= BROADCAST_FRAGMENTS
     texts = docs.select("d", "text").join(F.broadcast(open_) if few else open_, "d")
 
     def take(batches):
@@ -263,7 +287,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [(), (), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["h", "d", "a", "state", "x"])
 
-    taken = texts.mapInArrow(take, "h long, d long, a int, state int, x binary").repartition("h").sortWithinPartitions("h")
+    taken = texts.mapInArrow(tidy(take), "h long, d long, a int, state int, x binary").repartition("h").sortWithinPartitions("h")
 
     def judge(batches):
         held, size = [], 0
@@ -285,7 +309,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["d", "a", "n"])
 
-    spans = taken.mapInArrow(judge, "d long, a int, n int").unionByName(shared.where("state = 0").select("d", "a", "n"))
+    spans = taken.mapInArrow(tidy(judge), "d long, a int, n int").unionByName(shared.where("state = 0").select("d", "a", "n"))
     return spans.groupBy("d").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
 
 
@@ -316,7 +340,7 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     same = ("doc_id", *keep)
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in same)
     found = found.select(*same, "text", F.col("copies").isNotNull().alias("copied"), "spans")
-    return found.mapInArrow(remove, f"{kinds}, n_bytes long, kept binary, n_spans long")
+    return found.mapInArrow(tidy(remove), f"{kinds}, n_bytes long, kept binary, n_spans long")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
