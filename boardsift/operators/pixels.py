@@ -230,3 +230,25 @@ def drawn(rows: np.ndarray, h: int = 190, w: int = 270) -> np.ndarray:
     for x1, y1, x2, y2, v in rows.astype(int).tolist():
         out[max(0, y1) : y2, max(0, x1) : x2] = v
     return out
+
+
+def undistorted(image: np.ndarray, camera: np.ndarray, k1: float, k2: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Radial lens distortion taken out, nearest pixel; and where the result has a source."""
+    h, w = image.shape[:2]
+    y, x = np.mgrid[:h, :w].astype(float)
+    u, v = (x - camera[0, 2]) / camera[0, 0], (y - camera[1, 2]) / camera[1, 1]
+    r = u * u + v * v
+    f = 1 + k1 * r + k2 * r * r
+    sx, sy = np.rint(u * f * camera[0, 0] + camera[0, 2]).astype(int), np.rint(v * f * camera[1, 1] + camera[1, 2]).astype(int)
+    valid = (sx >= 0) & (sx < w) & (sy >= 0) & (sy < h)
+    out = np.zeros_like(image)
+    out[valid] = image[sy[valid], sx[valid]]
+    return out, valid
+
+
+def camera_for(camera: np.ndarray, calibrated: tuple[int, int], size: tuple[int, int], tolerance: float = 0.01) -> np.ndarray:
+    """Intrinsics for another resolution of the same shape."""
+    sx, sy = size[0] / calibrated[0], size[1] / calibrated[1]
+    if abs(sx - sy) > tolerance * max(sx, sy):
+        raise ValueError(f"calibrated for {calibrated}, not for {size}")
+    return np.diag([sx, sy, 1.0]) @ camera

@@ -60,3 +60,16 @@ def golden_compare(spark, sf_dir):
         return pd.DataFrame([[pdf.board_id.iloc[0], round(x - 10, 3), round(y - 10, 3), round(score, 6), round(alike, 6), found is not None, ",".join(done)]], columns=["board_id", "dx", "dy", "score", "ssim", "located", "operations"])
 
     return frames(spark, sf_dir).groupBy("board_id").applyInPandas(kernel, "board_id int, dx double, dy double, score double, ssim double, located boolean, operations string")
+
+
+@query("I2 I3")
+def lens_correction(spark, sf_dir):
+    """How much of each board's frame has a source after its lens distortion is taken out."""
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        image = _frame(pdf)
+        camera = pixels.camera_for(np.array([[400.0, 0, 270], [0, 400, 190], [0, 0, 1]]), (540, 380), (270, 190))
+        out, valid = pixels.undistorted(image, camera, 0.08)
+        return pd.DataFrame([[pdf.board_id.iloc[0], round(float(valid.mean()), 9), int(out.sum())]], columns=["board_id", "valid", "light"])
+
+    return frames(spark, sf_dir).groupBy("board_id").applyInPandas(kernel, "board_id int, valid double, light long")

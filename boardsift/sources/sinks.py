@@ -27,3 +27,26 @@ def csv_lines(rows: DataFrame, columns: dict[str, Column], guard: bool = True) -
         return F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
     return rows.select(F.concat_ws(",", *(cell(c) for c in columns.values())).alias("line"))
+
+
+def publish(rows: DataFrame, path: str) -> None:
+    """Write as a whole or not at all, and never over something."""
+    rows.write.mode("errorifexists").parquet(path)
+
+
+def bundles(rows: DataFrame, key: str, name: str, content: str) -> DataFrame:
+    """A ZIP archive a key, of its named texts in name order: key, files, archive. Equal rows give equal bytes."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            for n, c in sorted(zip(pdf[name], pdf[content], strict=True)):
+                z.writestr(zipfile.ZipInfo(n), c)
+        return pd.DataFrame([[pdf[key].iloc[0], len(pdf), out.getvalue()]], columns=[key, "files", "archive"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, name, content).groupBy(key).applyInPandas(kernel, f"{key} {kind}, files int, archive binary")

@@ -89,3 +89,14 @@ def test_solder_on_green():
     assert pixels.refined(image) == (20, 10, 60, 30)
     assert pixels.similarity(image.mean(2), image.mean(2)) == pytest.approx(1.0)
     assert pixels.letterboxed(image, 128, 128).shape == (128, 128, 3)
+
+
+def test_lens():
+    image = np.random.default_rng(0).integers(0, 255, (40, 60, 3)).astype(np.uint8)
+    camera = np.array([[50.0, 0, 30], [0, 50, 20], [0, 0, 1]])
+    same, valid = pixels.undistorted(image, camera, 0.0)
+    assert (same == image).all() and valid.all()
+    assert not pixels.undistorted(image, camera, 0.5)[1].all()
+    assert pixels.camera_for(camera, (60, 40), (120, 80))[0, 0] == 100
+    with pytest.raises(ValueError):
+        pixels.camera_for(camera, (60, 40), (120, 40))
