@@ -33,7 +33,7 @@ from boardsift.llm import bpe
 from boardsift.llm.common import small_batches, stored, table, tidy
 from boardsift.llm.tokens import byte_words, library, tokenizer_file
 
-SHARD_BYTES, STARTS = 8 << 20, 1_000_000
+SHARD_BYTES, STARTS, WORDS = 8 << 20, 1_000_000, 400_000
 SHARD_SCHEMA = "shard int, n_docs long, n_ids long, payload binary, index binary"
 _GAMMA, _LEVELS = 2.0, 48
 
@@ -47,11 +47,21 @@ class Encoder:
         self.split = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.code, self.kind = ("H", "<u2") if self.library.get_vocab_size() <= 1 << 16 else ("I", "<u4")
         self.letters = str.maketrans(dict(enumerate(bpe.byte_letters())))
-        self.cache = bpe.Cache(self.learn)
+        self.cache = bpe.Cache(self.learn, WORDS)
 
     def learn(self, words: list[str]) -> list[bytes]:
-        split, letters = self.library.model.tokenize, self.letters
-        return [array(self.code, [self.specials[w]] if w in self.specials else [t.id for t in split(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in words]
+        split, letters, code, special, space = self.library.model.tokenize, self.letters, self.code, self.specials, self.letters[32]
+
+        def spelt(w: str) -> str:
+            """The word in the letters that stand for bytes."""
+            if w.isascii():
+                if w.isalnum():
+                    return w
+                if w[0] == " " and w[1:].isalnum():
+                    return space + w[1:]
+            return w.encode().decode("latin-1").translate(letters)
+
+        return [array(code, [special[w]] if w in special else [t.id for t in split(spelt(w))]).tobytes() for w in words]
 
     def texts(self, texts: list[str | None], end: int) -> list[bytes]:
         cut = [byte_words(t or "", self.specials, self.split) for t in texts]
