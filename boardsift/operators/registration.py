@@ -100,8 +100,13 @@ def register(source: np.ndarray, classes: list, target: np.ndarray, labels: list
             ratio = scale * float(np.hypot(*size)) / max(1e-9, float(np.hypot(*reach)))
             if not 0.02 <= ratio <= 4.0:
                 continue
-            near = np.linalg.norm(apply(m, own)[:, None] - target[None], axis=2) <= tolerance
+            moved = apply(m, own)
+            near = np.square(moved[:, :1] - target[:, 0]) + np.square(moved[:, 1:] - target[:, 1]) <= tolerance * tolerance
             found.append((int((near & agree).any(1).sum()), int(near.any(1).sum()), m, flip))
+            if found[-1][0] == len(own):
+                break  # no seed can be better
+        if found and found[-1][0] == len(source):
+            break
     best = None
     for _, _, m, flip in sorted(found, key=lambda x: (-x[0], -x[1]))[:3]:
         own, reach_now = source * [1.0, flip], tolerance
