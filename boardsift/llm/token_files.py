@@ -34,7 +34,7 @@ from boardsift.llm.common import small_batches, stored, table, tidy
 from boardsift.llm.tokens import byte_words, library, tokenizer_file
 
 SHARD_BYTES, STARTS, WORDS = 8 << 20, 1_000_000, 400_000
-SHARD_SCHEMA = "shard int, n_docs long, n_ids long, payload binary, index binary"
+SHARD_SCHEMA = "shard int, low long, n_docs long, n_ids long, payload binary, index binary"
 _GAMMA, _LEVELS = 2.0, 48
 
 
@@ -146,7 +146,7 @@ def built_shard(rows: pd.DataFrame, kind: str) -> pd.DataFrame:
     index = KeyIndex.build(keys)
     arrays = {"kind": np.frombuffer(kind.encode(), np.uint8), "keys": keys, "first": first.astype(np.uint32) + np.uint32(null), "starts": np.r_[0, np.cumsum(sizes)].astype(np.int64)}
     arrays |= {"marks": index.marks, "places": index.places} | {f"level{k}": np.packbits(x) for k, x in enumerate(index.levels)} | {"sizes": np.array([len(x) for x in index.levels], np.int64)}
-    return pd.DataFrame([{"shard": rows.shard.iloc[0], "n_docs": len(rows), "n_ids": int(sizes.sum()), "payload": b"".join(rows.ids), "index": packed(arrays)}])
+    return pd.DataFrame([{"shard": rows.shard.iloc[0], "low": int(keys[0]) if len(keys) else -(1 << 63), "n_docs": len(rows), "n_ids": int(sizes.sum()), "payload": b"".join(rows.ids), "index": packed(arrays)}])
 
 
 class Shard:
@@ -216,9 +216,18 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
 
 def fetch(shards: DataFrame, keys: DataFrame) -> DataFrame:
-    """Ids of the documents with the given keys (column doc_id): doc_id, ids. Each shard looks up the keys in its own range."""
-    ranges = shards.select("shard").join(keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().agg(F.collect_list("doc_id").alias("want")))
-    both = shards.join(ranges, "shard").select("payload", "index", "want")
+    """Ids of the documents with the given keys (column doc_id): doc_id, ids. A key goes to the one shard whose range it is in."""
+    held = shards.select("low", "shard").orderBy("low").collect()  # a row a shard
+    lows, names = np.array([r.low for r in held], np.int64), np.array([r.shard for r in held], np.int32)
+
+    def deal(batches):
+        for b in batches:
+            at = np.searchsorted(lows, b.column("doc_id").to_numpy(), side="right") - 1
+            keep = at >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(names[at[keep]]), pa.array(b.column("doc_id").to_numpy()[keep])], ["shard", "doc_id"])
+
+    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().mapInArrow(deal, "shard int, doc_id long")
+    both = shards.join(wanted.groupBy("shard").agg(F.collect_list("doc_id").alias("want")), "shard").select("payload", "index", "want")
 
     def look(batches):
         for b in batches:
