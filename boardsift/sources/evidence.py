@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = "aoi-defect-evidence/1.0"  # Fixed value
-
-
 def evidence(verdicts: DataFrame, boxes: DataFrame) -> DataFrame:
     """Rows that a person must look at."""
     kept = verdicts.where(F.col("decision").isin("review", "reject"))
