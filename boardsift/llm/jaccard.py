@@ -2,10 +2,12 @@
 
 1. Sets. A text's words are runs of ``[^\\x20\\x09-\\x0D]`` after lower-casing A-Z; its set holds the 64-bit hashes of its
    distinct shingles. Equal sets are one class from the start, represented by the smallest doc_id.
-2. Regions that cannot be reached from each other. Sets that link differ in at most (|A| + |B|) / 19 shingles. Shingles are
-   dealt by hash into two more parts than that bound for the larger size class, so linked sets agree on at least two whole
-   parts; classes that agree on none are never compared. This replaces distances to pivots where all are 1: sets without
-   common shingles are equally far from every pivot. Frequent shingles draw nothing together, as a part holds several.
+2. Regions that cannot be reached from each other. Sets that link differ in at most (|A| + |B|) (1 - p) / (1 + p) shingles,
+   a 19th for p = 0.9 and a 9th for 0.8. Shingles are dealt by hash into two more parts than that bound for the larger size
+   class, so linked sets agree on at least two whole parts; classes that agree on none are never compared. This replaces
+   distances to pivots where all are 1: sets without common shingles are equally far from every pivot. At 0.9 frequent
+   shingles draw nothing together, as a part holds several. Where parts hold few, there are a third more of them, and
+   those without a rare shingle are left out if those with one outnumber the bound: then linked sets still agree on one.
 3. Voronoi cells. In each region of connected classes, pivots are chosen; each class is at home at the nearest pivot and a
    guest wherever the distance exceeds its own by at most twice the threshold, which the triangle inequality shows to be
    enough. Cells are joined in the same way until they are small or stop shrinking, and there sets are compared whose
@@ -36,6 +38,9 @@ from boardsift.llm.embeddings import forest, grouped
 from boardsift.llm.token_files import mixed
 
 SHINGLE, PERCENT, REGION, LEAF, PIVOTS, BROADCAST_ROWS = 3, 90, 3000, 40, 12, 2_000_000
+#: Shingles in `COMMON` of about `SAMPLE` documents are common, the `LISTED` most frequent ones at most.
+SAMPLE, COMMON, LISTED = 10_000, 10, 500_000
+NONE = np.zeros(0, np.uint64)
 
 
 def _learn(words: list[bytes]) -> list[int]:
@@ -68,31 +73,42 @@ def shingle_sets(texts: list[str | None], words: Cache, k: int = SHINGLE) -> tup
     return h[new], np.bincount(owner[new], minlength=len(cut))
 
 
-@lru_cache(1)
-def size_classes() -> np.ndarray:
+@lru_cache(8)
+def size_classes(percent: int = PERCENT) -> np.ndarray:
     """Smallest size of each class: linked sets lie in the same or in neighbouring classes."""
     out = [1]
     while out[-1] < 1 << 40:
-        out.append(out[-1] * 100 // PERCENT + 1)
+        out.append(out[-1] * 100 // percent + 1)
     return np.array(out, np.int64)
 
 
-def part_keys(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def thin(percent: int) -> bool:
+    """Whether parts hold fewer than 8 shingles, so that some are empty and common shingles often have one to themselves."""
+    return 100 + percent < 16 * (100 - percent)
+
+
+def part_keys(h: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, common: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the parts of all sets, for the own size class and the next one, and how many each set has."""
-    bounds, found = size_classes(), []
+    bounds, found = size_classes(percent), []
     own = np.searchsorted(bounds, sizes, side="right") - 1
+    rare = ~np.isin(h, common) if len(common) else np.ones(len(h), bool)
     for step in (0, 1):
         c = own + step
         largest = bounds[c + 1] - 1
-        parts = np.where(sizes > 0, 2 * largest * (100 - PERCENT) // (100 + PERCENT) + 2, 0)
+        apart = 2 * largest * (100 - percent) // (100 + percent)  # the most shingles in which linked sets differ
+        parts = np.where(sizes > 0, apart + 2 + (apart // 3 if thin(percent) else 0), 0)
         base = np.cumsum(parts) - parts
         at = np.repeat(base, sizes) + (h % np.repeat(parts, sizes).astype(np.uint64)).astype(np.int64)
-        total, filled = np.zeros(int(parts.sum()), np.uint64), np.zeros(int(parts.sum()), bool)
+        total, filled, strong = np.zeros(int(parts.sum()), np.uint64), np.zeros(int(parts.sum()), bool), np.zeros(int(parts.sum()), bool)
         np.add.at(total, at, mixed(h, 7))
         filled[at] = True
+        strong[at[rare]] = True
         owner = np.repeat(np.arange(len(sizes)), parts)
-        empty = np.bincount(owner[~filled], minlength=len(sizes))
-        keep = filled | (empty[owner] > 1)  # one empty part may be left out: two agree
+        nth = np.cumsum(strong)
+        nth -= (nth - strong)[np.minimum(base, max(len(nth) - 1, 0))][owner] if len(nth) else 0
+        firm, full = (np.bincount(owner[x], minlength=len(sizes)) > apart for x in (strong, filled))
+        # of more strong parts than can differ, so many and one agree in one; else all filled parts count, else all
+        keep = np.where(firm[owner], strong & (nth <= apart[owner] + 1), filled | ~full[owner])
         key = mixed(total + (c[owner].astype(np.uint64) << np.uint64(32)) + (np.arange(len(owner)) - base[owner]).astype(np.uint64), 9)
         found.append((owner[keep], key[keep].astype(np.int64)))
     owner, key = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -107,7 +123,8 @@ def _lists(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
 class Sets:
     """Sets of one region as small token numbers."""
 
-    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, percent: int = PERCENT):
+        self.percent = percent
         self.sizes = sizes.astype(np.int64)
         names, self.flat = np.unique(flat, return_inverse=True)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -127,7 +144,7 @@ class Sets:
         return out
 
     def near(self, one: int, rows: np.ndarray, both: np.ndarray) -> np.ndarray:
-        return 100 * both >= PERCENT * (self.sizes[one] + self.sizes[rows] - both)
+        return 100 * both >= self.percent * (self.sizes[one] + self.sizes[rows] - both)
 
     def link(self, one: int, rows: np.ndarray) -> None:
         rows = rows[self.root[rows] != self.root[one]]
@@ -138,7 +155,7 @@ class Sets:
 
     def join(self, rows: np.ndarray, home: np.ndarray, depth: int = 0) -> None:
         """All links of a row at home with any other, as far as they connect something."""
-        tau = 1 - PERCENT / 100 + 1e-9
+        tau = 1 - self.percent / 100 + 1e-9
         if not home.any() or (self.root[rows] == self.root[rows[0]]).all():
             return
         pivots = rows[home][np.unique(np.linspace(0, home.sum() - 1, min(PIVOTS, int(home.sum()))).astype(int))]
@@ -160,38 +177,47 @@ class Sets:
             x = rows[i]
             open_ = self.root[rows] != self.root[x]
             n, m = self.sizes[rows], self.sizes[x]
-            open_ &= (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (np.abs(far - far[i]).max(1) <= tau)
+            open_ &= (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (np.abs(far - far[i]).max(1) <= tau)
             other = rows[open_]
             if len(other):
                 self.link(x, other[self.near(x, other, self.common(x, other))])
 
 
-def with_sets(docs: DataFrame, id_: str, keep: list[str]) -> DataFrame:
+def with_sets(docs: DataFrame, id_: str, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
     """The kept columns and `s`, the set of ``text``."""
 
     def work(batches):
         words = word_hashes()
         for b in batches:
-            h, sizes = shingle_sets(b.column("text").to_pylist(), words)
+            h, sizes = shingle_sets(b.column("text").to_pylist(), words, shingle)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), _lists(h.astype(np.int64), sizes, pa.int64())], [*keep, "s"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return docs.select(*keep, "text").mapInArrow(tidy(work), f"{schema}, s array<long>")
 
 
-def described(docs: DataFrame) -> DataFrame:
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted shingles that are frequent in a sample. Any list would do for the result: it only keeps regions small."""
+    step = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0)
+    counts = with_sets(some, "doc_id", ["doc_id"], shingle).select(F.explode("s").alias("x")).groupBy("x").count().where(f"count >= {COMMON}")
+    return np.sort(np.array([r.x for r in counts.orderBy(F.desc("count"), "x").limit(LISTED).collect()], np.int64).astype(np.uint64))
+
+
+def described(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, key (hash of its text), n (set size), k1 and k2 (the set's 128-bit key), parts."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle) if thin(percent) else NONE)
 
     def work(batches):
         words = word_hashes()
         for b in batches:
-            h, sizes = shingle_sets(b.column("text").to_pylist(), words)
+            h, sizes = shingle_sets(b.column("text").to_pylist(), words, shingle)
             owner, keys = np.repeat(np.arange(len(sizes)), sizes), []
             for seed in (21, 22):
                 total = np.zeros(len(sizes), np.uint64)
                 np.add.at(total, owner, mixed(h, seed))
                 keys.append(pa.array(total.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sizes, pa.int64()), *keys, _lists(*part_keys(h, sizes), pa.int64())], ["doc_id", "key", "n", "k1", "k2", "parts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sizes, pa.int64()), *keys, _lists(*part_keys(h, sizes, percent, shared.value), pa.int64())], ["doc_id", "key", "n", "k1", "k2", "parts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     return rows.mapInArrow(tidy(work), "doc_id long, key long, n long, k1 long, k2 long, parts array<long>")
@@ -216,7 +242,7 @@ def agreeing(rows: DataFrame) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part", "id").mapInArrow(tidy(work), "a long, b long").distinct()
 
 
-def verified(members: DataFrame) -> DataFrame:
+def verified(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(region, cell, home, id, s) -> (a, b): enough links to connect what is linked in each cell."""
     keys = ["region", "cell"]
 
@@ -225,7 +251,7 @@ def verified(members: DataFrame) -> DataFrame:
             if g.num_rows < 2:
                 continue
             s = g.column("s")
-            sets = Sets(s.flatten().to_numpy(), np.diff(s.offsets.to_numpy()))
+            sets = Sets(s.flatten().to_numpy(), np.diff(s.offsets.to_numpy()), percent)
             ids = g.column("id").to_numpy()
             sets.join(np.arange(len(ids)), g.column("home").to_numpy(zero_copy_only=False))
             if sets.edges:
@@ -235,7 +261,7 @@ def verified(members: DataFrame) -> DataFrame:
     return members.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(tidy(work), "a long, b long")
 
 
-def dealt(members: DataFrame, sizes: DataFrame) -> DataFrame:
+def dealt(members: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Members of large regions at home in one Voronoi cell and guests in others; those of small regions in a single cell.
 
     A large region has a pivot for each thousand classes. Pivots travel to all tasks if together they have no more than
@@ -251,7 +277,7 @@ def dealt(members: DataFrame, sizes: DataFrame) -> DataFrame:
     for r in picked.orderBy("region", "id").collect():  # at most BROADCAST_ROWS shingles
         pivots.setdefault(r.region, []).append((r.id, np.array(r.s, np.int64)))
     shared = members.sparkSession.sparkContext.broadcast(pivots)
-    tau = 1 - PERCENT / 100 + 1e-9
+    tau = 1 - percent / 100 + 1e-9
 
     def work(batches):
         for b in batches:
@@ -276,10 +302,10 @@ def dealt(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return whole.join(large.select("region"), "region", "left_anti").unionByName(cells)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of its text), n_shingles, component_id of every document."""
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, key (hash of its text), n_shingles, component_id of every document, by shingles of so many words and links from so many percent on."""
     small_batches(docs.sparkSession)
-    known = stored(described(docs), "sets")
+    known = stored(described(docs, shingle, percent), "sets")
     reps = known.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"))
     rows = known.join(reps.where("id is not null").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     pairs = agreeing(rows.select(F.explode("parts").alias("part"), F.col("doc_id").alias("id")))
@@ -289,8 +315,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = regions.groupBy("region").agg(F.count("*").alias("n"))
     few = regions.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(regions) if few else regions, "id")
-    members = stored(with_sets(texts, "id", ["region", "id"]).where("size(s) > 0"), "members")
-    edges = verified(dealt(members, sizes))
+    members = stored(with_sets(texts, "id", ["region", "id"], shingle).where("size(s) > 0"), "members")
+    edges = verified(dealt(members, sizes, percent), percent)
     linked = components(ids, stored(edges, "edges"))
     found = known.select("doc_id", "key", "n", "k1", "k2").join(reps, ["n", "k1", "k2"], "left").join(linked, "id", "left")
     return found.select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from boardsift.llm import decontaminate, jaccard, quality, suffixes, tokens
 from boardsift.llm.common import stored, table, without
 
+#: Near-duplicates share 80 % of their shingles of five words.
+SHINGLE, PERCENT = 5, 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -26,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each group of near-duplicates."""
     docs = docs.select(*COLUMNS)
-    return without(docs, jaccard.near_duplicates(docs).where("doc_id <> component_id"))
+    return without(docs, jaccard.near_duplicates(docs, SHINGLE, PERCENT).where("doc_id <> component_id"))
 
 
 def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

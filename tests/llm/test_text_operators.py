@@ -208,6 +208,53 @@ def test_jaccard_components_against_brute_force(spark, region, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
 
 
+def brute_links(rows, k, percent):
+    """Component of each row, by links of k-word shingles."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    root = {i: i for i, _ in rows}
+    for (i, _), a in zip(rows, sets, strict=True):
+        for (j, _), b in zip(rows, sets, strict=True):
+            if a and b and root[i] != root[j] and 100 * len(a & b) >= percent * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = {x: low if r == high else r for x, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("common", [10, 2])
+def test_jaccard_of_five_words_at_80_percent(spark, common, monkeypatch):
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    rows, line = [], " every copy of this page ends in the same long license line of words"
+    random.seed(8)
+    for _ in range(30):
+        base = [f"w{random.randint(0, 9999)}" for _ in range(random.choice([3, 8, 30, 60, 200]))]
+        for _ in range(random.choice([1, 3, 8])):
+            w = list(base)
+            for _ in range(random.randint(0, len(w) // 40 + 1)):
+                w[random.randrange(len(w))] = f"v{random.randint(0, 99)}"
+            rows.append((len(rows), " ".join(w) + (line if random.random() < 0.7 else "")))
+    want = brute_links(rows, 5, 80)
+    assert want != brute_links(rows, 3, 90)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(documents(spark, rows), 5, 80).collect()}
+    assert got == want
+
+
+def test_linked_sets_share_a_part():
+    random.seed(3)
+    for percent in (90, 80, 60):
+        for n in (1, 2, 5, 9, 20, 75, 300):
+            for _ in range(30):
+                a = random.sample(range(1 << 40), n)
+                most = n * (100 - percent) // percent  # added ones that still link
+                b = a + random.sample(range(1 << 41, 1 << 42), random.randint(0, most))
+                flat, sizes = np.array(sorted(a) + sorted(b), np.uint64), np.array([len(a), len(b)])
+                for common in (jaccard.NONE, np.sort(np.array(a[: n // 2], np.uint64)), np.sort(np.array(a, np.uint64))):
+                    keys, counts = jaccard.part_keys(flat, sizes, percent, common)
+                    assert set(keys[: counts[0]]) & set(keys[counts[0] :])
+
+
 def test_voronoi_cells_lose_no_link():
     random.seed(4)
     base = [random.getrandbits(40) for _ in range(120)]
