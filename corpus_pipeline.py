@@ -26,9 +26,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near-duplicates."""
+    """Keep one row of each group of near-duplicates: one with the smallest doc_id, or with none if no row has one.
+
+    Rows with one doc_id and other texts are documents of their own, and so are rows without a doc_id.
+    """
     docs = docs.select(*COLUMNS)
-    return without(docs, jaccard.near_duplicates(docs, SHINGLE, PERCENT).where("doc_id <> component_id"))
+    key = F.xxhash64("text")
+    rows = docs.select("doc_id", key.alias("key")).groupBy("doc_id", "key").agg(F.count("*").alias("copies"))
+    several = stored(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_several")), "several")
+    side = F.broadcast(several) if several.count() <= 2_000_000 else several
+    unclear = F.col("doc_id").isNull() | F.col("_several").isNotNull()
+    named = lambda df, k: df.join(side, df["doc_id"] == F.col("_several"), "left").withColumn("unit", F.when(unclear, F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", k), F.lit(1 << 61))).otherwise(F.col("doc_id").cast("long")))
+    found = jaccard.near_duplicates(named(docs, key).select(F.col("unit").alias("doc_id"), "text"), SHINGLE, PERCENT)
+    groups = found.groupBy(F.col("doc_id").alias("unit")).agg(F.min("component_id").alias("component"))
+    rows = stored(named(rows, F.col("key")).join(groups, "unit").select("unit", "doc_id", "key", "copies", "component"), "rows")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "unit"))
+    kept = rows.groupBy("component").agg(one.alias("one")).select("one.unit")
+    out = without(docs, rows.join(kept, "unit", "left_anti").unionByName(rows.where("copies > 1")))
+    copied = stored(rows.join(kept, "unit", "left_semi").where("copies > 1").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")), "copied")
+    side = F.broadcast(copied) if copied.count() <= 2_000_000 else copied
+    again = docs.withColumn("_t", key).join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_k")), "left_semi")
+    return out.unionByName(again.dropDuplicates(["doc_id", "_t"]).select(*COLUMNS))
 
 
 def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

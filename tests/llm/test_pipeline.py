@@ -48,3 +48,16 @@ def test_stages(spark, tmp_path):
     assert 303 not in after["decontamination"] and set(range(120)) <= set(after["decontamination"])
     run = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {i: (r.n_tokens, r.decoded) for i, r in run.items()} == {i: (r.n_tokens, r.decoded) for i, r in after["tokens"].items()}
+
+
+def test_one_row_of_each_group_stays(spark):
+    random.seed(12)
+    words = ["".join(random.choice("aeioulmnrst") for _ in range(random.randint(2, 9))) for _ in range(2000)]
+    a, b, c, d, e, f, g = (" ".join(random.choice(words) for _ in range(80)) for _ in range(7))
+    rows = [(1, a), (1, a), (1, a), (2, b), (None, b), (None, c), (None, c), (3, d + " tail"), (4, d), (4, d), (5, e), (5, f), (None, g), (None, g + " tail"), (6, None), (6, None), (7, "")]
+    kept = stored(corpus_pipeline.near_duplicate_stage(spark, documents(spark, rows), ""), "kept")
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert [x for x in got if x[1] not in (g, g + " tail")] == sorted([(1, a), (2, b), (None, c), (3, d + " tail"), (5, e), (5, f), (6, None), (7, "")], key=str)
+    assert len(got) == 9
+    left = {r.text for r in corpus_pipeline.repeated_text_stage(spark, kept, "").collect()}
+    assert {a, b, c, d + " tail", e, f} <= left and left & {g, g + " tail"}
