@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import itertools
 import tempfile
 import uuid
 
@@ -66,17 +67,18 @@ def without(docs: DataFrame, dropped: DataFrame, limit: int = 2_000_000) -> Data
     return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_k")), "left_anti")
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "id", rounds: int = 40) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, node: str = "id", rounds: int | None = None) -> DataFrame:
     """Smallest id reachable over undirected edges (a, b): (node, component).
 
     Alternating large-star and small-star steps, in which every node points its larger neighbours, then its smaller
     ones, at the smallest id it knows; the number of rounds grows with the logarithm of the longest path. Each round is
-    written to the shared folder. Nodes without an edge are their own component.
+    written to the shared folder. Rounds go on until nothing changes; if `rounds` are given and don't suffice, that is an
+    error. Nodes without an edge are their own component.
     """
     spark = nodes.sparkSession
     links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
-    for _ in range(rounds):
+    for done in itertools.count(1):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -89,6 +91,8 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", rounds: int
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
+        if done == rounds:
+            raise RuntimeError(f"components have not settled after {rounds} rounds")
         before = state
     root = links.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", node)
     return nodes.join(root, node, "left").withColumn("component", F.coalesce("component", F.col(node)))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pandas as pd
+import pytest
 
 import corpus_pipeline
 from boardsift.llm.common import components, stored
@@ -21,6 +22,12 @@ def test_components(spark):
     assert got == root
 
 
+def test_components_that_have_not_settled_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(edges.select(edges.a.alias("id")), edges, rounds=2)
+
+
 def test_stages(spark, tmp_path):
     random.seed(11)
     words = ["".join(random.choice("aeioulmnrst") for _ in range(random.randint(2, 9))) for _ in range(2000)]
