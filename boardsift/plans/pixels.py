@@ -7,7 +7,7 @@ import pandas as pd
 
 from boardsift.catalog import query
 from boardsift.functions import boxes as B
-from boardsift.operators import pixels
+from boardsift.operators import images, pixels
 from boardsift.views import view
 
 
@@ -20,12 +20,12 @@ def _frame(pdf: pd.DataFrame) -> np.ndarray:
     return pixels.drawn(np.c_[few[list(B.SIDES)].to_numpy(), 150 + 12 * few.class_id.to_numpy()])
 
 
-@query("S1 S2 I9 I10 I16 K14 M5")
+@query("S1 S2 I9 I16 K14 M5")
 def solder_measure(spark, sf_dir):
-    """Thirteen boxes' worth of measurements a part, from the pixels of its board."""
+    """Five measurements a part, from the pixels of its board as they come back from an encoded image."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        image, out = _frame(pdf), []
+        image, out = images.decoded(images.encoded(_frame(pdf))), []
         for r in pdf.itertuples():
             m = pixels.measured(image[int(r.y1) : int(r.y2), int(r.x1) : int(r.x2)])
             out.append([r.board_id, r.no, *(round(m[k], 6) for k in ("solder_ratio", "span_ratio", "contrast", "edge_contact_start", "edge_contact_end"))])
@@ -46,7 +46,7 @@ def refine_to_metal(spark, sf_dir):
     return frames(spark, sf_dir).groupBy("board_id").applyInPandas(kernel, "board_id int, no int, x1 int, y1 int, x2 int, y2 int, refined boolean")
 
 
-@query("I1 I5 I6 I7 I8 I14 I15 G11")
+@query("I6 I7 G11")
 def golden_compare(spark, sf_dir):
     """A board moved by a known step against itself: the step comes back, and what is left is alike."""
 
