@@ -51,7 +51,7 @@ class Features:
     def __call__(self, word: str) -> list[int]:
         w, n = f"<{word}>", len(word)
         names = [f"p{word[:k]}" for k in range(1, min(4, n) + 1)] + [f"s{word[-k:]}" for k in range(1, min(4, n) + 1)]
-        names += {w[i : i + k] for k in (1, 2, 3) for i in range(min(len(w) - k + 1, 64))}
+        names += {w[i : i + k] for k in (1, 2, 3) for i in range(len(w) - k + 1)}
         names += [f"lexicon {k}" for k, known in enumerate(self.lexicons) if word in known]
         return [zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS for x in names]
 

@@ -138,6 +138,13 @@ def test_language(spark):
     assert p[:30].argmax(1).tolist().count(0) > 25 and p[30:].argmax(1).tolist().count(1) > 25
 
 
+def test_all_letters_of_a_long_word_count():
+    features = language.Features([])
+    whole = set(features("a" * 100 + "xyz" + "a" * 100))
+    assert set(features("xyz")) & whole > set(features("a" * 203)) & set(features("xyz"))
+    assert {zlib.crc32(x.encode()) % language.BUCKETS for x in ("x", "xy", "xyz", "yza")} <= whole
+
+
 def test_language_without_anything_to_learn(spark):
     model = language.learn(documents(spark, []))
     assert [r.lang_pred for r in language.identify(documents(spark, [(1, "abc")]), model).collect()] == ["und"]
