@@ -6,6 +6,7 @@ import zlib
 from itertools import permutations
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -131,3 +132,10 @@ def test_every_row_filter_is_undone():
 def test_no_query_claims_what_is_missing():
     catalog.queries()
     assert not {"I1", "I4", "I5", "I8", "I10", "I14", "I15"} & set(" ".join(catalog.COVERS.values()).split())
+
+
+def test_all_parts_of_a_board_are_drawn():
+    from boardsift.plans.pixels import _frame
+
+    parts = pd.DataFrame([(n, n % 3, 20.0 * n, 10.0, 20.0 * n + 8, 18.0) for n in range(6)], columns=["no", "class_id", "x1", "y1", "x2", "y2"])
+    assert _frame(parts)[14, 4:120:20, 0].tolist() == [150 + 12 * (n % 3) for n in range(6)]
