@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
 import itertools
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of text that a Python worker holds at once.
 BATCH_ROWS = 300
+#: Bytes of rows after which a batch is closed, if it has fewer rows than that.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,27 +25,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; where none is configured (tests), a temporary one."""
+    """The folder all executors share, as the session names it. Where none is named, one process (tests) takes a temporary folder; a cluster is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="boardsift-"))
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="boardsift-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
     return context.getCheckpointDir()
 
 
+def _path(spark: SparkSession, where: str):
+    """The folder in the session's file systems: (file system, path)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends there, so a lost executor costs no recomputation."""
+    """Write to the shared folder and read back: lineage ends there, so a lost executor costs no recomputation.
+
+    The driver removes the folder when it ends; `discard` does so earlier.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    files, path = _path(spark, where)
+    files.deleteOnExit(path)
+    back = spark.read.schema(df.schema).parquet(where)
+    back.stored_at = where
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what `stored` wrote, once nothing reads it any more."""
+    files, path = _path(df.sparkSession, df.stored_at)
+    files.delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Documents can be long: keep the batches that travel to Python workers small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Documents can be long: keep the batches that travel to Python workers small, in rows and in bytes.
+
+    Plans read these settings when they run, so they stay set in the session; smaller ones of the caller's are kept.
+    """
+    conf = spark._jsparkSession.sessionState().conf()
+    for key, now, limit in (("maxRecordsPerBatch", conf.arrowMaxRecordsPerBatch(), rows), ("maxBytesPerBatch", conf.arrowMaxBytesPerBatch(), BATCH_BYTES)):
+        if not 0 < now <= limit:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(limit))
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Documents that no model learns from: crc32 of the id as text is divisible by 5."""
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
 def tidy(work):
@@ -84,10 +122,12 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", rounds: int
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
+        older = links
         links = stored(
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct(),
             "links",
         )
+        discard(older)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -96,3 +136,20 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", rounds: int
         before = state
     root = links.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", node)
     return nodes.join(root, node, "left").withColumn("component", F.coalesce("component", F.col(node)))
+
+
+#: A key that more than this share of all rows has is hot; there are fewer than its inverse of them, so they are broadcast.
+HOT_SHARE = 1e-4
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Left join in which a hot key doesn't land in one task.
+
+    `right` has one row a key and, in `copies`, how many of the `rows` left rows have that key. Rows of a hot key are
+    dealt evenly over as many numbers as would make it an ordinary one, and its right row is repeated for each.
+    """
+    share = max(1, int(rows * HOT_SHARE))
+    hot = right.where(F.col("copies") > share).select(*keys, F.ceil(F.col("copies") / share).cast("int").alias("_salts"))
+    left = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.floor(F.rand(1) * F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("copies") / share).cast("int"), F.lit(1)) - 1)))
+    return left.join(right, [*keys, "_salt"], "left").drop("_salt")

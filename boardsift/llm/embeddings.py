@@ -6,13 +6,16 @@ next in distance. Two vectors meet where one is at home and the other at home or
 cosine in double precision. A pair that meets often is counted only at its first meeting, which both cells can tell from
 the vectors alone, so no list of pairs is built. Measured recall of one pair at cosine 0.93 is 0.66 a table.
 
-Equal vectors of one label are one class with a multiplicity, from the start. A cell of more than `CELL` rows is cut into
-blocks by hash, and each pair of blocks is a task of its own: nothing is dropped.
+Equal vectors of one label are one class with a multiplicity, from the start; a class has a number of its own, and vec_id
+only names components. A cell of more than `CELL` rows is cut into blocks by hash, and each pair of blocks is a task of its
+own: nothing is dropped.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with null label or
-null vec_id, link with nothing: n_links 0 and component_id the own vec_id. Vectors of different lengths don't link. Rows
-with equal vec_id are one vector with several values, and repeated rows each get a row and count as each other's link.
-Other columns are ignored; an empty table gives no rows.
+null vec_id, link with nothing: n_links 0 and component_id the own vec_id. Vectors of different lengths don't link. Every
+row is a vector of its own, also where vec_id repeats with the same vector or another one: each gets a row, and repeated
+rows count as each other's links. Components as large or small as a double holds don't change a cosine: vectors are scaled
+by their largest component first. Vectors of any length are compared whole. A cosine of exactly the threshold links. Other
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import components, small_batches, stored, table, tidy
+from boardsift.llm.common import components, small_batches, spread_join, stored, table, tidy
 
 TABLES, PROBES, SCALE, THRESHOLD, CELL, SEED = 5, 4, 0.7, 0.93, 2000, 8
 
@@ -76,7 +79,9 @@ def cells(unit: np.ndarray) -> np.ndarray:
 
 
 def units(column: pa.Array) -> np.ndarray:
+    """Vectors of length 1; scaled by the largest component first, so that no square overflows or vanishes."""
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -87,11 +92,12 @@ def by_size(batch: pa.RecordBatch, column: str):
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """id (smallest vec_id), m (rows), label, v: distinct vectors that can link."""
+    """id (a number of its own), name (smallest vec_id), m (rows), label, v: distinct vectors that can link."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.where("vec_id is not null and label is not null and embedding is not null").where(finite)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("v"))
-    return rows.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("v"))
+    grouped_rows = rows.groupBy("label", "v").agg(F.min("vec_id").alias("name"), F.count("*").alias("m"))
+    return grouped_rows.select(F.monotonically_increasing_id().alias("id"), "name", "m", "label", "v")
 
 
 def grouped(batches, names: list[str]):
@@ -156,22 +162,26 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row."""
     spark = vectors.sparkSession
     small_batches(spark)
-    known = stored(classes(vectors), "vectors")
+    vectors = vectors.select("vec_id", "label", "embedding")
+    known = stored(classes(vectors), "vectors")  # written once, so each class keeps its number
 
     def place(batches):
         for whole in batches:
             for b in by_size(whole, "v"):
                 c = cells(units(b.column("v")))
                 n, per = len(c), TABLES * (1 + PROBES)
+                at = pa.array(np.repeat(np.arange(n), per))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(b.column("id").to_numpy(), per)), pa.array(np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), 1 + PROBES), n)), pa.array(c.ravel()), pa.array(np.tile([True] + [False] * PROBES, n * TABLES))],
-                    ["id", "t", "cell", "home"],
+                    [b.column("id").take(at), b.column("label").take(at), pa.array(np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), 1 + PROBES), n)), pa.array(c.ravel()), pa.array(np.tile([True] + [False] * PROBES, n * TABLES))],
+                    ["id", "label", "t", "cell", "home"],
                 )
 
-    placed = stored(known.select("id", "v").mapInArrow(tidy(place), "id long, t int, cell long, home boolean"), "cells")
-    full = placed.join(known.select("id", "label"), "id").groupBy("label", "t", "cell").agg(F.count("*").alias("n")).where(f"n > {CELL}")
-    rows = placed.join(known, "id").join(full, ["label", "t", "cell"], "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / CELL).cast("int"))
+    kind = known.schema["label"].dataType.simpleString()
+    placed = stored(known.select("id", "label", "v").mapInArrow(tidy(place), f"id long, label {kind}, t int, cell long, home boolean"), "cells")
+    full = placed.groupBy("label", "t", "cell").agg(F.count("*").alias("n")).where(f"n > {CELL}")
+    rows = placed.join(full, ["label", "t", "cell"], "left").withColumn("blocks", F.ceil(F.coalesce("n", F.lit(1)) / CELL).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.join(known.select("id", "m", "v"), "id")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("label", "t", "cell", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "id", "m", "home", "v")
     keys = ["label", "t", "cell", "b1", "b2"]
@@ -195,11 +205,13 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     met = rows.repartition(*keys).sortWithinPartitions(*keys)
     met = stored(met.mapInArrow(tidy(link), "a long, b long, n long"), "meetings")
     counts = met.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    grouped_ids = components(known.select("id").distinct(), met.where("b is not null").select("a", "b"))
-    rep = known.join(grouped_ids, "id").join(counts, "id", "left").select("label", "v", "component", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    roots = components(known.select("id", "name"), met.where("b is not null").select("a", "b"))
+    names = roots.groupBy("component").agg(F.min("name").alias("least"))
+    found = roots.select("id", "component").join(names, "component").join(counts, "id", "left")
+    rep = known.join(found, "id").select("label", "v", F.col("m").alias("copies"), F.col("least").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("v"))
     rows = rows.withColumn("label", F.when(F.col("vec_id").isNotNull(), F.col("label")))
-    found = rows.join(rep, ["label", "v"], "left")
+    found = spread_join(rows, rep, ["label", "v"], vectors.count())
     component = F.coalesce("component", "vec_id")
     return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

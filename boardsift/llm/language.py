@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import small_batches, table, tidy
+from boardsift.llm.common import held_out, small_batches, table, tidy
 
 SAMPLE, BUCKETS, SEQUENCES, LENGTH, STEPS, BLOCK, WORDS, LEXICON, SEED = 1200, 1 << 15, 4000, 40, 40, 64, 300_000, 300, 3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -217,10 +217,6 @@ def fit(rows: list[tuple[str, str]]) -> Crf:
     return Crf(labels, features, w, a)
 
 
-def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
-
-
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Crf:
     """Fit on a bounded sample of the training folds' labelled rows."""
     known = docs.where("text is not null and lang is not null").where(~F.coalesce(held_out(), F.lit(True)))

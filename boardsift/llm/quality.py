@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import small_batches, stored, table, tidy
+from boardsift.llm.common import held_out, small_batches, stored, table, tidy
 
 FEATURES, GAMMA, RIDGE, FOLDS, SUMS, BINS, THRESHOLD, SEED = 384, 0.04, 1e-3, 4, 16, 2000, 0.3, 20
 _PUNCT = str.maketrans("", "", string.punctuation)
@@ -200,10 +200,6 @@ def fit(train: DataFrame) -> Model:
     return Model(fourier, solved(xx.sum(0), xy.sum(0)), centres, levels, float(sums[0][1] / n))
 
 
-def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
-
-
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, key (hash of its text), score: one row per document."""
     x = stored(measured(docs), "statistics")

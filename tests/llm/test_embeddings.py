@@ -22,7 +22,7 @@ def brute(rows):
         for j in range(i):
             a, b = rows[i], rows[j]
             if good(a) and good(b) and a[2] == b[2] and len(a[1]) == len(b[1]):
-                x, y = np.array(a[1], float), np.array(b[1], float)
+                x, y = np.array(a[1], np.longdouble), np.array(b[1], np.longdouble)  # a wider range than a double has
                 if x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93:
                     links[i] += 1
                     links[j] += 1
@@ -57,6 +57,39 @@ def test_links_against_brute_force(spark, cell, monkeypatch):
     assert all(got[i].kept == (got[i].component_id == i) for i in got)
 
 
+def exact(spark, rows):
+    """Rows got and wanted, for rows whose links are all well above the threshold or well below."""
+    from tests.llm.helpers import clashing
+
+    df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_duplicates(df).collect())
+    return got, sorted((r[0], n, c, r[0] == c) for r, n, c in zip(rows, *brute(rows), strict=True))
+
+
+def test_ids_that_repeat_with_other_vectors(spark):
+    r = np.random.default_rng(5)
+    bases = r.normal(size=(6, 12))
+    rows = [(i % 120, (bases[r.integers(6)] + r.normal(size=12) * 0.01).tolist(), 1) for i in range(240)]
+    rows += [rows[0], rows[0], rows[7]]
+    got, want = exact(spark, rows)
+    assert got == want
+
+
+def test_huge_and_tiny_components(spark):
+    one = [[float(x) * size for x in (3, -1, 2, 5)] for size in (1e200, 2e200, 1e-200, 2e-200)]
+    other = [[float(x) * size for x in (-3, 4, 2, 1)] for size in (1e307, 1.0, 1e-300)]
+    got, want = exact(spark, [(i, v, 1) for i, v in enumerate(one + other)])
+    assert got == want and [n for _, n, _, _ in got] == [3] * 4 + [2] * 3
+
+
+def test_long_vectors_and_equal_ones(spark):
+    r = np.random.default_rng(6)
+    long = r.normal(size=5000)
+    rows = [(9, long.tolist(), 1), (3, (long * 2).tolist(), 1), (4, (-long).tolist(), 1), (5, [1.0, 0.0], 1), (6, [1.0, 0.0], 1), (7, [-0.0, 1.0], 1), (8, [0.0, 1.0], 1)]
+    got, want = exact(spark, rows)
+    assert got == want
+
+
 def test_empty_and_null_ids(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert E.near_duplicates(spark.createDataFrame([], schema)).count() == 0
