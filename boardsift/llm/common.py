@@ -142,14 +142,16 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", rounds: int
 HOT_SHARE = 1e-4
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, by: str) -> DataFrame:
     """Left join in which a hot key doesn't land in one task.
 
     `right` has one row a key and, in `copies`, how many of the `rows` left rows have that key. Rows of a hot key are
-    dealt evenly over as many numbers as would make it an ordinary one, and its right row is repeated for each.
+    dealt by a hash of the column `by` over as many numbers as would make it an ordinary one, and its right row is repeated
+    for each.
     """
-    share = max(1, int(rows * HOT_SHARE))
-    hot = right.where(F.col("copies") > share).select(*keys, F.ceil(F.col("copies") / share).cast("int").alias("_salts"))
-    left = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.floor(F.rand(1) * F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("copies") / share).cast("int"), F.lit(1)) - 1)))
+    share = max(1, int(rows * HOT_SHARE), 100)
+    salts = F.greatest(F.ceil(F.col("copies") / share), F.lit(1)).cast("int")
+    hot = right.where(F.col("copies") > share).select(*keys, salts.alias("_salts"))
+    left = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return left.join(right, [*keys, "_salt"], "left").drop("_salt")

@@ -211,7 +211,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     rep = known.join(found, "id").select("label", "v", F.col("m").alias("copies"), F.col("least").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("v"))
     rows = rows.withColumn("label", F.when(F.col("vec_id").isNotNull(), F.col("label")))
-    found = spread_join(rows, rep, ["label", "v"], vectors.count())
+    found = spread_join(rows, rep, ["label", "v"], vectors.count(), "vec_id")
     component = F.coalesce("component", "vec_id")
     return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

@@ -3,20 +3,28 @@
 A byte goes if any `LENGTH`-byte string that covers it also starts elsewhere, in the same text or another. Strings are
 judged on the input; texts are UTF-8 and no string crosses their ends.
 
-1. Equal texts are one, with a multiplicity.
+1. Equal texts are one, with a multiplicity; they are told apart by 128 bits.
 2. Every string of `LENGTH` bytes is routed by content: its anchor is the first `GRAM`-byte string inside it with the
-   smallest hash, so equal strings have equal anchors. Consecutive strings with the same anchor form a fragment. Only anchors that
-   occur more than once matter; among their fragments, equal ones are merged, with a multiplicity, and a fragment that
-   occurs twice is repeated from end to end. What is left are fragments of which a part may be repeated.
-3. In each bucket of anchors, strings whose hash is alone are set aside. The others are dealt to two shards, each shard's
-   suffixes are sorted to depth `LENGTH` on their own, and the two transforms are merged: starting from one shard after
-   the other, each round moves the interleave through the last-to-first mapping and so sorts it by one more byte (Holt and
-   McMillan, 2014); blocks of equal prefixes split on the way, which gives the common prefixes without the texts. After
-   `LENGTH` rounds, or when a round splits no block, blocks of total multiplicity 2 are the repeated intervals.
+   smallest hash, so equal strings have equal anchors. Consecutive strings with the same anchor form a fragment, which has
+   300 bytes at most. A fragment whose anchor occurs nowhere else can't repeat. This only says what must meet; it finds
+   no repeat.
+3. Of fragments that are equal as a whole (by 128 bits), two go on; the others share their verdict.
+4. All fragments of an anchor meet in one place, dealt by text to `SHARDS` shards. Each shard's suffixes are sorted to
+   depth `LENGTH` on their own, and what is kept of that is its transform. The transforms are merged by interleave refinement
+   (Holt and McMillan, 2014): each round takes `STEP` steps of the last-to-first mapping in every shard and so sorts the
+   interleave by as many more bytes; blocks of equal prefixes split on the way, which gives the common prefixes without the
+   texts, and those whose weight falls below 2 are left. After `LENGTH` bytes the blocks that are left are the repeated
+   intervals. Nothing else decides that a string repeats.
+
+What a batch of texts repeats is found the same way from the batch alone, and one fragment stands for all of it from then on.
+
+An anchor may be in a third of all texts. Which ones are frequent is read off a sample of `SAMPLE` texts; their fragments are
+dealt by content instead of by anchor. Where more than `HOT` different fragments share an anchor, a merge would need them all
+in one place, so there, and only there, strings are compared by 128 bits each, counted by Spark.
 
 Defined results: null text is empty; repeated rows and equal texts are removed in full where they have `LENGTH` bytes;
-rows with equal doc_id are told apart by their text; a null doc_id is a document like others; other columns are ignored;
-an empty table gives no rows.
+rows with equal doc_id are told apart by their text; a null doc_id is a document like others; texts of any length are
+judged whole; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,29 +34,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import small_batches, stored, table, tidy
+from boardsift.llm.common import small_batches, spread_join, stored, table, tidy
 from boardsift.llm.embeddings import grouped
 from boardsift.llm.token_files import mixed
 
-LENGTH, GRAM, CHUNK, BROADCAST_ROWS, BROADCAST_FRAGMENTS = 200, 100, 200_000, 1_000_000, 1_000_000
+LENGTH, GRAM, CHUNK, SHARDS, STEP = 200, 100, 300_000, 3, 8
+#: Broadcasts hold at most so many rows of 48 bytes.
+BROADCAST_ROWS = 1_000_000
+#: Different fragments of one anchor that one task merges; rows of one anchor that a task holds at once.
+HOT, HELD = 2000, 500_000
+#: Texts whose anchors are counted beforehand, and the count from which an anchor is frequent.
+SAMPLE, FREQUENT = 4000, 20
 _FACTOR = 0x9E3779B97F4A7C15
-_BYTES = np.random.default_rng(5).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES, _OTHER = (np.random.default_rng(k).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (5, 6))
 
 
 class Rolling:
-    """Hashes of all byte strings of a buffer: differences of prefix sums, brought to one exponent."""
+    """Two hashes of all byte strings of a buffer: differences of prefix sums, brought to one exponent."""
 
     def __init__(self, raw: np.ndarray):
         n = len(raw)
         power = np.cumprod(np.r_[np.uint64(1), np.full(n, _FACTOR, np.uint64)])
         self.back = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(_FACTOR, -1, 1 << 64), np.uint64)])
         self.sums = np.r_[np.uint64(0), np.cumsum(_BYTES[raw] * power[:n])]
+        self.other = np.r_[np.uint64(0), np.cumsum(_OTHER[raw] * power[:n])]
 
     def all(self, size: int) -> np.ndarray:
         return mixed((self.sums[size:] - self.sums[:-size]) * self.back[: len(self.sums) - size], 31)
 
-    def some(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64), 32)
+    def some(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size, back = (end - start).astype(np.uint64), self.back[start]
+        return mixed((self.sums[end] - self.sums[start]) * back + size, 32), mixed((self.other[end] - self.other[start]) * back + size, 33)
 
 
 def lows(h: np.ndarray, width: int) -> np.ndarray:
@@ -63,11 +79,11 @@ def lows(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def fragments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of all texts: owner, start and length of each fragment, its anchor and its own hash."""
+    """Of all texts: owner, start and length of each fragment, its anchor and its own two hashes."""
     sizes = np.array([len(t) for t in texts], np.int64)
     raw = np.frombuffer(b"".join(texts), np.uint8)
     if sizes.max(initial=0) < LENGTH:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
     roll = Rolling(raw)
     grams = roll.all(GRAM)
     anchor = lows(grams, LENGTH - GRAM + 1)
@@ -78,11 +94,11 @@ def fragments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero(np.r_[True, (found[1:] != found[:-1]) | (inside[1:] != inside[:-1] + 1) | left[:-1]])
     a, z = inside[new], inside[np.r_[new[1:] - 1, len(inside) - 1]] + LENGTH
     owner = np.searchsorted(ends, a, side="right")
-    return owner, a - (ends - sizes)[owner], z - a, found[new], roll.some(a, z)
+    return owner, a - (ends - sizes)[owner], z - a, found[new], *roll.some(a, z)
 
 
 def sorted_suffixes(text: np.ndarray) -> np.ndarray:
-    """Starts in order of their suffixes to depth `LENGTH` at least, by doubling. A closing 0 ranks by its string."""
+    """Starts in order of their suffixes to depth `LENGTH` + 1 at least, by doubling. A closing 0 ranks by its string."""
     closed, depth, n = np.flatnonzero(text == 0), 1, len(text)
     rank = text.astype(np.int64) + len(closed)
     rank[closed] = np.arange(len(closed))
@@ -90,7 +106,7 @@ def sorted_suffixes(text: np.ndarray) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: n - depth] = rank[depth:] + 1 if depth < n else 0
         key = rank * (int(after.max(initial=0)) + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         fresh = np.r_[False, key[1:] != key[:-1]]
         rank = np.empty(n, np.int64)
@@ -101,92 +117,78 @@ def sorted_suffixes(text: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """A transform of strings, each closed by a 0: preceding bytes in suffix order. Strings count in the order given."""
+    """A transform of strings: the byte before each suffix, in suffix order, plus 1; 0 where a string starts.
+
+    Strings are closed by a 0 and count in the order given. `order` says which suffix each rank is; merging doesn't use it.
+    """
 
     def __init__(self, strings: list[bytes]):
-        text = np.frombuffer(b"".join(s.translate(_UP) + b"\0" for s in strings), np.uint8) if strings else np.zeros(0, np.uint8)
-        self.ends = np.flatnonzero(text == 0)
-        order = sorted_suffixes(text) if len(text) else np.zeros(0, np.int64)
-        self.order = order  # start of the suffix at each rank
-        before = np.where(np.isin(order, np.r_[0, self.ends[:-1] + 1]), 0, text[order - 1]) if len(text) else text
-        self.transform = before.astype(np.uint8)
-
-
-#: 0 closes strings: bytes 0 and 1 of texts share a code, which the hash has told apart already.
-_UP = bytes([1, *range(1, 256)])
-
-
-def merged(a: Shard, b: Shard, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of two transforms to the given depth: which shard each merged rank comes from, and its block of equal prefixes."""
-    first, second = a.transform, b.transform
-    n, closed = len(first) + len(second), len(a.ends) + len(b.ends)
-    z = np.r_[np.zeros(len(first), bool), np.ones(len(second), bool)]
-    start = np.r_[np.zeros(len(a.ends), bool), np.ones(len(b.ends), bool)]
-    block, blocks = np.zeros(n, np.int32), 1
-    symbols = np.empty(n, np.uint8)
-    edge = np.zeros(n, bool)
-    counts = np.bincount(np.r_[first, second], minlength=256)
-    ends = np.cumsum(counts)
-    edge[ends[(ends > 0) & (ends < n)]] = True
-    for _ in range(depth):
-        symbols[~z], symbols[z] = first, second
-        order = np.argsort(symbols, kind="stable")
-        z, was = z[order], block[order]
-        z[:closed] = start  # suffixes that are a closing 0: by string
-        split = edge.copy()
-        split[1:] |= was[1:] != was[:-1]
-        split[1:closed] = False
-        block = np.cumsum(split, dtype=np.int32)
-        if block[-1] + 1 == blocks:
-            break
-        blocks = int(block[-1]) + 1
-    return z, block
+        raw = np.frombuffer(b"\xff".join([*strings, b""]), np.uint8)  # no byte of UTF-8
+        text = np.where(raw == 0xFF, 0, raw + 1).astype(np.uint8)
+        self.order = sorted_suffixes(text) if len(text) else np.zeros(0, np.int64)
+        ends = np.flatnonzero(text == 0)
+        self.transform = text[self.order - 1] if len(text) else text
+        self.transform[np.isin(self.order, np.r_[0, ends[:-1] + 1])] = 0
+
+    def steps(self, base: int, stop: int) -> np.ndarray:
+        """The last-to-first mapping, with ranks counted from `base`; `stop` where a string starts."""
+        order = np.argsort(self.transform, kind="stable")
+        out = np.empty(len(order), np.int64)
+        out[order] = np.arange(len(order)) + base
+        # as many strings start as end, and the suffixes that are closing 0s come first
+        out[self.transform == 0] = stop
+        return out
 
 
-def repeated(strings: list[bytes], weights: np.ndarray) -> list[np.ndarray]:
-    """For each string, which of its starts begin a `LENGTH`-byte string of total weight 2 or more."""
-    half = (len(strings) + 1) // 2
-    a, b = Shard(strings[:half]), Shard(strings[half:])
-    z, block = merged(a, b)
-    # as both shards keep their order in the merge, the k-th rank from a shard is its k-th suffix
-    sizes = np.array([len(s) for s in strings], np.int64)
+def merged(shards: list[Shard], weights: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of all transforms to the given depth, of repeated prefixes only: ranks (of one shard after the other) and their blocks.
+
+    `weights` says how much each rank counts; blocks of a total below 2 fall out as soon as they have split off.
+    """
+    n = sum(len(x.transform) for x in shards)
+    bases = np.cumsum([0, *(len(x.transform) for x in shards)]).tolist()
+    to = np.r_[*(x.steps(base, n) for x, base in zip(shards, bases, strict=False)), n]
+    symbol = np.r_[*(x.transform for x in shards), 0].astype(np.uint64)
+    for k in range(STEP.bit_length() - 1):  # 1, 2, 4 ... steps at once; what runs past a start ends at `n`, whose symbol is 0
+        symbol = symbol[to] << np.uint64(8 << k) | symbol
+        to = to[to]
+    whole = symbol >> np.uint64(8 * (STEP - 1)) > 0
+    names, rank = np.unique(symbol, return_inverse=True)
+    rank = rank.astype(np.int64) << 32
+    at, block = np.arange(n), np.zeros(n, np.int64)
+    for _ in range(depth // STEP):
+        go = whole[at]
+        at, block = at[go], block[go]
+        if not len(at):
+            break
+        key = rank[at] | block
+        order = np.argsort(key)
+        key, at = key[order], to[at[order]]
+        new = np.r_[True, key[1:] != key[:-1]]
+        block = np.cumsum(new) - 1
+        total = np.add.reduceat(weights[at], np.flatnonzero(new))
+        keep = total[block] >= 2
+        at, block = at[keep], block[keep]
+    return at, block
+
+
+def repeated(strings: list[bytes], weights: np.ndarray, owners: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each string, which of its starts begin a `LENGTH`-byte string of total weight 2 or more. Strings of one owner are in one shard."""
+    dealt = (np.arange(len(strings)) if owners is None else owners) % SHARDS
+    order = np.argsort(dealt, kind="stable")
+    parts = [order[dealt[order] == k] for k in range(SHARDS)]
+    shards = [Shard([strings[i] for i in part.tolist()]) for part in parts]
+    sizes = np.array([len(x) for x in strings], np.int64)[order]
     base = np.cumsum(sizes + 1) - sizes - 1
-    shift = int((sizes[:half] + 1).sum())
-    place = np.empty(len(z), np.int64)
-    place[~z], place[z] = a.order, b.order + shift
-    owner = np.searchsorted(base, place, side="right") - 1
-    whole = sizes[owner] - (place - base[owner]) >= LENGTH
-    total = np.bincount(block[whole], weights[owner[whole]], int(block[-1]) + 1 if len(block) else 0)
-    hit = np.zeros(int((sizes + 1).sum()), bool)
-    hit[place[whole]] = total[block[whole]] >= 2
-    return [hit[s : s + n] for s, n in zip(base.tolist(), sizes.tolist(), strict=True)]
-
-
-def judged(texts: list[bytes], weights: np.ndarray) -> list[np.ndarray]:
-    """Which starts of each fragment are repeated among these fragments."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    base = np.cumsum(sizes) - sizes
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    count = sizes - LENGTH + 1
-    owner = np.repeat(np.arange(len(texts)), count)
-    start = np.repeat(base - (np.cumsum(count) - count), count) + np.arange(len(owner))
-    key = Rolling(raw).all(LENGTH)[start]
-    _, same = np.unique(key, return_inverse=True)
-    often = np.bincount(same, weights[owner])[same] >= 2
-    out = [np.zeros(n, bool) for n in sizes.tolist()]
-    at = np.flatnonzero(often)
-    if not len(at):
-        return out
-    new = np.r_[True, (start[at][1:] != start[at][:-1] + 1) | (owner[at][1:] != owner[at][:-1])]
-    firsts, lasts = at[new], at[np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]]
-    pieces: dict[bytes, list] = {}
-    for o, s, e in zip(owner[firsts].tolist(), start[firsts].tolist(), (start[lasts] + LENGTH).tolist(), strict=True):
-        pieces.setdefault(raw[s:e].tobytes(), []).append((o, s - int(base[o])))
-    strings = list(pieces)
-    total = np.array([sum(weights[o] for o, _ in pieces[s]) for s in strings], float)
-    for i, hit in enumerate(repeated(strings, total)):
-        for o, s in pieces[strings[i]]:
-            out[o][s : s + len(hit)] |= hit
+    shift = np.cumsum([0, *(len(x.transform) for x in shards)])
+    place = np.concatenate([x.order + b for x, b in zip(shards, shift, strict=False)])
+    owner = np.repeat(np.arange(len(order)), sizes + 1)
+    at, _ = merged(shards, np.asarray(weights, float)[order][owner[place]])
+    hit = np.zeros(int(shift[-1]), bool)
+    hit[place[at]] = True
+    out: list = [None] * len(strings)
+    for i, b, n in zip(order.tolist(), base.tolist(), sizes.tolist(), strict=True):
+        out[i] = hit[b : b + n]
     return out
 
 
@@ -201,93 +203,139 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _runs(hit: np.ndarray, at: int) -> list[tuple[int, int]]:
+def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
+    """First byte and length of what each run of starts covers."""
     x = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-    return [(at + int(s), at + int(e) - 1 + LENGTH) for s, e in zip(x[::2], x[1::2], strict=True)]
+    return [(int(s), int(e) - 1 + LENGTH - int(s)) for s, e in zip(x[::2], x[1::2], strict=True)]
+
+
+_ROW = {"h": pa.int64(), "t": pa.int64(), "u": pa.int64(), "d": pa.int64(), "e": pa.int64(), "a": pa.int32(), "n": pa.int32(), "c": pa.int32()}
+_ROWS = "h long, t long, u long, d long, e long, a int, n int, c int"
+_SPANS = "array<struct<s:int,n:int>>"
+
+
+def frequent_anchors(docs: DataFrame) -> np.ndarray:
+    """Sorted anchors that many texts of a sample hold. Any list would do for the result: it only says how rows are dealt."""
+    step = max(1, docs.count() // SAMPLE)
+
+    def work(batches):
+        for b in batches:
+            owner, _, _, anchor, _, _ = fragments([t.encode("utf-8", "replace") for t in b.column("text").to_pylist()])
+            pairs = np.unique(np.c_[owner, anchor.astype(np.int64)], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1], pa.int64())], ["h"])
+
+    some = docs.where(F.pmod("e", F.lit(step)) == 0).select("text").mapInArrow(tidy(work), "h long")
+    often = some.groupBy("h").count().where(f"count >= {FREQUENT}").orderBy(F.desc("count"), "h").limit(10_000)
+    return np.sort(np.array([r.h for r in often.collect()], np.int64))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """d (hash of text), spans: ranges of bytes to remove, of distinct texts with at least one. docs: d, m (how many rows), text."""
+    """d, e (128 bits of a text), spans (a, n: ranges of bytes to remove) of distinct texts with at least one. docs: d, e, text."""
+    docs = docs.where(f"octet_length(text) >= {LENGTH}").select("d", "e", "text")
+    often = docs.sparkSession.sparkContext.broadcast(frequent_anchors(docs))
 
     def cut(batches):
         for b in batches:
-            d = b.column("d").to_numpy()
-            owner, a, n, anchor, own = fragments([t.encode("utf-8", "replace") for t in b.column("text").to_pylist()])
-            if not len(own):
+            d, e = (b.column(k).to_numpy() for k in ("d", "e"))
+            texts = [t.encode("utf-8", "replace") for t in b.column("text").to_pylist()]
+            owner, a, n, anchor, t, u = fragments(texts)
+            if not len(t):
                 continue
-            # what this batch repeats is settled here: its ranges go as c = 0, one fragment stands for all with c = 2
-            _, first, same, count = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
-            often = np.flatnonzero(count[same] > 1)
-            keep = np.r_[np.flatnonzero(count[same] == 1), first[count > 1]]
-            ends = a[often] + n[often]
-            new = np.r_[True, (owner[often][1:] != owner[often][:-1]) | (a[often][1:] > ends[:-1])][: len(often)]
-            s, z = often[new], ends[np.r_[np.flatnonzero(new)[1:] - 1, len(often) - 1]] if len(often) else ends
-            cols = [
-                (anchor[keep].astype(np.int64), mixed(d[owner[s]] + a[s], 3).astype(np.int64)),
-                (own[keep].astype(np.int64), np.zeros(len(s), np.int64)),
-                (d[owner[keep]], d[owner[s]]),
-                (a[keep], a[s]),
-                (n[keep], z - a[s]),
-                (np.minimum(count[same[keep]], 2), np.zeros(len(s), np.int64)),
-            ]
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), k) for x, k in zip(cols, kinds, strict=True)], ["h", "t", "d", "a", "n", "c"])
-
-    kind = "h long, t long, d long, a int, n int, c int"
-    rows = docs.where(f"octet_length(text) >= {LENGTH}").select("d", "text").mapInArrow(tidy(cut), kind).repartition("h").sortWithinPartitions("h", "t")
+            order = np.lexsort((u, t))
+            new = np.r_[True, (t[order][1:] != t[order][:-1]) | (u[order][1:] != u[order][:-1])]
+            group, nth = np.cumsum(new) - 1, np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            count = np.bincount(group)[group]
+            state, spans = np.ones(len(t), np.int64), []
+            twice = order[(count > 1) & (nth < 2)]
+            if len(twice):
+                # what this batch repeats: two of each go through a merge of their own, the others share the verdict
+                hits = repeated([texts[o][s : s + k] for o, s, k in zip(owner[twice].tolist(), a[twice].tolist(), n[twice].tolist(), strict=True)], np.ones(len(twice)), owner[twice])
+                open_ = {int(g) for g, h, i in zip(group[(count > 1) & (nth < 2)], hits, twice, strict=True) if not h[: n[i] - LENGTH + 1].all()}
+                settled = (count > 1) & ~np.isin(group, list(open_))
+                state[order[settled]] = 0
+                state[order[settled & (nth == 0)]] = 2
+                own = order[settled]
+                own = own[np.lexsort((a[own], owner[own]))]
+                spans = own
+            keep = np.flatnonzero(state > 0)
+            h = anchor.astype(np.int64)
+            cols = {"h": h[keep], "t": t[keep].astype(np.int64), "u": u[keep].astype(np.int64), "d": d[owner[keep]], "e": e[owner[keep]], "a": a[keep], "n": n[keep], "c": state[keep]}
+            if len(spans):
+                z = a[spans] + n[spans]
+                new = np.r_[True, (owner[spans][1:] != owner[spans][:-1]) | (a[spans][1:] > z[:-1])]
+                first, last = spans[new], z[np.r_[np.flatnonzero(new)[1:] - 1, len(spans) - 1]]
+                spread = mixed(d[owner[first]].astype(np.uint64) + a[first].astype(np.uint64), 3).astype(np.int64)  # settled rows go anywhere
+                zero = np.zeros(len(first), np.int64)
+                done = {"h": spread, "t": zero, "u": zero, "d": d[owner[first]], "e": e[owner[first]], "a": a[first], "n": last - a[first], "c": zero}
+                cols = {k: np.r_[cols[k], done[k]] for k in cols}
+            where = np.where(np.isin(cols["h"], often.value), cols["h"] ^ cols["t"], cols["h"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(cols[k], _ROW[k]) for k in _ROW), pa.array(where, pa.int64())], [*_ROW, "where"])
+
+    rows = docs.mapInArrow(tidy(cut), f"{_ROWS}, `where` long").repartition("where").sortWithinPartitions("h", "t", "u", F.desc("c"))
 
     def alike(batches):
-        held = None
+        held, open_ = None, False  # open_: rows of the held anchor have gone on already
         for b in batches:
-            cols = [b.column(k).to_numpy() for k in ("h", "t", "d", "a", "n", "c")]
-            settled = cols[-1] == 0
+            cols = {k: b.column(k).to_numpy() for k in _ROW}
+            settled = cols["c"] == 0
             if settled.any():
-                h, _, d, a, n, c = (x[settled] for x in cols)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (h, d, a, n, c))], ["h", "d", "a", "n", "state"])
-                cols = [x[~settled] for x in cols]
+                yield told({k: v[settled] for k, v in cols.items()}, np.zeros((3, int(settled.sum())), np.int64))
+                cols = {k: v[~settled] for k, v in cols.items()}
             if held is not None:
-                cols = [np.r_[x, y] for x, y in zip(held, cols, strict=True)]
-            if not len(cols[0]):
+                cols = {k: np.r_[held[k], v] for k, v in cols.items()}
+            held = None
+            if not len(cols["h"]):
                 continue
-            rest = int(np.searchsorted(cols[0], cols[0][-1]))
-            held = [x[rest:] for x in cols]
-            yield from several([x[:rest] for x in cols])
+            rest = int(np.searchsorted(cols["h"], cols["h"][-1]))
+            if rest:
+                yield from chosen({k: v[:rest] for k, v in cols.items()}, open_)
+                open_ = False
+            held = {k: v[rest:] for k, v in cols.items()}
+            if len(held["h"]) > HELD:
+                yield from chosen(held, True)
+                held, open_ = None, True
         if held is not None:
-            yield from several(held)
+            yield from chosen(held, open_)
 
-    def several(cols):
-        h, t, d, a, n, c = cols
-        if not len(h):
-            return
+    def told(cols, marks):
+        return pa.RecordBatch.from_arrays([*(pa.array(cols[k], _ROW[k]) for k in _ROW), *(pa.array(x, pa.int32()) for x in marks)], [*_ROW, "rep", "hot", "copies"])
+
+    def chosen(cols, hot):
+        """Rows that share their anchor with others; marks: goes to the merge, has too many others for one, rows that are the same as a whole."""
+        h, t, u, c = (cols[k] for k in ("h", "t", "u", "c"))
         new_h = np.r_[True, h[1:] != h[:-1]]
-        new_t = new_h | np.r_[True, t[1:] != t[:-1]]
+        new_t = new_h | np.r_[True, (t[1:] != t[:-1]) | (u[1:] != u[:-1])]
         gh, gt = np.cumsum(new_h) - 1, np.cumsum(new_t) - 1
-        in_h, in_t = np.bincount(gh, c)[gh], np.bincount(gt, c)[gt]
-        often = in_t > 1
-        open_h = np.bincount(gh, ~often & (in_h > 1))[gh] > 0  # a fragment of one copy beside others
-        c = np.where(often, 0, 1).astype(np.int32)
-        done = np.flatnonzero(often)
-        left = np.flatnonzero(open_h & new_t)
-        at = np.r_[done, left]
-        state = np.r_[np.zeros(len(done), np.int32), np.where(c[left] == 1, 1, 2).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (h, d, a, n)), pa.array(state)], ["h", "d", "a", "n", "state"])
-
-    # state 0: repeated as a whole; 1: to be judged, one copy; 2: to be judged against, several copies
-    shared = stored(rows.mapInArrow(tidy(alike), "h long, d long, a int, n int, state int"), "fragments")
-    open_ = shared.where("state > 0").groupBy("d").agg(F.collect_list(F.struct("h", "a", "n", "state")).alias("fs"))
-    few = (open_.agg(F.sum(F.size("fs"))).first()[0] or 0) <= BROADCAST_FRAGMENTS
-    texts = docs.select("d", "text").join(F.broadcast(open_) if few else open_, "d")
+        dealt = np.isin(h, often.value) | (hot & (h == h[0]))
+        single = c == 1
+        alive = dealt | ((np.bincount(gh, c)[gh] > 1) & (np.bincount(gh, single)[gh] > 0))
+        many = dealt | (np.bincount(gh, new_t)[gh] > HOT)
+        nth = np.arange(len(h)) - np.flatnonzero(new_t)[gt]
+        rank = np.cumsum(single) - single
+        first = rank == rank[np.flatnonzero(new_t)][gt]  # no single copy before it in its group
+        rep = alive & ((nth == 0) | (single & (first | (nth == 1))))
+        keep = np.flatnonzero(alive & (single | rep))
+        if len(keep):
+            yield told({k: v[keep] for k, v in cols.items()}, np.stack([rep[keep], many[keep], np.bincount(gt, single)[gt][keep]]).astype(np.int64))
+
+    shared = stored(rows.mapInArrow(tidy(alike), f"{_ROWS}, rep int, hot int, copies int"), "fragments")
+
+    def bytes_of(reps):
+        """The reps with x, their bytes."""
+        per_text = reps.groupBy("d", "e").agg(F.collect_list(F.struct("h", "t", "u", "a", "n", "c", "copies")).alias("fs"))
+        texts = docs.join(F.broadcast(per_text) if reps.count() <= BROADCAST_ROWS else per_text, ["d", "e"])
+        return texts.select("d", "text", "fs").mapInArrow(tidy(take), "h long, t long, u long, c int, copies int, d long, x binary")
 
     def take(batches):
+        names = ("h", "t", "u", "c", "copies")
         for b in batches:
-            out = []
-            for d, text, fs in zip(b.column("d").to_pylist(), b.column("text").to_pylist(), b.column("fs").to_pylist(), strict=True):
-                raw = text.encode("utf-8", "replace")
-                out += [(f["h"], d, f["a"], f["state"], raw[f["a"] : f["a"] + f["n"]]) for f in fs]
-            cols = list(zip(*out, strict=True)) or [(), (), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["h", "d", "a", "state", "x"])
-
-    taken = texts.mapInArrow(tidy(take), "h long, d long, a int, state int, x binary").repartition("h").sortWithinPartitions("h")
+            fs = b.column("fs")
+            flat, counts = fs.flatten(), np.diff(fs.offsets.to_numpy())
+            at, size = (flat.field(k).to_numpy() for k in ("a", "n"))
+            own = np.repeat(np.arange(len(counts)), counts)
+            raws = [t.encode("utf-8", "replace") for t in b.column("text").to_pylist()]
+            x = [raws[o][s : s + n] for o, s, n in zip(own.tolist(), at.tolist(), size.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(flat.field(k) for k in names), pa.array(b.column("d").to_numpy()[own]), pa.array(x, pa.binary())], [*names, "d", "x"])
 
     def judge(batches):
         held, size = [], 0
@@ -295,36 +343,68 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             held.append(g)
             size += g.column("x").nbytes
             if size >= CHUNK:
-                yield from verdicts(held)
+                yield verdicts(pa.Table.from_batches(held))
                 held, size = [], 0
         if held:
-            yield from verdicts(held)
-
-    def verdicts(groups):
-        g = pa.Table.from_batches(groups)
-        state = g.column("state").to_numpy()
-        hits = judged(g.column("x").to_pylist(), np.where(state == 1, 1.0, 2.0))
-        d, a = g.column("d").to_numpy(), g.column("a").to_numpy()
-        out = [(int(d[i]), s, e - s) for i in np.flatnonzero(state == 1) for s, e in _runs(hits[i], int(a[i]))]
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], ["d", "a", "n"])
-
-    spans = taken.mapInArrow(tidy(judge), "d long, a int, n int").unionByName(shared.where("state = 0").select("d", "a", "n"))
-    return spans.groupBy("d").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
+            yield verdicts(pa.Table.from_batches(held))
+
+    def verdicts(g):
+        keys, weights = [g.column(k).to_numpy() for k in ("h", "t", "u")], g.column("c").to_numpy()
+        hits = repeated(g.column("x").to_pylist(), weights, g.column("d").to_numpy())
+        new = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]
+        single = weights == 1
+        rank = np.cumsum(single) - single
+        first = single & (rank == rank[np.flatnonzero(new)][np.cumsum(new) - 1])  # one copy speaks for all
+        at = [i for i in np.flatnonzero(first).tolist() if hits[i].any()]
+        return pa.RecordBatch.from_arrays([*(pa.array(k[at]) for k in keys), g.column("copies").combine_chunks().take(pa.array(at, pa.int64())), pa.array([[{"s": s, "n": n} for s, n in _runs(hits[i])] for i in at], pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32())])))], ["h", "t", "u", "copies", "spans"])
+
+    def hashed(batches):
+        """Every string of each fragment: 128 bits, where it starts."""
+        for b in batches:
+            x = b.column("x").to_pylist()
+            sizes = np.array([len(v) for v in x], np.int64)
+            count = sizes - LENGTH + 1
+            own = np.repeat(np.arange(len(x)), count)
+            s = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            start = s + (np.cumsum(sizes) - sizes)[own]
+            p, q = Rolling(np.frombuffer(b"".join(x), np.uint8)).some(start, start + LENGTH)
+            at = pa.array(own)
+            names = ("h", "t", "u", "c", "copies")
+            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), pa.array(q.astype(np.int64)), pa.array(s, pa.int32()), *(b.column(k).take(at) for k in names)], ["p", "q", "s", *names])
+
+    reps = shared.where("rep = 1")
+    found = bytes_of(reps.where("hot = 0")).repartition("h").sortWithinPartitions("h", "t", "u").mapInArrow(tidy(judge), f"h long, t long, u long, copies int, spans {_SPANS}")
+    hot = reps.where("hot = 1")
+    if not hot.isEmpty():
+        strings = stored(bytes_of(hot).mapInArrow(tidy(hashed), "p long, q long, s int, h long, t long, u long, c int, copies int"), "strings")
+        counts = strings.groupBy("p", "q").agg(F.sum("c").alias("weight"), F.count("*").alias("copies")).where("weight > 1")
+        starts = spread_join(strings.where("c = 1").withColumnRenamed("copies", "rows"), counts, ["p", "q"], strings.count(), "t").where("weight is not null")
+        starts = starts.groupBy("h", "t", "u").agg(F.max("rows").alias("copies"), F.transform(F.array_sort(F.collect_set("s")), lambda s: F.struct(s.alias("s"), F.lit(LENGTH).alias("n"))).alias("spans"))
+        found = found.unionByName(starts)
+    found = stored(found, "verdicts")
+    told_rows = spread_join(shared.where("c = 1").select("h", "t", "u", "d", "e", "a"), found, ["h", "t", "u"], shared.count(), "d").where("spans is not null")
+    told_rows = told_rows.select("d", "e", "a", F.inline("spans")).select("d", "e", (F.col("a") + F.col("s")).alias("a"), "n")
+    spans = told_rows.unionByName(shared.where("c = 0").select("d", "e", "a", "n"))
+    return spans.groupBy("d", "e").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, other columns to keep, n_bytes, kept (bytes that stay), n_spans (removed runs): a row for each row."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("d", F.xxhash64("text"))
-    counts = rows.groupBy("d").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one"))
-    copies = counts.where("copies > 1")
-    few = copies.count() <= BROADCAST_ROWS
-    marked = rows.join(F.broadcast(copies) if few else copies, "d", "left")
-    first = marked.where("copies is null or doc_id <=> one").select("d", "text")
-    spans = repeated_spans(first)
-    found = marked.join(stored(spans, "spans"), "d", "left")
+    rows = rows.withColumns({"d": F.xxhash64("text"), "e": F.xxhash64(F.lit(1), "text")})
+    counts = rows.groupBy("d", "e").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one"))
+    copies = stored(counts.where("copies > 1"), "copies")
+    if copies.count() <= BROADCAST_ROWS:
+        marked = rows.join(F.broadcast(copies), ["d", "e"], "left")
+    else:
+        marked = spread_join(rows, copies, ["d", "e"], rows.count(), "doc_id")
+    copied = F.col("copies").isNotNull()
+    first = marked.where("copies is null or doc_id <=> one").select("d", "e", "text")
+    spans = stored(repeated_spans(first), "spans")
+    # equal texts go in full, so they look for no spans: dealt by doc_id, with a key that matches nothing
+    alone = marked.withColumn("d", F.when(copied, F.xxhash64("doc_id")).otherwise(F.col("d"))).withColumn("e", F.when(~copied, F.col("e")))
+    found = alone.join(spans, ["d", "e"], "left")
 
     def remove(batches):
         for b in batches:
@@ -339,7 +419,7 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     same = ("doc_id", *keep)
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in same)
-    found = found.select(*same, "text", F.col("copies").isNotNull().alias("copied"), "spans")
+    found = found.select(*same, "text", copied.alias("copied"), "spans")
     return found.mapInArrow(tidy(remove), f"{kinds}, n_bytes long, kept binary, n_spans long")
 
 

@@ -101,6 +101,43 @@ def test_repeats_against_brute_force(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_spans, bytes(r.kept)) for r in got) == [(i, *x) for i, x in enumerate(brute_cut(rows))]
 
 
+@pytest.mark.parametrize(("hot", "held", "frequent"), [(1, 500_000, 10_000), (2000, 3, 10_000), (2000, 500_000, 2)])
+def test_crowded_anchors_against_brute_force(spark, monkeypatch, hot, held, frequent):
+    """Many different fragments of one anchor: strings told apart by content, anchors that a task doesn't hold whole, anchors dealt by content."""
+    for name, value in (("HOT", hot), ("HELD", held), ("FREQUENT", frequent)):
+        monkeypatch.setattr(suffixes, name, value)
+    random.seed(17)
+    shared = "".join(random.choice("abcdefgh ") for _ in range(420))
+    rows = passages() + ["".join(random.choice("abcdefgh ") for _ in range(150)) + shared[: random.randint(250, 420)] + "".join(random.choice("abcdefgh ") for _ in range(150)) for _ in range(30)]
+    got = suffixes.without_repeats(documents(spark, list(enumerate(rows))).repartition(5)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_spans, bytes(r.kept)) for r in got) == [(i, *x) for i, x in enumerate(brute_cut(rows))]
+
+
+def test_only_the_merge_finds_repeats(spark, monkeypatch):
+    """With a merge that finds nothing, nothing but equal texts goes."""
+    rows = passages()
+    docs = documents(spark, list(enumerate(rows)))
+    assert sum(r.n_spans for r in suffixes.without_repeats(docs).collect()) > 10
+    monkeypatch.setattr(suffixes, "repeated", lambda strings, weights, owners=None: [np.zeros(len(x), bool) for x in strings])
+    got = {r.doc_id: r for r in suffixes.without_repeats(docs).collect()}
+    equal = {i for i, t in enumerate(rows) if t and len(t.encode()) >= 200 and rows.count(t) > 1}
+    assert equal and {i for i, r in got.items() if r.n_spans} == equal
+
+
+def test_interleave_of_several_shards_is_sorted():
+    random.seed(2)
+    strings = ["".join(random.choice("ab") for _ in range(random.randint(0, 400))).encode() for _ in range(30)]
+    shards = [suffixes.Shard(strings[k::4]) for k in range(4)]
+    at, block = suffixes.merged(shards, np.full(sum(map(len, strings)) + len(strings), 2.0), 16)
+    texts = [s for k in range(4) for s in strings[k::4]]
+    base = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    whole = b"\0".join([*texts, b""])
+    place = np.concatenate([x.order + b for x, b in zip(shards, np.cumsum([0, *(len(x.order) for x in shards)]), strict=False)])
+    prefixes = [whole[p : p + 16] for p in place[at].tolist()]
+    assert prefixes == sorted(whole[p : p + 16] for t, b in zip(texts, base.tolist(), strict=False) for p in range(b, b + len(t) - 15))
+    assert block.tolist() == [sorted(set(prefixes)).index(x) for x in prefixes]
+
+
 def test_repeats_of_odd_rows(spark):
     got = suffixes.without_repeats(documents(spark, ODD)).collect()
     assert len(got) == len(ODD)
