@@ -8,9 +8,9 @@ judged on the input; texts are UTF-8 and no string crosses their ends.
    smallest hash, so equal strings have equal anchors. Consecutive strings with the same anchor form a fragment, which has
    300 bytes at most. A fragment whose anchor occurs nowhere else can't repeat. This only says what must meet; it finds
    no repeat.
-3. Of fragments that are equal as a whole (by 128 bits), two go on; the others share their verdict.
-4. All fragments of an anchor meet in one place, dealt by text to `SHARDS` shards. Each shard's suffixes are sorted to
-   depth `LENGTH` on their own, and what is kept of that is its transform. The transforms are merged by interleave refinement
+3. Fragments that are equal as a whole (by 128 bits) are one, with a multiplicity; the others share its verdict.
+4. All fragments of an anchor meet in one place, dealt by text to `SHARDS` shards. Each shard's suffixes are sorted on their
+   own, and what is kept of that is its transform. The transforms are merged by interleave refinement
    (Holt and McMillan, 2014): each round takes `STEP` steps of the last-to-first mapping in every shard and so sorts the
    interleave by as many more bytes; blocks of equal prefixes split on the way, which gives the common prefixes without the
    texts, and those whose weight falls below 2 are left. After `LENGTH` bytes the blocks that are left are the repeated
@@ -19,8 +19,8 @@ judged on the input; texts are UTF-8 and no string crosses their ends.
 What a batch of texts repeats is found the same way from the batch alone, and one fragment stands for all of it from then on.
 
 An anchor may be in a third of all texts. Which ones are frequent is read off a sample of `SAMPLE` texts; their fragments are
-dealt by content instead of by anchor. Where more than `HOT` different fragments share an anchor, a merge would need them all
-in one place, so there, and only there, strings are compared by 128 bits each, counted by Spark.
+dealt by content and text until equal ones are one. Where more than `HOT` different fragments share an anchor even so, a merge
+would need them all in one place, so there, and only there, strings are compared by 128 bits each, counted by Spark.
 
 Defined results: null text is empty; repeated rows and equal texts are removed in full where they have `LENGTH` bytes;
 rows with equal doc_id are told apart by their text; a null doc_id is a document like others; texts of any length are
@@ -29,6 +29,8 @@ judged whole; other columns are ignored, whatever their names; an empty table gi
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,26 +40,32 @@ from boardsift.llm.common import small_batches, spread_join, stored, table, tidy
 from boardsift.llm.embeddings import grouped
 from boardsift.llm.token_files import mixed
 
-LENGTH, GRAM, CHUNK, SHARDS, STEP = 200, 100, 300_000, 3, 8
+LENGTH, GRAM, CHUNK, SHARDS, STEP = 200, 60, 300_000, 3, 8
 #: Broadcasts hold at most so many rows of 48 bytes.
 BROADCAST_ROWS = 1_000_000
 #: Different fragments of one anchor that one task merges; rows of one anchor that a task holds at once.
-HOT, HELD = 2000, 500_000
+HOT, HELD, SALTS = 20_000, 500_000, 16
 #: Texts whose anchors are counted beforehand, and the count from which an anchor is frequent.
 SAMPLE, FREQUENT = 4000, 20
 _FACTOR = 0x9E3779B97F4A7C15
 _BYTES, _OTHER = (np.random.default_rng(k).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (5, 6))
 
 
+@lru_cache(2)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the factor and of its inverse, up to 1 << size."""
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(1 << size, x, np.uint64)]) for x in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
+
+
 class Rolling:
     """Two hashes of all byte strings of a buffer: differences of prefix sums, brought to one exponent."""
 
     def __init__(self, raw: np.ndarray):
         n = len(raw)
-        power = np.cumprod(np.r_[np.uint64(1), np.full(n, _FACTOR, np.uint64)])
-        self.back = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(_FACTOR, -1, 1 << 64), np.uint64)])
-        self.sums = np.r_[np.uint64(0), np.cumsum(_BYTES[raw] * power[:n])]
-        self.other = np.r_[np.uint64(0), np.cumsum(_OTHER[raw] * power[:n])]
+        power, self.back = powers(max(20, n.bit_length()))
+        self.sums, self.other = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[raw] * power[:n], out=self.sums[1:])
+        np.cumsum(_OTHER[raw] * power[:n], out=self.other[1:])
 
     def all(self, size: int) -> np.ndarray:
         return mixed((self.sums[size:] - self.sums[:-size]) * self.back[: len(self.sums) - size], 31)
@@ -98,7 +106,7 @@ def fragments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def sorted_suffixes(text: np.ndarray) -> np.ndarray:
-    """Starts in order of their suffixes to depth `LENGTH` + 1 at least, by doubling. A closing 0 ranks by its string."""
+    """Starts in order of their suffixes, by doubling. A closing 0 ranks by its string, so no two suffixes are alike."""
     closed, depth, n = np.flatnonzero(text == 0), 1, len(text)
     rank = text.astype(np.int64) + len(closed)
     rank[closed] = np.arange(len(closed))
@@ -112,7 +120,7 @@ def sorted_suffixes(text: np.ndarray) -> np.ndarray:
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(fresh)
         depth *= 2
-        if depth >= LENGTH + 1 or fresh[1:].all():
+        if fresh[1:].all():
             return order
 
 
@@ -143,7 +151,8 @@ class Shard:
 def merged(shards: list[Shard], weights: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of all transforms to the given depth, of repeated prefixes only: ranks (of one shard after the other) and their blocks.
 
-    `weights` says how much each rank counts; blocks of a total below 2 fall out as soon as they have split off.
+    `weights` says how much each rank counts; blocks of a total below 2 fall out some time after they have split off. It
+    begins at the ranks from which the mapping can take `depth` steps.
     """
     n = sum(len(x.transform) for x in shards)
     bases = np.cumsum([0, *(len(x.transform) for x in shards)]).tolist()
@@ -152,13 +161,16 @@ def merged(shards: list[Shard], weights: np.ndarray, depth: int = LENGTH) -> tup
     for k in range(STEP.bit_length() - 1):  # 1, 2, 4 ... steps at once; what runs past a start ends at `n`, whose symbol is 0
         symbol = symbol[to] << np.uint64(8 << k) | symbol
         to = to[to]
-    whole = symbol >> np.uint64(8 * (STEP - 1)) > 0
-    names, rank = np.unique(symbol, return_inverse=True)
-    rank = rank.astype(np.int64) << 32
-    at, block = np.arange(n), np.zeros(n, np.int64)
-    for _ in range(depth // STEP):
-        go = whole[at]
-        at, block = at[go], block[go]
+    rank = np.unique(symbol, return_inverse=True)[1].astype(np.int64) << 32
+    rounds = depth // STEP
+    end, far, left = np.arange(n + 1), to, rounds
+    while left:  # where `rounds` jumps end
+        if left & 1:
+            end = far[end]
+        far, left = far[far], left >> 1
+    at = np.flatnonzero(end < n)
+    block = np.zeros(len(at), np.int64)
+    for i in range(1, rounds + 1):
         if not len(at):
             break
         key = rank[at] | block
@@ -166,10 +178,10 @@ def merged(shards: list[Shard], weights: np.ndarray, depth: int = LENGTH) -> tup
         key, at = key[order], to[at[order]]
         new = np.r_[True, key[1:] != key[:-1]]
         block = np.cumsum(new) - 1
-        total = np.add.reduceat(weights[at], np.flatnonzero(new))
-        keep = total[block] >= 2
-        at, block = at[keep], block[keep]
-    return at, block
+        if i % 6 == 1 or i == rounds:
+            keep = np.add.reduceat(weights[at], np.flatnonzero(new))[block] >= 2
+            at, block = at[keep], block[keep]
+    return at, np.unique(block, return_inverse=True)[1]
 
 
 def repeated(strings: list[bytes], weights: np.ndarray, owners: np.ndarray | None = None) -> list[np.ndarray]:
@@ -182,8 +194,8 @@ def repeated(strings: list[bytes], weights: np.ndarray, owners: np.ndarray | Non
     base = np.cumsum(sizes + 1) - sizes - 1
     shift = np.cumsum([0, *(len(x.transform) for x in shards)])
     place = np.concatenate([x.order + b for x, b in zip(shards, shift, strict=False)])
-    owner = np.repeat(np.arange(len(order)), sizes + 1)
-    at, _ = merged(shards, np.asarray(weights, float)[order][owner[place]])
+    owner = np.repeat(np.arange(len(order)), sizes + 1)[place]
+    at, _ = merged(shards, np.asarray(weights, float)[order][owner])
     hit = np.zeros(int(shift[-1]), bool)
     hit[place[at]] = True
     out: list = [None] * len(strings)
@@ -268,7 +280,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 zero = np.zeros(len(first), np.int64)
                 done = {"h": spread, "t": zero, "u": zero, "d": d[owner[first]], "e": e[owner[first]], "a": a[first], "n": last - a[first], "c": zero}
                 cols = {k: np.r_[cols[k], done[k]] for k in cols}
-            where = np.where(np.isin(cols["h"], often.value), cols["h"] ^ cols["t"], cols["h"])
+            where = np.where(np.isin(cols["h"], often.value), cols["h"] ^ cols["t"] ^ (cols["d"] % SALTS), cols["h"])
             yield pa.RecordBatch.from_arrays([*(pa.array(cols[k], _ROW[k]) for k in _ROW), pa.array(where, pa.int64())], [*_ROW, "where"])
 
     rows = docs.mapInArrow(tidy(cut), f"{_ROWS}, `where` long").repartition("where").sortWithinPartitions("h", "t", "u", F.desc("c"))
@@ -298,36 +310,37 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield from chosen(held, open_)
 
     def told(cols, marks):
-        return pa.RecordBatch.from_arrays([*(pa.array(cols[k], _ROW[k]) for k in _ROW), *(pa.array(x, pa.int32()) for x in marks)], [*_ROW, "rep", "hot", "copies"])
+        return pa.RecordBatch.from_arrays([*(pa.array(cols[k], _ROW[k]) for k in _ROW), *(pa.array(x, pa.int32()) for x in marks)], [*_ROW, "w", "crowd", "copies"])
 
-    def chosen(cols, hot):
-        """Rows that share their anchor with others; marks: goes to the merge, has too many others for one, rows that are the same as a whole."""
+    def chosen(cols, flushed):
+        """Rows that share their anchor with others. Marks: the weight of one row that stands for its equals, else 0; whether
+        its anchor is dealt over tasks (1) or has too many different fragments (2); how many equal rows await its verdict."""
         h, t, u, c = (cols[k] for k in ("h", "t", "u", "c"))
         new_h = np.r_[True, h[1:] != h[:-1]]
         new_t = new_h | np.r_[True, (t[1:] != t[:-1]) | (u[1:] != u[:-1])]
         gh, gt = np.cumsum(new_h) - 1, np.cumsum(new_t) - 1
-        dealt = np.isin(h, often.value) | (hot & (h == h[0]))
-        single = c == 1
-        alive = dealt | ((np.bincount(gh, c)[gh] > 1) & (np.bincount(gh, single)[gh] > 0))
-        many = dealt | (np.bincount(gh, new_t)[gh] > HOT)
-        nth = np.arange(len(h)) - np.flatnonzero(new_t)[gt]
+        dealt, single = np.isin(h, often.value), c == 1
+        crowded = (flushed & (h == h[0])) | (~dealt & (np.bincount(gh, new_t)[gh] > HOT))
+        alive = dealt | crowded | ((np.bincount(gh, c)[gh] > 1) & (np.bincount(gh, single)[gh] > 0))
+        singles = np.bincount(gt, single).astype(np.int64)[gt]
         rank = np.cumsum(single) - single
-        first = rank == rank[np.flatnonzero(new_t)][gt]  # no single copy before it in its group
-        rep = alive & ((nth == 0) | (single & (first | (nth == 1))))
+        first = single & (rank == rank[np.flatnonzero(new_t)][gt])
+        rep = np.where(singles > 0, first, new_t)
+        weight = np.where(rep, np.minimum(np.bincount(gt, c)[gt], 2), 0).astype(np.int64)
         keep = np.flatnonzero(alive & (single | rep))
         if len(keep):
-            yield told({k: v[keep] for k, v in cols.items()}, np.stack([rep[keep], many[keep], np.bincount(gt, single)[gt][keep]]).astype(np.int64))
+            yield told({k: v[keep] for k, v in cols.items()}, [weight[keep], np.where(crowded, 2, dealt)[keep], singles[keep]])
 
-    shared = stored(rows.mapInArrow(tidy(alike), f"{_ROWS}, rep int, hot int, copies int"), "fragments")
+    shared = stored(rows.mapInArrow(tidy(alike), f"{_ROWS}, w int, crowd int, copies int"), "fragments")
 
     def bytes_of(reps):
         """The reps with x, their bytes."""
-        per_text = reps.groupBy("d", "e").agg(F.collect_list(F.struct("h", "t", "u", "a", "n", "c", "copies")).alias("fs"))
-        texts = docs.join(F.broadcast(per_text) if reps.count() <= BROADCAST_ROWS else per_text, ["d", "e"])
-        return texts.select("d", "text", "fs").mapInArrow(tidy(take), "h long, t long, u long, c int, copies int, d long, x binary")
+        per_text = reps.groupBy("d", "e").agg(F.collect_list(F.struct("h", "t", "u", "a", "n", "w", "copies")).alias("fs"))
+        texts = docs.join(per_text, ["d", "e"])
+        return texts.select("d", "text", "fs").mapInArrow(tidy(take), "h long, t long, u long, w int, copies int, d long, x binary")
 
     def take(batches):
-        names = ("h", "t", "u", "c", "copies")
+        names = ("h", "t", "u", "w", "copies")
         for b in batches:
             fs = b.column("fs")
             flat, counts = fs.flatten(), np.diff(fs.offsets.to_numpy())
@@ -349,14 +362,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield verdicts(pa.Table.from_batches(held))
 
     def verdicts(g):
-        keys, weights = [g.column(k).to_numpy() for k in ("h", "t", "u")], g.column("c").to_numpy()
-        hits = repeated(g.column("x").to_pylist(), weights, g.column("d").to_numpy())
-        new = np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]
-        single = weights == 1
-        rank = np.cumsum(single) - single
-        first = single & (rank == rank[np.flatnonzero(new)][np.cumsum(new) - 1])  # one copy speaks for all
-        at = [i for i in np.flatnonzero(first).tolist() if hits[i].any()]
-        return pa.RecordBatch.from_arrays([*(pa.array(k[at]) for k in keys), g.column("copies").combine_chunks().take(pa.array(at, pa.int64())), pa.array([[{"s": s, "n": n} for s, n in _runs(hits[i])] for i in at], pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32())])))], ["h", "t", "u", "copies", "spans"])
+        hits, copies = repeated(g.column("x").to_pylist(), g.column("w").to_numpy(), g.column("d").to_numpy()), g.column("copies").to_numpy()
+        at = pa.array([i for i in np.flatnonzero(copies).tolist() if hits[i].any()], pa.int64())
+        spans = pa.array([[{"s": s, "n": n} for s, n in _runs(hits[i])] for i in at.to_pylist()], pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32())])))
+        return pa.RecordBatch.from_arrays([*(g.column(k).combine_chunks().take(at) for k in ("h", "t", "u", "copies")), spans], ["h", "t", "u", "copies", "spans"])
 
     def hashed(batches):
         """Every string of each fragment: 128 bits, where it starts."""
@@ -369,18 +378,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             start = s + (np.cumsum(sizes) - sizes)[own]
             p, q = Rolling(np.frombuffer(b"".join(x), np.uint8)).some(start, start + LENGTH)
             at = pa.array(own)
-            names = ("h", "t", "u", "c", "copies")
-            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), pa.array(q.astype(np.int64)), pa.array(s, pa.int32()), *(b.column(k).take(at) for k in names)], ["p", "q", "s", *names])
-
-    reps = shared.where("rep = 1")
-    found = bytes_of(reps.where("hot = 0")).repartition("h").sortWithinPartitions("h", "t", "u").mapInArrow(tidy(judge), f"h long, t long, u long, copies int, spans {_SPANS}")
-    hot = reps.where("hot = 1")
+            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), pa.array(q.astype(np.int64)), pa.array(s, pa.int32()), *(b.column(k).take(at) for k in ("h", "t", "u", "w", "copies"))], ["p", "q", "s", "h", "t", "u", "w", "copies"])
+
+    reps = shared.where("w > 0")
+    # anchors that were dealt are in the sample's list, so those of them that are crowded are few
+    crowded = reps.where("crowd = 1").groupBy("h").agg(F.count("*").alias("different")).where(f"different > {HOT}").select("h", F.lit(2).alias("all"))
+    reps = reps.join(F.broadcast(crowded), "h", "left").withColumn("crowd", F.coalesce("all", "crowd"))
+    found = bytes_of(reps.where("crowd < 2")).repartition("h").sortWithinPartitions("h", "t", "u").mapInArrow(tidy(judge), f"h long, t long, u long, copies int, spans {_SPANS}")
+    hot = stored(reps.where("crowd = 2"), "crowded")
     if not hot.isEmpty():
-        strings = stored(bytes_of(hot).mapInArrow(tidy(hashed), "p long, q long, s int, h long, t long, u long, c int, copies int"), "strings")
-        counts = strings.groupBy("p", "q").agg(F.sum("c").alias("weight"), F.count("*").alias("copies")).where("weight > 1")
-        starts = spread_join(strings.where("c = 1").withColumnRenamed("copies", "rows"), counts, ["p", "q"], strings.count(), "t").where("weight is not null")
+        strings = stored(bytes_of(hot).mapInArrow(tidy(hashed), "p long, q long, s int, h long, t long, u long, w int, copies int"), "strings")
+        counts = strings.groupBy("p", "q").agg(F.sum("w").alias("weight"), F.count("*").alias("copies")).where("weight > 1")
+        starts = spread_join(strings.where("copies > 0").withColumnRenamed("copies", "rows"), counts, ["p", "q"], strings.count(), "t").where("weight is not null")
         starts = starts.groupBy("h", "t", "u").agg(F.max("rows").alias("copies"), F.transform(F.array_sort(F.collect_set("s")), lambda s: F.struct(s.alias("s"), F.lit(LENGTH).alias("n"))).alias("spans"))
         found = found.unionByName(starts)
+    # rows that were dealt by text may have several that stand for them, with one verdict
+    found = found.groupBy("h", "t", "u").agg(F.sum("copies").alias("copies"), F.first("spans").alias("spans"))
     found = stored(found, "verdicts")
     told_rows = spread_join(shared.where("c = 1").select("h", "t", "u", "d", "e", "a"), found, ["h", "t", "u"], shared.count(), "d").where("spans is not null")
     told_rows = told_rows.select("d", "e", "a", F.inline("spans")).select("d", "e", (F.col("a") + F.col("s")).alias("a"), "n")
