@@ -115,13 +115,14 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", rounds: int
     """
     spark = nodes.sparkSession
     links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
+    before, count = None, links.count()
+    least = (F.min("b").alias("m"), F.count("*").alias("copies"))  # a node may have very many neighbours
     for done in itertools.count(1):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        low = both.groupBy("a").agg(*least).withColumn("m", F.least("a", "m"))
+        large = spread_join(both, low, ["a"], 2 * count, "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(*least)
+        small = spread_join(large, low, ["a"], count, "b")
         older = links
         links = stored(
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct(),
@@ -133,7 +134,7 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", rounds: int
             break
         if done == rounds:
             raise RuntimeError(f"components have not settled after {rounds} rounds")
-        before = state
+        before, count = state, state[0]
     root = links.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", node)
     return nodes.join(root, node, "left").withColumn("component", F.coalesce("component", F.col(node)))
 

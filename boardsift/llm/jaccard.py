@@ -12,13 +12,17 @@
    guest wherever the distance exceeds its own by at most twice the threshold, which the triangle inequality shows to be
    enough. Cells are joined in the same way until they are small or stop shrinking, and there sets are compared whose
    distances to the pivots differ by the threshold at most. Classes already known to be connected aren't compared again.
-   Regions of more than `REGION` classes are dealt into cells before they reach a task.
+   Regions of more than `REGION` classes are dealt into cells by Spark, and cells of more than that again, in `LEVELS` rounds:
+   classes that link to a pivot are connected there, and a cell whose classes are all connected is done. What is larger even
+   then is compared in blocks of `REGION` classes, except that classes connected already aren't compared with each other.
+   A task never holds more than two blocks, and no region is too large.
 
 Links only travel as enough edges to connect what they connect. Nothing is dropped or capped.
 
 Defined results: null text, or text without words, has an empty set, n_shingles 0, and is its own component; texts of
 fewer words than a shingle have one shingle; rows with equal doc_id are one document; a null doc_id takes part with its
-set but can't name a component; repeated rows each get a row; other columns are ignored; an empty table gives no rows.
+set but can't name a component; a similarity of exactly the threshold links; repeated rows each get a row and the same
+result; texts of any length are read whole; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,11 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsift.llm.bpe import Cache
-from boardsift.llm.common import components, small_batches, stored, table, tidy
+from boardsift.llm.common import components, small_batches, spread_join, stored, table, tidy
 from boardsift.llm.embeddings import forest, grouped
 from boardsift.llm.token_files import mixed
 
-SHINGLE, PERCENT, REGION, LEAF, PIVOTS, BROADCAST_ROWS = 3, 90, 3000, 40, 12, 2_000_000
+SHINGLE, PERCENT, REGION, LEVELS, LEAF, PIVOTS = 3, 90, 3000, 3, 40, 12
+#: Broadcasts hold at most so many rows of 16 bytes.
+BROADCAST_ROWS = 2_000_000
 #: Shingles in `COMMON` of about `SAMPLE` documents are common, the `LISTED` most frequent ones at most.
 SAMPLE, COMMON, LISTED = 10_000, 10, 500_000
 NONE = np.zeros(0, np.uint64)
@@ -123,13 +129,13 @@ def _lists(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
 class Sets:
     """Sets of one region as small token numbers."""
 
-    def __init__(self, flat: np.ndarray, sizes: np.ndarray, percent: int = PERCENT):
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, root: np.ndarray | None = None):
         self.percent = percent
         self.sizes = sizes.astype(np.int64)
         names, self.flat = np.unique(flat, return_inverse=True)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.mark = np.zeros(len(names), bool)
-        self.root = np.arange(len(sizes))
+        self.root = np.arange(len(sizes)) if root is None else np.unique(root, return_inverse=True)[1]
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
 
     def common(self, one: int, rows: np.ndarray) -> np.ndarray:
@@ -243,7 +249,7 @@ def agreeing(rows: DataFrame) -> DataFrame:
 
 
 def verified(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(region, cell, home, id, s) -> (a, b): enough links to connect what is linked in each cell."""
+    """(region, cell, home, id, root, s) -> (a, b): enough links to connect what is linked in each cell, beyond what roots say."""
     keys = ["region", "cell"]
 
     def work(batches):
@@ -251,7 +257,7 @@ def verified(members: DataFrame, percent: int = PERCENT) -> DataFrame:
             if g.num_rows < 2:
                 continue
             s = g.column("s")
-            sets = Sets(s.flatten().to_numpy(), np.diff(s.offsets.to_numpy()), percent)
+            sets = Sets(s.flatten().to_numpy(), np.diff(s.offsets.to_numpy()), percent, g.column("root").to_numpy())
             ids = g.column("id").to_numpy()
             sets.join(np.arange(len(ids)), g.column("home").to_numpy(zero_copy_only=False))
             if sets.edges:
@@ -261,65 +267,133 @@ def verified(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     return members.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(tidy(work), "a long, b long")
 
 
-def dealt(members: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Members of large regions at home in one Voronoi cell and guests in others; those of small regions in a single cell.
+_MEMBERS = "region long, cell long, home boolean, id long, root long, s array<long>"
 
-    A large region has a pivot for each thousand classes. Pivots travel to all tasks if together they have no more than
-    `BROADCAST_ROWS` shingles; otherwise the regions stay whole.
+
+def to_pivots(pivots: list[np.ndarray], s: pa.Array) -> np.ndarray:
+    """Shingles that each set shares with each pivot."""
+    names = np.unique(np.concatenate(pivots))
+    holds = np.zeros((len(names) + 1, len(pivots)), np.int32)  # the last row stands for shingles of no pivot
+    for k, p in enumerate(pivots):
+        holds[np.searchsorted(names, p), k] = 1
+    flat = s.flatten().to_numpy()
+    at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+    at = np.where(names[at] == flat, at, len(names))
+    sizes = np.diff(s.offsets.to_numpy())
+    return np.add.reduceat(holds[at], np.cumsum(sizes) - sizes)
+
+
+def dealt(members: DataFrame, large: DataFrame, level: int, percent: int) -> DataFrame:
+    """Members of large cells in the Voronoi cells of about `PIVOTS` of the classes at home there, and links to pivots (`to`).
+
+    A cell's members are dealt over tasks by hash; its pivots travel to each of these.
     """
-    whole = members.select("region", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "id", "s")
-    large = sizes.where(f"n > {REGION}")
-    picked = members.join(large, "region").where(F.pmod(F.xxhash64("id"), F.lit(1000)) == 0).select("region", "id", "s")
-    weight = picked.agg(F.sum(F.size("s"))).first()[0] or 0
-    if not 0 < weight <= BROADCAST_ROWS:
-        return whole
-    pivots: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for r in picked.orderBy("region", "id").collect():  # at most BROADCAST_ROWS shingles
-        pivots.setdefault(r.region, []).append((r.id, np.array(r.s, np.int64)))
-    shared = members.sparkSession.sparkContext.broadcast(pivots)
     tau = 1 - percent / 100 + 1e-9
+    keys = ["region", "cell"]
+    rows = members.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, keys)
+    tasks = F.ceil(F.col("n") / REGION).cast("int")
+    # classes that aren't of the cell's largest component yet make better pivots
+    pool = F.greatest(F.ceil((F.col("n") - F.col("most")) / PIVOTS), F.lit(1))
+    picked = rows.where(F.col("home") & (F.col("root") != F.col("largest")) & (F.pmod(F.xxhash64("id", F.lit(level)), pool) == 0))
+    picked = picked.withColumn("task", F.explode(F.sequence(F.lit(0), tasks - 1)))
+    both = picked.withColumn("member", F.lit(0)).unionByName(rows.withColumn("task", F.pmod(F.xxhash64("id"), tasks).cast("int")).withColumn("member", F.lit(1)))
 
     def work(batches):
-        for b in batches:
-            out = []
-            for r, i, s in zip(b.column("region").to_pylist(), b.column("id").to_pylist(), b.column("s"), strict=True):
-                own = shared.value.get(r)
-                if own is None:
-                    out.append((r, 0, True, i, s))
-                    continue
-                s = s.values.to_numpy()
-                far = np.empty(len(own))
-                for k, (_, p) in enumerate(own):
-                    both = len(np.intersect1d(s, p, assume_unique=True))
-                    far[k] = 1 - both / (len(s) + len(p) - both)
-                home = int(far.argmin())
-                out += [(r, k, k == home, i, s) for k in np.flatnonzero(far <= far[home] + 2 * tau).tolist()]
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int64()))], ["region", "cell", "home", "id", "s"])
-
-    cells = members.join(large.select("region"), "region", "left_semi").select("region", "id", "s").mapInArrow(tidy(work), whole.schema)
-    return whole.join(large.select("region"), "region", "left_anti").unionByName(cells)
+        for g in grouped(batches, [*keys, "task"]):
+            member = g.column("member").to_numpy()
+            first = int(np.searchsorted(member, 1))
+            own = g.slice(first)
+            if not own.num_rows:
+                continue
+            region, cell = own.column("region"), own.column("cell").to_numpy()
+            if not first:
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in (*keys, "home", "id", "root", "s")), pa.nulls(own.num_rows, pa.int64())], [*keys, "home", "id", "root", "s", "to"])
+                continue
+            head = g.slice(0, first)
+            names = head.column("id").to_numpy()
+            pivots = [x.values.to_numpy() for x in head.column("s")]
+            s, home, ids = own.column("s"), own.column("home").to_numpy(zero_copy_only=False), own.column("id").to_numpy()
+            sizes = np.diff(s.offsets.to_numpy())
+            shared = to_pivots(pivots, s)
+            union = sizes[:, None] + np.array([len(p) for p in pivots]) - shared
+            far = 1 - shared / union
+            nearest = far.argmin(1)
+            at, k = np.nonzero((far <= far.min(1)[:, None] + 2 * tau) | (np.arange(len(pivots)) == nearest[:, None]))
+            near = (100 * shared >= percent * union)[at, k]
+            where = mixed(cell[at].astype(np.uint64) + mixed(names[k], 41), 42).astype(np.int64)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays(
+                [region.take(take), pa.array(where), pa.array(home[at] & (nearest[at] == k)), pa.array(ids[at]), own.column("root").take(take), s.take(take), pa.array(names[k], mask=~near | (names[k] == ids[at]))],
+                [*keys, "home", "id", "root", "s", "to"],
+            )
+
+    both = both.select(*keys, "task", "member", "home", "id", "root", "s").repartition(*keys, "task").sortWithinPartitions(*keys, "task", "member", "id")
+    return both.mapInArrow(tidy(work), f"{_MEMBERS}, to long")
+
+
+def in_blocks(members: DataFrame, large: DataFrame) -> DataFrame:
+    """Members of large cells in pairs of blocks: those of the largest component meet all others, but not each other."""
+    rows = members.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, ["region", "cell"])
+    few, many = (F.greatest(F.ceil(x / REGION), F.lit(1)).cast("int") for x in (F.col("n") - F.col("most"), F.col("most")))
+    rows = rows.withColumns({"few": few, "many": many, "rest": F.col("root") != F.col("largest")})
+    block = F.when(F.col("rest"), F.pmod(F.xxhash64("id"), F.col("few"))).otherwise(F.pmod(F.xxhash64("id"), F.col("many"))).cast("int")
+    rows = rows.withColumn("block", block)
+    # a task (i, j) joins block i of the rest with block j of it or, from `few` on, of the largest component
+    for_rest = F.transform(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1), lambda j: F.when(j < F.col("few"), F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))).otherwise(F.struct(F.col("block").alias("i"), j.alias("j"))))
+    for_most = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda i: F.struct(i.alias("i"), (F.col("few") + F.col("block")).alias("j")))
+    rows = rows.withColumn("task", F.explode(F.when(F.col("rest"), for_rest).otherwise(for_most)))
+    return rows.select("region", F.xxhash64("cell", "task.i", "task.j").alias("cell"), "home", "id", "root", "s").distinct()
+
+
+def joined(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(region, id, s) -> (a, b): enough links to connect what is linked in each region, however large."""
+    members = stored(members.select("region", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "id", F.col("id").alias("root"), "s"), "members")
+    edges, done = [], []
+    for level in range(LEVELS + 1):
+        sizes = members.groupBy("region", "cell", "root").agg(F.count("*").alias("m")).groupBy("region", "cell")
+        sizes = stored(sizes.agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("root", F.struct("m", F.col("root"))).alias("largest")).where(f"n > {REGION}"), "sizes")
+        large = sizes.where("n > most")  # where all classes are connected, nothing is left to do
+        side = sizes.select("region", "cell")
+        done.append(members.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, ["region", "cell"], "left_anti"))
+        if large.isEmpty():
+            break
+        if level == LEVELS:
+            done.append(in_blocks(members, large))
+            break
+        members = stored(dealt(members, large, level, percent), "members")
+        links = members.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b"))
+        edges.append(links)
+        known = members.select(F.col("root").alias("id")).unionByName(members.select("id")).distinct()
+        roots = components(known, links.unionByName(members.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b"))))
+        members = stored(members.select("region", "cell", "home", "id", "s").join(roots.withColumnRenamed("component", "root"), "id").select("region", "cell", "home", "id", "root", "s"), "members")
+    every = done[0]
+    for x in done[1:]:
+        every = every.unionByName(x)
+    out = verified(every, percent)
+    for x in edges:
+        out = out.unionByName(x)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, key (hash of its text), n_shingles, component_id of every document, by shingles of so many words and links from so many percent on."""
     small_batches(docs.sparkSession)
     known = stored(described(docs, shingle, percent), "sets")
-    reps = known.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"))
-    rows = known.join(reps.where("id is not null").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = stored(known.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
+    rows = known.join(reps.where("id is not null and n > 0").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     pairs = agreeing(rows.select(F.explode("parts").alias("part"), F.col("doc_id").alias("id")))
     pairs = stored(pairs, "agreeing")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     regions = stored(components(ids, pairs).withColumnRenamed("component", "region"), "regions")
-    sizes = regions.groupBy("region").agg(F.count("*").alias("n"))
     few = regions.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(regions) if few else regions, "id")
-    members = stored(with_sets(texts, "id", ["region", "id"], shingle).where("size(s) > 0"), "members")
-    edges = verified(dealt(members, sizes, percent), percent)
+    edges = joined(with_sets(texts, "id", ["region", "id"], shingle).where("size(s) > 0"), percent)
     linked = components(ids, stored(edges, "edges"))
-    found = known.select("doc_id", "key", "n", "k1", "k2").join(reps, ["n", "k1", "k2"], "left").join(linked, "id", "left")
-    return found.select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("component_id"))
+    # the classes learn their component, one row each, before they meet their documents
+    named = reps.where("n > 0").join(linked, "id", "left").unionByName(reps.where("n = 0"), allowMissingColumns=True)
+    found = spread_join(known.select("doc_id", "key", "n", "k1", "k2"), named, ["n", "k1", "k2"], known.count(), "doc_id")
+    component = F.when(F.col("n") > 0, F.coalesce("component", "id", "doc_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
