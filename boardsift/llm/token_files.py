@@ -6,12 +6,16 @@ in its bit at a level owns that bit, the others go to the next level, and the nu
 the key's slot. A slot holds a 16-bit fingerprint, which turns away almost all foreign keys, the key's place, and so its
 offset and length in the payload. A lookup costs a constant number of reads however many documents there are.
 
-Shards are ranges of doc_id, cut at approximate percentiles so that each holds about `shard_bytes` of text; documents
-are encoded where they are read and only ids are shuffled. The payload is written once to the shared folder, so losing
-an executor loses no shard.
+Documents are dealt to parts, ranges of (doc_id, hash of text) cut by a sample of the rows, `PARTS` of them at most; a part is
+one task and is streamed into shards of about `shard_bytes` of ids each, so no task holds more than a shard. Rows that are
+equal to one or several cuts are dealt over all parts between them, so that a doc_id (or none) that a third of the rows have
+makes many parts. Documents are encoded where they are read and only ids are shuffled. The payload is written once to
+the shared folder, so losing an executor loses no shard. Where a document starts is known from the sizes of parts, of which
+there are few, and the place that its shard remembers.
 
 Defined results: null text counts as empty and holds the end id only; a null doc_id sorts first and isn't in the index;
-documents with equal doc_id follow each other by text hash, and their key yields them all; other columns are ignored; an
+documents with equal doc_id follow each other by text hash, and their key yields them all; repeated rows each have ids of
+their own; a document longer than a shard is a shard by itself, whole; other columns are ignored, whatever their names; an
 empty table makes no shards.
 """
 
@@ -23,7 +27,6 @@ import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,8 +36,10 @@ from boardsift.llm import bpe
 from boardsift.llm.common import small_batches, stored, table, tidy
 from boardsift.llm.tokens import byte_words, library, tokenizer_file
 
-SHARD_BYTES, STARTS, WORDS = 8 << 20, 1_000_000, 400_000
-SHARD_SCHEMA = "shard int, low long, n_docs long, n_ids long, payload binary, index binary"
+#: Bytes of ids a shard, of text a part; most parts; sampled rows a part, which says how evenly they are cut; words a task remembers.
+SHARD_BYTES, PART_BYTES, PARTS, PER_PART, WORDS = 4 << 20, 32 << 20, 20_000, 100, 400_000
+#: low, high: smallest and largest doc_id; base: ids of the same part before this shard.
+SHARD_SCHEMA = "part int, shard int, low long, high long, base long, n_docs long, n_ids long, payload binary, index binary"
 _GAMMA, _LEVELS = 2.0, 48
 
 
@@ -136,17 +141,14 @@ def unpacked(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def built_shard(rows: pd.DataFrame, kind: str) -> pd.DataFrame:
-    """One shard row of (shard, doc_id, h, ids)."""
-    rows = rows.sort_values(["doc_id", "h"], na_position="first", kind="stable")
-    null = int(rows.doc_id.isna().sum())
-    ids = rows.doc_id.iloc[null:].to_numpy(dtype=np.int64)
-    sizes = rows.ids.map(len).to_numpy(dtype=np.int64) // np.dtype(kind).itemsize
+def built_shard(ids: np.ndarray, null: int, payloads: list[bytes], kind: str) -> bytes:
+    """Index of one shard: doc_id of the rows after the first `null` ones, in ascending order, and all rows' payloads."""
+    sizes = np.array([len(x) for x in payloads], np.int64) // np.dtype(kind).itemsize
     keys, first = np.unique(ids, return_index=True)
     index = KeyIndex.build(keys)
     arrays = {"kind": np.frombuffer(kind.encode(), np.uint8), "keys": keys, "first": first.astype(np.uint32) + np.uint32(null), "starts": np.r_[0, np.cumsum(sizes)].astype(np.int64)}
     arrays |= {"marks": index.marks, "places": index.places} | {f"level{k}": np.packbits(x) for k, x in enumerate(index.levels)} | {"sizes": np.array([len(x) for x in index.levels], np.int64)}
-    return pd.DataFrame([{"shard": rows.shard.iloc[0], "low": int(keys[0]) if len(keys) else -(1 << 63), "n_docs": len(rows), "n_ids": int(sizes.sum()), "payload": b"".join(rows.ids), "index": packed(arrays)}])
+    return packed(arrays)
 
 
 class Shard:
@@ -170,31 +172,79 @@ class Shard:
         return np.frombuffer(self.payload, dtype=self.kind, count=b - a, offset=a * size)
 
 
-def write_shards(docs: DataFrame, path: str, end: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def cut_points(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(doc_id, h) at which `n` parts of about equal numbers of rows part, from a sample of at most about `PER_PART` rows a part."""
+    rows = docs.count()
+    some = docs.select("doc_id", "h").where("doc_id is not null or h is not null")
+    some = some.sample(fraction=min(1.0, n * PER_PART / max(1, rows)), seed=9).collect()  # about PARTS * PER_PART rows of two numbers at most
+    keys = sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.h) for r in some)
+    cuts = [keys[len(keys) * i // n] for i in range(1, n)] if keys else []
+    return np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
+
+
+def parts_of(ids: np.ndarray, h: np.ndarray, cuts: tuple[np.ndarray, np.ndarray], seen: dict) -> np.ndarray:
+    """Part of each row; rows equal to cuts take turns over the parts that those bound."""
+    if not len(cuts[0]):
+        return np.zeros(len(ids), np.int64)
+    both = np.rec.fromarrays(cuts)
+    rows = np.rec.fromarrays([ids, h], dtype=both.dtype)
+    low, high = np.searchsorted(both, rows, side="left"), np.searchsorted(both, rows, side="right")
+    for i in np.flatnonzero(high > low).tolist():
+        seen[low[i]] = seen.get(low[i], -1) + 1
+        low[i] += seen[low[i]] % (high[i] - low[i] + 1)
+    return low
+
+
+def write_shards(docs: DataFrame, path: str, end: int = 0, shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """Encode, write and reopen: a table of shards (see SHARD_SCHEMA)."""
     spark = docs.sparkSession
     small_batches(spark)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // shard_bytes))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("c")).first().c if n > 1 else None
-    cuts = np.array(sorted(set(cuts or [])), dtype=np.int64)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, min(PARTS, -(-total // part_bytes)))
+    cuts = spark.sparkContext.broadcast(cut_points(rows, n) if n > 1 else (np.zeros(0, np.int64),) * 2)
     kind = Encoder(path).kind
 
     def encode(batches):
-        own = Encoder(path)
+        own, seen = Encoder(path), {}
         for b in batches:
-            ids = b.column("doc_id")
-            shard = np.searchsorted(cuts, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), ids, b.column("h"), pa.array(own.texts(b.column("text").to_pylist(), end), pa.binary())], ["shard", "doc_id", "h", "ids"])
+            ids, h = b.column("doc_id"), b.column("h")
+            part = parts_of(ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), h.to_numpy(), cuts.value, seen)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), ids, h, pa.array(own.texts(b.column("text").to_pylist(), end), pa.binary())], ["part", "doc_id", "h", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    encoded = rows.mapInArrow(tidy(encode), "shard int, doc_id long, h long, ids binary")
-    return stored(encoded.groupBy("shard").applyInPandas(lambda rows: built_shard(rows, kind), SHARD_SCHEMA), "shards")
+    def build(batches):
+        part, shard, base, held, keys, size = None, 0, 0, [], [], 0
+
+        def row():
+            null = sum(k is None for k in keys)
+            ids = np.array(keys[null:], np.int64)
+            count = size // np.dtype(kind).itemsize
+            cells = [part, shard, int(ids[0]) if len(ids) else None, int(ids[-1]) if len(ids) else None, base, len(held), count, b"".join(held), built_shard(ids, null, held, kind)]
+            types = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary()]
+            return count, pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types, strict=True)], ["part", "shard", "low", "high", "base", "n_docs", "n_ids", "payload", "index"])
+
+        for b in batches:
+            for p, key, x in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
+                if held and (p != part or size + len(x) > shard_bytes):
+                    count, out = row()
+                    yield out
+                    shard, base, held, keys, size = (shard + 1, base + count, [], [], 0) if p == part else (0, 0, [], [], 0)
+                part = p
+                held.append(x)
+                keys.append(key)
+                size += len(x)
+        if held:
+            yield row()[1]
+
+    encoded = rows.mapInArrow(tidy(encode), "part int, doc_id long, h long, ids binary")
+    dealt = encoded.repartitionById(n, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "h")
+    return stored(dealt.mapInArrow(tidy(build), SHARD_SCHEMA), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """Every document of the files, found through the index: doc_id, start, n_tokens, ids_crc32."""
-    starts = shards.select(F.col("shard").alias("s"), (F.sum("n_ids").over(W.orderBy("shard")) - F.col("n_ids")).alias("base"))  # a row a shard
+    sizes = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row a part: PARTS at most
 
     def read(batches):
         for b in batches:
@@ -206,28 +256,25 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 at = [*range(null), *np.repeat(first - np.r_[0, np.cumsum(last - first)[:-1]], last - first).__add__(np.arange(int((last - first).sum()))).tolist()] if len(shard.keys) else [*range(null)]
                 crc = [zlib.crc32(shard.ids(i).astype("<u4").tobytes()) for i in at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(shard.starts[at] + r["base"], pa.int64()), pa.array(np.diff(shard.starts)[at], pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.array(ids, pa.int64()), pa.array(shard.starts[at] + r["before"] + r["base"], pa.int64()), pa.array(np.diff(shard.starts)[at], pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    few = shards.count() <= STARTS
-    joined = shards.join(F.broadcast(starts) if few else starts, F.col("shard") == F.col("s")).select("payload", "index", "base")
+    joined = shards.join(F.broadcast(starts), "part").select("payload", "index", "base", "before")
     return joined.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def fetch(shards: DataFrame, keys: DataFrame) -> DataFrame:
-    """Ids of the documents with the given keys (column doc_id): doc_id, ids. A key goes to the one shard whose range it is in."""
-    held = shards.select("low", "shard").orderBy("low").collect()  # a row a shard
-    lows, names = np.array([r.low for r in held], np.int64), np.array([r.shard for r in held], np.int32)
-
-    def deal(batches):
-        for b in batches:
-            at = np.searchsorted(lows, b.column("doc_id").to_numpy(), side="right") - 1
-            keep = at >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(names[at[keep]]), pa.array(b.column("doc_id").to_numpy()[keep])], ["shard", "doc_id"])
-
-    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().mapInArrow(deal, "shard int, doc_id long")
-    both = shards.join(wanted.groupBy("shard").agg(F.collect_list("doc_id").alias("want")), "shard").select("payload", "index", "want")
+    """Ids of the documents with the given keys (column doc_id): doc_id, ids.
+
+    A key goes to the parts whose range it is in (there are `PARTS` at most, and more than one only where the key is in
+    several), there to the shards whose range it is in, and in a shard through the index.
+    """
+    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    ranges = shards.groupBy("part").agg(F.min("low").alias("first"), F.max("high").alias("last"))
+    wanted = wanted.join(F.broadcast(ranges), (F.col("doc_id") >= F.col("first")) & (F.col("doc_id") <= F.col("last"))).select("part", "doc_id")
+    places = wanted.join(shards.select("part", "shard", "low", "high"), "part").where("doc_id between low and high")
+    both = shards.join(places.groupBy("part", "shard").agg(F.collect_list("doc_id").alias("want")), ["part", "shard"]).select("payload", "index", "want")
 
     def look(batches):
         for b in batches:
