@@ -2,13 +2,16 @@
 
 Words are maximal runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z. An item's windows are its runs of
 10 consecutive words, or all its words if it has fewer. Each position of a document is hashed once for each window
-length that the benchmark has (at most 10), probed against the set, and a hit is verified word by word.
+length that the benchmark has (at most 10) and probed against the set of window hashes; what hits is verified word by word
+against the windows. A text is cut into words once.
 
-The set is broadcast while the benchmark's text is at most ``broadcast_bytes``; beyond that the same join runs shuffled.
+The set that is broadcast holds one 64-bit hash a window, at most ``broadcast_windows`` of them; beyond that the same join
+runs shuffled. Words and items of windows aren't broadcast by this module.
 
 Defined results: null text has no words; an item without words has no window; items with equal ids count once; a null
 item_id counts as the empty string; repeated documents each get a row; documents with equal doc_id are told apart by a
-hash of their text; other columns are ignored; an empty benchmark leaves every document clean.
+hash of their text; texts of any length are read whole; a window that several items hold names them all; other columns are
+ignored, whatever their names; an empty benchmark leaves every document clean; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -39,12 +42,6 @@ def words(text: str):
     return F.coalesce(F.slice(cut, first, F.greatest(rest, F.lit(0))), F.array().cast("array<string>"))
 
 
-def word_count(text: str):
-    cut = F.split(F.col(text), GAP)
-    ends = F.when(F.get(cut, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(cut) > 1) & (F.get(cut, F.size(cut) - 1) == ""), 1).otherwise(0)
-    return F.when(F.col(text).isNull(), 0).otherwise(F.size(cut) - ends).cast("long")
-
-
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct windows: h, w (the words), l (how many), items (sorted ids that hold it)."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words("text").alias("ws")).where(F.size("ws") > 0)
@@ -55,25 +52,26 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_windows: int = 4_000_000) -> DataFrame:
     """Per document: doc_id, key (hash of its text), n_words, n_hit, items (sorted ids of items with occurring windows), spans (hit word ranges)."""
     known = benchmark_windows(items, window)
-    lengths = sorted(r[0] for r in known.select("l").distinct().collect())  # at most `window` values
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    lengths = {r.l: r.n for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}  # at most `window` values
     base = docs.select("doc_id", F.xxhash64("text").alias("key"), words("text").alias("ws"))
-    counted = docs.select("doc_id", F.xxhash64("text").alias("key"), word_count("text").alias("n_words"))
-    if not lengths:
-        return counted.select("*", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
-    rows = base.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("l")).where(F.size("ws") >= F.col("l"))
-    rows = rows.select("doc_id", "key", "ws", "l", F.explode(F.sequence(F.lit(1), F.size("ws") - F.col("l") + 1)).alias("p"))
-    rows = rows.select("doc_id", "key", "l", "p", F.slice("ws", F.col("p"), F.col("l")).alias("dw"))
-    rows = rows.select("*", F.xxhash64("dw").alias("h"))
-    known = known.withColumnRenamed("l", "wl")
-    known = F.broadcast(known) if size <= broadcast_bytes else known.hint("shuffle_hash")
-    hits = rows.join(known, (rows["h"] == known["h"]) & (rows["dw"] == known["w"])).select("doc_id", "key", "p", "l", "items")
-    hits = hits.groupBy("doc_id", "key").agg(
-        F.array_sort(F.collect_set(F.struct(F.col("p").alias("a"), (F.col("p") + F.col("l")).alias("b")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    # l = 0 stands for the document itself: it carries the number of words and meets no window
+    rows = base.select("*", F.explode(F.array(*map(F.lit, [0, *sorted(lengths)]))).alias("l")).where(F.size("ws") >= F.col("l"))
+    rows = rows.select("doc_id", "key", "ws", "l", F.explode(F.sequence(F.lit(1), F.when(F.col("l") == 0, 1).otherwise(F.size("ws") - F.col("l") + 1))).alias("p"))
+    rows = rows.select("doc_id", "key", "l", "p", F.slice("ws", F.col("p"), F.col("l")).alias("dw"), F.when(F.col("l") == 0, F.size("ws")).alias("n_words"))
+    rows = rows.select("*", F.when(F.col("l") == 0, F.xxhash64("doc_id", "key")).otherwise(F.xxhash64("dw")).alias("h"))  # documents spread by themselves
+    hashes = known.select(F.col("h").alias("wh"), F.lit(True).alias("met")).distinct()
+    hashes = F.broadcast(hashes) if sum(lengths.values()) <= broadcast_windows else hashes
+    met = rows.join(hashes, (F.col("l") > 0) & (F.col("h") == F.col("wh")), "left").where("met or l = 0")
+    met = met.join(known.select(F.col("h").alias("vh"), "w", F.col("items").alias("found")), (F.col("l") > 0) & (F.col("h") == F.col("vh")) & (F.col("dw") == F.col("w")), "left")
+    span = F.struct(F.col("p").alias("a"), (F.col("p") + F.col("l")).alias("b"))
+    hits = met.groupBy("doc_id", "key").agg(
+        F.count("n_words").alias("rows"),
+        F.max("n_words").cast("long").alias("n_words"),
+        F.array_sort(F.collect_set(F.when(F.col("found").isNotNull(), span))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("found")))).alias("items"),
     )
     covered = F.aggregate(
         "spans",
@@ -81,16 +79,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broad
         lambda acc, s: F.struct(F.greatest(acc["end"], s["b"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(acc["end"], s["a"]))).alias("n")),
         lambda acc: acc["n"],
     )
-    hits = hits.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), covered.alias("n_hit"), "items", "spans")
-    joined = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("key").eqNullSafe(F.col("k")), "left")
-    return joined.select(
-        "doc_id",
-        "key",
-        "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("spans"),
-    )
+    out = hits.select("doc_id", "key", "n_words", covered.alias("n_hit"), "items", "spans", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("row"))
+    return out.drop("row")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
