@@ -2,16 +2,18 @@
 
 Each text becomes a row of document statistics. Random Fourier features (Rahimi and Recht, 2007) of the standardised
 statistics approximate a Gaussian kernel; every partition sums its share of the normal equations, the sums are added up
-in a second stage over at most `SUMS` groups, and the driver solves one small ridge system per calibration fold.
+in a tree of which every node adds `FAN`, so the driver gets one sum however many partitions there are, and it solves one
+small ridge system per calibration fold.
 Isotonic regression (pooled adjacent violators) on out-of-fold ridge scores turns them into probabilities.
 
 What learns: rows of ``labels`` joined by doc_id, of training folds only (crc32(doc_id) mod 5 <> 0). Inputs of a score:
 the text alone.
 
 Defined results: null text counts as empty and is scored like an empty text; labels without a document, or null, are
-unused; several labels of one document each count; documents with equal doc_id each get a row; with no usable label or
-only one kind, every score is the share of label 1 (0.5 without labels); other columns are ignored; an empty table gives
-no rows.
+unused; several labels of one document each count; documents with equal doc_id, repeated rows too, each get a row and
+each learn from the labels of that id; texts of any length are measured whole; statistics beyond 6 deviations count as 6;
+equal raw scores get equal scores; with no usable label or only one kind, every score is the share of label 1 (0.5 without
+labels); other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,14 +24,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsift.llm.common import held_out, small_batches, stored, table, tidy
 
-FEATURES, GAMMA, RIDGE, FOLDS, SUMS, BINS, THRESHOLD, SEED = 384, 0.04, 1e-3, 4, 16, 2000, 0.3, 20
+FEATURES, GAMMA, RIDGE, FOLDS, FAN, BINS, THRESHOLD, SEED = 384, 0.04, 1e-3, 4, 16, 2000, 0.3, 20
 _PUNCT = str.maketrans("", "", string.punctuation)
 _VOWEL = re.compile(r"[aeiouyäöüáéíóúàèêâôû]+", re.I)
 
@@ -118,7 +119,12 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def summed(rows: DataFrame, partial, names: int) -> list[np.ndarray]:
-    """Add up one array per kind over all partitions: each makes its own sums, which meet in a few groups and then here."""
+    """Add up arrays over all partitions: each makes its own sums, `FAN` of which meet in a task, and so on until one is left."""
+    columns = [f"s{i}" for i in range(names)]
+    schema = "p int, " + ", ".join(f"{c} binary" for c in columns)
+
+    def row(p, sums):
+        return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x.astype("<f8").tobytes()], pa.binary()) for x in sums)], ["p", *columns])
 
     def work(batches):
         sums = None
@@ -127,15 +133,25 @@ def summed(rows: DataFrame, partial, names: int) -> list[np.ndarray]:
                 own = partial(b)
                 sums = own if sums is None else [s + o for s, o in zip(sums, own, strict=True)]
         if sums is not None:
-            group = np.random.default_rng(zlib.crc32(sums[0].tobytes())).integers(SUMS)
-            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), *(pa.array([s.astype("<f8").tobytes()], pa.binary()) for s in sums)], ["g", *(f"s{i}" for i in range(names))])
+            yield row(0, sums)
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[int(pdf.g.iloc[0]), *(np.sum([np.frombuffer(x, "<f8") for x in pdf[f"s{i}"]], axis=0).tobytes() for i in range(names))]], columns=pdf.columns)
+    def add(batches):
+        sums, p = None, 0
+        for b in batches:
+            for i in range(b.num_rows):
+                p = b.column("p")[i].as_py()
+                own = [np.frombuffer(b.column(c)[i].as_py(), "<f8") for c in columns]
+                sums = own if sums is None else [s + o for s, o in zip(sums, own, strict=True)]
+        if sums is not None:
+            yield row(p // FAN, sums)
 
-    schema = "g int, " + ", ".join(f"s{i} binary" for i in range(names))
-    groups = rows.mapInArrow(tidy(work), schema).groupBy("g").applyInPandas(add, schema).drop("g").collect()  # at most SUMS rows
-    return [np.sum([np.frombuffer(r[i], "<f8") for r in groups], axis=0) for i in range(names)] if groups else []
+    left = max(2, len(rows.inputFiles()))
+    parts = rows.mapInArrow(tidy(work), schema).withColumn("p", F.spark_partition_id())
+    while left > 1:
+        left = -(-left // FAN)
+        parts = parts.repartitionById(left, F.floor(F.col("p") / FAN).cast("int")).sortWithinPartitions("p").mapInArrow(tidy(add), schema)
+    one = parts.drop("p").collect()  # one row
+    return [np.frombuffer(x, "<f8") for x in one[0]] if one else []
 
 
 def isotonic(score: np.ndarray, weight: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,14 +188,17 @@ def fit(train: DataFrame) -> Model:
     n, mean = sums[0][0], sums[0][2 : 2 + N] / sums[0][0]
     scale = np.sqrt(np.maximum(sums[0][2 + N :] / n - mean**2, 1e-6))
     fourier, size = Fourier(mean, scale), FEATURES + 1
+    upper = np.triu_indices(size)
 
     def normal(b):
         z, y, fold = fourier(matrix(b.column("x"))), b.column("y").to_numpy(zero_copy_only=False), b.column("fold").to_numpy(zero_copy_only=False)
         parts = [(z[fold == k], y[fold == k]) for k in range(FOLDS)]
-        return [np.concatenate([(a.T @ a).ravel() for a, _ in parts]), np.concatenate([a.T @ t for a, t in parts])]
+        return [np.concatenate([(a.T @ a)[upper] for a, _ in parts]), np.concatenate([a.T @ t for a, t in parts])]
 
-    xx, xy = summed(train, normal, 2)
-    xx, xy = xx.reshape(FOLDS, size, size), xy.reshape(FOLDS, size)
+    half, xy = summed(train, normal, 2)
+    xx, xy = np.empty((FOLDS, size, size)), xy.reshape(FOLDS, size)
+    for full, own in zip(xx, half.reshape(FOLDS, -1), strict=True):
+        full[upper] = full.T[upper] = own
     penalty = np.eye(size) * RIDGE * max(n, 2000)
     penalty[-1, -1] = 1e-9
 
