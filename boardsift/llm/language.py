@@ -5,16 +5,18 @@ n-grams (1 to 3, with word ends marked) and lexicon membership (in which languag
 transitions between the states of neighbouring words are learnt. Forward-backward over the whole text gives each word's
 posterior, and a text's language is the one with the largest mean posterior.
 
-Training: at most `SAMPLE` labelled rows, those with the smallest hash of doc_id; from their words code-switched
-sequences of known labels are spliced, and the conditional likelihood is maximised by gradient steps.
+Training: at most `SAMPLE` labelled rows and `SAMPLE_BYTES` of text, those with the smallest hash of doc_id and text (a row that
+would exceed the bytes is passed over, whole); from their words code-switched sequences of known labels are spliced, and
+the conditional likelihood is maximised by gradient steps.
 
 Scoring: a worker scores the emissions of a distinct word once. Long texts are cut into blocks of `BLOCK` words; products
 of transfer matrices carry exact messages across blocks, so the chain is that of the whole text, computed for many
 blocks at once.
 
 Defined results: `und` with score 0 for null text, text without a letter, or when nothing could be learnt; rows with null
-lang or null doc_id don't teach; ties between languages go to the alphabetically first; repeated rows each get a row;
-other columns are ignored; an empty table gives no rows.
+lang or null doc_id don't teach; texts and words of any length are read whole; ties between languages go to the
+alphabetically first; repeated rows each get a row and the same prediction, and teach once; other columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from boardsift.llm.common import held_out, small_batches, table, tidy
 
-SAMPLE, BUCKETS, SEQUENCES, LENGTH, STEPS, BLOCK, WORDS, LEXICON, SEED = 1200, 1 << 15, 4000, 40, 40, 64, 300_000, 300, 3
+SAMPLE, SAMPLE_BYTES, BUCKETS, SEQUENCES, LENGTH, STEPS, BLOCK, WORDS, LEXICON, SEED = 1200, 32 << 20, 1 << 15, 4000, 40, 40, 64, 300_000, 300, 3
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -217,13 +219,18 @@ def fit(rows: list[tuple[str, str]]) -> Crf:
     return Crf(labels, features, w, a)
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Crf:
+def learn(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Crf:
     """Fit on a bounded sample of the training folds' labelled rows."""
     known = docs.where("text is not null and lang is not null").where(~F.coalesce(held_out(), F.lit(True)))
-    known = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")))
-    last = known.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # texts don't take part in the sort
-    rows = sorted((r.h, r.text, r.lang) for r in known.where(F.col("h") <= F.lit(last)).select("h", "text", "lang").collect())[:sample] if last is not None else []
-    return fit([(text, lang) for _, text, lang in rows])
+    known = known.select(F.xxhash64(F.col("doc_id").cast("string"), "text", "lang").alias("h"), F.octet_length("text").alias("n"), "text", "lang")
+    sizes = known.groupBy("h").agg(F.first("n").alias("n")).orderBy("h").limit(sample).collect()  # at most `sample` rows of two numbers
+    chosen, left = [], sample_bytes
+    for r in sizes:
+        if r.n <= left:
+            chosen.append(r.h)
+            left -= r.n
+    texts = known.where(F.col("h").isin(chosen)).groupBy("h").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
+    return fit([(r.text, r.lang) for r in sorted(texts.collect())] if chosen else [])
 
 
 def identify(docs: DataFrame, model: Crf) -> DataFrame:

@@ -50,10 +50,10 @@ def brute_hits(texts, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 0])
+@pytest.mark.parametrize("limit", [4_000_000, 0])
 def test_decontamination_against_brute_force(spark, limit):
     docs, items = clashing(documents(spark, TEXTS)), spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontaminate.decontaminate(docs, items, broadcast_bytes=limit).collect()
+    got = decontaminate.decontaminate(docs, items, broadcast_windows=limit).collect()
     assert sorted([(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got], key=str) == brute_hits(TEXTS, ITEMS)
 
 
@@ -101,7 +101,7 @@ def test_repeats_against_brute_force(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_spans, bytes(r.kept)) for r in got) == [(i, *x) for i, x in enumerate(brute_cut(rows))]
 
 
-@pytest.mark.parametrize(("hot", "held", "frequent"), [(1, 500_000, 10_000), (2000, 3, 10_000), (2000, 500_000, 2)])
+@pytest.mark.parametrize(("hot", "held", "frequent"), [(1, 500_000, 10_000), (2000, 3, 10_000), (2000, 500_000, 2), (3, 500_000, 2)])
 def test_crowded_anchors_against_brute_force(spark, monkeypatch, hot, held, frequent):
     """Many different fragments of one anchor: strings told apart by content, anchors that a task doesn't hold whole, anchors dealt by content."""
     for name, value in (("HOT", hot), ("HELD", held), ("FREQUENT", frequent)):
@@ -175,6 +175,44 @@ def test_language(spark):
     assert p[:30].argmax(1).tolist().count(0) > 25 and p[30:].argmax(1).tolist().count(1) > 25
 
 
+def test_predictions_against_brute_force(spark):
+    """Features by their definition, and forward-backward word by word in log space."""
+    random.seed(12)
+    rows = [(i, " ".join("".join(random.choice(["lo", "ra", "mi"] if i % 2 else ["ra", "mi", "no"]) for _ in range(3)) for _ in range(40)), "ab"[i % 2]) for i in range(60)]
+    model = language.learn(documents(spark, rows))
+    texts = [t for _, t, _ in rows[:6]] + ["lo", "lorami 12 NORA x" * 30, rows[0][1] + " " + rows[1][1] + " ölo"]
+    k = len(model.labels)
+
+    def emission(word):
+        grams = {f"<{word}>"[a:z] for a in range(len(word) + 2) for z in range(a + 1, min(a + 3, len(word) + 2) + 1)}
+        names = [*grams, *(f"p{word[:i]}" for i in range(1, 5) if i <= len(word)), *(f"s{word[-i:]}" for i in range(1, 5) if i <= len(word))]
+        names += [f"lexicon {i}" for i, known in enumerate(model.features.lexicons) if word in known]
+        return sum(model.weights[zlib.crc32(x.encode()) % language.BUCKETS] for x in names)
+
+    def log_sum(v):
+        return max(v) + np.log(sum(np.exp(x - max(v)) for x in v))
+
+    for text, (lang, score) in zip(texts, model.label_texts(texts), strict=True):
+        e = [emission(w) for w in re.findall(r"[^\W\d_]+", text.lower())]
+        ahead, behind = [list(e[0])], [[0.0] * k]
+        for v in e[1:]:
+            ahead.append([log_sum([ahead[-1][i] + model.transitions[i, j] for i in range(k)]) + v[j] for j in range(k)])
+        for v in reversed(e[1:]):
+            behind.insert(0, [log_sum([model.transitions[i, j] + v[j] + behind[0][j] for j in range(k)]) for i in range(k)])
+        post = [[a + b for a, b in zip(x, y, strict=True)] for x, y in zip(ahead, behind, strict=True)]
+        mean = np.mean([[np.exp(v - log_sum(p)) for v in p] for p in post], 0)
+        assert lang == model.labels[int(mean.argmax())] and abs(score - mean.max()) < 1e-5
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(1, "lora mira " * 50, "aa")] * 40 + [(2, "schu tzen " * 50, "bb")] * 40 + [(3, "x" * 100_000, "cc")]
+    model = language.learn(documents(spark, rows), sample=3, sample_bytes=2000)
+    assert set(model.labels) <= {"aa", "bb"}
+    assert language.learn(documents(spark, rows), sample_bytes=10).labels == []
+    got = language.identify(documents(spark, rows), language.learn(documents(spark, rows))).collect()
+    assert len(got) == 81 and all(len({(r.lang_pred, r.score) for r in got if r.doc_id == i}) == 1 for i in (1, 2, 3))
+
+
 def test_all_letters_of_a_long_word_count():
     features = language.Features([])
     whole = set(features("a" * 100 + "xyz" + "a" * 100))
@@ -244,14 +282,28 @@ def near_copies():
     return [*rows, (n, None), (n + 1, " "), (n + 2, rows[0][1]), (n + 3, "A b"), (n + 4, "a  B")]
 
 
-@pytest.mark.parametrize("region", [3000, 2])
-def test_jaccard_components_against_brute_force(spark, region, monkeypatch):
+@pytest.mark.parametrize(("region", "levels"), [(3000, 3), (2, 3), (5, 1), (4, 0)])
+def test_jaccard_components_against_brute_force(spark, region, levels, monkeypatch):
+    """Regions that fit a task; dealt into cells again and again; compared in blocks in the end, or at once."""
     monkeypatch.setattr(jaccard, "REGION", region)
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
     rows = near_copies()
     got = jaccard.near_duplicates(clashing(documents(spark, rows))).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("levels", [2, 0])
+def test_jaccard_of_one_large_group(spark, levels, monkeypatch):
+    """A chain of near copies in one region: neighbours link, its ends don't."""
+    monkeypatch.setattr(jaccard, "REGION", 6)
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[2 * i : 2 * i + 90])) for i in range(60)] + [(100 + i, " ".join(words[:80] + [f"x{i}{k}" for k in range(9)])) for i in range(12)]
+    got = jaccard.near_duplicates(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
+
+
 def brute_links(rows, k, percent):
     """Component of each row, by links of k-word shingles."""
     sets = []
@@ -314,7 +366,10 @@ def test_voronoi_cells_lose_no_link():
 
 
 def test_jaccard_of_odd_rows(spark):
-    assert jaccard.near_duplicates(documents(spark, ODD)).count() == len(ODD)
+    got = jaccard.near_duplicates(clashing(documents(spark, ODD))).collect()
+    sizes = {r[0]: r[1] for r in brute_components([r for r in ODD if r[0] is not None])}
+    want = [(i, sizes[i], {8: 7, 10: 9}.get(i, i)) for i, _ in ODD if i is not None] + [(None, 1, None), (None, 0, None)]
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(want, key=str)
     assert jaccard.near_duplicates(documents(spark, [])).count() == 0
 
 
@@ -363,11 +418,11 @@ def test_token_operators_on_odd_rows(spark):
     assert tokens.count_tokens(documents(spark, []), tokens.tokenizer_file("byte_bpe_50k.json")).count() == 0
 
 
-@pytest.mark.parametrize("size", [8 << 20, 4000])
-def test_token_files_round_trip(spark, size):
+@pytest.mark.parametrize(("size", "part"), [(8 << 20, 32 << 20), (4000, 32 << 20), (50, 9000)])
+def test_token_files_round_trip(spark, size, part):
     path = tokens.tokenizer_file("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    shards = token_files.write_shards(documents(spark, ODD), path, shard_bytes=size)
+    shards = token_files.write_shards(clashing(documents(spark, ODD)), path, shard_bytes=size, part_bytes=part)
     ids = {i: [[*library.encode(t or "", add_special_tokens=False).ids, 0] for k, t in ODD if k == i] for i, _ in ODD}
     rows = token_files.read_shards(shards).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None, None, 1, 2, 3, 4, 5, 6, 7, 8, 8, 9, 10]
@@ -379,6 +434,18 @@ def test_token_files_round_trip(spark, size):
     assert token_files.read_shards(token_files.write_shards(documents(spark, []), path)).count() == 0
 
 
+def test_token_files_of_one_key(spark):
+    """A doc_id, or none, that most rows have is dealt over several parts, in order."""
+    path = tokens.tokenizer_file("byte_bpe_50k.json")
+    rows = [(5, "one two three")] * 300 + [(5, f"other {i}") for i in range(40)] + [(None, "null")] * 100 + [(i, f"text {i}") for i in range(40)]
+    shards = token_files.write_shards(documents(spark, rows).repartition(3), path, shard_bytes=400, part_bytes=500)
+    assert shards.where("low = 5 and high = 5").select("part").distinct().count() > 3
+    got = token_files.read_shards(shards).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 100 + sorted(i for i, _ in rows if i is not None)
+    assert [r.start for r in got] == np.r_[0, np.cumsum([r.n_tokens for r in got])[:-1]].tolist()
+    assert token_files.fetch(shards, spark.createDataFrame([(5,), (99,)], "doc_id long")).count() == 341
+
+
 def test_key_index_is_minimal_and_perfect():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000))
     index = token_files.KeyIndex.build(keys)
@@ -421,6 +488,48 @@ def test_quality(spark):
     assert quality.score_quality(documents(spark, []), labels).count() == 0
 
 
+def test_quality_model_against_brute_force(spark, monkeypatch):
+    """Fourier features, ridge, calibration: least squares on all rows at once and the min-max form of isotonic regression."""
+    r = np.random.default_rng(4)
+    n, size = 900, quality.FEATURES + 1
+    x = r.normal(size=(n, quality.N)) * r.uniform(0.1, 3, quality.N)
+    y, fold = (x[:, 0] + np.sin(3 * x[:, 1]) + r.normal(size=n) * 0.3 > 0.2).astype(float), r.integers(0, quality.FOLDS, n)
+    monkeypatch.setattr(quality, "FAN", 2)
+    rows = [(int(f), v.tolist(), float(t)) for f, v, t in zip(fold, x, y, strict=True)]
+    train = quality.stored(spark.createDataFrame(rows, "fold int, x array<double>, y double").repartition(7), "training")
+    model = quality.fit(train)
+    z = (x - x.mean(0)) / x.std(0)
+    random = np.random.default_rng(quality.SEED)
+    w, b = random.normal(size=(quality.N, quality.FEATURES)) * np.sqrt(2 * quality.GAMMA), random.uniform(0, 2 * np.pi, quality.FEATURES)
+    phi = np.c_[np.cos(np.clip(z, -6, 6) @ w + b) * np.sqrt(2 / quality.FEATURES), np.ones(n)]
+    i, j = r.integers(0, n, 200), r.integers(0, n, 200)
+    assert np.abs(2 * 0 + phi[i, :-1] @ phi[j, :-1].T - np.exp(-quality.GAMMA * ((z[i][:, None] - z[j][None]) ** 2).sum(2))).mean() < 0.05  # the kernel
+
+    def ridge(rows):
+        strength = np.r_[np.full(size - 1, quality.RIDGE * max(n, 2000)), 1e-9] * rows.sum() / n
+        return np.linalg.lstsq(np.r_[phi[rows], np.diag(np.sqrt(strength))], np.r_[y[rows], np.zeros(size)], rcond=None)[0]
+
+    assert np.allclose(model.weights, ridge(np.ones(n, bool)), atol=1e-6)
+    score = np.select([fold == k for k in range(quality.FOLDS)], [phi @ ridge(fold != k) for k in range(quality.FOLDS)])
+    at = np.clip(((score + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    bins = [(score[at == k].mean(), (at == k).sum(), y[at == k].sum()) for k in np.unique(at)]
+    mean = lambda a, z: sum(v for _, _, v in bins[a : z + 1]) / sum(v for _, v, _ in bins[a : z + 1])
+    raw = [max(min(mean(a, z) for z in range(k, len(bins))) for a in range(k + 1)) for k in range(len(bins))]
+    levels = {}
+    for (s, c, v), level in zip(bins, raw, strict=True):
+        levels.setdefault(round(level, 12), []).append((s, c, v))
+    centres = [sum(s * c for s, c, _ in g) / sum(c for _, c, _ in g) for g in levels.values()]
+    heights = [(sum(v for *_, v in g) + 0.5) / (sum(c for _, c, _ in g) + 1) for g in levels.values()]
+    assert np.allclose(model.centres, centres) and np.allclose(model.levels, heights)
+    assert np.allclose(model(x), np.clip(np.interp(phi @ model.weights, centres, heights), 0, 1))
+
+
+def test_quality_of_repeated_rows(spark):
+    docs = documents(spark, [(1, "good words here."), (1, "good words here."), (1, "another text"), (2, "!!! ???")] * 3)
+    got = quality.score_quality(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == 12 and all(len({r.score for r in got if (r.doc_id, r.key) == k}) == 1 for k in {(r.doc_id, r.key) for r in got})
+
+
 def test_isotonic_levels_rise():
     centres, levels = quality.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.ones(4) * 10, np.array([1.0, 5.0, 3.0, 9.0]))
     assert (np.diff(levels) > 0).all() and len(centres) == 3
