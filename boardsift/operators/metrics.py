@@ -68,3 +68,10 @@ def sweep(rows: DataFrame, thresholds: list[float], score: str, right: str) -> D
 def best_threshold(swept: DataFrame, target: float) -> DataFrame:
     """The widest coverage at the wanted precision, of equals the lowest threshold."""
     return swept.where(F.col("precision") >= target).agg(F.max_by("threshold", F.struct("coverage", -F.col("threshold"))).alias("accept"), F.max("coverage").alias("coverage"))
+
+
+def checkpoint_score(defect: Column, wrong: Column) -> Column:
+    """Twice the share of defects that don't escape, and the share of good ones that aren't called: an aggregate."""
+    escapes = F.coalesce(F.try_divide(F.count_if(defect & wrong), F.count_if(defect)), F.lit(0.0))
+    false_calls = F.coalesce(F.try_divide(F.count_if(~defect & wrong), F.count_if(~defect)), F.lit(0.0))
+    return 2 * (1 - escapes) + 1 - false_calls

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 BOX, SCORE = ("bbox", "xyxy", "box", "bounds"), ("confidence", "score", "conf", "probability", "prob")
 
 
-def coerced(rows: DataFrame, json: str, keys: list[str]) -> DataFrame:
-    """x1 and x2 in whole pixels, one apart at least, and the score; the first name that is there counts."""
+def coerced(rows: DataFrame, json: str, keys: list[str], w: int, h: int) -> DataFrame:
+    """Box in whole pixels, inside the image and one pixel wide and high at least, and the score; the first name that is there counts."""
 
     def first(names, tail=""):
         return F.coalesce(*(F.get_json_object(json, f"$.{n}{tail}") for n in names)).cast("double")
 
-    x1 = F.bround(first(BOX, ".x1"), 0)
-    return rows.select(*keys, x1.cast("int").alias("x1"), F.greatest(F.bround(first(BOX, ".x2"), 0), x1 + 1).cast("int").alias("x2"), first(SCORE).alias("score"))
+    def side(name, low, high):
+        return F.least(F.greatest(F.bround(first(BOX, f".{name}"), 0), F.lit(low)), F.lit(high)).cast("int")
+
+    x1, y1 = side("x1", 0, w - 1), side("y1", 0, h - 1)
+    x2, y2 = F.greatest(side("x2", 0, w), x1 + 1), F.greatest(side("y2", 0, h), y1 + 1)
+    return rows.select(*keys, x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), first(SCORE).alias("score"))

@@ -128,3 +128,22 @@ def register(source: np.ndarray, classes: list, target: np.ndarray, labels: list
         return {"usable": False}
     score, m, residual, n = best
     return {"usable": n / len(source) >= 0.35 and residual <= 25, "matrix": m, "matched": n, "agreements": score[0], "residual": residual, "inlier_ratio": n / len(source)}
+
+
+def clipped_area(outline: list[tuple[float, float]], box: tuple[float, float, float, float]) -> float:
+    """Area of a convex outline inside a box: the outline is cut along one side of the box after the other."""
+    x1, y1, x2, y2 = box
+    points = list(outline)
+    for axis, bound, sign in ((0, x1, 1), (0, x2, -1), (1, y1, 1), (1, y2, -1)):
+        kept = []
+        for p, q in zip(points, points[1:] + points[:1], strict=True):
+            dp, dq = sign * (p[axis] - bound), sign * (q[axis] - bound)
+            if dp >= 0:
+                kept.append(p)
+            if (dp > 0 > dq) or (dp < 0 < dq):
+                t = dp / (dp - dq)
+                kept.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+        points = kept
+    if len(points) < 3:
+        return 0.0
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(points, points[1:] + points[:1], strict=True))) / 2

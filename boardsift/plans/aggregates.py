@@ -28,7 +28,7 @@ def finding_counts(spark, sf_dir):
 LABEL = "trim(regexp_replace(lower(raw_label), '[^a-z0-9]+', '_', 'g'), '_')"
 
 
-@query("A4 A5 D11 U1", f"SELECT source, label, count(*) AS n, count(DISTINCT image) AS groups FROM (SELECT *, {LABEL} AS label FROM sample) t GROUP BY GROUPING SETS ((source), (label), (label, source), ())", ("sample",))
+@query("A4 A5 U1", f"SELECT source, label, count(*) AS n, count(DISTINCT image) AS groups FROM (SELECT *, {LABEL} AS label FROM sample) t GROUP BY GROUPING SETS ((source), (label), (label, source), ())", ("sample",))
 def source_class_cube(spark, sf_dir):
     from boardsift.functions.text import plain_label
 
@@ -114,7 +114,7 @@ def threshold_sweep(spark, sf_dir):
     return swept(spark, sf_dir)
 
 
-@query("A14 M6", SWEEP + "SELECT (SELECT threshold FROM sw WHERE precision >= 0.1 ORDER BY coverage DESC, threshold LIMIT 1) AS accept, (SELECT max(coverage) FROM sw WHERE precision >= 0.1) AS coverage", ("feat",))
+@query("A14", SWEEP + "SELECT (SELECT threshold FROM sw WHERE precision >= 0.1 ORDER BY coverage DESC, threshold LIMIT 1) AS accept, (SELECT max(coverage) FROM sw WHERE precision >= 0.1) AS coverage", ("feat",))
 def accept_threshold(spark, sf_dir):
     return metrics.best_threshold(swept(spark, sf_dir), 0.1)
 
@@ -168,7 +168,7 @@ def boxes_histogram(spark, sf_dir):
     return view(spark, sf_dir, "det").groupBy("board_id").agg(F.count_if(gates.is_lead(F.col("label"))).alias("boxes")).groupBy("boxes").agg(F.count("*").alias("boards"))
 
 
-@query("A21 P60", """SELECT c.board_id, round_even(sqrt(avg(pow(cx - (x1 + x2) / 2, 2) + pow(cy - (y1 + y2) / 2, 2))), 6) AS rms FROM cad c JOIN det d ON c.board_id = d.board_id AND cad_no = no WHERE cx < 4000 GROUP BY c.board_id""", ("cad",))
+@query("A21", """SELECT c.board_id, round_even(sqrt(avg(pow(cx - (x1 + x2) / 2, 2) + pow(cy - (y1 + y2) / 2, 2))), 6) AS rms FROM cad c JOIN det d ON c.board_id = d.board_id AND cad_no = no WHERE cx < 4000 GROUP BY c.board_id""", ("cad",))
 def residual_rms(spark, sf_dir):
     j = view(spark, sf_dir, "cad").where("cx < 4000").join(view(spark, sf_dir, "det").withColumnRenamed("no", "cad_no"), ["board_id", "cad_no"])
     e = F.pow(F.col("cx") - B.center_x(B.of()), 2) + F.pow(F.col("cy") - B.center_y(B.of()), 2)
@@ -180,7 +180,7 @@ def tiling_metrics(spark, sf_dir):
     return view(spark, sf_dir, "tile").groupBy("board_id").agg(F.count("*").alias("raw"), F.count_if(F.col("pass") == "full").alias("full_image"), F.count_if(F.col("pass") == "tile").alias("tiled"), F.countDistinct("tile_id").alias("tiles"))
 
 
-@query("A26 T2 T3", "SELECT label, n, CAST(row_number() OVER (ORDER BY n DESC, label) AS INT) AS place FROM (SELECT label, count(*) AS n FROM det GROUP BY label) t", ("det",))
+@query("A26 T2", "SELECT label, n, CAST(row_number() OVER (ORDER BY n DESC, label) AS INT) AS place FROM (SELECT label, count(*) AS n FROM det GROUP BY label) t", ("det",))
 def frequency_order(spark, sf_dir):
     from pyspark.sql import Window as W
 

@@ -12,12 +12,6 @@ from boardsift.sources import readers, sinks
 from boardsift.views import table, view
 
 
-@query("S3 S10", "SELECT page_id, NOT regexp_matches(url, '(^/)|\\.\\.') AND url NOT LIKE '%#%' AS allowed, starts_with(ltrim(html), '#') AS comment FROM pages")
-def asset_paths(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", (~F.col("url").rlike(r"(^/)|\.\.") & ~F.col("url").contains("#")).alias("allowed"), F.ltrim(F.col("html")).startswith("#").alias("comment"))
-
-
 @query("S6 W11", """
 WITH t AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'P  UNITS CUST ' || (conv_id % 3) ELSE '317NET' || lpad(CAST(turn AS VARCHAR), 11, '0') || '   R' || (turn + 1) || '   -' || (turn % 4) || '     A01X+0' || (turn * 100) || 'Y-0' || (conv_id % 1000) END AS v FROM conversations),
 u AS (SELECT *, last_value(CASE regexp_extract(v, '^P\\s+UNITS\\s+CUST\\s+(\\d)', 1) WHEN '0' THEN 0.00254 WHEN '1' THEN 0.001 WHEN '2' THEN 0.00254 END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM t)
@@ -45,19 +39,11 @@ def bom_expand_dedup(spark, sf_dir):
     return d.select("line", "designator", (F.row_number().over(w) == 1).alias("kept"), F.first("line").over(w).alias("first_line"), T.part_class(F.col("designator")).alias("part_class"))
 
 
-@query("S4 P48", """
-SELECT l_orderkey AS designator, round_even(avg(l_quantity), 9) AS x, round_even(avg(l_partkey % 100), 9) AS y, count(*) AS pads, round_even(sqrt(pow(max(l_quantity) - min(l_quantity), 2) + pow(max(l_partkey % 100) - min(l_partkey % 100), 2)), 6) AS span FROM lineitem GROUP BY l_orderkey""")
-def pads_csv(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").alias("x"), (F.col("l_partkey") % 100).alias("y"))
-    span = F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
-    return li.groupBy(F.col("l_orderkey").alias("designator")).agg(F.bround(F.avg("x"), 9).alias("x"), F.bround(F.avg("y"), 9).alias("y"), F.count("*").alias("pads"), F.bround(span, 6).alias("span"))
-
-
 HEAD = """CASE doc_id % 6 WHEN 0 THEN '{"images": [], "annotations": []}' WHEN 1 THEN '{"shapes": []}' WHEN 2 THEN '3 0.5 0.5 0.1 0.2' WHEN 3 THEN 'crop_path,label' ELSE '' END"""
 PATH = "CONCAT(source, '/', CASE doc_id % 6 WHEN 0 THEN CASE WHEN doc_id % 36 = 0 THEN 'a.json' ELSE 'x.dat' END WHEN 1 THEN CASE WHEN doc_id % 24 = 1 THEN 'b.json' ELSE 'x.dat' END WHEN 2 THEN 'c.txt' WHEN 3 THEN 'd.csv' WHEN 4 THEN 'good/e.png' ELSE 'f.md' END)"
 
 
-@query("S11 S12", f"""
+@query("S11", f"""
 SELECT source AS root, CASE max(k) WHEN 5 THEN 'coco' WHEN 4 THEN 'labelme' WHEN 3 THEN 'yolo' WHEN 2 THEN 'csv' WHEN 1 THEN 'folder_per_class' ELSE 'unknown' END AS layout FROM (
   SELECT source, CASE WHEN path LIKE '%.json' AND head LIKE '%"annotations"%' THEN 5 WHEN path LIKE '%.json' AND head LIKE '%"shapes"%' THEN 4 WHEN path LIKE '%.txt' THEN 3 WHEN path LIKE '%.csv' THEN 2 WHEN path LIKE '%.png' THEN 1 ELSE 0 END AS k
   FROM (SELECT source, {PATH} AS path, {HEAD} AS head FROM documents) f) t GROUP BY source""")
@@ -65,36 +51,6 @@ def dataset_layout(spark, sf_dir):
     return readers.layout(table(spark, sf_dir, "documents").select(F.expr(PATH).alias("path"), F.expr(HEAD).alias("head")))
 
 
-@query("S16 P59", """
-SELECT board_id, no, coalesce(CASE class_id WHEN 0 THEN 'r' WHEN 1 THEN 'c' END, 'class_' || class_id) AS name, round_even((cx - w / 2) * 250, 4) AS x1, round_even((cx + w / 2) * 250, 4) AS x2 FROM (
-  SELECT board_id, no, class_id, CAST(format('{:.6f}', (x1 + x2) / 2 / 250) AS DOUBLE) AS cx, CAST(format('{:.6f}', (x2 - x1) / 250) AS DOUBLE) AS w FROM det) t""", ("det",))
-def yolo_read(spark, sf_dir):
-    d = view(spark, sf_dir, "det").select("board_id", "no", F.split(sinks.yolo_line(F.col("class_id"), B.of(), 250, 250), " ").alias("v"))
-    n = [F.col("v")[i].cast("double") for i in range(5)]
-    name = F.coalesce(F.try_element_at(T.mapped({0: "r", 1: "c"}), n[0].cast("int")), F.concat(F.lit("class_"), n[0].cast("int").cast("string")))
-    return d.select("board_id", "no", name.alias("name"), F.bround((n[1] - n[3] / 2) * 250, 4).alias("x1"), F.bround((n[1] + n[3] / 2) * 250, 4).alias("x2"))
-
-
-@query("S18 S7", """SELECT event_id, CASE WHEN props IS NULL OR (props ->> '$.k') IS NULL THEN 'rejected' WHEN CAST(props ->> '$.k' AS INT) >= 50 THEN 'wrong_version' ELSE 'ok' END AS status FROM events""")
-def contract_version(spark, sf_dir):
-    p = F.from_json("props", "k int")
-    k = p.getField("k")
-    return table(spark, sf_dir, "events").select("event_id", F.when(k.isNull(), "rejected").when(k >= 50, "wrong_version").otherwise("ok").alias("status"))
-
-
-@query("S22", "SELECT page_id, octet_length(encode(html)) <= 4000 AND page_id % 640 * 480 <= 200000 AS accepted, page_id % 640 < 320 AS small FROM pages")
-def upload_gates(spark, sf_dir):
-    n = F.col("page_id") % 640
-    return table(spark, sf_dir, "pages").select("page_id", ((F.octet_length("html") <= 4000) & (n * 480 <= 200000)).alias("accepted"), (n < 320).alias("small"))
-
-
-@query("K3 K4 K5", """SELECT board_id, no, joint_id || ',' || kind || ',' || format('{:.2f}', span_ratio) || ',' || CASE WHEN no % 5 = 0 THEN '' ELSE format('{:.4f}', contrast) END || ',' || kind || 's/' || joint_id || '.png,' AS line FROM feat""", ("feat",))
-def verdict_csv(spark, sf_dir):
-    f = view(spark, sf_dir, "feat")
-    cells = ["joint_id", "kind", sinks.fixed(F.col("span_ratio"), 2), sinks.fixed(F.when(F.col("no") % 5 != 0, F.col("contrast")), 4), F.concat("kind", F.lit("s/"), "joint_id", F.lit(".png")), F.lit("")]
-    return f.select("board_id", "no", F.concat_ws(",", *cells).alias("line"))
-
-
 @query("K6", """SELECT c_custkey, CASE WHEN regexp_matches(v, '^[=+\\-@\\t\\r]') THEN '''' || v ELSE v END AS cell FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '=1+1' WHEN 1 THEN '-' || c_name WHEN 2 THEN '@x' ELSE c_name END AS v FROM customer) t""")
 def csv_formula_guard(spark, sf_dir):
     n = F.col("c_custkey") % 5
@@ -102,13 +58,13 @@ def csv_formula_guard(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.guarded_cell(v).alias("cell"))
 
 
-@query("K1 K8 K13", """SELECT board_id, '{"board_id":' || board_id || ',"boxes":' || count(*) || ',"labels":[' || string_agg(DISTINCT '"' || label || '"', ',' ORDER BY '"' || label || '"') || ']}' AS manifest FROM det GROUP BY board_id""", ("det",))
+@query("K1", """SELECT board_id, '{"board_id":' || board_id || ',"boxes":' || count(*) || ',"labels":[' || string_agg(DISTINCT '"' || label || '"', ',' ORDER BY '"' || label || '"') || ']}' AS manifest FROM det GROUP BY board_id""", ("det",))
 def run_manifest(spark, sf_dir):
     d = view(spark, sf_dir, "det").groupBy("board_id").agg(F.count("*").alias("boxes"), F.array_sort(F.collect_set("label")).alias("labels"))
     return d.select("board_id", F.to_json(F.struct("board_id", "boxes", "labels")).alias("manifest"))
 
 
-@query("K9 K10", "SELECT board_id, no, 'crops/' || board_id || '/' || lpad(CAST(no AS VARCHAR), 4, '0') || '.png' AS crop_path, '' AS label FROM det", ("det",))
+@query("K9", "SELECT board_id, no, 'crops/' || board_id || '/' || lpad(CAST(no AS VARCHAR), 4, '0') || '.png' AS crop_path, '' AS label FROM det", ("det",))
 def export_sheet(spark, sf_dir):
     return view(spark, sf_dir, "det").select("board_id", "no", F.format_string("crops/%d/%04d.png", "board_id", "no").alias("crop_path"), F.lit("").alias("label"))
 
@@ -119,22 +75,7 @@ def label_rows(spark, sf_dir):
     return s.select("doc_id", F.coalesce(F.nullif(F.trim(F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("source"))), F.lit("")), "image").alias("grp"), "raw_label")
 
 
-@query("S14", """SELECT board_id, no, CASE WHEN no % 3 = 0 THEN x1 - 5 ELSE least(x1, x2) END AS x1, CASE WHEN no % 3 = 0 THEN x1 + 5 ELSE greatest(x1, x2) END AS x2 FROM det""", ("det",))
-def labelme_boxes(spark, sf_dir):
-    p = F.array(F.array("x1", "y1"), F.when(F.col("no") % 3 == 0, F.array(F.col("x1") + 3, F.col("y1") + 4)).otherwise(F.array("x2", "y2")))
-    d = view(spark, sf_dir, "det").select("board_id", "no", p.alias("p"), (F.col("no") % 3 == 0).alias("circle"))
-    x, q = F.transform("p", lambda v: v[0]), F.col("p")
-    r = F.hypot(q[1][0] - q[0][0], q[1][1] - q[0][1])
-    return d.select("board_id", "no", F.when(F.col("circle"), q[0][0] - r).otherwise(F.array_min(x)).alias("x1"), F.when(F.col("circle"), q[0][0] + r).otherwise(F.array_max(x)).alias("x2"))
-
-
-@query("S5 F8 P25", """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'bottom' ELSE 'top' END AS side, c_acctbal * 25.4 AS x FROM customer WHERE c_custkey % 3 <> 0""")
-def placement_csv(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").withColumn("side", T.side(F.when(F.col("c_custkey") % 3 == 0, " Bot").otherwise("t")))
-    return c.where("side = 'top'").select("c_custkey", "side", (F.col("c_acctbal") * T.unit_scale(F.lit("1in"))).alias("x"))
-
-
-@query("K2 K11")
+@query("K2")
 def board_bundles(spark, sf_dir):
     d = view(spark, sf_dir, "det").select("board_id", F.format_string("crop_%04d.txt", "no").alias("name"), sinks.yolo_line(F.col("class_id"), B.of(), 250, 250).alias("content"))
     return sinks.bundles(d, "board_id", "name", "content").select("board_id", "files", F.sha2("archive", 256).alias("sha256"))

@@ -19,7 +19,7 @@ def verdict_join(spark, sf_dir):
     return view(spark, sf_dir, "det").select("board_id", "no").join(f, ["board_id", "no"], "left")
 
 
-@query("J2 S13", """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, o.o_orderpriority AS image, coalesce(CASE WHEN p.p_size < 25 THEN p.p_type END, 'unknown') AS category,
+@query("J2", """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, o.o_orderpriority AS image, coalesce(CASE WHEN p.p_size < 25 THEN p.p_type END, 'unknown') AS category,
   CAST(trunc(l_quantity * 1.5) AS INT) AS x2 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey LEFT JOIN part p ON l.l_partkey = p.p_partkey AND p.p_size < 25""")
 def coco_join(spark, sf_dir):
     li, o, p = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
@@ -57,7 +57,7 @@ def bom_position_match(spark, sf_dir):
     return reconcile.matched(*both(spark, sf_dir), 6.0)
 
 
-@query("J6 J7 G8 G10 T2", PAIRED + """
+@query("J6 J7 G10 T2", PAIRED + """
 SELECT board_id, 'missing' AS kind, 'error' AS severity, cad_no, NULL::INT AS no FROM cad c WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.board_id = c.board_id AND mt.cad_no = c.cad_no)
 UNION ALL SELECT board_id, 'unexpected', 'error', NULL, no FROM det d WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.board_id = d.board_id AND mt.no = d.no)
 UNION ALL SELECT mt.board_id, 'class_mismatch', 'warning', mt.cad_no, mt.no FROM mt JOIN cad c ON mt.board_id = c.board_id AND mt.cad_no = c.cad_no JOIN det d ON mt.board_id = d.board_id AND mt.no = d.no WHERE part_class <> 'unknown' AND label <> 'component_candidate' AND part_class <> label
@@ -102,14 +102,6 @@ def slot_edges(spark, sf_dir):
     return edges(view(spark, sf_dir, "cad"), view(spark, sf_dir, "det"), 6.0).select("board_id", "slot", "no")
 
 
-@query("J13 S20", """SELECT p.p_partkey, coalesce(a.s_name, b.c_name, 'none') AS manifest, CASE WHEN a.s_name IS NOT NULL THEN 'active' WHEN b.c_name IS NOT NULL THEN 'archive' ELSE 'bare' END AS origin
-FROM part p LEFT JOIN supplier a ON p.p_partkey = a.s_suppkey LEFT JOIN customer b ON p.p_partkey = b.c_custkey""")
-def model_catalog(spark, sf_dir):
-    p, a, b = (table(spark, sf_dir, n) for n in ("part", "supplier", "customer"))
-    j = p.join(a, p["p_partkey"] == a["s_suppkey"], "left").join(b, p["p_partkey"] == b["c_custkey"], "left")
-    return j.select("p_partkey", F.coalesce("s_name", "c_name", F.lit("none")).alias("manifest"), F.when(F.col("s_name").isNotNull(), "active").when(F.col("c_name").isNotNull(), "archive").otherwise("bare").alias("origin"))
-
-
 @query("J16", """SELECT c.board_id, count(*) AS seeds FROM cad c JOIN det d ON c.board_id = d.board_id AND c.part_class = d.label GROUP BY c.board_id""", ("cad",))
 def seed_pairs(spark, sf_dir):
     c = view(spark, sf_dir, "cad").select("board_id", F.col("part_class").alias("label"))
@@ -123,21 +115,7 @@ def neighbour_pairs(spark, sf_dir):
     return a.join(b, "board_id").where((F.col("a_no") < F.col("b_no")) & (F.col("a_part") != F.col("b_part")) & B.touch(F.col("a"), F.col("b"))).select("board_id", "a_no", "b_no")
 
 
-@query("J19 P56", """SELECT c.board_id, cad_no, coalesce(f.position, 'none') AS position FROM cad c LEFT JOIN feat f ON c.board_id = f.board_id AND c.cad_no = f.no AND f.pin_index < 2""", ("cad", "feat"))
+@query("J19", """SELECT c.board_id, cad_no, coalesce(f.position, 'none') AS position FROM cad c LEFT JOIN feat f ON c.board_id = f.board_id AND c.cad_no = f.no AND f.pin_index < 2""", ("cad", "feat"))
 def slot_overlay(spark, sf_dir):
     f = view(spark, sf_dir, "feat").where("pin_index < 2").select("board_id", F.col("no").alias("cad_no"), "position")
     return view(spark, sf_dir, "cad").select("board_id", "cad_no").join(f, ["board_id", "cad_no"], "left").na.fill("none", ["position"])
-
-
-@query("S17 S21", """
-WITH l AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '/data/img_' || (doc_id % 90) || '.png' ELSE 'img_' || (doc_id % 120) || '.png' END AS want FROM documents),
-f AS (SELECT '/data/img_' || i || '.png' AS path, 'img_' || i || '.png' AS name FROM (SELECT unnest(range(0, 100)) AS i))
-SELECT doc_id, coalesce(a.path, b.path) AS found FROM l LEFT JOIN f a ON l.want = a.path LEFT JOIN f b ON regexp_extract(l.want, '[^/]*$') = b.name""")
-def image_resolver(spark, sf_dir):
-    n = F.col("doc_id")
-    want = F.when(n % 2 == 0, F.concat(F.lit("/data/img_"), (n % 90).cast("string"), F.lit(".png"))).otherwise(F.concat(F.lit("img_"), (n % 120).cast("string"), F.lit(".png")))
-    wanted = table(spark, sf_dir, "documents").select("doc_id", want.alias("want"))
-    files = spark.range(100).select(F.format_string("/data/img_%d.png", "id").alias("path"))
-    by_name = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("path").alias("other"))
-    j = wanted.join(F.broadcast(files), F.col("want") == F.col("path"), "left").join(F.broadcast(by_name), F.element_at(F.split("want", "/"), -1) == F.col("name"), "left")
-    return j.select("doc_id", F.coalesce("path", "other").alias("found"))

@@ -66,13 +66,13 @@ def decision_tallies(spark, sf_dir):
     return g.groupBy("board_id").agg(*(F.count_if(F.col(c) == v).alias(name) for c, v, name in (("decision", "accept", "accept"), ("decision", "review", "review"), ("decided_by", "conflict", "conflicts"), ("decided_by", "guard", "guarded"))))
 
 
-@query("F10 K12", FUSED + """SELECT vd.board_id, vd.no, vd.label, CAST(x1 AS INT) AS x1, sha256(CONCAT('board', CAST(vd.board_id AS VARCHAR))) AS source_sha256
+@query("F10", FUSED + """SELECT vd.board_id, vd.no, vd.label, CAST(x1 AS INT) AS x1, CAST(y1 AS INT) AS y1, CAST(x2 AS INT) AS x2, CAST(y2 AS INT) AS y2, sha256(CONCAT('board', CAST(vd.board_id AS VARCHAR))) AS source_sha256
 FROM vd JOIN det ON vd.board_id = det.board_id AND vd.no = det.no WHERE decision IN ('review', 'reject')""", ("feat", "det"))
 def evidence_filter(spark, sf_dir):
     from boardsift.sources.evidence import evidence
 
     verdicts = grading.graded(features(spark, sf_dir, True)).select("board_id", "no", "label", "decision")
-    return evidence(verdicts, view(spark, sf_dir, "det").select("board_id", "no", "x1"))
+    return evidence(verdicts, view(spark, sf_dir, "det").select("board_id", "no", *B.SIDES))
 
 
 @query("F1", """SELECT board_id, no FROM det WHERE confidence >= CASE label WHEN 'led' THEN 0.85 WHEN 'ic' THEN 0.6 ELSE 0.75 END""", ("det",))
@@ -80,12 +80,12 @@ def class_threshold_filter(spark, sf_dir):
     return view(spark, sf_dir, "det").where(gates.confident(F.col("confidence"), F.col("label"), {"led": 0.85, "ic": 0.6}, 0.75)).select("board_id", "no")
 
 
-@query("F3 F4", """SELECT board_id, no FROM det WHERE (x2 - x1) * (y2 - y1) / 39000.0 BETWEEN 0.005 AND 0.03 AND greatest((x2 - x1) / (y2 - y1), (y2 - y1) / (x2 - x1)) <= 3""", ("det",))
+@query("F3", """SELECT board_id, no FROM det WHERE (x2 - x1) * (y2 - y1) / 39000.0 BETWEEN 0.005 AND 0.03 AND greatest((x2 - x1) / (y2 - y1), (y2 - y1) / (x2 - x1)) <= 3""", ("det",))
 def proposal_filter(spark, sf_dir):
     return view(spark, sf_dir, "det").where(gates.plausible(B.of(), 39000.0, 0.005, 0.03, 3)).select("board_id", "no")
 
 
-@query("F7 J15", "SELECT board_id, count(*) FILTER (label IN ('pads','pad','pins','pin','lead','leads')) AS leads, count(*) FILTER (label NOT IN ('pads','pad','pins','pin','lead','leads')) AS bodies FROM det GROUP BY board_id", ("det",))
+@query("F7", "SELECT board_id, count(*) FILTER (label IN ('pads','pad','pins','pin','lead','leads')) AS leads, count(*) FILTER (label NOT IN ('pads','pad','pins','pin','lead','leads')) AS bodies FROM det GROUP BY board_id", ("det",))
 def lead_body_split(spark, sf_dir):
     lead = gates.is_lead(F.col("label"))
     return view(spark, sf_dir, "det").groupBy("board_id").agg(F.count_if(lead).alias("leads"), F.count_if(~lead).alias("bodies"))
@@ -94,7 +94,7 @@ def lead_body_split(spark, sf_dir):
 GATES = """SELECT board_id, no, CASE WHEN pin_index < 1 THEN 'anchors' WHEN solder_ratio < 0.3 THEN 'inliers' WHEN span_ratio < 0.2 THEN 'scale' WHEN contrast > 0.07 THEN 'residual' ELSE 'ok' END AS reason FROM feat"""
 
 
-@query("F11 F9", GATES, ("feat",))
+@query("F11", GATES, ("feat",))
 def first_failed_gate(spark, sf_dir):
     c = F.col
     return view(spark, sf_dir, "feat").select("board_id", "no", gates.first_failure([("anchors", c("pin_index") < 1), ("inliers", c("solder_ratio") < 0.3), ("scale", c("span_ratio") < 0.2), ("residual", c("contrast") > 0.07)]).alias("reason"))
@@ -106,19 +106,13 @@ def all_failed_gates(spark, sf_dir):
     return view(spark, sf_dir, "feat").select("board_id", "no", gates.all_failures([("score", c("solder_ratio") < 0.6), ("margin", c("span_ratio") < 0.5), ("blob", c("contrast") > 0.05)]).alias("failures"))
 
 
-@query("F14 F15 I17", """SELECT board_id, no, CASE WHEN label = 'component_candidate' THEN 'demo' WHEN x2 <= x1 OR y2 <= y1 THEN 'empty' WHEN x2 > 230 OR y2 > 160 THEN 'outside' ELSE 'accepted' END AS status FROM det""", ("det",))
+@query("F14 F15", """SELECT board_id, no, CASE WHEN label = 'component_candidate' THEN 'demo' WHEN x2 <= x1 OR y2 <= y1 THEN 'empty' WHEN x2 > 230 OR y2 > 160 THEN 'outside' ELSE 'accepted' END AS status FROM det""", ("det",))
 def recipe_rejection(spark, sf_dir):
     demo = F.col("label") == "component_candidate"
     status = gates.first_failure([("demo", demo), ("empty", (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1"))), ("outside", (F.col("x2") > 230) | (F.col("y2") > 160))], "accepted")
     return view(spark, sf_dir, "det").select("board_id", "no", status.alias("status"))
 
 
-@query("F20 F21 R8 R13 R14", """SELECT event_id, NOT regexp_matches(replace(replace(lower(event_type), '-', ''), '_', ''), 'click|demo|mock') AND value >= 50 AND event_id % 3 <> 0 AS eligible FROM events""")
-def production_gate(spark, sf_dir):
-    demo = gates.names_any(F.col("event_type"), ("click", "demo", "mock"))
-    return table(spark, sf_dir, "events").select("event_id", (~demo & (F.col("value") >= 50) & (F.col("event_id") % 3 != 0)).alias("eligible"))
-
-
 @query("F17 F16", """
 WITH r AS (SELECT *, CASE WHEN width < 20 THEN 'too_narrow' WHEN height > 400 THEN 'out_of_range' WHEN n_chars IS NULL THEN 'not_numeric' WHEN row_number() OVER (PARTITION BY split, image, width ORDER BY doc_id) > 1 THEN 'duplicate' ELSE 'ok' END AS reason FROM sample)
 SELECT split, reason, count(*) AS n FROM r GROUP BY ALL""", ("sample",))
@@ -151,23 +145,3 @@ def board_decision(spark, sf_dir):
     f = view(spark, sf_dir, "feat")
     status = gates.slot_status((F.col("pin_index") == 3) & (F.col("solder_ratio") < 0.5), F.col("solder_ratio") >= 0.05, F.col("span_ratio") >= 0.1, F.when(F.col("span_ratio") < 0.1, F.col("contrast") <= 0.06).otherwise(F.col("contrast") <= 0.075))
     return gates.board_verdict(f.select("board_id", "part_no", status.alias("status")), ["board_id", "part_no"])
-
-
-@query("R9", """SELECT no AS n, CASE WHEN count(*) FILTER (solder_ratio < 0.1) > 60 AND round_even(avg(span_ratio), 6) < 0.50 THEN 'worse' WHEN round_even(avg(span_ratio), 6) > 0.52 THEN 'better' ELSE 'neutral' END AS advice FROM feat GROUP BY no""", ("feat",))
-def ab_advice(spark, sf_dir):
-    f = view(spark, sf_dir, "feat").groupBy(F.col("no").alias("n")).agg(F.count_if(F.col("solder_ratio") < 0.1).alias("lost"), F.bround(F.avg("span_ratio"), 6).alias("mean"))
-    return f.select("n", F.when((F.col("lost") > 60) & (F.col("mean") < 0.50), "worse").when(F.col("mean") > 0.52, "better").otherwise("neutral").alias("advice"))
-
-
-@query("R10 R12", "SELECT p_partkey, CASE WHEN p_size % 7 = 6 THEN 'internal_nms' ELSE 'raw' END AS head, p_type NOT IN (SELECT DISTINCT p_type FROM part WHERE p_size > 25) AS foreign_class FROM part")
-def contract_probe(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    known = p.where("p_size > 25").select(F.col("p_type").alias("known")).distinct()
-    j = p.join(known, F.col("p_type") == F.col("known"), "left")
-    return j.select("p_partkey", F.when(F.col("p_size") % 7 == 6, "internal_nms").otherwise("raw").alias("head"), F.col("known").isNull().alias("foreign_class"))
-
-
-@query("R11", "SELECT event_id, CASE WHEN event_id % 7 < 3 THEN 'done' WHEN event_id % 7 = 3 THEN 'running' ELSE 'stale' END AS stage_status FROM events")
-def stage_status(spark, sf_dir):
-    at = F.col("event_id") % 7
-    return table(spark, sf_dir, "events").select("event_id", F.when(at < 3, "done").when(at == 3, "running").otherwise("stale").alias("stage_status"))

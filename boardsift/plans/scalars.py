@@ -265,7 +265,7 @@ def softmax_topk(spark, sf_dir):
     return d.select("board_id", "no", (F.col("i") + 1).alias("rank"), F.col("c.label").alias("label"), F.bround("c.probability", 9).alias("probability"))
 
 
-@query("P41 R5 K7", SOFT + """, t AS (SELECT board_id, no, string_agg('c' || k || ':' || format('{:.3f}', p), ' | ' ORDER BY rank) AS top, max(p) FILTER (rank = 1) AS best FROM r WHERE rank <= 3 GROUP BY ALL)
+@query("P41 R5", SOFT + """, t AS (SELECT board_id, no, string_agg('c' || k || ':' || format('{:.3f}', p), ' | ' ORDER BY rank) AS top, max(p) FILTER (rank = 1) AS best FROM r WHERE rank <= 3 GROUP BY ALL)
 SELECT board_id, no, top, CASE WHEN best >= 0.85 THEN 'accept' WHEN best >= 0.5 THEN 'review' ELSE 'unknown' END AS decision FROM t""", ("logit",))
 def classify_decision(spark, sf_dir):
     d = logits(spark, sf_dir).select("board_id", "no", N.ranked(F.array(*map(F.lit, range(5))), N.softmax(F.col("z"), 1.5), 3).alias("t"))
@@ -312,7 +312,7 @@ def display_label(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_element_at(names, "event_type"), "event_type").alias("shown"))
 
 
-@query("P42 P43 S8", """
+@query("P42 P43", """
 WITH c AS (SELECT *, x2 - x1 >= y2 - y1 AS flat, x2 - x1 AS w, y2 - y1 AS h FROM det WHERE label IN ('capacitor','resistor','diode','led','inductor','fuse')),
 r AS (SELECT board_id, no, 'start' AS position, CASE WHEN flat THEN x1 - 0.45 * w ELSE x1 - 0.20 * w END AS x1, CASE WHEN flat THEN y1 - 0.20 * h ELSE y1 - 0.45 * h END AS y1,
     CASE WHEN flat THEN x1 + 0.30 * w ELSE x2 + 0.20 * w END AS x2, CASE WHEN flat THEN y2 + 0.20 * h ELSE y1 + 0.30 * h END AS y2 FROM c
@@ -367,7 +367,7 @@ def tile_plan(spark, sf_dir):
     return tiles.select("p_partkey", "x.x1", "x.y1", "x.x2", "x.y2", "x.own_x1", "x.own_y1")
 
 
-@query("P47 P48 P50 A20", """
+@query("P48", """
 SELECT board_id, count(*) AS parts, min(cx) AS x1, max(cx) AS x2, min(cy) AS y1, max(cy) AS y2, round_even(sqrt(pow(max(cx) - min(cx), 2) + pow(max(cy) - min(cy), 2)), 6) AS span,
   CASE WHEN count(*) = 2 THEN 'two_terminal' WHEN count(*) > 2 THEN 'multi_pin' ELSE 'class' END AS geometry
 FROM cad WHERE cx < 4000 GROUP BY board_id""", ("cad",))
@@ -384,29 +384,24 @@ def slot_roi(spark, sf_dir):
     return o.select(*KEY, grown.alias("g")).select(*KEY, "g.*")
 
 
-@query("P51 P52 P57", "SELECT board_id, cad_no, CONCAT('cad:', designator) AS joint_source, CONCAT('model.onnx:', sha256(designator)) AS detector, cx AS x_mm, CAST(0 AS DOUBLE) AS width_mm FROM cad WHERE cx < 4000", ("cad",))
+@query("P51", "SELECT board_id, cad_no, CONCAT('cad:', designator) AS joint_source, CONCAT('model.onnx:', sha256(designator)) AS detector, cx AS x_mm, CAST(0 AS DOUBLE) AS width_mm FROM cad WHERE cx < 4000", ("cad",))
 def placement_rows(spark, sf_dir):
     c = view(spark, sf_dir, "cad").where("cx < 4000")
     return c.select("board_id", "cad_no", F.concat(F.lit("cad:"), "designator").alias("joint_source"), F.concat_ws(":", F.lit("model.onnx"), F.sha2("designator", 256)).alias("detector"), F.col("cx").alias("x_mm"), F.lit(0.0).alias("width_mm"))
 
 
-@query("P54", """SELECT board_id, no, CAST(round_even(x1, 0) AS INT) AS x1, CAST(greatest(round_even(x2 * 0.5, 0), round_even(x1, 0) + 1) AS INT) AS x2, confidence AS score FROM det""", ("det",))
+@query("P54", """SELECT board_id, no, CAST(least(round_even(x1, 0), 219) AS INT) AS x1, CAST(least(round_even(y1, 0), 149) AS INT) AS y1, CAST(greatest(least(round_even(x2 * 0.5, 0), 220), least(round_even(x1, 0), 219) + 1) AS INT) AS x2, CAST(greatest(least(round_even(y2, 0), 150), least(round_even(y1, 0), 149) + 1) AS INT) AS y2, confidence AS score FROM det""", ("det",))
 def record_coercion(spark, sf_dir):
+    """Boxes and scores under any of their names, brought into the image."""
     from boardsift.operators.records import coerced
 
     d = view(spark, sf_dir, "det")
-    box = F.struct("x1", (F.col("x2") * 0.5).alias("x2"))
+    box = F.struct("x1", "y1", (F.col("x2") * 0.5).alias("x2"), "y2")
     raw = d.select(*KEY, F.when(F.col("no") % 2 == 0, F.to_json(F.struct(box.alias("xyxy"), F.col("confidence").alias("prob")))).otherwise(F.to_json(F.struct(box.alias("bounds"), F.col("confidence").alias("score")))).alias("j"))
-    return coerced(raw, "j", KEY)
+    return coerced(raw, "j", KEY, 220, 150)
 
 
-@query("P56", "SELECT board_id, no, label, x1, confidence FROM det", ("det",))
-def nested_flatten(spark, sf_dir):
-    d = view(spark, sf_dir, "det").select(*KEY, F.struct(F.struct("x1", "y1").alias("bbox"), "label", "confidence").alias("slot"))
-    return d.select(*KEY, "slot.label", "slot.bbox.x1", "slot.confidence")
-
-
-@query("P59 K10", """
+@query("P59", """
 SELECT board_id, no, CAST(class_id AS VARCHAR) || ' ' || format('{:.6f} {:.6f} {:.6f} {:.6f}', (x1 + x2) / 2 / 250, (y1 + y2) / 2 / 250, (x2 - x1) / 250, (y2 - y1) / 250) AS line FROM det WHERE x2 <= 250 AND y2 <= 250""", ("det",))
 def yolo_lines(spark, sf_dir):
     from boardsift.sources.sinks import yolo_line

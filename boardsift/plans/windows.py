@@ -74,13 +74,13 @@ def running_scale(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(n % 3 == 0, n), ignorenulls=True).over(w).alias("scale"))
 
 
-@query("T1 T7", "SELECT board_id, no FROM (SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY confidence DESC, no) AS r FROM det) t WHERE r <= 50", ("det",))
+@query("T1", "SELECT board_id, no FROM (SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY confidence DESC, no) AS r FROM det) t WHERE r <= 50", ("det",))
 def topk_per_frame(spark, sf_dir):
     w = W.partitionBy("board_id").orderBy(F.desc("confidence"), "no")
     return view(spark, sf_dir, "det").withColumn("r", F.row_number().over(w)).where("r <= 50").select("board_id", "no")
 
 
-@query("T4 T5", "SELECT board_id, no AS best FROM (SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY pin_index DESC, solder_ratio DESC, contrast, no) AS r FROM feat) t WHERE r = 1", ("feat",))
+@query("T4", "SELECT board_id, no AS best FROM (SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY pin_index DESC, solder_ratio DESC, contrast, no) AS r FROM feat) t WHERE r = 1", ("feat",))
 def best_seed(spark, sf_dir):
     return view(spark, sf_dir, "feat").groupBy("board_id").agg(F.max_by("no", F.struct("pin_index", "solder_ratio", -F.col("contrast"), -F.col("no"))).alias("best"))
 
@@ -106,7 +106,7 @@ def union_passes(spark, sf_dir):
     return parts.groupBy("origin").agg(F.count("*").alias("n"))
 
 
-@query("U4 U5 U6 J20", """SELECT k, bool_or(a) AS expected, bool_or(b) AS observed FROM (SELECT part_class AS k, TRUE AS a, FALSE AS b FROM cad UNION ALL SELECT label, FALSE, TRUE FROM det) t GROUP BY k""", ("cad",))
+@query("U4 U5 U6", """SELECT k, bool_or(a) AS expected, bool_or(b) AS observed FROM (SELECT part_class AS k, TRUE AS a, FALSE AS b FROM cad UNION ALL SELECT label, FALSE, TRUE FROM det) t GROUP BY k""", ("cad",))
 def class_key_sets(spark, sf_dir):
     a = view(spark, sf_dir, "cad").select(F.col("part_class").alias("k")).distinct().withColumn("expected", F.lit(True))
     b = view(spark, sf_dir, "det").select(F.col("label").alias("k")).distinct().withColumn("observed", F.lit(True))

@@ -9,7 +9,7 @@ def evidence(verdicts: DataFrame, boxes: DataFrame) -> DataFrame:
     """Rows that a person must look at."""
     kept = verdicts.where(F.col("decision").isin("review", "reject"))
     source = F.sha2(F.concat(F.lit("board"), F.col("board_id").cast("string")), 256)
-    return kept.join(boxes, ["board_id", "no"]).select("board_id", "no", "label", F.col("x1").cast("int").alias("x1"), source.alias("source_sha256"))
+    return kept.join(boxes, ["board_id", "no"]).select("board_id", "no", "label", *(F.col(k).cast("int").alias(k) for k in ("x1", "y1", "x2", "y2")), source.alias("source_sha256"))
 
 
 def matched(sources: DataFrame, claimed: DataFrame) -> DataFrame:

@@ -110,6 +110,8 @@ def sniffed(spark: SparkSession, path: str) -> str:
     if path.endswith(".json"):
         return "cad_json"
     head = [r.value for r in lines(spark, path).orderBy("line").limit(40).collect()]
+    if head and head[0].lstrip().startswith("{"):
+        return "cad_json"
     if any(x[:3] in ("317", "327", "367") or x.startswith("P  UNITS") or x.startswith("P UNITS") for x in head):
         return "ipc356"
     known = T.column_names(next(_split(head[0]))) if head else {}
@@ -142,11 +144,11 @@ def layout(files: DataFrame) -> DataFrame:
 def coco(spark: SparkSession, path: str) -> DataFrame:
     """Annotations with their image and class name, whole-pixel corners."""
     schema = "images array<struct<id:long,file_name:string>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>>>, categories array<struct<id:long,name:string>>"
-    c = spark.read.schema(schema).json(path, multiLine=True)
-    images = c.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.file_name")
-    names = c.select(F.explode("categories").alias("k")).select(F.col("k.id").alias("category_id"), "k.name")
-    a = c.select(F.explode("annotations").alias("a")).select("a.id", "a.image_id", "a.category_id", "a.bbox")
-    j = a.join(images, "image_id").join(F.broadcast(names), "category_id", "left")
+    c = spark.read.schema(schema).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("in_file"), "images", "annotations", "categories")
+    images = c.select("in_file", F.explode("images").alias("i")).select("in_file", F.col("i.id").alias("image_id"), "i.file_name")
+    names = c.select("in_file", F.explode("categories").alias("k")).select("in_file", F.col("k.id").alias("category_id"), "k.name")
+    a = c.select("in_file", F.explode("annotations").alias("a")).select("in_file", "a.id", "a.image_id", "a.category_id", "a.bbox")
+    j = a.join(images, ["in_file", "image_id"]).join(names, ["in_file", "category_id"], "left")  # numbers count within their file
     b = [F.col("bbox")[i] for i in range(4)]
     return j.select("id", "file_name", F.coalesce("name", F.lit("unknown")).alias("label"), *(v.cast("int").alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), (b[0], b[1], b[0] + b[2], b[1] + b[3]), strict=True)))
 
@@ -171,10 +173,15 @@ def yolo(spark: SparkSession, path: str, names: dict[int, str], w: int, h: int)
     return t.select("file_name", label.alias("label"), ((F.col("n1") - F.col("n3") / 2) * w).alias("x1"), ((F.col("n2") - F.col("n4") / 2) * h).alias("y1"), ((F.col("n1") + F.col("n3") / 2) * w).alias("x2"), ((F.col("n2") + F.col("n4") / 2) * h).alias("y2"))
 
 
+def class_of_folder(files: DataFrame) -> DataFrame:
+    """Listed files by the name of their folder; folders named after splits aren't classes."""
+    f = files.withColumn("label", F.element_at(F.split("path", "/"), -2))
+    return f.where(~F.lower("label").isin("train", "val", "valid", "test", "images", "labels"))
+
+
 def folder_classes(spark: SparkSession, path: str) -> DataFrame:
-    """Files by the name of their folder; folders named after splits aren't classes."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    return f.select("path", F.element_at(F.split("path", "/"), -2).alias("label"), "length").where(~F.lower("label").isin("train", "val", "valid", "test", "images", "labels"))
+    return class_of_folder(f)
 
 
 def label_csv(spark: SparkSession, path: str) -> DataFrame:
