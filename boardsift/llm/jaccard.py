@@ -12,10 +12,10 @@
    guest wherever the distance exceeds its own by at most twice the threshold, which the triangle inequality shows to be
    enough. Cells are joined in the same way until they are small or stop shrinking, and there sets are compared whose
    distances to the pivots differ by the threshold at most. Classes already known to be connected aren't compared again.
-   Regions of more than `REGION` classes are dealt into cells by Spark, and cells of more than that again, in `LEVELS` rounds:
-   classes that link to a pivot are connected there, and a cell whose classes are all connected is done. What is larger even
-   then is compared in blocks of `REGION` classes, except that classes connected already aren't compared with each other.
-   A task never holds more than two blocks, and no region is too large.
+   Regions of more than `REGION` classes or `WEIGHT` shingles are first cut by size, as linked sets are of like size. What is
+   still larger is linked to pivots by Spark: classes connected that way aren't compared with each other any more. Where
+   many are left, they are dealt into Voronoi cells, in `LEVELS` rounds at most; where few are left, or in the end, they are
+   compared with all in blocks. A task never holds more than two blocks, and no region is too large.
 
 Links only travel as enough edges to connect what they connect. Nothing is dropped or capped.
 
@@ -41,7 +41,7 @@ from boardsift.llm.common import components, small_batches, spread_join, stored,
 from boardsift.llm.embeddings import forest, grouped
 from boardsift.llm.token_files import mixed
 
-SHINGLE, PERCENT, REGION, LEVELS, LEAF, PIVOTS = 3, 90, 3000, 3, 40, 12
+SHINGLE, PERCENT, REGION, WEIGHT, SLICE, LEVELS, LEAF, PIVOTS = 3, 90, 3000, 3_000_000, 200_000, 2, 40, 12
 #: Broadcasts hold at most so many rows of 16 bytes.
 BROADCAST_ROWS = 2_000_000
 #: Shingles in `COMMON` of about `SAMPLE` documents are common, the `LISTED` most frequent ones at most.
@@ -283,58 +283,70 @@ def to_pivots(pivots: list[np.ndarray], s: pa.Array) -> np.ndarray:
     return np.add.reduceat(holds[at], np.cumsum(sizes) - sizes)
 
 
-def dealt(members: DataFrame, large: DataFrame, level: int, percent: int) -> DataFrame:
-    """Members of large cells in the Voronoi cells of about `PIVOTS` of the classes at home there, and links to pivots (`to`).
+def load(n, weight):
+    """Tasks that so many classes with so many shingles together make."""
+    return F.greatest(F.ceil(n / REGION), F.ceil(weight / WEIGHT), F.lit(1)).cast("int")
+
+
+def to_pivot_cells(members: DataFrame, large: DataFrame, level: int, percent: int, cells: bool) -> DataFrame:
+    """Members of large cells against about `PIVOTS` classes at home there: who links to which (`to`), and, if asked for, the
+    members in the Voronoi cells of these.
 
     A cell's members are dealt over tasks by hash; its pivots travel to each of these.
     """
     tau = 1 - percent / 100 + 1e-9
     keys = ["region", "cell"]
     rows = members.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, keys)
-    tasks = F.ceil(F.col("n") / REGION).cast("int")
-    # classes that aren't of the cell's largest component yet make better pivots
+    tasks = load(F.col("n"), F.col("weight"))
+    # classes that aren't of the cell's largest component yet
     pool = F.greatest(F.ceil((F.col("n") - F.col("most")) / PIVOTS), F.lit(1))
     picked = rows.where(F.col("home") & (F.col("root") != F.col("largest")) & (F.pmod(F.xxhash64("id", F.lit(level)), pool) == 0))
     picked = picked.withColumn("task", F.explode(F.sequence(F.lit(0), tasks - 1)))
     both = picked.withColumn("member", F.lit(0)).unionByName(rows.withColumn("task", F.pmod(F.xxhash64("id"), tasks).cast("int")).withColumn("member", F.lit(1)))
 
+    def slices(own):
+        """So many rows at a time that their sets have about `SLICE` shingles."""
+        sizes = np.diff(own.column("s").offsets.to_numpy())
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE, prepend=-1))
+        for i, z in zip(cuts, [*cuts[1:], len(sizes)], strict=True):
+            yield own.slice(i, z - i)
+
     def work(batches):
         for g in grouped(batches, [*keys, "task"]):
-            member = g.column("member").to_numpy()
-            first = int(np.searchsorted(member, 1))
-            own = g.slice(first)
-            if not own.num_rows:
-                continue
-            region, cell = own.column("region"), own.column("cell").to_numpy()
-            if not first:
-                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in (*keys, "home", "id", "root", "s")), pa.nulls(own.num_rows, pa.int64())], [*keys, "home", "id", "root", "s", "to"])
-                continue
+            first = int(np.searchsorted(g.column("member").to_numpy(), 1))
             head = g.slice(0, first)
-            names = head.column("id").to_numpy()
-            pivots = [x.values.to_numpy() for x in head.column("s")]
-            s, home, ids = own.column("s"), own.column("home").to_numpy(zero_copy_only=False), own.column("id").to_numpy()
-            sizes = np.diff(s.offsets.to_numpy())
-            shared = to_pivots(pivots, s)
-            union = sizes[:, None] + np.array([len(p) for p in pivots]) - shared
-            far = 1 - shared / union
-            nearest = far.argmin(1)
-            at, k = np.nonzero((far <= far.min(1)[:, None] + 2 * tau) | (np.arange(len(pivots)) == nearest[:, None]))
-            near = (100 * shared >= percent * union)[at, k]
-            where = mixed(cell[at].astype(np.uint64) + mixed(names[k], 41), 42).astype(np.int64)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [region.take(take), pa.array(where), pa.array(home[at] & (nearest[at] == k)), pa.array(ids[at]), own.column("root").take(take), s.take(take), pa.array(names[k], mask=~near | (names[k] == ids[at]))],
-                [*keys, "home", "id", "root", "s", "to"],
-            )
-
+            names, pivots = head.column("id").to_numpy(), [x.values.to_numpy() for x in head.column("s")]
+            for own in slices(g.slice(first)):
+                if not first:
+                    if cells:
+                        yield pa.RecordBatch.from_arrays([*(own.column(k) for k in out[:-1]), pa.nulls(own.num_rows, pa.int64())], out)
+                    continue
+                s, ids = own.column("s"), own.column("id").to_numpy()
+                sizes = np.diff(s.offsets.to_numpy())
+                shared = to_pivots(pivots, s)
+                union = sizes[:, None] + np.array([len(p) for p in pivots]) - shared
+                near = (100 * shared >= percent * union) & (names != ids[:, None])
+                if not cells:
+                    at, k = np.nonzero(near)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(names[k])], out)
+                    continue
+                far = 1 - shared / union
+                nearest = far.argmin(1)
+                at, k = np.nonzero((far <= far.min(1)[:, None] + 2 * tau) | (np.arange(len(pivots)) == nearest[:, None]))
+                where = mixed(own.column("cell").to_numpy()[at].astype(np.uint64) + mixed(names[k], 41), 42).astype(np.int64)
+                home = own.column("home").to_numpy(zero_copy_only=False)[at] & (nearest[at] == k)
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([own.column("region").take(take), pa.array(where), pa.array(home), pa.array(ids[at]), own.column("root").take(take), s.take(take), pa.array(names[k], mask=~near[at, k])], out)
+
+    out = [*keys, "home", "id", "root", "s", "to"] if cells else ["a", "b"]
     both = both.select(*keys, "task", "member", "home", "id", "root", "s").repartition(*keys, "task").sortWithinPartitions(*keys, "task", "member", "id")
-    return both.mapInArrow(tidy(work), f"{_MEMBERS}, to long")
+    return both.mapInArrow(tidy(work), f"{_MEMBERS}, to long" if cells else "a long, b long")
 
 
 def in_blocks(members: DataFrame, large: DataFrame) -> DataFrame:
     """Members of large cells in pairs of blocks: those of the largest component meet all others, but not each other."""
     rows = members.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, ["region", "cell"])
-    few, many = (F.greatest(F.ceil(x / REGION), F.lit(1)).cast("int") for x in (F.col("n") - F.col("most"), F.col("most")))
+    few, many = load(F.col("n") - F.col("most"), F.col("weight") - F.col("heaviest")), load(F.col("most"), F.col("heaviest"))
     rows = rows.withColumns({"few": few, "many": many, "rest": F.col("root") != F.col("largest")})
     block = F.when(F.col("rest"), F.pmod(F.xxhash64("id"), F.col("few"))).otherwise(F.pmod(F.xxhash64("id"), F.col("many"))).cast("int")
     rows = rows.withColumn("block", block)
@@ -342,30 +354,58 @@ def in_blocks(members: DataFrame, large: DataFrame) -> DataFrame:
     for_rest = F.transform(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1), lambda j: F.when(j < F.col("few"), F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))).otherwise(F.struct(F.col("block").alias("i"), j.alias("j"))))
     for_most = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda i: F.struct(i.alias("i"), (F.col("few") + F.col("block")).alias("j")))
     rows = rows.withColumn("task", F.explode(F.when(F.col("rest"), for_rest).otherwise(for_most)))
-    return rows.select("region", F.xxhash64("cell", "task.i", "task.j").alias("cell"), "home", "id", "root", "s").distinct()
+    return rows.select("region", F.xxhash64("cell", "task.i", "task.j").alias("cell"), "home", "id", "root", "s")
+
+
+def by_size(members: DataFrame, percent: int) -> DataFrame:
+    """Members of large regions in cells of one size class, and as guests in that of the next: linked sets lie in the same or in neighbouring ones."""
+    bounds = size_classes(percent)
+    bounds = F.array(*map(F.lit, bounds[bounds < 1 << 31].tolist()))
+    own = F.size(F.filter(bounds, lambda x: x <= F.size("s")))
+    rows = members.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
+    return rows.select("region", (own + F.col("step")).cast("long").alias("cell"), (F.col("step") == 0).alias("home"), "id", F.col("id").alias("root"), "s")
 
 
 def joined(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(region, id, s) -> (a, b): enough links to connect what is linked in each region, however large."""
-    members = stored(members.select("region", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "id", F.col("id").alias("root"), "s"), "members")
-    edges, done = [], []
-    for level in range(LEVELS + 1):
-        sizes = members.groupBy("region", "cell", "root").agg(F.count("*").alias("m")).groupBy("region", "cell")
-        sizes = stored(sizes.agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("root", F.struct("m", F.col("root"))).alias("largest")).where(f"n > {REGION}"), "sizes")
-        large = sizes.where("n > most")  # where all classes are connected, nothing is left to do
-        side = sizes.select("region", "cell")
-        done.append(members.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, ["region", "cell"], "left_anti"))
-        if large.isEmpty():
-            break
-        if level == LEVELS:
-            done.append(in_blocks(members, large))
+    members = stored(members.select("region", "id", "s"), "members")
+    weights = members.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("weight")).where(f"n > {REGION} or weight > {WEIGHT}").select("region")
+    weights = stored(weights, "large")
+    side = F.broadcast(weights) if weights.count() <= BROADCAST_ROWS else weights
+    whole = members.join(side, "region", "left_anti")
+    done, edges = [whole.select("region", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "id", F.col("id").alias("root"), "s")], []
+    rest = None if weights.isEmpty() else stored(by_size(members.join(side, "region", "left_semi"), percent), "members")
+    for level in range(LEVELS + 1 if rest else 0):
+        for cells in (False, True):
+            sizes = rest.groupBy("region", "cell", "root").agg(F.count("*").alias("m"), F.sum(F.size("s")).alias("w"))
+            best = F.max(F.struct("m", "w", "root"))
+            sizes = sizes.groupBy("region", "cell").agg(F.sum("m").alias("n"), F.sum("w").alias("weight"), best.alias("b"))
+            sizes = stored(sizes.select("region", "cell", "n", "weight", F.col("b.m").alias("most"), F.col("b.w").alias("heaviest"), F.col("b.root").alias("largest")).where(f"n > {REGION} or weight > {WEIGHT}"), "sizes")
+            own = sizes.select("region", "cell")
+            small = rest.join(F.broadcast(own) if own.count() <= BROADCAST_ROWS else own, ["region", "cell"], "left_anti")
+            if not cells:
+                done.append(small)
+                large = sizes.where("n > most")  # where all classes are connected, nothing is left to do
+                if large.isEmpty():
+                    rest = None
+                    break
+                links = stored(to_pivot_cells(rest, large, level, percent, False), "links")
+                edges.append(links)
+                rest = rerooted(rest.join(large.select("region", "cell"), ["region", "cell"], "left_semi"), links)
+                continue
+            few = sizes.where(f"n > most and (n - most <= {REGION} and weight - heaviest <= {WEIGHT} or {level} = {LEVELS})")
+            many = sizes.where(f"n > most and not (n - most <= {REGION} and weight - heaviest <= {WEIGHT} or {level} = {LEVELS})")
+            if not few.isEmpty():
+                done.append(in_blocks(rest, few))
+            if many.isEmpty():
+                rest = None
+                break
+            next_ = stored(to_pivot_cells(rest, many, level, percent, True), "members")
+            links = next_.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b"))
+            edges.append(links)
+            rest = rerooted(next_.drop("to"), links)
+        if rest is None:
             break
-        members = stored(dealt(members, large, level, percent), "members")
-        links = members.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b"))
-        edges.append(links)
-        known = members.select(F.col("root").alias("id")).unionByName(members.select("id")).distinct()
-        roots = components(known, links.unionByName(members.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b"))))
-        members = stored(members.select("region", "cell", "home", "id", "s").join(roots.withColumnRenamed("component", "root"), "id").select("region", "cell", "home", "id", "root", "s"), "members")
     every = done[0]
     for x in done[1:]:
         every = every.unionByName(x)
@@ -375,6 +415,13 @@ def joined(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out
 
 
+def rerooted(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with the smallest id that they are known to be connected to."""
+    known = members.select(F.col("root").alias("id")).unionByName(members.select("id")).distinct()
+    roots = components(known, links.unionByName(members.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    return stored(members.drop("root").join(roots.withColumnRenamed("component", "root"), "id").select("region", "cell", "home", "id", "root", "s"), "members")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, key (hash of its text), n_shingles, component_id of every document, by shingles of so many words and links from so many percent on."""
     small_batches(docs.sparkSession)

@@ -282,22 +282,21 @@ def near_copies():
     return [*rows, (n, None), (n + 1, " "), (n + 2, rows[0][1]), (n + 3, "A b"), (n + 4, "a  B")]
 
 
-@pytest.mark.parametrize(("region", "levels"), [(3000, 3), (2, 3), (5, 1), (4, 0)])
-def test_jaccard_components_against_brute_force(spark, region, levels, monkeypatch):
-    """Regions that fit a task; dealt into cells again and again; compared in blocks in the end, or at once."""
-    monkeypatch.setattr(jaccard, "REGION", region)
-    monkeypatch.setattr(jaccard, "LEVELS", levels)
-    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+@pytest.mark.parametrize(("region", "weight", "levels"), [(3000, 3_000_000, 2), (5, 3_000_000, 1), (3000, 400, 0)])
+def test_jaccard_components_against_brute_force(spark, region, weight, levels, monkeypatch):
+    """Regions that fit a task; cut by size, linked to pivots, dealt into cells; and compared in blocks at once."""
+    for name, value in (("REGION", region), ("WEIGHT", weight), ("LEVELS", levels), ("PIVOTS", 3)):
+        monkeypatch.setattr(jaccard, name, value)
     rows = near_copies()
     got = jaccard.near_duplicates(clashing(documents(spark, rows))).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows))
 
 
-@pytest.mark.parametrize("levels", [2, 0])
+@pytest.mark.parametrize("levels", [1, 0])
 def test_jaccard_of_one_large_group(spark, levels, monkeypatch):
     """A chain of near copies in one region: neighbours link, its ends don't."""
-    monkeypatch.setattr(jaccard, "REGION", 6)
-    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    for name, value in (("REGION", 6), ("LEVELS", levels), ("SLICE", 200)):
+        monkeypatch.setattr(jaccard, name, value)
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[2 * i : 2 * i + 90])) for i in range(60)] + [(100 + i, " ".join(words[:80] + [f"x{i}{k}" for k in range(9)])) for i in range(12)]
     got = jaccard.near_duplicates(documents(spark, rows)).collect()
