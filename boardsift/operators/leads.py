@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from boardsift.functions import boxes as B
 from boardsift.operators import gates
 from boardsift.operators.joints import lead_bands
+from boardsift.operators.spatial import touching
 
 
 def assigned(detections: DataFrame, confidence: float = 0.35, reach: float = 1.2) -> DataFrame:
     """Each terminal with the body next to it, by distance over the body's longer side; of equals the first."""
     lead = gates.is_lead(F.col("label"))
-    leads = detections.where(lead & (F.col("confidence") >= confidence)).select("board_id", F.col("no").alias("lead_no"), B.of().alias("l"))
-    bodies = detections.where(~lead).select("board_id", "no", B.of().alias("b"))
+    side = F.greatest(B.width(B.of()), B.height(B.of())) * reach * (1 + 1e-9) + 1e-6
+    centre = B.box(B.center_x(B.of()), B.center_y(B.of()), B.center_x(B.of()) + 1e-6, B.center_y(B.of()) + 1e-6)
+    leads = detections.where(lead & (F.col("confidence") >= confidence)).select("board_id", F.col("no").alias("lead_no"), B.of().alias("l"), centre.alias("c"))
+    bodies = detections.where(~lead).select("board_id", "no", B.of().alias("b"), B.box(F.col("x1") - side, F.col("y1") - side, F.col("x2") + side, F.col("y2") + side).alias("near"))
     b = F.col("b")
     away = F.bround(B.distance(B.center_x(F.col("l")), B.center_y(F.col("l")), b) / F.greatest(B.width(b), B.height(b)), 9)
-    j = leads.join(bodies, "board_id").withColumn("d", away).where(F.col("d") <= reach)
+    j = touching(leads, bodies, "board_id", "c", "near").withColumn("d", away).where(F.col("d") <= reach)
     return j.groupBy("board_id", "lead_no").agg(F.min_by(F.struct("no", "l", "b"), F.struct("d", "no")).alias("m")).select("board_id", "lead_no", "m.no", "m.l", "m.b")
 
 

@@ -25,8 +25,14 @@ def coerced(a: np.ndarray) -> np.ndarray:
 
 
 def value_saturation(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Brightest channel, and how far the darkest is from it, both of 255."""
     most, least = bgr.max(2).astype(np.int32), bgr.min(2).astype(np.int32)
-    return most.astype(np.uint8), np.where(most > 0, (most - least) * 255 // np.maximum(most, 1), 0).astype(np.uint8)
+    share = np.rint((most - least) * 255 / np.maximum(most, 1))
+    return most.astype(np.uint8), np.where(most > 0, share, 0).astype(np.uint8)
+
+
+def luminance(bgr: np.ndarray) -> np.ndarray:
+    return np.rint(bgr @ np.array([0.114, 0.587, 0.299]))
 
 
 def otsu(v: np.ndarray) -> int:
@@ -53,46 +59,69 @@ def closed(m: np.ndarray) -> np.ndarray:
     return _window(_window(m, np.logical_or), np.logical_and)
 
 
-def solder(bgr: np.ndarray, saturation: int = 110) -> np.ndarray:
-    """Bright and nearly grey pixels, cleaned, unless cleaning would leave nothing."""
+# What solder is like. Saturation at most; brightness that a threshold mustn't fall below; spread of brightness and
+# share of bright pixels within which brightness alone may decide; percentile and floor of a glint.
+SATURATION, DARK, SPREAD, BRIGHT_SHARE, GLINT, GLINT_FLOOR = 110, 40, 35, 0.90, 99.0, 200.0
+FEATURES = (
+    "solder_ratio", "solder_area_px", "span_ratio", "width_ratio", "centroid_offset_ratio", "specular_ratio", "edge_density", "contrast", "uniformity",
+    "edge_contact_start", "edge_contact_end", "mean_value", "mean_saturation",
+)
+
+
+def solder(bgr: np.ndarray, saturation: int = SATURATION) -> np.ndarray:
+    """Bright and nearly grey pixels, cleaned of specks unless that would leave nothing.
+
+    Where no bright pixel is grey, brightness alone decides if the region has both bright and dark parts: a flat region
+    has no solder, whatever its brightness.
+    """
     if not bgr.size:
         return np.zeros(bgr.shape[:2], bool)
     v, s = value_saturation(bgr)
     level = otsu(v)
-    mask = (v > level) & (s <= saturation)
-    if v.max() - v.min() < 20:  # one brightness only: no threshold inside it means anything
-        mask = (v >= 150) & (s <= saturation)
+    bright = v > level if level >= DARK else v >= DARK
+    mask = bright & (s <= saturation)
+    if not mask.any():
+        if int(v.max()) - int(v.min()) < SPREAD or bright.mean() > BRIGHT_SHARE:
+            return mask
+        mask = bright
     clean = closed(opened(mask))
     return clean if clean.any() else mask
 
 
+def edges_of(bgr: np.ndarray) -> float:
+    """Mean size of the second difference of brightness, of 255."""
+    p = np.pad(luminance(bgr), 1, mode="reflect")
+    return float(np.abs(p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).mean()) / 255
+
+
 def measured(bgr: np.ndarray, axis: str = "auto") -> dict:
-    """What a region shows of solder: shares, spread, offset, gloss, contrast and contact with both ends."""
-    h, w = bgr.shape[:2]
-    if not bgr.size:
-        return {k: 0.0 for k in ("solder_ratio", "span_ratio", "width_ratio", "centroid_offset_ratio", "specular_ratio", "contrast", "edge_contact_start", "edge_contact_end", "mean_value")}
-    mask = solder(bgr)
-    if axis == "vertical" or (axis == "auto" and h > w):
-        mask, bgr = mask.T, bgr.transpose(1, 0, 2)
-        h, w = w, h
-    v, _ = value_saturation(bgr)
+    """The 13 measurements of a region, spans and contacts along its longer side or the axis given (x or y)."""
+    out = dict.fromkeys(FEATURES, 0.0) | {"solder_area_px": 0}
+    if not bgr.size or min(bgr.shape[:2]) < 2:
+        return out
+    if axis == "y" or (axis == "auto" and bgr.shape[0] > bgr.shape[1]):
+        bgr = bgr.transpose(1, 0, 2)  # the joint runs along the rows from here on
+    mask, (v, s) = solder(bgr), value_saturation(bgr)
+    h, w = mask.shape
+    out |= {"edge_density": edges_of(bgr), "mean_value": float(v.mean()) / 255, "mean_saturation": float(s.mean()) / 255}
     n = int(mask.sum())
-    cols, rows = np.flatnonzero(mask.any(0)), np.flatnonzero(mask.any(1))
-    ys, xs = np.nonzero(mask)
-    offset = float(np.hypot((xs.mean() + 0.5 - w / 2) / (w / 2), (ys.mean() + 0.5 - h / 2) / (h / 2))) if n else 0.0
-    top = np.percentile(v, 99)
-    inside, outside = (float(v[mask].mean()) if n else 0.0), (float(v[~mask].mean()) if n < mask.size else 0.0)
-    band = max(1, round(0.1 * w))
-    return {
+    if not n:
+        return out
+    along, across = mask.sum(0) / h, mask.any(1)
+    where, heights = np.flatnonzero(along), np.flatnonzero(across)
+    centre = float(np.nonzero(mask)[1].mean())
+    shine, ground = v[mask].astype(float), v[~mask].astype(float)
+    return out | {
         "solder_ratio": n / mask.size,
-        "span_ratio": (cols[-1] - cols[0] + 1) / w if n else 0.0,
-        "width_ratio": (rows[-1] - rows[0] + 1) / h if n else 0.0,
-        "centroid_offset_ratio": offset,
-        "specular_ratio": float(((v >= top) & mask).sum()) / mask.size,
-        "contrast": abs(inside - outside) / 255 if n else 0.0,
-        "edge_contact_start": float(mask[:, :band].any(1).mean()),
-        "edge_contact_end": float(mask[:, -band:].any(1).mean()),
-        "mean_value": float(v.mean()) / 255,
+        "solder_area_px": n,
+        "span_ratio": (where[-1] - where[0] + 1) / w,
+        "width_ratio": (heights[-1] - heights[0] + 1) / h,
+        "centroid_offset_ratio": min(1.0, abs(centre - w / 2) / max(1.0, w / 2)),
+        "specular_ratio": float((shine >= max(np.percentile(v, GLINT), GLINT_FLOOR)).mean()),
+        "contrast": float(np.clip((shine.mean() - ground.mean()) / 255, -1, 1)) if len(ground) else 0.0,
+        "uniformity": float(np.clip(1 - along.std() / (along.mean() + 1e-6), 0, 1)),
+        "edge_contact_start": float(mask[:, 0].mean()),
+        "edge_contact_end": float(mask[:, -1].mean()),
     }
 
 
@@ -195,34 +224,6 @@ def similarity(a: np.ndarray, b: np.ndarray, sigma: float = 1.5) -> float:
     return float((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
 
 
-def grey_world(bgr: np.ndarray) -> np.ndarray:
-    mean = bgr.reshape(-1, 3).mean(0)
-    return np.clip(bgr * (mean.mean() / np.maximum(mean, 1e-6)), 0, 255).astype(np.uint8)
-
-
-def stretched(bgr: np.ndarray, low: float = 1, high: float = 99) -> np.ndarray:
-    a, b = np.percentile(bgr, [low, high])
-    return np.clip((bgr.astype(float) - a) * 255 / max(1e-6, b - a), 0, 255).astype(np.uint8)
-
-
-def preprocessed(bgr: np.ndarray, most: int = 2048) -> tuple[np.ndarray, list[str], float]:
-    """Scaled down, white balanced, stretched: the image, what was done, and the scale."""
-    done, scale = [], min(1.0, most / max(bgr.shape[:2]))
-    if scale < 1:
-        bgr = resized(bgr, max(1, round(bgr.shape[0] * scale)), max(1, round(bgr.shape[1] * scale)))
-        done.append("resize")
-    return stretched(grey_world(bgr)), [*done, "white_balance", "stretch"], scale
-
-
-def located(bgr: np.ndarray, background: int = 30) -> tuple[int, int, int, int] | None:
-    """Box of the board: where the frame isn't background, if that is a plausible share of it."""
-    m = closed(opened(bgr.max(2) > background))
-    ys, xs = np.flatnonzero(m.any(1)), np.flatnonzero(m.any(0))
-    if not len(ys) or not 0.08 <= m.mean() <= 0.995:
-        return None
-    return int(xs[0]), int(ys[0]), int(xs[-1]) + 1, int(ys[-1]) + 1
-
-
 def drawn(rows: np.ndarray, h: int = 190, w: int = 270) -> np.ndarray:
     """A synthetic board: green, with bright boxes."""
     out = np.empty((h, w, 3), np.uint8)
@@ -232,18 +233,13 @@ def drawn(rows: np.ndarray, h: int = 190, w: int = 270) -> np.ndarray:
     return out
 
 
-def undistorted(image: np.ndarray, camera: np.ndarray, k1: float, k2: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Radial lens distortion taken out, nearest pixel; and where the result has a source."""
-    h, w = image.shape[:2]
-    y, x = np.mgrid[:h, :w].astype(float)
-    u, v = (x - camera[0, 2]) / camera[0, 0], (y - camera[1, 2]) / camera[1, 1]
-    r = u * u + v * v
-    f = 1 + k1 * r + k2 * r * r
-    sx, sy = np.rint(u * f * camera[0, 0] + camera[0, 2]).astype(int), np.rint(v * f * camera[1, 1] + camera[1, 2]).astype(int)
-    valid = (sx >= 0) & (sx < w) & (sy >= 0) & (sy < h)
-    out = np.zeros_like(image)
-    out[valid] = image[sy[valid], sx[valid]]
-    return out, valid
+def outlined(image: np.ndarray, boxes: list[tuple[int, int, int, int]], colour: tuple[int, int, int]) -> np.ndarray:
+    """The image with each box's edge drawn on it."""
+    out = image.copy()
+    for x1, y1, x2, y2 in boxes:
+        out[[y1, y2 - 1], x1:x2] = colour
+        out[y1:y2, [x1, x2 - 1]] = colour
+    return out
 
 
 def camera_for(camera: np.ndarray, calibrated: tuple[int, int], size: tuple[int, int], tolerance: float = 0.01) -> np.ndarray:

@@ -60,12 +60,10 @@ def from_fiducials(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray,
 def nearest_pairs(moved: np.ndarray, target: np.ndarray, agree: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
     """One to one, nearest first; pairs of unlike classes count half the tolerance farther."""
     gap = np.linalg.norm(moved[:, None] - target[None], axis=2) + np.where(agree, 0.0, 0.5 * tolerance)
-    order = np.argsort(gap, axis=None, kind="stable")
+    close = np.flatnonzero(gap.ravel() <= tolerance)
     used_a, used_b, out = set(), set(), []
-    for k in order:
-        i, j = divmod(int(k), len(target))
-        if gap[i, j] > tolerance:
-            break
+    for k in close[np.argsort(gap.ravel()[close], kind="stable")].tolist():
+        i, j = divmod(k, len(target))
         if i not in used_a and j not in used_b:
             used_a.add(i)
             used_b.add(j)
@@ -73,61 +71,118 @@ def nearest_pairs(moved: np.ndarray, target: np.ndarray, agree: np.ndarray, tole
     return out
 
 
-def register(source: np.ndarray, classes: list, target: np.ndarray, labels: list, tolerance: float | None = None, rounds: int = 3, seed: int = 20260819) -> dict:
+# Share of the frame's diagonal that a board's image may take, share of placements that must be met, mean residual in pixels.
+SPANS, LEAST_MET, MOST_RESIDUAL = (0.02, 4.0), 0.35, 25
+
+
+def voted(cells: np.ndarray, most: int) -> list[np.ndarray]:
+    """Members of the fullest cells (with their neighbours), the fullest first."""
+    names, inverse, counts = np.unique(cells, axis=0, return_inverse=True, return_counts=True)
+    inverse = inverse.ravel()
+    out = []
+    for k in np.argsort(-counts, kind="stable")[:most]:
+        near = np.flatnonzero((np.abs(names - names[k]) <= 1).all(1))
+        out.append(np.flatnonzero(np.isin(inverse, near)))
+    return out
+
+
+def turns(source: np.ndarray, classes: np.ndarray, target: np.ndarray, labels: np.ndarray, votes: int = 20_000, most: int = 4) -> list[complex]:
+    """Likely turns and scales as complex factors: what maps a baseline between two placements to one between two detections of
+    the same classes. Baselines of rare classes vote first, as they have fewest rivals."""
+    s, t = source @ [1, 1j], target @ [1, 1j]
+    rivals = {c: int((classes == c).sum()) * int((labels == c).sum()) for c in set(classes.tolist())}
+    order = sorted((i for i in range(len(s)) if rivals[classes[i]]), key=lambda i: (rivals[classes[i]], i))
+    far, found, spent = 0.25 * np.hypot(*np.ptp(source, axis=0)), [], 0
+    own = {c: np.flatnonzero(labels == c) for c in rivals}
+    for n, k in enumerate(order):
+        for i in order[:n]:
+            base = s[k] - s[i]
+            if abs(base) < far or spent >= votes:
+                continue
+            z = ((t[own[classes[k]]][:, None] - t[own[classes[i]]][None]) / base).ravel()
+            found.append(z[np.abs(z) > 1e-9])
+            spent += len(z)
+        if spent >= votes:
+            break
+    z = np.concatenate(found) if found else np.zeros(0, complex)
+    if not len(z):
+        return []
+    cells = np.c_[np.floor(np.log(np.abs(z)) / 0.02), np.floor(np.angle(z) / 0.02)].astype(int)
+    return [complex(np.exp(np.median(np.log(np.abs(z[m])))) * np.exp(1j * np.angle(np.exp(1j * np.angle(z[m])).mean()))) for m in voted(cells, most)]
+
+
+def shifts(moved: np.ndarray, target: np.ndarray, agree: np.ndarray, tolerance: float, most: int = 3) -> list[np.ndarray]:
+    """Likely shifts: those that bring most placements onto detections of their class."""
+    i, j = np.nonzero(agree)
+    gap = target[j] - moved[i]
+    if not len(gap):
+        return []
+    return [np.median(gap[m], axis=0) for m in voted(np.floor(gap / tolerance).astype(int), most)]
+
+
+def settled(m: np.ndarray, own: np.ndarray, target: np.ndarray, agree: np.ndarray, tolerance: float) -> tuple[np.ndarray, list[tuple[int, int]], float] | None:
+    """The matrix refitted to the pairs that it makes, until they don't change; then again with what their residual allows."""
+    near: list[tuple[int, int]] = []
+    for reach in (tolerance, None):
+        for _ in range(8):
+            if reach is None:
+                i, j = np.array(near).T
+                reach = max(4.0, 3 * float(np.median(np.linalg.norm(apply(m, own[i]) - target[j], axis=1))))
+            pairs = nearest_pairs(apply(m, own), target, agree, reach)
+            if len(pairs) < 2:
+                return None
+            i, j = np.array(pairs).T
+            m = similarity(own[i], target[j])
+            if pairs == near:
+                break
+            near = pairs
+    i, j = np.array(near).T
+    return m, near, float(np.linalg.norm(apply(m, own)[i] - target[j], axis=1).mean())
+
+
+def register(source: np.ndarray, classes: list, target: np.ndarray, labels: list, tolerance: float | None = None) -> dict:
     """Find the similarity of placements to detections without fiducials.
 
-    Both directions of the y axis; two-point seeds from a fixed random sequence; the best by agreeing classes, matches
-    and residual is refined with a tolerance that narrows. The result says if a rival placement is as good.
+    Baselines between placements vote for turn and scale, then pairs of equal class vote for the shift, for both directions
+    of the y axis; what wins is refitted to the pairs it makes. The best has most agreeing classes, then most pairs, then
+    the least residual; `ambiguous` says that another placement has as many agreeing classes.
     """
     if len(source) < 2 or len(target) < 2:
         return {"usable": False}
-    agree = np.array([[a == b for b in labels] for a in classes])
-    reach = np.ptp(target, axis=0)
-    tolerance = tolerance or 0.10 * float(np.hypot(*reach)) * 0.25
-    random, found = np.random.default_rng(seed), []
-    pairs = np.argwhere(agree)
-    if len(pairs) < 2:
-        pairs = np.argwhere(np.ones_like(agree))
+    kinds, seen = np.array(classes, object), np.array(labels, object)
+    if not set(classes) & set(labels):  # nothing agrees: any detection may be any placement
+        kinds, seen = np.full(len(classes), ""), np.full(len(labels), "")
+    agree = kinds[:, None] == seen[None]
+    diagonal = float(np.hypot(*np.ptp(target, axis=0)))
+    tolerance = tolerance or 0.025 * diagonal
+    found = []
     for flip in (1.0, -1.0):
         own = source * [1.0, flip]
-        for _ in range(min(500, max(64, 8 * len(pairs)))):
-            (i, j), (k, n) = pairs[random.integers(len(pairs))], pairs[random.integers(len(pairs))]
-            if i == k or j == n or np.allclose(own[i], own[k]):
+        span = float(np.hypot(*np.ptp(own, axis=0)))
+        for z in turns(own, kinds, target, seen):
+            if not SPANS[0] <= abs(z) * span / max(1e-9, diagonal) <= SPANS[1]:
                 continue
-            m = similarity(own[[i, k]], target[[j, n]])
-            scale = math.hypot(m[0, 0], m[1, 0])
-            size = np.ptp(own, axis=0)
-            ratio = scale * float(np.hypot(*size)) / max(1e-9, float(np.hypot(*reach)))
-            if not 0.02 <= ratio <= 4.0:
-                continue
-            moved = apply(m, own)
-            near = np.square(moved[:, :1] - target[:, 0]) + np.square(moved[:, 1:] - target[:, 1]) <= tolerance * tolerance
-            found.append((int((near & agree).any(1).sum()), int(near.any(1).sum()), m, flip))
-            if found[-1][0] == len(own):
-                break  # no seed can be better
-        if found and found[-1][0] == len(source):
-            break
-    best = None
-    for _, _, m, flip in sorted(found, key=lambda x: (-x[0], -x[1]))[:3]:
-        own, reach_now = source * [1.0, flip], tolerance
-        for _ in range(rounds):
-            near = nearest_pairs(apply(m, own), target, agree, reach_now)
-            if len(near) < 2:
-                break
-            a, b = np.array(near).T
-            m, reach_now = similarity(own[a], target[b]), max(4.0, reach_now * 0.6)
-        near = nearest_pairs(apply(m, own), target, agree, reach_now)
-        if not near:
-            continue
-        a, b = np.array(near).T
-        residual = float(np.linalg.norm(apply(m, own)[a] - target[b], axis=1).mean())
-        score = (int(agree[a, b].sum()), len(near), -residual)
-        if best is None or score > best[0]:
-            best = (score, m @ np.diag([1.0, flip, 1.0]), residual, len(near))
-    if best is None:
+            turn = np.array([[z.real, -z.imag], [z.imag, z.real]])
+            for shift in shifts(own @ turn.T, target, agree, tolerance):
+                m = np.eye(3)
+                m[:2, :2], m[:2, 2] = turn, shift
+                best = settled(m, own, target, agree, tolerance)
+                if best:
+                    m, near, residual = best
+                    i, j = np.array(near).T
+                    found.append(((int(agree[i, j].sum()), len(near), -residual), m @ np.diag([1.0, flip, 1.0])))
+                    if found[-1][0][0] == len(source) and residual < 1e-6:
+                        return _result(found, source, tolerance)  # nothing can be better
+    return _result(found, source, tolerance)
+
+
+def _result(found: list, source: np.ndarray, tolerance: float) -> dict:
+    if not found:
         return {"usable": False}
-    score, m, residual, n = best
-    return {"usable": n / len(source) >= 0.35 and residual <= 25, "matrix": m, "matched": n, "agreements": score[0], "residual": residual, "inlier_ratio": n / len(source)}
+    found = sorted(found, key=lambda x: x[0], reverse=True)
+    (agreements, n, gap), m = found[0]
+    rival = any(x[0][0] >= agreements and np.linalg.norm(apply(x[1], source) - apply(m, source), axis=1).mean() > tolerance for x in found[1:])
+    return {"usable": n / len(source) >= LEAST_MET and -gap <= MOST_RESIDUAL, "matrix": m, "matched": n, "agreements": agreements, "residual": -gap, "inlier_ratio": n / len(source), "ambiguous": rival}
 
 
 def clipped_area(outline: list[tuple[float, float]], box: tuple[float, float, float, float]) -> float:

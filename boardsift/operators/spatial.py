@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boardsift.functions import boxes as B
+
 
 def within(a: DataFrame, b: DataFrame, key: str, reach: float) -> DataFrame:
     """Pairs of points (x, y) with equal key at most `reach` apart, and distance2: each b is put in the nine cells around it."""
@@ -18,3 +20,19 @@ def within(a: DataFrame, b: DataFrame, key: str, reach: float) -> DataFrame:
     right = right.withColumn("_gx", cell("x") + F.col("_dx")).withColumn("_gy", cell("y") + F.col("_dy")).drop("_dx", "_dy")
     j = left.join(right, [key, "_gx", "_gy"]).withColumn("distance2", F.pow(F.col("ax") - F.col("x"), 2) + F.pow(F.col("ay") - F.col("y"), 2))
     return j.where(F.col("distance2") <= reach * reach).drop("_gx", "_gy")
+
+
+def touching(a: DataFrame, b: DataFrame, key: str, left: str, right: str, size: float = 48.0) -> DataFrame:
+    """Pairs of boxes (struct columns) with equal key that overlap.
+
+    Boxes are put in all cells of a grid that they cover; a pair meets in several and counts in the one that holds the
+    corner where their overlap begins.
+    """
+
+    def cells(df, c, x, y):
+        at = [F.sequence(F.floor(F.col(f"{c}.{k}1") / size), F.floor(F.col(f"{c}.{k}2") / size)) for k in ("x", "y")]
+        return df.withColumn(x, F.explode(at[0])).withColumn(y, F.explode(at[1]))
+
+    j = cells(a, left, "_gx", "_gy").join(cells(b, right, "_gx", "_gy"), [key, "_gx", "_gy"])
+    begins = [F.floor(F.greatest(F.col(f"{left}.{k}1"), F.col(f"{right}.{k}1")) / size) for k in ("x", "y")]
+    return j.where((F.col("_gx") == begins[0]) & (F.col("_gy") == begins[1]) & B.touch(F.col(left), F.col(right))).drop("_gx", "_gy")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boardsift.catalog import query
@@ -52,8 +51,7 @@ def crop_manifest(spark, sf_dir):
 
 @query("D9", "SELECT split, sha256(string_agg(d, '' ORDER BY d)) AS fingerprint FROM (SELECT split, sha256(text) || ':' || CAST(n_chars AS VARCHAR) AS d FROM sample) t GROUP BY split", ("sample",))
 def dataset_fingerprint(spark, sf_dir):
-    d = view(spark, sf_dir, "sample").select("split", F.concat_ws(":", F.sha2("text", 256), F.col("n_chars").cast("string")).alias("d"))
-    return d.groupBy("split").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("fingerprint"))
+    return datasets.fingerprint(view(spark, sf_dir, "sample"), "split", F.concat_ws(":", F.sha2("text", 256), F.col("n_chars").cast("string")))
 
 
 @query("D13", """
@@ -63,8 +61,8 @@ def board_split(spark, sf_dir):
     b = view(spark, sf_dir, "det").select("board_id").distinct()
     n = b.count()
     part = max(1, round(n * 0.15))
-    r = F.row_number().over(W.orderBy(F.sha2(F.concat(F.lit("3::"), F.col("board_id").cast("string")), 256)))  # a row a board
-    return b.select("board_id", r.alias("r")).select("board_id", F.when(F.col("r") <= part, "val").when(F.col("r") <= 2 * part, "test").otherwise("train").alias("split"))
+    r = F.col("rank")
+    return datasets.ranked(b, datasets.seeded(3, "board_id")).select("board_id", F.when(r <= part, "val").when(r <= 2 * part, "test").otherwise("train").alias("split"))
 
 
 @query("D12", """
@@ -76,4 +74,4 @@ def negative_cap(spark, sf_dir):
 
     b = view(spark, sf_dir, "det").groupBy("board_id").agg(F.count_if(gates.is_lead(F.col("label"))).alias("pads"))
     n = b.where("pads >= 20").count()
-    return b.where("pads < 20").orderBy(F.sha2(F.concat(F.lit("5::"), F.col("board_id").cast("string")), 256)).limit(int(0.25 * n)).select("board_id")
+    return datasets.ranked(b.where("pads < 20").select("board_id"), datasets.seeded(5, "board_id")).where(F.col("rank") <= int(0.25 * n)).select("board_id")

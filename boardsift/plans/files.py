@@ -79,16 +79,3 @@ def label_rows(spark, sf_dir):
 def board_bundles(spark, sf_dir):
     d = view(spark, sf_dir, "det").select("board_id", F.format_string("crop_%04d.txt", "no").alias("name"), sinks.yolo_line(F.col("class_id"), B.of(), 250, 250).alias("content"))
     return sinks.bundles(d, "board_id", "name", "content").select("board_id", "files", F.sha2("archive", 256).alias("sha256"))
-
-
-@query("K15", "SELECT board_id, no FROM det WHERE label <> 'component_candidate' AND confidence >= 0.6 AND (x2 - x1) * (y2 - y1) >= 200", ("det",))
-def overlay_rows(spark, sf_dir):
-    return view(spark, sf_dir, "det").where((F.col("label") != "component_candidate") & (F.col("confidence") >= 0.6) & (B.area(B.of()) >= 200)).select("board_id", "no")
-
-
-@query("M1 M4 M5 J18", """SELECT board_id, no, round_even(a + b + c, 9) AS l0, round_even(a - c, 9) AS l1, round_even(greatest(a, b, c), 9) AS l2 FROM (SELECT board_id, no, solder_ratio AS a, span_ratio AS b, contrast AS c FROM feat) t""", ("feat",))
-def batch_inference(spark, sf_dir):
-    from boardsift.operators.inference import predicted, stub
-
-    p = predicted(view(spark, sf_dir, "feat"), ["board_id", "no"], ["solder_ratio", "span_ratio", "contrast"], stub)
-    return p.select("board_id", "no", *(F.bround(F.col("logits")[i], 9).alias(f"l{i}") for i in range(3)))

@@ -9,7 +9,7 @@ from boardsift.catalog import query
 from boardsift.functions import boxes as B
 from boardsift.functions import text as T
 from boardsift.operators import gates, reconcile
-from boardsift.operators.spatial import within
+from boardsift.operators.spatial import touching
 from boardsift.views import table, view
 
 
@@ -112,7 +112,7 @@ def seed_pairs(spark, sf_dir):
 def neighbour_pairs(spark, sf_dir):
     d = view(spark, sf_dir, "det").select("board_id", "no", F.floor(F.col("no") / 4).alias("part"), B.of().alias("b"))
     a, b = (d.select("board_id", F.col("no").alias(f"{k}_no"), F.col("part").alias(f"{k}_part"), F.col("b").alias(k)) for k in "ab")
-    return a.join(b, "board_id").where((F.col("a_no") < F.col("b_no")) & (F.col("a_part") != F.col("b_part")) & B.touch(F.col("a"), F.col("b"))).select("board_id", "a_no", "b_no")
+    return touching(a, b, "board_id", "a", "b").where((F.col("a_no") < F.col("b_no")) & (F.col("a_part") != F.col("b_part"))).select("board_id", "a_no", "b_no")
 
 
 @query("J19", """SELECT c.board_id, cad_no, coalesce(f.position, 'none') AS position FROM cad c LEFT JOIN feat f ON c.board_id = f.board_id AND c.cad_no = f.no AND f.pin_index < 2""", ("cad", "feat"))

@@ -20,21 +20,25 @@ def _frame(pdf: pd.DataFrame) -> np.ndarray:
     return pixels.drawn(np.c_[parts[list(B.SIDES)].to_numpy(), 150 + 12 * parts.class_id.to_numpy()])
 
 
-@query("S1 S2 I9 I16 K14 M5")
+def _kinds() -> str:
+    return ", ".join(f"{k} {'int' if k == 'solder_area_px' else 'double'}" for k in pixels.FEATURES)
+
+
+@query("I9 I10")
 def solder_measure(spark, sf_dir):
-    """Five measurements a part, from the pixels of its board as they come back from an encoded image."""
+    """All 13 measurements of each part, from the pixels of its board as they come back from an encoded image."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         image, out = images.decoded(images.encoded(_frame(pdf))), []
         for r in pdf.itertuples():
             m = pixels.measured(image[int(r.y1) : int(r.y2), int(r.x1) : int(r.x2)])
-            out.append([r.board_id, r.no, *(round(m[k], 6) for k in ("solder_ratio", "span_ratio", "contrast", "edge_contact_start", "edge_contact_end"))])
-        return pd.DataFrame(out, columns=["board_id", "no", "solder_ratio", "span_ratio", "contrast", "edge_contact_start", "edge_contact_end"])
+            out.append([r.board_id, r.no, *(round(m[k], 5) for k in pixels.FEATURES)])
+        return pd.DataFrame(out, columns=["board_id", "no", *pixels.FEATURES])
 
-    return frames(spark, sf_dir).groupBy("board_id").applyInPandas(kernel, "board_id int, no int, solder_ratio double, span_ratio double, contrast double, edge_contact_start double, edge_contact_end double")
+    return frames(spark, sf_dir).groupBy("board_id").applyInPandas(kernel, f"board_id int, no int, {_kinds()}")
 
 
-@query("I11 T6 I12")
+@query("I11 T6")
 def refine_to_metal(spark, sf_dir):
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         image, out = _frame(pdf), []
@@ -44,32 +48,3 @@ def refine_to_metal(spark, sf_dir):
         return pd.DataFrame(out, columns=["board_id", "no", *B.SIDES, "refined"])
 
     return frames(spark, sf_dir).groupBy("board_id").applyInPandas(kernel, "board_id int, no int, x1 int, y1 int, x2 int, y2 int, refined boolean")
-
-
-@query("I6 I7 G11")
-def golden_compare(spark, sf_dir):
-    """A board moved by a known step against itself: the step comes back, and what is left is alike."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        image, done, _ = pixels.preprocessed(_frame(pdf))
-        grey = image.mean(2)
-        moved = np.roll(grey, (3, 2), (0, 1))
-        x, y, score = pixels.shift(moved[40:120, 60:160], grey[50:110, 70:150])
-        alike = pixels.similarity(np.roll(moved, (-3, -2), (0, 1))[20:100, 20:100], grey[20:100, 20:100])
-        found = pixels.located(_frame(pdf))
-        return pd.DataFrame([[pdf.board_id.iloc[0], round(x - 10, 3), round(y - 10, 3), round(score, 6), round(alike, 6), found is not None, ",".join(done)]], columns=["board_id", "dx", "dy", "score", "ssim", "located", "operations"])
-
-    return frames(spark, sf_dir).groupBy("board_id").applyInPandas(kernel, "board_id int, dx double, dy double, score double, ssim double, located boolean, operations string")
-
-
-@query("I2 I3")
-def lens_correction(spark, sf_dir):
-    """How much of each board's frame has a source after its lens distortion is taken out."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = _frame(pdf)
-        camera = pixels.camera_for(np.array([[400.0, 0, 270], [0, 400, 190], [0, 0, 1]]), (540, 380), (270, 190))
-        out, valid = pixels.undistorted(image, camera, 0.08)
-        return pd.DataFrame([[pdf.board_id.iloc[0], round(float(valid.mean()), 9), int(out.sum())]], columns=["board_id", "valid", "light"])
-
-    return frames(spark, sf_dir).groupBy("board_id").applyInPandas(kernel, "board_id int, valid double, light long")

@@ -8,6 +8,7 @@ from boardsift.catalog import query
 from boardsift.functions import boxes as B
 from boardsift.functions import numbers as N
 from boardsift.functions import text as T
+from boardsift.operators.spatial import touching
 from boardsift.views import table, view
 
 KEY = ["board_id", "no"]
@@ -39,7 +40,7 @@ def met(spark, sf_dir):
     """Overlapping boxes of a board."""
     d = view(spark, sf_dir, "det").select("board_id", "no", B.of().alias("b"))
     a, b = (d.select("board_id", F.col("no").alias(f"{k}_no"), F.col("b").alias(k)) for k in "ab")
-    return a.join(b, "board_id").where((F.col("a_no") < F.col("b_no")) & B.touch(F.col("a"), F.col("b")))
+    return touching(a, b, "board_id", "a", "b").where(F.col("a_no") < F.col("b_no"))
 
 
 @query("P6 P7 P11", PAIRS + "SELECT board_id, a_no, b_no, round_even(i / (aa + ba - i), 9) AS iou, round_even(i / least(aa, ba), 9) AS ios FROM p", ("det",))
@@ -121,7 +122,7 @@ def crop_window(spark, sf_dir):
     windows = d.where("label not in ('pads', 'pins')").select(*KEY, B.box(F.col("x1") - m, F.col("y1") - m, F.col("x2") + m, F.col("y2") + m).alias("w"))
     leads = d.where("label = 'pads'").select("board_id", F.col("no").alias("lead_no"), b.alias("l"))
     w, lead, c = F.col("w"), F.col("l"), F.col("c")
-    j = windows.join(leads, "board_id").where(B.touch(lead, w)).withColumn("c", B.overlap(lead, w)).where(B.area(c) >= F.lit(0.55) * B.area(lead))
+    j = touching(windows, leads, "board_id", "w", "l").withColumn("c", B.overlap(lead, w)).where(B.area(c) >= F.lit(0.55) * B.area(lead))
     return j.select(*KEY, "lead_no", B.shifted(c, -w["x1"], -w["y1"]).alias("o")).select(*KEY, "lead_no", "o.*")
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import json
 import struct
 import zlib
 from itertools import permutations
@@ -11,8 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from boardsift import catalog
-from boardsift.operators import assign, images, pixels
+from boardsift.operators import assign, enhance, images, inference, onnx_files, pixels, training, vision
 from boardsift.operators import registration as R
 
 BOX = st.tuples(st.integers(0, 30), st.integers(0, 30), st.integers(1, 15), st.integers(1, 15)).map(lambda b: [float(b[0]), float(b[1]), float(b[0] + b[2]), float(b[1] + b[3])])
@@ -86,27 +86,168 @@ def test_shift_is_measured(dx, dy):
     assert round(x - 20, 1) == dx and round(y - 20, 1) == dy and score > 0.99
 
 
+GREEN, GREY = (40, 90, 40), (215, 215, 215)
+
+
+def region(*boxes, size=(40, 80)):
+    image = np.full((*size, 3), GREEN, np.uint8)
+    for x1, y1, x2, y2 in boxes:
+        image[y1:y2, x1:x2] = GREY
+    return image
+
+
 def test_solder_on_green():
-    image = np.full((40, 80, 3), (40, 90, 40), np.uint8)
-    image[10:30, 20:60] = 215
+    image = region((20, 10, 60, 30))
     m = pixels.measured(image)
-    assert m["solder_ratio"] == pytest.approx(0.25, abs=0.02) and m["span_ratio"] == pytest.approx(0.5, abs=0.03)
+    assert set(m) == set(pixels.FEATURES) and len(m) == 13
+    assert (m["solder_ratio"], m["solder_area_px"], m["span_ratio"], m["width_ratio"]) == (0.25, 800, 0.5, 0.5)
+    assert m["centroid_offset_ratio"] == pytest.approx(abs(39.5 - 40) / 40) and m["edge_contact_start"] == m["edge_contact_end"] == 0
+    assert m["contrast"] == pytest.approx((215 - 90) / 255) and m["specular_ratio"] == 1.0
+    profile = np.repeat([0.0, 0.5, 0.0], [20, 40, 20])
+    assert m["uniformity"] == pytest.approx(max(0.0, 1 - profile.std() / (profile.mean() + 1e-6)))
     assert pixels.refined(image) == (20, 10, 60, 30)
-    assert pixels.similarity(image.mean(2), image.mean(2)) == pytest.approx(1.0)
     assert pixels.letterboxed(image, 128, 128).shape == (128, 128, 3)
 
 
+def test_solder_is_measured_along_its_axis():
+    across = pixels.measured(region((0, 10, 80, 30)))
+    assert across["edge_contact_start"] == across["edge_contact_end"] == 0.5 and across["span_ratio"] == 1
+    down = pixels.measured(region((0, 10, 80, 30)).transpose(1, 0, 2))
+    assert all(down[k] == pytest.approx(across[k]) for k in pixels.FEATURES)
+    assert pixels.measured(region((0, 10, 80, 30)), "y")["span_ratio"] == 0.5
+    left = pixels.measured(region((0, 10, 20, 30)))
+    assert left["centroid_offset_ratio"] > 0.7 and left["edge_contact_start"] > 0 == left["edge_contact_end"]
+
+
+def test_regions_without_solder():
+    assert pixels.measured(np.zeros((0, 0, 3), np.uint8))["solder_area_px"] == 0 and pixels.measured(np.zeros((1, 9, 3), np.uint8))["mean_value"] == 0
+    bare = pixels.measured(region())
+    assert bare["solder_ratio"] == bare["contrast"] == 0 and bare["mean_value"] == pytest.approx(90 / 255) and bare["mean_saturation"] > 0.5
+    dots = np.full((40, 40, 3), 30, np.uint8)
+    dots[[10, 20, 31], [10, 25, 7]] = 245
+    assert pixels.solder(dots).any()
+    dull = region((5, 5, 75, 35))
+    dull[dull == 215] = 150
+    assert pixels.measured(dull)["specular_ratio"] == 0 < pixels.measured(region((5, 5, 75, 35)))["specular_ratio"]
+
+
 def test_lens():
     image = np.random.default_rng(0).integers(0, 255, (40, 60, 3)).astype(np.uint8)
     camera = np.array([[50.0, 0, 30], [0, 50, 20], [0, 0, 1]])
-    same, valid = pixels.undistorted(image, camera, 0.0)
+    same, valid = enhance.undistorted(image, camera, (0.0,))
     assert (same == image).all() and valid.all()
-    assert not pixels.undistorted(image, camera, 0.5)[1].all()
+    assert not enhance.undistorted(image, camera, (0.5, 0.1, 0.01, 0.01, 0.0))[1].all()
     assert pixels.camera_for(camera, (60, 40), (120, 80))[0, 0] == 100
     with pytest.raises(ValueError):
         pixels.camera_for(camera, (60, 40), (120, 40))
 
 
+def test_enhancement_steps():
+    image = np.random.default_rng(0).integers(60, 120, (48, 64, 3)).astype(np.uint8)
+    assert np.ptp(enhance.stretched(image)) > np.ptp(image) and enhance.sharpened(image).std() > image.std() > enhance.bilateral(image).std()
+    assert enhance.local_contrast(image).shape == image.shape and np.allclose(enhance.gaussian(np.full((20, 20), 7.0), 2), 7)
+    assert enhance.preprocessed(image, most=32)[1:] == (["resize", "white_balance", "stretch"], 0.5)
+    with pytest.raises(ValueError):
+        enhance.preprocessed(image, noise="magic")
+
+
+def test_views_of_one_image_are_alike():
+    image = np.random.default_rng(3).integers(0, 255, (40, 50, 3)).astype(np.uint8)
+    same = vision.compared(image, image)
+    assert same["ssim"] == pytest.approx(1) and same["colour"] == 0 and same["blobs"] == 0 and same["edges"] == 1
+    assert not vision.compared(image, image, np.zeros((40, 50), bool))["valid"]
+    assert np.allclose(vision.lab(np.array([[[255, 255, 255], [0, 0, 0], [0, 0, 255]]], np.uint8))[0], [[100, 0, 0], [0, 0, 0], [53.24, 80.09, 67.2]], atol=0.05)
+
+
+def test_hull_and_least_rectangle():
+    y, x = np.mgrid[:60, :60] - 29.5
+    t = np.radians(30)
+    bar = (np.abs(x * np.cos(t) + y * np.sin(t)) <= 25) & (np.abs(y * np.cos(t) - x * np.sin(t)) <= 8)
+    cx, cy, long, short, turn = vision.least_rectangle(vision.outline(bar))
+    assert abs(cx - 30) < 0.6 and abs(cy - 30) < 0.6 and abs(long - 50) < 2.5 and abs(short - 16) < 2.5 and abs(turn - 30) < 2
+
+
+def test_pins_and_bands():
+    band = np.full((8, 60, 3), 30, np.uint8)
+    for x in (5, 20, 35):
+        band[:, x : x + 7] = 220
+    band[:, 38] = 30  # a crack in the third pin
+    assert vision.pins(band) == [(5, 12), (20, 27), (35, 42)]
+    assert vision.kept_bands([band, np.full((8, 60, 3), 30, np.uint8), band[:0]]) == [True, False, False]
+    assert vision.kept_bands([np.full((8, 60, 3), 30, np.uint8)] * 2) == [True, True]
+
+
+@settings(max_examples=50, deadline=None)
+@given(BOX, BOX)
+def test_clipped_area_of_boxes(a, b):
+    want = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    assert R.clipped_area([(a[0], a[1]), (a[2], a[1]), (a[2], a[3]), (a[0], a[3])], tuple(b)) == pytest.approx(want)
+
+
+def test_registration_with_noise_strangers_and_a_mirrored_axis():
+    r = np.random.default_rng(5)
+    p = r.uniform(0, 100, (40, 2))
+    kinds = r.choice(list("RCUD"), 40).tolist()
+    for flip in (1, -1):
+        m = np.array([[3.0, -0.4, 50], [0.4, 3.0, 20], [0, 0, 1]]) @ np.diag([1, flip, 1])
+        seen = np.r_[R.apply(m, p)[5:] + r.normal(size=(35, 2)) * 0.5, r.uniform(0, 300, (6, 2))]
+        out = R.register(p, kinds, seen, kinds[5:] + ["R"] * 6)
+        assert out["usable"] and out["matched"] >= 34 and np.abs(R.apply(out["matrix"], p) - R.apply(m, p)).max() < 2
+    assert not R.register(p[:1], ["R"], p, kinds)["usable"]
+    assert not R.register(p, kinds, r.uniform(0, 300, (3, 2)), ["R"] * 3)["usable"]
+
+
+def test_calibration_with_distortion():
+    r = np.random.default_rng(2)
+    k, lens = np.array([[800.0, 0, 320], [0, 820, 240], [0, 0, 1]]), (-0.05, 0.01)
+    board = np.stack(np.meshgrid(np.arange(8) * 20.0, np.arange(6) * 20.0), -1).reshape(-1, 2)
+    views = []
+    for _ in range(12):
+        a, b = r.uniform(-0.5, 0.5, 2)
+        turn = np.array([[1, 0, 0], [0, np.cos(a), -np.sin(a)], [0, np.sin(a), np.cos(a)]]) @ np.array([[np.cos(b), 0, np.sin(b)], [0, 1, 0], [-np.sin(b), 0, np.cos(b)]])
+        q = np.c_[board - [70, 50], np.zeros(len(board))] @ turn.T + [*r.uniform(-20, 20, 2), r.uniform(500, 700)]
+        u = q[:, :2] / q[:, 2:]
+        rr = (u**2).sum(1, keepdims=True)
+        views.append((u * (1 + lens[0] * rr + lens[1] * rr * rr)) @ k[:2, :2].T + k[:2, 2])
+    found, _, error = enhance.calibrated(board, views)
+    assert np.abs(found - k).max() < 25 and error < 0.2
+
+
+def test_model_files_run():
+    mean, scale, w, b = np.array([1.0, 2]), np.array([2.0, 4]), np.array([[1.0, 0, -1], [0.5, 2, 0]]), np.array([0.1, 0.2, 0.3])
+    x = np.array([[3.0, 6], [0, 0], [1, 2]])
+    assert np.allclose(inference.from_file(onnx_files.linear(mean, scale, w, b))(x), (x - mean) / scale @ w + b, atol=1e-5)
+    with pytest.raises(Exception):  # noqa: B017
+        inference.from_file(b"no model")(x)
+    image = np.zeros((32, 64, 3), np.uint8)
+    image[8:16, 40:48] = 255
+    (found,) = inference.detected(image, onnx_files.bright_cells(64, 8), 999, 0.9)
+    assert found[:4] == (40, 8, 48, 16)
+
+
+def test_training_separates_what_can_be():
+    r = np.random.default_rng(0)
+    y = r.choice(["good", "bad", "worse"], 400)
+    x = r.normal(size=(400, 3)) + np.stack([y == "bad", y == "worse", y == "good"], 1) * 6
+    raw, manifest = training.trained(x[:300], y[:300].tolist(), x[300:], y[300:].tolist(), "good")
+    manifest = json.loads(manifest)
+    said = np.array(manifest["classes"])[inference.from_file(raw)(x[300:]).argmax(1)]
+    assert (said == y[300:]).mean() > 0.97 and manifest["score"] > 2.9
+
+
+def test_failures_stay_with_their_row():
+    calls = []
+
+    def model(rows):
+        calls.append(len(rows))
+        if 7 in rows:
+            raise RuntimeError
+        return [r * 2 for r in rows] if len(rows) != 3 else [0]
+
+    assert inference.isolated(list(range(11)), model) == [r * 2 if r != 7 else None for r in range(11)]
+    assert calls[:2] == [4, 4]
+
+
 def test_images_come_back(tmp_path):
     image = np.random.default_rng(0).integers(0, 256, (7, 5, 3)).astype(np.uint8)
     raw = images.encoded(image)
@@ -129,11 +270,6 @@ def test_every_row_filter_is_undone():
     assert (images.decoded(raw) == rgb[:, :, ::-1]).all()
 
 
-def test_no_query_claims_what_is_missing():
-    catalog.queries()
-    assert not {"I1", "I4", "I5", "I8", "I10", "I14", "I15"} & set(" ".join(catalog.COVERS.values()).split())
-
-
 def test_all_parts_of_a_board_are_drawn():
     from boardsift.plans.pixels import _frame
 
