@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All stages but the last return the
 columns of ``documents``; a row is told apart from others with its doc_id by a hash of its text.
+
+Defined results, for all stages: null doc_id, lang, source and n_chars pass through; null text counts as empty; texts of any
+length are read whole; columns beside those of ``documents`` are left out, whatever their names; an empty table gives an
+empty one. What ties, repeated rows, empty and null texts come to is said at each stage.
 """
 
 from __future__ import annotations
@@ -19,7 +23,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the quality classifier rejects."""
+    """Drop documents that the quality classifier rejects: score below its threshold; a score equal to it stays.
+
+    Empty and null texts are scored like others. Repeated rows go or stay together. Without labels all scores are 0.5, so all
+    stay.
+    """
     docs = docs.select(*COLUMNS)
     scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
     return without(docs, scored.where(F.col("score") < quality.THRESHOLD))
@@ -28,7 +36,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near-duplicates: one with the smallest doc_id, or with none if no row has one.
 
-    Rows with one doc_id and other texts are documents of their own, and so are rows without a doc_id.
+    Rows with one doc_id and other texts are documents of their own, and so are rows without a doc_id. Of repeated rows one
+    stays; of rows equal in doc_id and text any one, with its own other columns. Empty and null texts are near nothing, but
+    repeated rows of them are one; among equals without a doc_id a hash of the text decides. A similarity of exactly 80 %
+    is near.
     """
     docs = docs.select(*COLUMNS)
     key = F.xxhash64("text")
@@ -50,7 +61,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that also occur elsewhere; a letter that a cut goes through goes whole. Documents with nothing left go."""
+    """Cut passages that also occur elsewhere; a letter that a cut goes through goes whole. Documents with nothing left go.
+
+    Empty and null texts have nothing to cut and stay, as empty ones. Rows whose texts are equal and have 200 bytes or more are
+    cut in full, all of them, and so go; shorter ones stay. n_chars is counted anew.
+    """
     left = suffixes.without_repeats(docs.select(*COLUMNS), ("lang", "source"))
     return _decoded(left).where("n_bytes = 0 or text <> ''").select(*COLUMNS)
 
@@ -70,14 +85,17 @@ def _decoded(left: DataFrame) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
+    """Drop documents that hold a window of a benchmark item.
+
+    Empty and null texts hold none. Repeated rows go or stay together. An empty benchmark drops nothing.
+    """
     docs = docs.select(*COLUMNS)
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, found.where("n_hit > 0"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and the text they decode to."""
+    """Token ids and the text they decode to: a row for each row, repeated ones too; empty and null texts have no tokens."""
     return tokens.encode_texts(docs, tokens.tokenizer_file("word_bpe_49k.json"), ("doc_id", "lang", "source"))
 
 

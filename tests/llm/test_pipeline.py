@@ -57,6 +57,72 @@ def test_stages(spark, tmp_path):
     assert {i: (r.n_tokens, r.decoded) for i, r in run.items()} == {i: (r.n_tokens, r.decoded) for i, r in after["tokens"].items()}
 
 
+def odd_corpus():
+    """Near copies, repeated rows, passages, leaks, null and empty values, a long text."""
+    random.seed(21)
+    words = ["".join(random.choice("aeioulmnrsté") for _ in range(random.randint(2, 9))) for _ in range(3000)]
+
+    def prose(n):
+        return " ".join(random.choice(words) for _ in range(n))
+
+    item, passage, base = prose(14), prose(60), prose(90)
+    cut = base.split()
+    rows = [(i, prose(random.randint(1, 60))) for i in range(20)]
+    rows += [(30, base), (31, base + " tail"), (32, " ".join(cut[:40] + ["changed"] + cut[41:])), (None, base + " x"), (33, base)]
+    rows += [(40, prose(50) + " " + passage + " " + prose(30)), (41, prose(20) + " " + passage), (42, prose(30) + " " + item + " " + prose(20)), (43, item)]
+    rows += [(50, None), (51, ""), (52, " "), (None, None), (50, None), (53, prose(6000)), (60, "twice"), (60, "twice"), (61, prose(40)), (61, prose(41))]
+    return rows, item
+
+
+def plain(rows):
+    return sorted(((r.doc_id, r.text or "") for r in rows), key=str)
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from boardsift.llm import quality, tokens
+    from tests.llm.helpers import clashing
+    from tests.llm.test_text_operators import brute_cut, brute_hits, brute_links
+
+    rows, item = odd_corpus()
+    pd.DataFrame({"item_id": [1, 2], "text": [item, None]}).to_parquet(tmp_path / "benchmark.parquet")
+    labels = [(i, int(i % 3 > 0), 0) for i in range(20)]
+    pd.DataFrame(labels, columns=["doc_id", "quality", "toxic"]).to_parquet(tmp_path / "labels.parquet")
+    docs, stages = clashing(documents(spark, rows)).repartition(4), dict(corpus_pipeline.STAGES)
+    kept = stored(stages["quality"](spark, docs, str(tmp_path)), "q").collect()
+    score = {(r.doc_id, r.key): r.score for r in quality.score_quality(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    keys = [((r.doc_id, r.text or ""), (r.doc_id, r.key)) for r in docs.selectExpr("doc_id", "text", "xxhash64(text) as key").collect()]
+    assert plain(kept) == sorted((row for row, k in keys if score[k] >= quality.THRESHOLD), key=str)
+
+    got = plain(stored(stages["near_duplicates"](spark, docs, ""), "n").collect())
+    units = sorted({(i, t) for i, t in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    root = brute_links([(k, t) for k, (_, t) in enumerate(units)], 5, 80)
+    assert got == sorted(((i, t or "") for k, (i, t) in enumerate(units) if root[k] == k), key=str)
+
+    got = plain(stored(stages["repeated_text"](spark, docs, ""), "r").collect())
+    left = [((i, k.decode("utf-8", "ignore")), n) for (i, _), (n, _, k) in zip(rows, brute_cut([t for _, t in rows]), strict=True)]
+    assert got == sorted((row for row, n in left if n == 0 or row[1]), key=str)
+
+    got = plain(stored(stages["decontamination"](spark, docs, str(tmp_path)), "d").collect())
+    hit = {k for k, (i, t) in enumerate(rows) if brute_hits([(i, t)], [(1, item)])[0][2]}
+    assert hit and got == sorted(((i, t or "") for k, (i, t) in enumerate(rows) if k not in hit), key=str)
+
+    library = Tokenizer.from_file(tokens.tokenizer_file("word_bpe_49k.json"))
+    out = stages["tokens"](spark, docs, "").collect()
+    want = [(i, library.encode(t or "", add_special_tokens=False).ids) for i, t in rows]
+    assert sorted(((r.doc_id, r.n_tokens, r.decoded) for r in out), key=str) == sorted(((i, len(x), library.decode(x, skip_special_tokens=False)) for i, x in want), key=str)
+
+
+def test_stages_of_nothing(spark, tmp_path):
+    pd.DataFrame({"item_id": [1], "text": ["one two three"]}).to_parquet(tmp_path / "benchmark.parquet")
+    pd.DataFrame({"doc_id": [1], "quality": [1], "toxic": [0]}).to_parquet(tmp_path / "labels.parquet")
+    empty = documents(spark, [])
+    empty.toPandas().astype({"doc_id": "int64", "n_chars": "int64"}).to_parquet(tmp_path / "documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
 def test_one_row_of_each_group_stays(spark):
     random.seed(12)
     words = ["".join(random.choice("aeioulmnrst") for _ in range(random.randint(2, 9))) for _ in range(2000)]

@@ -469,6 +469,9 @@ def test_chat_comes_back(spark):
         assert [(t.role, t.text) for t in back[c].turns] == [(r, x) for _, r, x in turns]
         assert back[c].loss == "".join(x for _, r, x in turns if r == "assistant")
     assert chat_format.format_chat(rows.limit(0)).count() == 0
+    twice = spark.createDataFrame([(7, 0, "user", "a"), (7, 0, "user", "a"), (7, 1, "assistant", "b"), (7, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    (r,) = chat_format.read_back(chat_format.format_chat(twice)).collect()
+    assert [(t.role, t.text) for t in r.turns] == [("user", "a")] * 2 + [("assistant", "b")] * 2 and r.loss == "bb"
 
 
 # ---- 10
@@ -548,7 +551,7 @@ def test_queries_match_their_sql(spark, tmp_path):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
-    for name in ("op8_chat_format",):
+    for name in ("op1_decontaminate", "op8_chat_format"):
         got, want = QUERIES[name](spark, str(tmp_path)), con.execute(ORACLE_SQL[name])
         columns = [c[0] for c in want.description]
         assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
