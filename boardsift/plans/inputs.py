@@ -113,6 +113,27 @@ def format_sniffing(spark, sf_dir):
     return spark.createDataFrame(rows, "written string, found string, parts int")
 
 
+LAYOUTS = {
+    "coco": ("a.json", '{"images": [], "annotations": []}'), "labelme": ("b.json", '{"shapes": []}'), "yolo": ("c.txt", "3 0.5 0.5 0.1 0.2"), "csv": ("d.csv", "crop_path,label"),
+    "folder_per_class": ("e.png", "x"), "unknown": ("f.md", "notes"),
+}
+
+
+@query("S11", "SELECT * FROM (VALUES ('coco', 'coco'), ('labelme', 'labelme'), ('yolo', 'yolo'), ('csv', 'csv'), ('folder_per_class', 'folder_per_class'), ('unknown', 'unknown'), ('mixed', 'coco')) t(root, layout)")
+def layout_probe(spark, sf_dir):
+    """Folders of files of one kind each, and one of all kinds: what each is, from the heads of its files."""
+    path = shared.folder(spark, "layouts")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for root, names in {**{k: [k] for k in LAYOUTS}, "mixed": list(LAYOUTS)}.items():
+        for k in names:
+            out = files.create(hadoop(f"{path}/{root}/{LAYOUTS[k][0]}"))
+            out.write(LAYOUTS[k][1].encode())
+            out.close()
+    found = assets.globbed(spark, [path]).select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), F.decode(F.substring("content", 1, 4096), "UTF-8").alias("head"))
+    return readers.layout(found)
+
+
 @query("S12", "SELECT DISTINCT label FROM det UNION SELECT 'val_like'", ("det",))
 def folder_classes(spark, sf_dir):
     """Classes by folder; folders of splits aren't classes."""

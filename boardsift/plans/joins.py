@@ -104,8 +104,9 @@ def slot_edges(spark, sf_dir):
 
 @query("J16", """SELECT c.board_id, count(*) AS seeds FROM cad c JOIN det d ON c.board_id = d.board_id AND c.part_class = d.label GROUP BY c.board_id""", ("cad",))
 def seed_pairs(spark, sf_dir):
-    c = view(spark, sf_dir, "cad").select("board_id", F.col("part_class").alias("label"))
-    return c.join(view(spark, sf_dir, "det").select("board_id", "label"), ["board_id", "label"]).groupBy("board_id").agg(F.count("*").alias("seeds"))
+    c = view(spark, sf_dir, "cad").groupBy("board_id", F.col("part_class").alias("label")).agg(F.count("*").alias("m"))
+    d = view(spark, sf_dir, "det").groupBy("board_id", "label").agg(F.count("*").alias("n"))  # counts meet, not pairs
+    return c.join(d, ["board_id", "label"]).groupBy("board_id").agg(F.sum(F.col("m") * F.col("n")).alias("seeds"))
 
 
 @query("J17", """SELECT a.board_id, a.no AS a_no, b.no AS b_no FROM det a JOIN det b ON a.board_id = b.board_id AND a.no < b.no AND floor(a.no / 4) <> floor(b.no / 4) AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2""", ("det",))
