@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 300
 #: Bytes of rows after which a batch is closed, if it has fewer rows than that.
 BATCH_BYTES = 16 << 20
+#: Rows that a reader of Parquet files holds at once, as texts and sets can be long; bytes that a writer holds.
+READ_ROWS, WRITE_BYTES = 256, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +54,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(where)
+    df.write.option("parquet.block.size", WRITE_BYTES).parquet(where)
     files, path = _path(spark, where)
     files.deleteOnExit(path)
     back = spark.read.schema(df.schema).parquet(where)
@@ -75,6 +77,8 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     for key, now, limit in (("maxRecordsPerBatch", conf.arrowMaxRecordsPerBatch(), rows), ("maxBytesPerBatch", conf.arrowMaxBytesPerBatch(), BATCH_BYTES)):
         if not 0 < now <= limit:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(limit))
+    if conf.parquetVectorizedReaderBatchSize() > READ_ROWS:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -8,14 +8,16 @@
    distances to pivots where all are 1: sets without common shingles are equally far from every pivot. At 0.9 frequent
    shingles draw nothing together, as a part holds several. Where parts hold few, there are a third more of them, and
    those without a rare shingle are left out if those with one outnumber the bound: then linked sets still agree on one.
+   Parts are those of a size class; a set is at home in its own class and a guest in the next, and each class has regions of
+   its own, so that chains of agreements don't run through sets of all sizes.
 3. Voronoi cells. In each region of connected classes, pivots are chosen; each class is at home at the nearest pivot and a
    guest wherever the distance exceeds its own by at most twice the threshold, which the triangle inequality shows to be
    enough. Cells are joined in the same way until they are small or stop shrinking, and there sets are compared whose
    distances to the pivots differ by the threshold at most. Classes already known to be connected aren't compared again.
-   Regions of more than `REGION` classes or `WEIGHT` shingles are first cut by size, as linked sets are of like size. What is
-   still larger is linked to pivots by Spark: classes connected that way aren't compared with each other any more. Where
-   many are left, they are dealt into Voronoi cells, in `LEVELS` rounds at most; where few are left, or in the end, they are
-   compared with all in blocks. A task never holds more than two blocks, and no region is too large.
+   Regions of more than `REGION` classes or `WEIGHT` shingles are linked to pivots by Spark: classes connected that way
+   aren't compared with each other any more. Where many are left, they are dealt into Voronoi cells, in `LEVELS` rounds at
+   most; where few are left, or in the end, they are compared with all in blocks. A task never holds more than two blocks,
+   and no region is too large.
 
 Links only travel as enough edges to connect what they connect. Nothing is dropped or capped.
 
@@ -38,11 +40,11 @@ from pyspark.sql import functions as F
 
 from boardsift.llm.bpe import Cache
 from boardsift.llm.common import components, small_batches, spread_join, stored, table, tidy
-from boardsift.llm.embeddings import forest, grouped
+from boardsift.llm.embeddings import grouped
 from boardsift.llm.token_files import mixed
 
-SHINGLE, PERCENT, REGION, WEIGHT, SLICE, LEVELS, LEAF, PIVOTS = 3, 90, 3000, 3_000_000, 200_000, 2, 40, 12
-#: Broadcasts hold at most so many rows of 16 bytes.
+SHINGLE, PERCENT, REGION, WEIGHT, SLICE, LEVELS, LEAF, PIVOTS = 3, 90, 3000, 2_000_000, 200_000, 2, 40, 12
+#: Broadcasts hold at most so many rows of 24 bytes.
 BROADCAST_ROWS = 2_000_000
 #: Shingles in `COMMON` of about `SAMPLE` documents are common, the `LISTED` most frequent ones at most.
 SAMPLE, COMMON, LISTED = 10_000, 10, 500_000
@@ -93,8 +95,8 @@ def thin(percent: int) -> bool:
     return 100 + percent < 16 * (100 - percent)
 
 
-def part_keys(h: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, common: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the parts of all sets, for the own size class and the next one, and how many each set has."""
+def part_keys(h: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, common: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the parts of all sets, for the own size class and then the next one; how many each set has, and how many of the own class."""
     bounds, found = size_classes(percent), []
     own = np.searchsorted(bounds, sizes, side="right") - 1
     rare = ~np.isin(h, common) if len(common) else np.ones(len(h), bool)
@@ -117,9 +119,10 @@ def part_keys(h: np.ndarray, sizes: np.ndarray, percent: int = PERCENT, common:
         keep = np.where(firm[owner], strong & (nth <= apart[owner] + 1), filled | ~full[owner])
         key = mixed(total + (c[owner].astype(np.uint64) << np.uint64(32)) + (np.arange(len(owner)) - base[owner]).astype(np.uint64), 9)
         found.append((owner[keep], key[keep].astype(np.int64)))
+    first = np.bincount(found[0][0], minlength=len(sizes))
     owner, key = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(owner, kind="stable")
-    return key[order], np.bincount(owner, minlength=len(sizes))
+    return key[order], np.bincount(owner, minlength=len(sizes)), first
 
 
 def _lists(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -211,7 +214,7 @@ def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, key (hash of its text), n (set size), k1 and k2 (the set's 128-bit key), parts."""
+    """doc_id, key (hash of its text), n (set size), k1 and k2 (the set's 128-bit key), parts, of which the first `own` are of the own size class."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle) if thin(percent) else NONE)
 
     def work(batches):
@@ -223,29 +226,30 @@ def described(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
                 total = np.zeros(len(sizes), np.uint64)
                 np.add.at(total, owner, mixed(h, seed))
                 keys.append(pa.array(total.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sizes, pa.int64()), *keys, _lists(*part_keys(h, sizes, percent, shared.value), pa.int64())], ["doc_id", "key", "n", "k1", "k2", "parts"])
+            parts, count, first = part_keys(h, sizes, percent, shared.value)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sizes, pa.int64()), *keys, pa.array(first, pa.int32()), _lists(parts, count, pa.int64())], ["doc_id", "key", "n", "k1", "k2", "own", "parts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(tidy(work), "doc_id long, key long, n long, k1 long, k2 long, parts array<long>")
+    return rows.mapInArrow(tidy(work), "doc_id long, key long, n long, k1 long, k2 long, own int, parts array<long>")
 
 
 def agreeing(rows: DataFrame) -> DataFrame:
-    """(part, id) -> (a, b): each id with the smallest that shares a part."""
+    """(part, guest, id) -> (a, b): each id with the smallest one at home that shares a part; parts where none is at home don't count."""
 
     def work(batches):
-        last_part, last_id = None, None
+        last_part, last_id, last_home = None, 0, False
         for b in batches:
             if not b.num_rows:
                 continue
-            part, ids = b.column("part").to_numpy(), b.column("id").to_numpy()
+            part, ids, home = b.column("part").to_numpy(), b.column("id").to_numpy(), ~b.column("guest").to_numpy(zero_copy_only=False)
             new = np.r_[last_part is None or part[0] != last_part, part[1:] != part[:-1]]
             at = np.maximum.accumulate(np.where(new, np.arange(len(part)), -1))
-            low = np.where(at >= 0, ids[np.maximum(at, 0)], last_id if last_id is not None else 0)
-            last_part, last_id = part[-1], low[-1]
-            pairs = np.unique(np.c_[ids, low][ids != low], axis=0)
+            low, ok = np.where(at >= 0, ids[np.maximum(at, 0)], last_id), np.where(at >= 0, home[np.maximum(at, 0)], last_home)
+            last_part, last_id, last_home = part[-1], low[-1], bool(ok[-1])
+            pairs = np.unique(np.c_[ids, low][(ids != low) & ok], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return rows.repartition("part").sortWithinPartitions("part", "id").mapInArrow(tidy(work), "a long, b long").distinct()
+    return rows.repartition("part").sortWithinPartitions("part", "guest", "id").mapInArrow(tidy(work), "a long, b long").distinct()
 
 
 def verified(members: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -357,24 +361,15 @@ def in_blocks(members: DataFrame, large: DataFrame) -> DataFrame:
     return rows.select("region", F.xxhash64("cell", "task.i", "task.j").alias("cell"), "home", "id", "root", "s")
 
 
-def by_size(members: DataFrame, percent: int) -> DataFrame:
-    """Members of large regions in cells of one size class, and as guests in that of the next: linked sets lie in the same or in neighbouring ones."""
-    bounds = size_classes(percent)
-    bounds = F.array(*map(F.lit, bounds[bounds < 1 << 31].tolist()))
-    own = F.size(F.filter(bounds, lambda x: x <= F.size("s")))
-    rows = members.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1))))
-    return rows.select("region", (own + F.col("step")).cast("long").alias("cell"), (F.col("step") == 0).alias("home"), "id", F.col("id").alias("root"), "s")
-
-
 def joined(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(region, id, s) -> (a, b): enough links to connect what is linked in each region, however large."""
-    members = stored(members.select("region", "id", "s"), "members")
+    """(region, home, id, s) -> (a, b): enough links to connect what is linked in each region, however large."""
+    members = stored(members.select("region", F.lit(0).cast("long").alias("cell"), "home", "id", F.col("id").alias("root"), "s"), "members")
     weights = members.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("weight")).where(f"n > {REGION} or weight > {WEIGHT}").select("region")
     weights = stored(weights, "large")
     side = F.broadcast(weights) if weights.count() <= BROADCAST_ROWS else weights
     whole = members.join(side, "region", "left_anti")
-    done, edges = [whole.select("region", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "id", F.col("id").alias("root"), "s")], []
-    rest = None if weights.isEmpty() else stored(by_size(members.join(side, "region", "left_semi"), percent), "members")
+    done, edges = [whole], []
+    rest = None if weights.isEmpty() else stored(members.join(side, "region", "left_semi"), "members")
     for level in range(LEVELS + 1 if rest else 0):
         for cells in (False, True):
             sizes = rest.groupBy("region", "cell", "root").agg(F.count("*").alias("m"), F.sum(F.size("s")).alias("w"))
@@ -393,8 +388,8 @@ def joined(members: DataFrame, percent: int = PERCENT) -> DataFrame:
                 edges.append(links)
                 rest = rerooted(rest.join(large.select("region", "cell"), ["region", "cell"], "left_semi"), links)
                 continue
-            few = sizes.where(f"n > most and (n - most <= {REGION} and weight - heaviest <= {WEIGHT} or {level} = {LEVELS})")
-            many = sizes.where(f"n > most and not (n - most <= {REGION} and weight - heaviest <= {WEIGHT} or {level} = {LEVELS})")
+            few = sizes.where(f"n > most and (n - most <= {REGION} or {level} = {LEVELS})")
+            many = sizes.where(f"n > most and n - most > {REGION} and {level} < {LEVELS}")
             if not few.isEmpty():
                 done.append(in_blocks(rest, few))
             if many.isEmpty():
@@ -428,13 +423,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     known = stored(described(docs, shingle, percent), "sets")
     reps = stored(known.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
     rows = known.join(reps.where("id is not null and n > 0").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    pairs = agreeing(rows.select(F.explode("parts").alias("part"), F.col("doc_id").alias("id")))
-    pairs = stored(pairs, "agreeing")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    regions = stored(components(ids, pairs).withColumnRenamed("component", "region"), "regions")
+    # a document stands in its own size class and in the next; a clash of these numbers would only make a region larger
+    sides = rows.select("doc_id", "own", F.posexplode("parts").alias("at", "part")).withColumn("guest", F.col("at") >= F.col("own"))
+    pairs = stored(agreeing(sides.select("part", "guest", F.xxhash64("doc_id", "guest").alias("id"))), "agreeing")
+    nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    regions = components(nodes, pairs).withColumnRenamed("component", "region")
+    names = rows.select("doc_id", F.explode(F.array(F.lit(False), F.lit(True))).alias("guest")).withColumn("id", F.xxhash64("doc_id", "guest"))
+    regions = stored(regions.join(names, "id").select("region", F.col("doc_id").alias("id"), (~F.col("guest")).alias("home")).distinct(), "regions")
+    ids = regions.select("id").distinct()
     few = regions.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(regions) if few else regions, "id")
-    edges = joined(with_sets(texts, "id", ["region", "id"], shingle).where("size(s) > 0"), percent)
+    edges = joined(with_sets(texts, "id", ["region", "home", "id"], shingle).where("size(s) > 0"), percent)
     linked = components(ids, stored(edges, "edges"))
     # the classes learn their component, one row each, before they meet their documents
     named = reps.where("n > 0").join(linked, "id", "left").unionByName(reps.where("n = 0"), allowMissingColumns=True)

@@ -44,7 +44,7 @@ LENGTH, GRAM, CHUNK, SHARDS, STEP = 200, 60, 300_000, 3, 8
 #: Broadcasts hold at most so many rows of 48 bytes.
 BROADCAST_ROWS = 1_000_000
 #: Different fragments of one anchor that one task merges; rows of one anchor that a task holds at once.
-HOT, HELD, SALTS = 20_000, 500_000, 16
+HOT, HELD, SALTS = 8_000, 500_000, 16
 #: Texts whose anchors are counted beforehand, and the count from which an anchor is frequent.
 SAMPLE, FREQUENT = 4000, 20
 _FACTOR = 0x9E3779B97F4A7C15
