@@ -4,32 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 
-@lru_cache(2)
-def session(path: str):
-    """An ONNX session of one thread, kept by the worker."""
-    import onnxruntime
-
-    options = onnxruntime.SessionOptions()
-    options.intra_op_num_threads = 1
-    return onnxruntime.InferenceSession(path, options, providers=["CPUExecutionProvider"])
-
-
-def onnx_model(path: str) -> Callable[[np.ndarray], np.ndarray]:
-    """Rows of features to rows of logits; a missing model is an error, never replaced by another."""
-
-    def run(x: np.ndarray) -> np.ndarray:
-        s = session(path)
-        return s.run(None, {s.get_inputs()[0].name: x.astype(np.float32)})[0]
-
-    return run
-
-
 def predicted(rows: DataFrame, keys: list[str], features: list[str], model: Callable[[np.ndarray], np.ndarray], batch: int = 32) -> DataFrame:
     """The keys and `logits` of each row."""
 
@@ -66,6 +46,11 @@ def from_file(raw: bytes) -> Callable[[np.ndarray], np.ndarray]:
     return run
 
 
+def onnx_model(path: str) -> Callable[[np.ndarray], np.ndarray]:
+    """The model in a file; a missing file is an error, never replaced by another model."""
+    return from_file(Path(path).read_bytes())
+
+
 def flips(image: np.ndarray) -> list[np.ndarray]:
     """An image, mirrored across, down, and both."""
     return [image, image[:, ::-1], image[::-1], image[::-1, ::-1]]
