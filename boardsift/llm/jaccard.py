@@ -39,9 +39,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsift.llm.bpe import Cache
-from boardsift.llm.common import components, small_batches, spread_join, stored, table, tidy
+from boardsift.llm.common import components, discard, mixed, small_batches, spread_join, stored, table, tidy
 from boardsift.llm.embeddings import grouped
-from boardsift.llm.token_files import mixed
 
 SHINGLE, PERCENT, REGION, WEIGHT, SLICE, LEVELS, LEAF, PIVOTS = 3, 90, 3000, 2_000_000, 200_000, 2, 40, 12
 #: Broadcasts hold at most so many rows of 24 bytes.
@@ -361,21 +360,26 @@ def in_blocks(members: DataFrame, large: DataFrame) -> DataFrame:
     return rows.select("region", F.xxhash64("cell", "task.i", "task.j").alias("cell"), "home", "id", "root", "s")
 
 
-def joined(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(region, home, id, s) -> (a, b): enough links to connect what is linked in each region, however large."""
-    members = stored(members.select("region", F.lit(0).cast("long").alias("cell"), "home", "id", F.col("id").alias("root"), "s"), "members")
+def joined(members: DataFrame, percent: int, spare: list[DataFrame]) -> DataFrame:
+    """(region, home, id, s) -> (a, b): enough links to connect what is linked in each region, however large. What is written on the way goes to `spare`."""
+
+    def kept(df, name):
+        spare.append(stored(df, name))
+        return spare[-1]
+
+    members = kept(members.select("region", F.lit(0).cast("long").alias("cell"), "home", "id", F.col("id").alias("root"), "s"), "members")
     weights = members.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("weight")).where(f"n > {REGION} or weight > {WEIGHT}").select("region")
-    weights = stored(weights, "large")
+    weights = kept(weights, "large")
     side = F.broadcast(weights) if weights.count() <= BROADCAST_ROWS else weights
     whole = members.join(side, "region", "left_anti")
     done, edges = [whole], []
-    rest = None if weights.isEmpty() else stored(members.join(side, "region", "left_semi"), "members")
+    rest = None if weights.isEmpty() else kept(members.join(side, "region", "left_semi"), "members")
     for level in range(LEVELS + 1 if rest else 0):
         for cells in (False, True):
             sizes = rest.groupBy("region", "cell", "root").agg(F.count("*").alias("m"), F.sum(F.size("s")).alias("w"))
             best = F.max(F.struct("m", "w", "root"))
             sizes = sizes.groupBy("region", "cell").agg(F.sum("m").alias("n"), F.sum("w").alias("weight"), best.alias("b"))
-            sizes = stored(sizes.select("region", "cell", "n", "weight", F.col("b.m").alias("most"), F.col("b.w").alias("heaviest"), F.col("b.root").alias("largest")).where(f"n > {REGION} or weight > {WEIGHT}"), "sizes")
+            sizes = kept(sizes.select("region", "cell", "n", "weight", F.col("b.m").alias("most"), F.col("b.w").alias("heaviest"), F.col("b.root").alias("largest")).where(f"n > {REGION} or weight > {WEIGHT}"), "sizes")
             own = sizes.select("region", "cell")
             small = rest.join(F.broadcast(own) if own.count() <= BROADCAST_ROWS else own, ["region", "cell"], "left_anti")
             if not cells:
@@ -384,9 +388,9 @@ def joined(members: DataFrame, percent: int = PERCENT) -> DataFrame:
                 if large.isEmpty():
                     rest = None
                     break
-                links = stored(to_pivot_cells(rest, large, level, percent, False), "links")
+                links = kept(to_pivot_cells(rest, large, level, percent, False), "links")
                 edges.append(links)
-                rest = rerooted(rest.join(large.select("region", "cell"), ["region", "cell"], "left_semi"), links)
+                rest = kept(rerooted(rest.join(large.select("region", "cell"), ["region", "cell"], "left_semi"), links), "members")
                 continue
             few = sizes.where(f"n > most and (n - most <= {REGION} or {level} = {LEVELS})")
             many = sizes.where(f"n > most and n - most > {REGION} and {level} < {LEVELS}")
@@ -395,10 +399,10 @@ def joined(members: DataFrame, percent: int = PERCENT) -> DataFrame:
             if many.isEmpty():
                 rest = None
                 break
-            next_ = stored(to_pivot_cells(rest, many, level, percent, True), "members")
+            next_ = kept(to_pivot_cells(rest, many, level, percent, True), "members")
             links = next_.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b"))
             edges.append(links)
-            rest = rerooted(next_.drop("to"), links)
+            rest = kept(rerooted(next_.drop("to"), links), "members")
         if rest is None:
             break
     every = done[0]
@@ -414,7 +418,7 @@ def rerooted(members: DataFrame, links: DataFrame) -> DataFrame:
     """The members with the smallest id that they are known to be connected to."""
     known = members.select(F.col("root").alias("id")).unionByName(members.select("id")).distinct()
     roots = components(known, links.unionByName(members.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b"))))
-    return stored(members.drop("root").join(roots.withColumnRenamed("component", "root"), "id").select("region", "cell", "home", "id", "root", "s"), "members")
+    return members.drop("root").join(roots.withColumnRenamed("component", "root"), "id").select("region", "cell", "home", "id", "root", "s")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -422,7 +426,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     small_batches(docs.sparkSession)
     known = stored(described(docs, shingle, percent), "sets")
     reps = stored(known.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
-    rows = known.join(reps.where("id is not null and n > 0").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # documents that only repeat the set of another one are left out: they are fewer than those that stay
+    named_ids = reps.where("id is not null and n > 0").select(F.col("id").alias("doc_id")).distinct()
+    again = spread_join(known.select("doc_id", "n", "k1", "k2"), reps, ["n", "k1", "k2"], known.count(), "doc_id").where("n > 0 and doc_id <> id")
+    again = stored(again.select("doc_id").distinct().join(named_ids, "doc_id", "left_anti"), "again")
+    rows = known.where("doc_id is not null and n > 0").join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, "doc_id", "left_anti")
     # a document stands in its own size class and in the next; a clash of these numbers would only make a region larger
     sides = rows.select("doc_id", "own", F.posexplode("parts").alias("at", "part")).withColumn("guest", F.col("at") >= F.col("own"))
     pairs = stored(agreeing(sides.select("part", "guest", F.xxhash64("doc_id", "guest").alias("id"))), "agreeing")
@@ -430,11 +438,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     regions = components(nodes, pairs).withColumnRenamed("component", "region")
     names = rows.select("doc_id", F.explode(F.array(F.lit(False), F.lit(True))).alias("guest")).withColumn("id", F.xxhash64("doc_id", "guest"))
     regions = stored(regions.join(names, "id").select("region", F.col("doc_id").alias("id"), (~F.col("guest")).alias("home")).distinct(), "regions")
+    discard(pairs)
     ids = regions.select("id").distinct()
     few = regions.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(regions) if few else regions, "id")
-    edges = joined(with_sets(texts, "id", ["region", "home", "id"], shingle).where("size(s) > 0"), percent)
-    linked = components(ids, stored(edges, "edges"))
+    spare: list[DataFrame] = []
+    edges = stored(joined(with_sets(texts, "id", ["region", "home", "id"], shingle).where("size(s) > 0"), percent, spare), "edges")
+    for x in spare:  # sets are what takes most room, and links are all that is needed of them
+        discard(x)
+    linked = components(ids, edges)
     # the classes learn their component, one row each, before they meet their documents
     named = reps.where("n > 0").join(linked, "id", "left").unionByName(reps.where("n = 0"), allowMissingColumns=True)
     found = spread_join(known.select("doc_id", "key", "n", "k1", "k2"), named, ["n", "k1", "k2"], known.count(), "doc_id")

@@ -36,9 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardsift.llm.common import small_batches, spread_join, stored, table, tidy
+from boardsift.llm.common import mixed, small_batches, spread_join, stored, table, tidy
 from boardsift.llm.embeddings import grouped
-from boardsift.llm.token_files import mixed
 
 LENGTH, GRAM, CHUNK, SHARDS, STEP = 200, 60, 300_000, 3, 8
 #: Broadcasts hold at most so many rows of 48 bytes.
@@ -401,8 +400,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans.groupBy("d", "e").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, other columns to keep, n_bytes, kept (bytes that stay), n_spans (removed runs): a row for each row."""
+def without_repeats(docs: DataFrame, keep: tuple[str, ...] = (), text: bool = False) -> DataFrame:
+    """doc_id, other columns to keep, n_bytes, kept (bytes that stay; as text, their whole letters), n_spans (removed runs): a row for each row."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"d": F.xxhash64("text"), "e": F.xxhash64(F.lit(1), "text")})
@@ -426,14 +425,15 @@ def without_repeats(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                 raw = text.encode("utf-8", "replace")
                 cut = [(0, len(raw))] if copied and len(raw) >= LENGTH else covered([(s["a"], s["a"] + s["n"]) for s in own or []])
                 ends = [0, *(x for c in cut for x in c), len(raw)]
-                out.append((len(raw), b"".join(raw[s:e] for s, e in zip(ends[::2], ends[1::2], strict=True)), len(cut)))
+                left = b"".join(raw[s:e] for s, e in zip(ends[::2], ends[1::2], strict=True))
+                out.append((len(raw), left.decode("utf-8", "ignore") if as_text else left, len(cut)))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in same), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], [*same, "n_bytes", "kept", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in same), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string() if as_text else pa.binary()), pa.array(cols[2], pa.int64())], [*same, "n_bytes", "kept", "n_spans"])
 
-    same = ("doc_id", *keep)
+    same, as_text = ("doc_id", *keep), text
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in same)
     found = found.select(*same, "text", copied.alias("copied"), "spans")
-    return found.mapInArrow(tidy(remove), f"{kinds}, n_bytes long, kept binary, n_spans long")
+    return found.mapInArrow(tidy(remove), f"{kinds}, n_bytes long, kept {'string' if text else 'binary'}, n_spans long")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boardsift.llm import bpe
-from boardsift.llm.common import small_batches, stored, table, tidy
+from boardsift.llm.common import mixed, small_batches, stored, table, tidy
 from boardsift.llm.tokens import byte_words, library, tokenizer_file
 
 #: Bytes of ids a shard, of text a part; most parts; sampled rows a part, which says how evenly they are cut; words a task remembers.
@@ -74,14 +74,6 @@ class Encoder:
         return [b"".join(map(get, ws)) + tail for ws in cut]
 
 
-def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
-    """64 well-spread bits of each key."""
-    x = keys.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
-
-
 class KeyIndex:
     """Minimal perfect hash over distinct keys; `places[slot]` is a key's position among the sorted ones."""
 

@@ -10,7 +10,6 @@ empty one. What ties, repeated rows, empty and null texts come to is said at eac
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,22 +65,8 @@ def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Empty and null texts have nothing to cut and stay, as empty ones. Rows whose texts are equal and have 200 bytes or more are
     cut in full, all of them, and so go; shorter ones stay. n_chars is counted anew.
     """
-    left = suffixes.without_repeats(docs.select(*COLUMNS), ("lang", "source"))
-    return _decoded(left).where("n_bytes = 0 or text <> ''").select(*COLUMNS)
-
-
-def _decoded(left: DataFrame) -> DataFrame:
-    """Whole letters of the kept bytes."""
-
-    def work(batches):
-        for b in batches:
-            texts = [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
-            names = ["doc_id", "lang", "source", "n_bytes"]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(texts, pa.string())], [*names, "text"])
-
-    kinds = ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in ("doc_id", "lang", "source"))
-    out = left.select("doc_id", "lang", "source", "n_bytes", "kept").mapInArrow(work, f"{kinds}, n_bytes long, text string")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    left = suffixes.without_repeats(docs.select(*COLUMNS), ("lang", "source"), text=True).where("n_bytes = 0 or kept <> ''")
+    return left.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
