@@ -123,13 +123,9 @@ LAYOUTS = {
 def layout_probe(spark, sf_dir):
     """Folders of files of one kind each, and one of all kinds: what each is, from the heads of its files."""
     path = shared.folder(spark, "layouts")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     for root, names in {**{k: [k] for k in LAYOUTS}, "mixed": list(LAYOUTS)}.items():
         for k in names:
-            out = files.create(hadoop(f"{path}/{root}/{LAYOUTS[k][0]}"))
-            out.write(LAYOUTS[k][1].encode())
-            out.close()
+            shared.bytes_file(spark, f"{path}/{root}/{LAYOUTS[k][0]}", LAYOUTS[k][1].encode())
     found = assets.globbed(spark, [path]).select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), F.decode(F.substring("content", 1, 4096), "UTF-8").alias("head"))
     return readers.layout(found)
 

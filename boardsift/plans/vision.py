@@ -80,12 +80,8 @@ def _tile(n: int) -> np.ndarray:
 def _png_files(spark, sf_dir) -> str:
     """One PNG file a nation in the shared folder."""
     path = shared.folder(spark, "frames")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     for r in table(spark, sf_dir, "nation").select(SCENE).collect():  # 25 rows
-        out = files.create(hadoop(f"{path}/n{r[0]}.png"))
-        out.write(images.encoded(_tile(r[0])))
-        out.close()
+        shared.bytes_file(spark, f"{path}/n{r[0]}.png", images.encoded(_tile(r[0])))
     return path
 
 

@@ -11,6 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _where(spark: SparkSession, path: str):
+    """(file system, path) of a path as the session's readers see it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _where(spark, f"{path}/_SUCCESS")
+    return files.exists(where)
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``; one process (tests) may do without, a cluster may not."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,8 +31,8 @@ def folder(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="boardsift-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     path = f"{base}/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    files, where = _where(spark, path)
+    files.deleteOnExit(where)
     return path
 
 
@@ -32,6 +43,14 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def bytes_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file, from the driver."""
+    files, where = _where(spark, path)
+    out = files.create(where)
+    out.write(content)
+    out.close()
+
+
 def text_files(rows: DataFrame, group: Column, order: Column, line: Column, name: str, head: str = "", tail: str = "", between: str = "\n") -> str:
     """One text file a group: head, the group's lines in order, tail. Groups are bounded by what makes them. Returns the folder."""
     path = folder(rows.sparkSession, name)

@@ -6,6 +6,7 @@ Boards are ranges of order keys, so their number grows with the data and their s
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from boardsift import shared
 
@@ -77,19 +78,26 @@ def base(spark: SparkSession, sf_dir: str, *names: str) -> None:
         spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
 
 
-#: Derived tables that were written once, by session and folder: many views start from them.
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+#: Where a derived table was written, by application and folder of its tables.
+_WRITTEN: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
+def _li(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`li` costs two shuffles of the whole table and most views start from it, so an application writes it once, while the files are there."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN or not shared.exists(spark, _WRITTEN[key][0]):
+        rows, path = spark.sql(VIEWS["li"][1]), shared.folder(spark, "li")
+        rows.write.parquet(path)
+        _WRITTEN[key] = path, rows.schema
+    path, schema = _WRITTEN[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table. `li`, from which most start, costs two shuffles of the whole table, so a session writes it once."""
     base(spark, sf_dir)
     order = _order([name])
     if "li" in order:
-        key = (spark.sparkContext.applicationId, sf_dir, "li")
-        if key not in _WRITTEN:
-            _WRITTEN[key] = shared.written(spark.sql(VIEWS["li"][1]), "li")
-        _WRITTEN[key].createOrReplaceTempView("li")
+        _li(spark, sf_dir).createOrReplaceTempView("li")
         order.remove("li")
     return spark.sql(("WITH " + ", ".join(f"{n} AS ({VIEWS[n][1]})" for n in order) if order else "") + f" SELECT * FROM {name}")
 
