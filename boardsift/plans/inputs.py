@@ -12,7 +12,7 @@ from boardsift.sources import assets, contracts, readers, sinks
 from boardsift.views import table, view
 
 #: Boards in a file.
-FILE = F.floor(F.col("board_id") / 40)
+FILE = "floor(board_id / 40)"
 PATH_SQL = "CASE c_custkey % 5 WHEN 0 THEN 'flags/' || (c_custkey % 30) WHEN 1 THEN 'flags/./x/../' || (c_custkey % 30) WHEN 2 THEN '../flags/' || (c_custkey % 30) WHEN 3 THEN '/flags/' || (c_custkey % 30) ELSE 'flags/../../' || (c_custkey % 30) END"
 
 
@@ -59,7 +59,7 @@ def pad_rows(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("board_id", F.floor(F.col("l_orderkey") / 36))
     cells = [F.concat(F.lit(" R"), F.col("l_orderkey").cast("string")), F.col("l_linenumber").cast("string"), F.concat(F.col("l_quantity").cast("string"), F.lit(" mm")), F.concat((F.col("l_partkey") % 100).cast("string"), F.lit("mil")), F.when(F.col("l_orderkey") % 2 == 0, "Bot").otherwise("T")]
     line = F.when(F.col("l_linenumber") == 3, F.concat(F.lit("  # a remark\n"), F.concat_ws(",", *cells))).otherwise(F.concat_ws(",", *cells))
-    return shared.text_files(li, FILE, F.struct("l_orderkey", "l_linenumber", "l_partkey"), line, "pads", "# exported\nRef Des,Pin Number,Center X,Center-Y,Layer\n")
+    return shared.text_files(li, F.expr(FILE), F.struct("l_orderkey", "l_linenumber", "l_partkey"), line, "pads", "# exported\nRef Des,Pin Number,Center X,Center-Y,Layer\n")
 
 
 @query("S4 S10 P48", PADS + "SELECT designator, round_even(avg(x), 6) AS x, round_even(avg(y), 6) AS y, round_even(degrees(0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y))), 6) + 0.0 AS rotation, count(*) AS pads, min(side) AS side FROM p GROUP BY designator")
@@ -151,7 +151,7 @@ def coco_rows(spark, sf_dir):
     kind = F.struct(F.col("class_id").alias("id"), F.col("label").alias("name"))
     doc = F.to_json(F.struct(F.collect_set(F.when(F.col("board_id") % 9 != 0, image)).alias("images"), F.collect_list(note).alias("annotations"), F.collect_set(F.when(F.col("class_id") < 7, kind)).alias("categories")))
     path = shared.folder(spark, "coco")
-    d.groupBy(FILE.alias("file")).agg(doc.alias("value")).write.partitionBy("file").text(path)
+    d.groupBy(F.expr(FILE).alias("file")).agg(doc.alias("value")).write.partitionBy("file").text(path)
     return readers.coco(spark, path)
 
 
@@ -164,7 +164,7 @@ def labelme_rows(spark, sf_dir):
     d = view(spark, sf_dir, "det").withColumn("s", F.struct("label", F.when(third == 0, "circle").when(third == 1, "rectangle").otherwise("polygon").alias("shape_type"), points.alias("points")))
     doc = F.to_json(F.struct(F.format_string("board_%d.png", "board_id").alias("imagePath"), F.collect_list("s").alias("shapes")))
     boards = d.groupBy("board_id").agg(doc.alias("doc"))
-    return readers.labelme(spark, shared.text_files(boards, FILE, F.col("board_id"), F.col("doc"), "labelme", "[", "]", ","))
+    return readers.labelme(spark, shared.text_files(boards, F.expr(FILE), F.col("board_id"), F.col("doc"), "labelme", "[", "]", ","))
 
 
 @query("S16 P59", """
@@ -173,7 +173,7 @@ SELECT coalesce(CASE class_id WHEN 0 THEN 'r' WHEN 1 THEN 'c' END, 'class_' || c
 def yolo_rows(spark, sf_dir):
     """Label files with lines that can't be read, and classes without a name."""
     line = F.concat(sinks.yolo_line(F.col("class_id"), B.of(), 250, 250), F.when(F.col("no") % 5 == 0, "\nnot a box\n1 0.5 0.5\n3 a b c d").otherwise(""))
-    path = shared.text_files(view(spark, sf_dir, "det"), FILE, F.struct("board_id", "no"), line, "yolo")
+    path = shared.text_files(view(spark, sf_dir, "det"), F.expr(FILE), F.struct("board_id", "no"), line, "yolo")
     return readers.yolo(spark, path, {0: "r", 1: "c"}, 250, 250).select("label", *(F.bround(k, 4).alias(k) for k in B.SIDES))
 
 
