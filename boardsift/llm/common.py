@@ -129,13 +129,18 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", rounds: int
     spark = nodes.sparkSession
     links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before, count = None, links.count()
-    least = (F.min("b").alias("m"), F.count("*").alias("copies"))  # a node may have very many neighbours
+    least = (F.min("b").alias("m"), F.count("*").alias("copies"))
+
+    def met(rows, low, n):
+        """A node may have very many neighbours; up to `PLAIN` rows of two numbers a task holds them all with ease."""
+        return spread_join(rows, low, ["a"], n, "b") if n > PLAIN else rows.join(low, "a")
+
     for done in itertools.count(1):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(*least).withColumn("m", F.least("a", "m"))
-        large = spread_join(both, low, ["a"], 2 * count, "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = met(both, low, 2 * count).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(*least)
-        small = spread_join(large, low, ["a"], count, "b")
+        small = met(large, low, count)
         older = links
         links = stored(
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct(),
@@ -152,6 +157,9 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", rounds: int
     return nodes.join(root, node, "left").withColumn("component", F.coalesce("component", F.col(node)))
 
 
+#: Links up to which the steps of `components` don't look for hot nodes.
+PLAIN = 1_000_000
+
 #: A key that more than this share of all rows has is hot; there are fewer than its inverse of them, so they are broadcast.
 HOT_SHARE = 1e-4
 

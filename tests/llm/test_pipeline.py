@@ -10,7 +10,11 @@ from boardsift.llm.common import components, stored
 from tests.llm.helpers import documents
 
 
-def test_components(spark):
+@pytest.mark.parametrize("plain", [1_000_000, 0])
+def test_components(spark, plain, monkeypatch):
+    from boardsift.llm import common
+
+    monkeypatch.setattr(common, "PLAIN", plain)
     random.seed(0)
     edges = [(random.randrange(60), random.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]
     ids = sorted({x for e in edges for x in e})
