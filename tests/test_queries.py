@@ -12,7 +12,7 @@ from boardsift.views import BASE
 
 SF = "/root/testdata/sf0.001"
 # a query of each kind; all of them are compared by the driver
-NAMES = ["pads_csv", "board_json", "coco_rows", "labelme_rows", "manifest_rules", "model_catalog", "joints_csv", "verdicts_csv", "findings_csv", "fusion_driver", "stage_status", "best_checkpoint", "iou_pairs", "lead_assign", "group_split", "dataset_fingerprint", "ab_match", "registration", "frame_alignment", "golden_inspection", "rules_verdict_counts", "fusion_decision", "tile_plan", "nms_boxes", "bom_position_match", "lead_fusion", "source_class_cube", "ipc356_parse", "group_split", "stream_daily_counts"]
+NAMES = ["pads_csv", "board_json", "coco_rows", "labelme_rows", "manifest_rules", "model_catalog", "joints_csv", "verdicts_csv", "findings_csv", "fusion_driver", "stage_status", "best_checkpoint", "iou_pairs", "lead_assign", "group_split", "dataset_fingerprint", "ab_match", "registration", "rules_verdict_counts", "fusion_decision", "tile_plan", "nms_boxes", "bom_position_match", "lead_fusion", "source_class_cube", "ipc356_parse", "group_split", "stream_daily_counts"]
 
 
 def rounded(rows):
