@@ -275,3 +275,18 @@ def test_all_parts_of_a_board_are_drawn():
 
     parts = pd.DataFrame([(n, n % 3, 20.0 * n, 10.0, 20.0 * n + 8, 18.0) for n in range(6)], columns=["no", "class_id", "x1", "y1", "x2", "y2"])
     assert _frame(parts)[14, 4:120:20, 0].tolist() == [150 + 12 * (n % 3) for n in range(6)]
+
+
+@pytest.mark.parametrize("points", [
+    [(0, 0), (4, 2), (10, 5)],  # three on a line
+    [(0, 0), (0, 7), (0, 9), (0, 30), (0, 41)],
+    [(1, 1), (5, 5), (9, 9), (20, 3)],  # all but one on a line
+    [(3, 0), (3, 8), (3, 40), (3, 55), (90, 7)],
+    [(5, 5), (5, 5), (60, 9), (60, 9)],  # repeated
+    [(5, 5), (60, 9), (5, 5), (31, 80), (60, 9)],
+])
+def test_fiducials_that_leave_a_matrix_open(points):
+    p = np.array(points, float)
+    t = 2.5 * np.array([[np.cos(0.3), -np.sin(0.3)], [np.sin(0.3), np.cos(0.3)]])
+    m, residual = R.from_fiducials(p, p @ t.T + [30.0, 20.0])
+    assert np.allclose(m, np.r_[np.c_[t, [30.0, 20.0]], [[0, 0, 1]]], atol=1e-6) and residual < 1e-6
