@@ -56,12 +56,19 @@ def placements(spark: SparkSession, path: str, units: str = "mm") -> DataFrame:
     return t.select("designator", _length("x", units).alias("x"), _length("y", units).alias("y"), T.number(_optional(t, "rotation")).alias("rotation"), T.side(_optional(t, "side")).alias("side"), T.part_class(F.col("designator")).alias("part_class"))
 
 
+def _mean(c: str) -> Column:
+    """A mean that doesn't depend on the order of rows: of decimals with 12 places, unless a value has none."""
+    exact = F.col(c).try_cast("decimal(28,12)")
+    return F.when(F.count(exact) == F.count(c), F.avg(exact).cast("double")).otherwise(F.avg(c))
+
+
 def pads(spark: SparkSession, path: str, units: str = "mm") -> DataFrame:
     """A row a part with its pads; its place is their mean, its turn their principal axis."""
     t = csv(spark, path)
     p = t.select("designator", "pin", _length("x", units).alias("x"), _length("y", units).alias("y"), T.side(_optional(t, "side")).alias("side"))
-    turn = F.degrees(0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.var_pop("x") - F.var_pop("y")))
-    return p.groupBy("designator").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.bround(turn, 6).alias("rotation"), F.array_sort(F.collect_list(F.struct("pin", "x", "y"))).alias("pads"), F.min("side").alias("side")).orderBy("designator")
+    turn = F.bround(F.degrees(0.5 * F.atan2(2 * F.covar_pop("x", "y"), F.var_pop("x") - F.var_pop("y"))), 6)
+    turn = F.when(turn == -90, 90.0).otherwise(turn)  # one axis; the sign of a covariance of zero is an error in its last bit
+    return p.groupBy("designator").agg(_mean("x").alias("x"), _mean("y").alias("y"), turn.alias("rotation"), F.array_sort(F.collect_list(F.struct("pin", "x", "y"))).alias("pads"), F.min("side").alias("side")).orderBy("designator")
 
 
 def bom(spark: SparkSession, path: str, units: str = "mm") -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from itertools import permutations
 
 import pytest
 
@@ -20,6 +21,22 @@ def test_pads_and_placements(spark, tmp_path):
     assert (round(r.x, 3), r.y, r.part_class, r.side) == (2.54, 1.0, "resistor", "top")
 
 
+def test_mean_of_pads_is_exact(spark, tmp_path):
+    """1.3382625 mm lies between two values of 6 places, so an error in the last bit would show."""
+    mils = [71, 86, 12, 77, 35, 80, 46, 88, 20, 61, 99, 3, 50, 44, 37, 34]
+    for n, order in enumerate((mils, mils[::-1], sorted(mils), mils[5:] + mils[:5], sorted(mils)[::-1], mils[::2] + mils[1::2])):
+        p = tmp_path / f"{n}.csv"
+        p.write_text("ref,pin,x,y\n" + "".join(f"R1,{i},0,{m}mil\n" for i, m in enumerate(order)))
+        assert readers.pads(spark, str(p)).first().y == sum(mils) * 254 / 160000
+
+
+def test_upright_axis_has_one_sign(spark, tmp_path):
+    for n, order in enumerate(permutations([(7, 42), (8, 11), (8, 73)])):
+        p = tmp_path / f"{n}.csv"
+        p.write_text("ref,pin,x,y\n" + "".join(f"R1,{i},{x},{m}mil\n" for i, (x, m) in enumerate(order)))
+        assert readers.pads(spark, str(p)).first().rotation == 90
+
+
 def test_unknown_format_is_an_error(spark, tmp_path):
     p = tmp_path / "x.csv"
     p.write_text("a,b\n1,2\n")
