@@ -3,6 +3,7 @@ from __future__ import annotations
 import io
 import json
 import struct
+import time
 import zlib
 from itertools import permutations
 
@@ -290,3 +291,22 @@ def test_fiducials_that_leave_a_matrix_open(points):
     t = 2.5 * np.array([[np.cos(0.3), -np.sin(0.3)], [np.sin(0.3), np.cos(0.3)]])
     m, residual = R.from_fiducials(p, p @ t.T + [30.0, 20.0])
     assert np.allclose(m, np.r_[np.c_[t, [30.0, 20.0]], [[0, 0, 1]]], atol=1e-6) and residual < 1e-6
+
+
+def fastest(f, times=5):
+    """Seconds of the fastest of some calls."""
+
+    def once():
+        began = time.perf_counter()
+        f()
+        return time.perf_counter() - began
+
+    return min(once() for _ in range(times))
+
+
+def test_votes_are_counted_faster_than_rows_are_sorted():
+    cells = np.random.default_rng(3).integers(-150, 150, (20_000, 2))
+    cells[:400] = (7, -3)
+    cells[400:420] = (8, -4)
+    assert R.voted(cells, 1)[0].tolist() == np.flatnonzero((np.abs(cells - [7, -3]) <= 1).all(1)).tolist()
+    assert fastest(lambda: R.voted(cells, 4)) < 0.7 * fastest(lambda: np.unique(cells, axis=0, return_inverse=True, return_counts=True))
