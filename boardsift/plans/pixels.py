@@ -20,6 +20,10 @@ def _frame(pdf: pd.DataFrame) -> np.ndarray:
     return pixels.drawn(np.c_[parts[list(B.SIDES)].to_numpy(), 150 + 12 * parts.class_id.to_numpy()])
 
 
+def _regions(pdf: pd.DataFrame) -> np.ndarray:
+    return pdf[list(B.SIDES)].to_numpy().astype(int)
+
+
 def _kinds() -> str:
     return ", ".join(f"{k} {'int' if k == 'solder_area_px' else 'double'}" for k in pixels.FEATURES)
 
@@ -29,11 +33,8 @@ def solder_measure(spark, sf_dir):
     """All 13 measurements of each part, from the pixels of its board as they come back from an encoded image."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        image, out = images.decoded(images.encoded(_frame(pdf))), []
-        for r in pdf.itertuples():
-            m = pixels.measured(image[int(r.y1) : int(r.y2), int(r.x1) : int(r.x2)])
-            out.append([r.board_id, r.no, *(round(m[k], 5) for k in pixels.FEATURES)])
-        return pd.DataFrame(out, columns=["board_id", "no", *pixels.FEATURES])
+        m = pixels.Crops(images.decoded(images.encoded(_frame(pdf))), _regions(pdf).tolist(), turn=True).measured()
+        return pdf[["board_id", "no"]].assign(**{k: [round(x, 5) for x in m[k].tolist()] for k in pixels.FEATURES})
 
     return frames(spark, sf_dir).groupBy("board_id").applyInPandas(kernel, f"board_id int, no int, {_kinds()}")
 
@@ -41,10 +42,9 @@ def solder_measure(spark, sf_dir):
 @query("I11 T6")
 def refine_to_metal(spark, sf_dir):
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        image, out = _frame(pdf), []
-        for r in pdf.itertuples():
-            b = pixels.refined(image[int(r.y1) : int(r.y2), int(r.x1) : int(r.x2)])
-            out.append([r.board_id, r.no, *((int(r.x1) + b[0], int(r.y1) + b[1], int(r.x1) + b[2], int(r.y1) + b[3]) if b else (int(r.x1), int(r.y1), int(r.x2), int(r.y2))), b is not None])
-        return pd.DataFrame(out, columns=["board_id", "no", *B.SIDES, "refined"])
+        whole = _regions(pdf)
+        boxes, found = pixels.Crops(_frame(pdf), whole.tolist()).refined()
+        boxes = np.where(found[:, None], boxes + whole[:, [0, 1, 0, 1]], whole)
+        return pdf[["board_id", "no"]].assign(**dict(zip(B.SIDES, boxes.T, strict=True)), refined=found)
 
     return frames(spark, sf_dir).groupBy("board_id").applyInPandas(kernel, "board_id int, no int, x1 int, y1 int, x2 int, y2 int, refined boolean")

@@ -310,3 +310,36 @@ def test_votes_are_counted_faster_than_rows_are_sorted():
     cells[400:420] = (8, -4)
     assert R.voted(cells, 1)[0].tolist() == np.flatnonzero((np.abs(cells - [7, -3]) <= 1).all(1)).tolist()
     assert fastest(lambda: R.voted(cells, 4)) < 0.7 * fastest(lambda: np.unique(cells, axis=0, return_inverse=True, return_counts=True))
+
+
+def region_images():
+    """Frames of boxes and noise, and regions of all shapes in them: of one pixel, empty, high and wide ones."""
+    for seed in range(12):
+        random = np.random.default_rng(seed)
+        rows = np.c_[random.integers(0, 90, (25, 2)), random.integers(0, 60, 25)]
+        image = pixels.drawn(np.c_[rows[:, :2], rows[:, :2] + random.integers(1, 40, (25, 2)), random.integers(60, 256, 25)], 110, 140)
+        if seed % 3:
+            image = np.clip(image.astype(int) + random.integers(-60, 61, image.shape if seed % 3 == 1 else image.shape[:2] + (1,)), 0, 255).astype(np.uint8)
+        if seed > 9:
+            image[::2, ::3] = random.integers(0, 256, 3)
+        x, y = random.integers(0, 130, 60), random.integers(0, 100, 60)
+        yield image, [*zip(x.tolist(), y.tolist(), (x + random.integers(0, 45, 60)).tolist(), (y + random.integers(0, 45, 60)).tolist(), strict=True), (0, 0, 140, 110), (3, 3, 3, 9)]
+
+
+def test_regions_of_an_image_are_measured_together():
+    for image, boxes in region_images():
+        together = pixels.Crops(image, boxes, turn=True).measured()
+        for k, (x1, y1, x2, y2) in enumerate(boxes):
+            one = pixels.measured(image[y1:y2, x1:x2])
+            assert {f: round(float(together[f][k]), 9) for f in pixels.FEATURES} == {f: round(float(one[f]), 9) for f in pixels.FEATURES}, (boxes[k],)
+    assert pixels.Crops(image, []).measured()["contrast"].tolist() == []
+
+
+def test_regions_of_an_image_are_refined_together():
+    some = 0
+    for image, boxes in region_images():
+        found, ok = pixels.Crops(image, boxes).refined()
+        some += ok.sum()
+        for k, (x1, y1, x2, y2) in enumerate(boxes):
+            assert (tuple(found[k].tolist()) if ok[k] else None) == pixels.refined(image[y1:y2, x1:x2]), (boxes[k],)
+    assert some > 50
