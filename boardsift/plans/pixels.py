@@ -8,6 +8,7 @@ import pandas as pd
 from boardsift.catalog import query
 from boardsift.functions import boxes as B
 from boardsift.operators import images, pixels
+from boardsift.operators.spatial import by_board
 from boardsift.views import view
 
 
@@ -36,7 +37,7 @@ def solder_measure(spark, sf_dir):
         m = pixels.Crops(images.decoded(images.encoded(_frame(pdf))), _regions(pdf).tolist(), turn=True).measured()
         return pdf[["board_id", "no"]].assign(**{k: [round(x, 5) for x in m[k].tolist()] for k in pixels.FEATURES})
 
-    return frames(spark, sf_dir).groupBy("board_id").applyInPandas(kernel, f"board_id int, no int, {_kinds()}")
+    return by_board(frames(spark, sf_dir)).groupBy("board_id").applyInPandas(kernel, f"board_id int, no int, {_kinds()}")
 
 
 @query("I11 T6")
@@ -47,4 +48,4 @@ def refine_to_metal(spark, sf_dir):
         boxes = np.where(found[:, None], boxes + whole[:, [0, 1, 0, 1]], whole)
         return pdf[["board_id", "no"]].assign(**dict(zip(B.SIDES, boxes.T, strict=True)), refined=found)
 
-    return frames(spark, sf_dir).groupBy("board_id").applyInPandas(kernel, "board_id int, no int, x1 int, y1 int, x2 int, y2 int, refined boolean")
+    return by_board(frames(spark, sf_dir)).groupBy("board_id").applyInPandas(kernel, "board_id int, no int, x1 int, y1 int, x2 int, y2 int, refined boolean")

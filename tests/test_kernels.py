@@ -343,3 +343,10 @@ def test_regions_of_an_image_are_refined_together():
         for k, (x1, y1, x2, y2) in enumerate(boxes):
             assert (tuple(found[k].tolist()) if ok[k] else None) == pixels.refined(image[y1:y2, x1:x2]), (boxes[k],)
     assert some > 50
+
+
+def test_kernels_of_small_tables_run_in_many_tasks(spark):
+    from boardsift.operators.spatial import by_board
+
+    rows = by_board(spark.range(40).selectExpr("cast(id as int) as board_id")).groupBy("board_id").applyInPandas(lambda p: p, "board_id int")
+    assert rows.rdd.getNumPartitions() == 4
