@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 from itertools import permutations
 
 import pytest
@@ -74,3 +75,30 @@ def test_label_files(spark, tmp_path):
     y.write_text("0 0.5 0.5 0.5 0.5\n7 0.5 0.5 1 1\nbad line here now 1\n")
     rows = readers.yolo(spark, str(y), {0: "pad"}, 100, 100).orderBy("label").collect()
     assert [(r.label, r.x1) for r in rows] == [("class_7", 0.0), ("pad", 25.0)]
+
+
+def test_numbered_rows_take_one_shuffle(spark):
+    from boardsift import views
+
+    views.base(spark, "/root/testdata/sf0.001", "lineitem")
+    lineitem = spark.table("lineitem")
+    got = views.numbered(lineitem.unionByName(lineitem.limit(50)))
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    assert got.exceptAll(spark.sql(views.VIEWS["li"][1])).isEmpty() and got.count() == lineitem.distinct().count()
+
+
+def test_written_rows_leave_no_shuffle_files(spark):
+    from pathlib import Path
+
+    from boardsift import shared
+
+    before = spark.conf.get(shared.CLEANUP)
+    where = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    files = lambda: {f for f in where.rglob("shuffle_*.data")}
+    old = files()
+    assert shared.written(spark.range(1000).repartition(3, "id"), "rows").count() == 1000
+    deadline = time.time() + 10
+    while any("shuffle" in f.name for f in files() - old) and time.time() < deadline:
+        time.sleep(0.2)
+    left = files() - old
+    assert len(left) <= 4 and spark.conf.get(shared.CLEANUP) == before  # of the count alone
