@@ -8,13 +8,17 @@ import functools
 import itertools
 import shutil
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boardsift.shared import shuffles_removed
+
 #: Rows of text that a Python worker holds at once.
 BATCH_ROWS = 300
 #: Bytes of rows after which a batch is closed, if it has fewer rows than that.
@@ -51,15 +55,18 @@ def _path(spark: SparkSession, where: str):
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends there, so a lost executor costs no recomputation.
 
-    The driver removes the folder when it ends; `discard` does so earlier.
+    What was shuffled on the way goes at once. The driver removes the folder when it ends; `discard` and `passing` do so earlier.
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", WRITE_BYTES).parquet(where)
+    with shuffles_removed(spark):
+        df.write.option("parquet.block.size", WRITE_BYTES).parquet(where)
     files, path = _path(spark, where)
     files.deleteOnExit(path)
     back = spark.read.schema(df.schema).parquet(where)
     back.stored_at = where
+    if _passing():
+        _passing()[-1].append(back)
     return back
 
 
@@ -69,6 +76,38 @@ def discard(df: DataFrame) -> None:
     files.delete(path, True)
 
 
+_OPEN = threading.local()
+
+
+def _passing() -> list[list[DataFrame]]:
+    """What was stored in each `passing` that this thread has open, the innermost last."""
+    if not hasattr(_OPEN, "lists"):
+        _OPEN.lists = []
+    return _OPEN.lists
+
+
+@contextmanager
+def passing():
+    """What is stored in here goes in the end, but for what is handed to the function that this yields."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _passing().append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _passing().pop()
+        for df in own:
+            if all(df is not k for k in kept):
+                discard(df)
+        if _passing():
+            _passing()[-1].extend(kept)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Documents can be long: keep the batches that travel to Python workers small, in rows and in bytes.
 

@@ -29,7 +29,7 @@ result; texts of any length are read whole; other columns are ignored, whatever
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from hashlib import blake2b
 from itertools import chain
 
@@ -41,12 +41,16 @@ from pyspark.sql import functions as F
 from boardsift.llm.bpe import Cache
 from boardsift.llm.common import components, discard, mixed, small_batches, spread_join, stored, table, tidy
 from boardsift.llm.embeddings import grouped
+from boardsift.shared import shuffles_removed
 
 SHINGLE, PERCENT, REGION, WEIGHT, SLICE, LEVELS, LEAF, PIVOTS = 3, 90, 3000, 2_000_000, 200_000, 2, 40, 12
+#: Parts are shuffled in so many rounds, by their keys, where there are more than `ROUND_ROWS` documents: nearly all of them meet no other, and together they take more room than the texts.
+ROUNDS, ROUND_ROWS = 4, 20_000
 #: Broadcasts hold at most so many rows of 24 bytes.
 BROADCAST_ROWS = 2_000_000
-#: Shingles in `COMMON` of about `SAMPLE` documents are common, the `LISTED` most frequent ones at most.
-SAMPLE, COMMON, LISTED = 10_000, 10, 500_000
+#: Shingles in `COMMON` of a sample are common, the `LISTED` most frequent ones at most. The sample is one document in `SHARE`, but about
+#: `SAMPLE` at least: then a rare shingle is in so many documents however large the table is, and regions don't grow together.
+SAMPLE, SHARE, COMMON, LISTED = 10_000, 10, 10, 500_000
 NONE = np.zeros(0, np.uint64)
 
 
@@ -206,10 +210,11 @@ def with_sets(docs: DataFrame, id_: str, keep: list[str], shingle: int = SHINGLE
 
 def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     """Sorted shingles that are frequent in a sample. Any list would do for the result: it only keeps regions small."""
-    step = max(1, docs.count() // SAMPLE)
+    step = max(1, min(docs.count() // SAMPLE, SHARE))
     some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0)
-    counts = with_sets(some, "doc_id", ["doc_id"], shingle).select(F.explode("s").alias("x")).groupBy("x").count().where(f"count >= {COMMON}")
-    return np.sort(np.array([r.x for r in counts.orderBy(F.desc("count"), "x").limit(LISTED).collect()], np.int64).astype(np.uint64))
+    with shuffles_removed(docs.sparkSession):
+        counts = with_sets(some, "doc_id", ["doc_id"], shingle).select(F.explode("s").alias("x")).groupBy("x").count().where(f"count >= {COMMON}")
+        return np.sort(counts.orderBy(F.desc("count"), "x").limit(LISTED).select("x").toArrow().column("x").to_numpy().astype(np.uint64))
 
 
 def described(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -372,8 +377,10 @@ def joined(members: DataFrame, percent: int, spare: list[DataFrame]) -> DataFram
     weights = kept(weights, "large")
     side = F.broadcast(weights) if weights.count() <= BROADCAST_ROWS else weights
     whole = members.join(side, "region", "left_anti")
-    done, edges = [whole], []
-    rest = None if weights.isEmpty() else kept(members.join(side, "region", "left_semi"), "members")
+    split = not weights.isEmpty()
+    alone = split and whole.isEmpty()  # all regions are large
+    done, edges = [] if alone else [whole], []
+    rest = None if not split else members if alone else kept(members.join(side, "region", "left_semi"), "members")
     for level in range(LEVELS + 1 if rest else 0):
         for cells in (False, True):
             sizes = rest.groupBy("region", "cell", "root").agg(F.count("*").alias("m"), F.sum(F.size("s")).alias("w"))
@@ -383,14 +390,16 @@ def joined(members: DataFrame, percent: int, spare: list[DataFrame]) -> DataFram
             own = sizes.select("region", "cell")
             small = rest.join(F.broadcast(own) if own.count() <= BROADCAST_ROWS else own, ["region", "cell"], "left_anti")
             if not cells:
-                done.append(small)
+                done.append(kept(small, "small"))
                 large = sizes.where("n > most")  # where all classes are connected, nothing is left to do
                 if large.isEmpty():
                     rest = None
                     break
                 links = kept(to_pivot_cells(rest, large, level, percent, False), "links")
                 edges.append(links)
-                rest = kept(rerooted(rest.join(large.select("region", "cell"), ["region", "cell"], "left_semi"), links), "members")
+                before, rest = rest, kept(rerooted(rest.join(large.select("region", "cell"), ["region", "cell"], "left_semi"), links), "members")
+                if alone or before is not members:  # else the regions that are whole are still read from there
+                    discard(before)
                 continue
             few = sizes.where(f"n > most and (n - most <= {REGION} or {level} = {LEVELS})")
             many = sizes.where(f"n > most and n - most > {REGION} and {level} < {LEVELS}")
@@ -400,9 +409,12 @@ def joined(members: DataFrame, percent: int, spare: list[DataFrame]) -> DataFram
                 rest = None
                 break
             next_ = kept(to_pivot_cells(rest, many, level, percent, True), "members")
-            links = next_.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b"))
+            links = kept(next_.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")), "links")
             edges.append(links)
-            rest = kept(rerooted(next_.drop("to"), links), "members")
+            before, rest = rest, kept(rerooted(next_.drop("to"), links), "members")
+            discard(next_)
+            if few.isEmpty():  # else its blocks are still to be read
+                discard(before)
         if rest is None:
             break
     every = done[0]
@@ -433,19 +445,40 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     rows = known.where("doc_id is not null and n > 0").join(F.broadcast(again) if again.count() <= BROADCAST_ROWS else again, "doc_id", "left_anti")
     # a document stands in its own size class and in the next; a clash of these numbers would only make a region larger
     sides = rows.select("doc_id", "own", F.posexplode("parts").alias("at", "part")).withColumn("guest", F.col("at") >= F.col("own"))
-    pairs = stored(agreeing(sides.select("part", "guest", F.xxhash64("doc_id", "guest").alias("id"))), "agreeing")
+    sides = sides.select("part", "guest", F.xxhash64("doc_id", "guest").alias("id"))
+    rounds = ROUNDS if known.count() > ROUND_ROWS else 1
+    met = [stored(agreeing(sides.where(F.pmod("part", F.lit(rounds)) == k)), "agreeing") for k in range(rounds)]
+    pairs = reduce(DataFrame.unionByName, met)
     nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     regions = components(nodes, pairs).withColumnRenamed("component", "region")
     names = rows.select("doc_id", F.explode(F.array(F.lit(False), F.lit(True))).alias("guest")).withColumn("id", F.xxhash64("doc_id", "guest"))
     regions = stored(regions.join(names, "id").select("region", F.col("doc_id").alias("id"), (~F.col("guest")).alias("home")).distinct(), "regions")
-    discard(pairs)
-    ids = regions.select("id").distinct()
-    few = regions.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(regions) if few else regions, "id")
-    spare: list[DataFrame] = []
-    edges = stored(joined(with_sets(texts, "id", ["region", "home", "id"], shingle).where("size(s) > 0"), percent, spare), "edges")
-    for x in spare:  # sets are what takes most room, and links are all that is needed of them
+    everything, known = known, stored(known.drop("own", "parts"), "documents")
+    for x in (*met, everything):
         discard(x)
+    ids = regions.select("id").distinct()
+    weights = regions.join(known.select(F.col("doc_id").alias("id"), "n").where("n > 0"), "id").groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("weight"))
+    large = stored(weights.where(f"m > {REGION} or weight > {WEIGHT}").select("region"), "large")
+    side = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+
+    def members(some: DataFrame, few: bool) -> DataFrame:
+        """Sets of the classes in some regions."""
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(some) if few else some, "id")
+        return with_sets(texts, "id", ["region", "home", "id"], shingle).where("size(s) > 0")
+
+    # sets are what takes most room: those of ordinary regions are shuffled in rounds and not written, and only links stay of them
+    whole, few = regions.join(side, "region", "left_anti"), regions.count() <= BROADCAST_ROWS * rounds
+    edges = []
+    for k in range(rounds):
+        now = members(whole.where(F.pmod(F.xxhash64("region"), F.lit(rounds)) == k), few)
+        edges.append(stored(verified(now.select("region", F.lit(0).cast("long").alias("cell"), "home", "id", F.col("id").alias("root"), "s"), percent), "edges"))
+    if not large.isEmpty():
+        spare: list[DataFrame] = []
+        rest = regions.join(side, "region", "left_semi")
+        edges.append(stored(joined(members(rest, rest.count() <= BROADCAST_ROWS), percent, spare), "edges"))
+        for x in spare:
+            discard(x)
+    edges = reduce(DataFrame.unionByName, edges)
     linked = components(ids, edges)
     # the classes learn their component, one row each, before they meet their documents
     named = reps.where("n > 0").join(linked, "id", "left").unionByName(reps.where("n = 0"), allowMissingColumns=True)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardsift.llm import decontaminate, jaccard, quality, suffixes, tokens
-from boardsift.llm.common import stored, table, without
+from boardsift.llm.common import discard, passing, stored, table, without
 
 #: Near-duplicates share 80 % of their shingles of five words.
 SHINGLE, PERCENT = 5, 80
@@ -47,9 +47,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     side = F.broadcast(several) if several.count() <= 2_000_000 else several
     unclear = F.col("doc_id").isNull() | F.col("_several").isNotNull()
     named = lambda df, k: df.join(side, df["doc_id"] == F.col("_several"), "left").withColumn("unit", F.when(unclear, F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", k), F.lit(1 << 61))).otherwise(F.col("doc_id").cast("long")))
-    found = jaccard.near_duplicates(named(docs, key).select(F.col("unit").alias("doc_id"), "text"), SHINGLE, PERCENT)
-    groups = found.groupBy(F.col("doc_id").alias("unit")).agg(F.min("component_id").alias("component"))
-    rows = stored(named(rows, F.col("key")).join(groups, "unit").select("unit", "doc_id", "key", "copies", "component"), "rows")
+    with passing() as keep:
+        found = jaccard.near_duplicates(named(docs, key).select(F.col("unit").alias("doc_id"), "text"), SHINGLE, PERCENT)
+        groups = found.groupBy(F.col("doc_id").alias("unit")).agg(F.min("component_id").alias("component"))
+        rows = keep(stored(named(rows, F.col("key")).join(groups, "unit").select("unit", "doc_id", "key", "copies", "component"), "rows"))
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "unit"))
     kept = rows.groupBy("component").agg(one.alias("one")).select("one.unit")
     out = without(docs, rows.join(kept, "unit", "left_anti").unionByName(rows.where("copies > 1")))
@@ -97,7 +98,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with passing() as keep:  # what a stage writes on its way goes with it, and its input, once its result is there
+            docs = keep(stored(stage(spark, docs, sf_dir), name))
+        if before:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

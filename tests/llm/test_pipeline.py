@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
+from boardsift.llm import common, jaccard
 from boardsift.llm.common import components, stored
 from tests.llm.helpers import documents
 
@@ -138,3 +139,16 @@ def test_one_row_of_each_group_stays(spark):
     assert len(got) == 9
     left = {r.text for r in corpus_pipeline.repeated_text_stage(spark, kept, "").collect()}
     assert {a, b, c, d + " tail", e, f} <= left and left & {g, g + " tail"}
+
+
+def test_near_duplicates_in_rounds_leave_no_sets_behind(spark, monkeypatch, tmp_path):
+    """Parts and regions that travel in rounds give the same groups; what the join writes on its way goes with it."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(10 * g + i, " ".join([f"g{g}", *words[g : g + 30], f"x{i}"])) for g in range(20) for i in range(2)]
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    once = sorted(r.doc_id for r in stored(stage(spark, docs, ""), "n").collect())
+    monkeypatch.setattr(jaccard, "ROUND_ROWS", 0)
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    assert sorted(r.doc_id for r in stored(stage(spark, docs, ""), "n").collect()) == once
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} <= {"several", "rows", "dropped", "copied", "n"}
