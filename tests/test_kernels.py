@@ -350,3 +350,16 @@ def test_kernels_of_small_tables_run_in_many_tasks(spark):
 
     rows = by_board(spark.range(40).selectExpr("cast(id as int) as board_id")).groupBy("board_id").applyInPandas(lambda p: p, "board_id int")
     assert rows.rdd.getNumPartitions() == 4
+
+
+def test_boxes_that_overlap_are_found_in_blocks():
+    """`merge_tiles` measures what overlaps instead of all that is left: the same pairs and measures as box by box, odd boxes too."""
+    from boardsift.operators import assign
+
+    rng = np.random.default_rng(4)
+    at = rng.integers(0, 60, (90, 2))
+    boxes = np.hstack([at, at + rng.integers(-2, 25, (90, 2))]).astype(float)
+    boxes[7, 2] = np.nan
+    for block in (1 << 20, 500, 1):
+        assert assign.overlapping(boxes, block) == [assign._near(boxes, boxes[i], i + 1) for i in range(len(boxes))]
+    assert assign.overlapping(boxes[:0]) == [] and assign.merge_tiles([]) == ([], {"seam": 0, "contained": 0, "overlap": 0})
