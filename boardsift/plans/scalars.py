@@ -62,7 +62,8 @@ def point_to_box(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY board_id, a_no, b_no ORDER BY (x2 - x1) * (y2 - y1) DESC, k) AS n FROM s)
 SELECT board_id, a_no, b_no, x1, y1, x2, y2 FROM r WHERE n = 1""", ("det",))
 def box_cut(spark, sf_dir):
-    return met(spark, sf_dir).select("board_id", "a_no", "b_no", B.without(F.col("a"), F.col("b")).alias("c")).where("c is not null").select("board_id", "a_no", "b_no", "c.*")
+    a, b = F.col("a"), F.col("b")
+    return met(spark, sf_dir).where(B.uncovered(a, b)).select("board_id", "a_no", "b_no", B.without(a, b).alias("c")).select("board_id", "a_no", "b_no", "c.*")
 
 
 @query("P10", PAIRS + """

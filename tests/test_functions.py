@@ -30,6 +30,13 @@ def test_cut_keeps_the_largest_slab(spark):
     assert tuple(one(spark, B.without(box(0, 0, 10, 10), box(4, -1, 6, 11)))) == (0, 0, 4, 10)  # left before right
 
 
+def test_cut_of_odd_boxes(spark):
+    assert one(spark, B.without(box(5, 0, 5, 10), box(0, 2, 10, 4))) is None  # no width
+    assert tuple(one(spark, B.without(box(0, 0, 10, 10), box(12, 0, 14, 10)))) == (0, 0, 10, 10)  # apart
+    assert tuple(one(spark, B.without(box(0, 0, 10, 10), box(-1, 4, 11, 6)))) == (0, 0, 10, 4)  # above before below
+    assert [one(spark, B.uncovered(box(0, 0, 10, 10), b)) for b in (box(0, 0, 10, 10), box(-1, -1, 11, 11), box(0, 0, 10, 9))] == [False, False, True]
+
+
 def test_halves_cut_the_shorter_side(spark):
     p, q = B.halves(box(0, 0, 10, 10), box(8, 0, 20, 10))
     assert tuple(one(spark, p)) == (0, 0, 9, 10)

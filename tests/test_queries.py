@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -32,6 +33,42 @@ def test_query_matches_sql(spark, name):
     assert got and rounded([tuple(str(x) for x in r) if name == "source_class_cube" else tuple(r) for r in got]) == rounded([tuple(str(x) for x in r) if name == "source_class_cube" else r for r in want.fetchall()])
 
 
+def test_box_cut_with_odd_boxes_matches_its_sql(spark, tmp_path):
+    """Boxes without width, turned over, unknown, or covered by others."""
+    con = duckdb.connect()
+    for t in BASE:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    (tmp_path / "lineitem.parquet").unlink()
+    odd = "case l_partkey % 6 when 0 then -10 when 1 then -25 when 2 then null when 3 then 150 else l_quantity end"
+    con.execute(f"copy (select * replace ({odd} as l_quantity) from '{SF}/lineitem.parquet') to '{tmp_path}/lineitem.parquet'")
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = con.execute(catalog.oracle_sql()["box_cut"])
+    columns = [c[0] for c in want.description]
+    got = catalog.queries()["box_cut"](spark, str(tmp_path))
+    met = catalog.queries()["iou_pairs"](spark, str(tmp_path)).count()
+    got = sorted(map(tuple, got.select(*columns).collect()))
+    assert got == sorted(want.fetchall()) and 0 < len(got) < met
+
+
+def test_box_cut_measures_no_slab_in_its_join_and_is_compiled(spark):
+    """A join's condition is asked of every candidate, and the JVM only interprets methods of more than 8,000 bytes."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("false", "-1"), strict=True):
+            spark.conf.set(n, v)
+        run = catalog.queries()["box_cut"](spark, SF)._jdf.queryExecution()
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode
+        plan, code = (run.explainString(mode.fromString(m)) for m in ("simple", "codegen"))
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    join = next(line for line in plan.splitlines() if "SortMergeJoin" in line)
+    assert "array" not in join and "struct" not in join and "CASE" not in join
+    assert "array_max" not in plan
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
+
+
 def test_without_the_tokenizer_libraries_other_queries_stay():
     """The entry point in a process where those libraries can't be imported."""
     code = """
