@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from boardsift.operators import assign, enhance, images, inference, onnx_files, pixels, training, vision
+from boardsift.operators import assign, enhance, golden, images, inference, onnx_files, pixels, spatial, training, vision
 from boardsift.operators import registration as R
 
 BOX = st.tuples(st.integers(0, 30), st.integers(0, 30), st.integers(1, 15), st.integers(1, 15)).map(lambda b: [float(b[0]), float(b[1]), float(b[0] + b[2]), float(b[1] + b[3])])
@@ -363,3 +363,53 @@ def test_boxes_that_overlap_are_found_in_blocks():
     for block in (1 << 20, 500, 1):
         assert assign.overlapping(boxes, block) == [assign._near(boxes, boxes[i], i + 1) for i in range(len(boxes))]
     assert assign.overlapping(boxes[:0]) == [] and assign.merge_tiles([]) == ([], {"seam": 0, "contained": 0, "overlap": 0})
+
+
+POINTS = st.lists(st.tuples(st.integers(0, 2), st.sampled_from([-5.0, -0.25, 0.0, 1.5, 4.0, 8.0, 1e5, float("nan")]), st.integers(-6, 6)), max_size=14)
+
+
+@settings(max_examples=100, deadline=None)
+@given(POINTS, POINTS, st.sampled_from([1.0, 2.5, 6.0]))
+def test_near_finds_all_pairs_within_reach_once(a, b, reach):
+    one, other = (np.array(v, dtype=float).reshape(-1, 3).T for v in (a, b))
+    found = list(zip(*(v.tolist() for v in spatial.near(*one, *other, reach)), strict=True))
+    assert len(found) == len(set(found))
+    want = {(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if p[0] == q[0] and abs(p[1] - q[1]) <= reach and abs(p[2] - q[2]) <= reach}
+    assert want <= set(found) and all(a[i][0] == b[j][0] for i, j in found)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.tuples(st.integers(0, 4), st.integers(0, 4)), st.tuples(st.integers(0, 1), st.sampled_from([0.25, 0.5, 3.0]), st.integers(1, 5)), max_size=10))
+def test_edges_taken_at_once_are_those_of_the_matching(costs):
+    edges = [(a, b, c) for (a, b), c in sorted(costs.items())]
+    a, b, *parts = (np.array(v) for v in zip(*((a, b, *c) for a, b, c in edges), strict=True)) if edges else (np.empty(0, dtype=int),) * 5
+    at = assign.matched_edges(a, b, *parts)
+    assert sorted((int(a[i]), int(b[i])) for i in at) == sorted(p for part in assign.connected(edges) for p in assign.best_matching(part))
+
+
+def exchanges(df):
+    """Rows dealt anew, and joins, in a plan."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("RepartitionByExpression"), plan.count("Join")
+
+
+def test_slots_and_detections_meet_by_one_shuffle(spark):
+    """Two slots compete for two detections; a class that differs counts first; the window is half open; other boards don't matter."""
+    slots = spark.createDataFrame([(1, 1, "ic", 0.0, 0.0), (1, 2, "led", 3.0, 0.0), (2, 1, "unknown", 0.0, 0.0), (3, 1, "ic", 0.0, 0.0), (4, 1, "ic", None, 0.0)], "board_id int, cad_no int, part_class string, cx double, cy double")
+    at = lambda board, no, label, x, y: (board, no, label, x - 1.0, y - 1.0, x + 1.0, y + 1.0)
+    found = spark.createDataFrame([at(1, 7, "led", 1.0, 0.0), at(1, 8, "ic", 2.0, 0.0), at(2, 5, "led", -4.0, 0.0), at(3, 5, "ic", 4.0, 0.0), at(4, 1, "ic", 0.0, 0.0)], "board_id int, no int, label string, x1 double, y1 double, x2 double, y2 double")
+    got = golden.matched(slots, found, 4.0)
+    assert exchanges(got) == (1, 0)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 8), (1, 2, 7), (2, 1, 5)]
+
+
+def test_boards_split_over_batches_stay_whole(spark):
+    """Batches of 3 rows over boards of 1 to 9."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = spark.range(1, 10).selectExpr("cast(id as int) as board_id", "explode(sequence(1, id)) as n")
+        count = lambda pdf: pdf.groupby("board_id", as_index=False).n.count()
+        assert sorted(map(tuple, spatial.in_runs(rows, count, "board_id int, n long").collect())) == [(i, i) for i in range(1, 10)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
