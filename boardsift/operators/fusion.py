@@ -42,29 +42,26 @@ def drive(placements: DataFrame, found: DataFrame, pads: DataFrame, boards: Data
     detected counts. pads: board_id, cad_no, pads.
     """
     ok = boards.withColumn("usable", usable(F.col("scale"), F.col("inliers"), F.col("residual")))
-    p = placements.join(ok.where("usable").select("board_id", "scale"), "board_id").join(pads, ["board_id", "cad_no"], "left").na.fill(0, ["pads"])
-    d = found.join(ok.where("usable").select("board_id"), "board_id")
-    pairs = reconcile.matched(p, d, reach).join(p, ["board_id", "cad_no"]).join(d, ["board_id", "no"])
-    dx, dy = B.center_x(B.of()) - F.col("cx"), B.center_y(B.of()) - F.col("cy")
-    mm = F.hypot(dx, dy) / F.col("scale")
+    met = reconcile.met(placements, found, pads, ok.where("usable").select("board_id", "scale"), reach)
+    c, n, pads_given = F.col("cad_no"), F.col("no"), F.coalesce(F.col("pads"), F.lit(0))
+    both = c.isNotNull() & n.isNotNull()
+    mm = F.hypot(F.col("dx"), F.col("dy")) / F.col("scale")
     believed = mm <= NOT_BELIEVED
     none, zero = F.lit(None).cast("int"), F.lit(0.0)
 
-    def rows(df, kind, severity, cad, no, x=zero, y=zero, regions=F.lit(0), source=F.lit(None).cast("string")):
-        return df.select("board_id", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), cad.alias("cad_no"), no.alias("no"), x.alias("dx"), y.alias("dy"), regions.cast("int").alias("regions"), source.alias("source"))
+    def row(kind, severity, cad, no, x=zero, y=zero, regions=F.lit(0), source=F.lit(None).cast("string")):
+        return F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), cad.alias("cad_no"), no.alias("no"), x.alias("dx"), y.alias("dy"), regions.cast("int").alias("regions"), source.alias("source"))
 
-    c, n = F.col("cad_no"), F.col("no")
-    source = F.when(F.col("pads") > 0, "cad").otherwise("derived")
-    own = F.when(F.col("pads") > 0, F.col("pads")).when(T.terminals(F.col("label")) == "pad_only", 1).when(T.terminals(F.col("label")) == "two_terminal", 2).otherwise(4)
+    source = F.when(pads_given > 0, "cad").otherwise("derived")
+    terminals = T.terminals(F.col("label"))
+    own = F.when(pads_given > 0, pads_given).when(terminals == "pad_only", 1).when(terminals == "two_terminal", 2).otherwise(4)
     parts = [
-        rows(pairs, "matched", "ok", c, n, F.bround(F.when(believed, dx).otherwise(0.0), 6), F.bround(F.when(believed, dy).otherwise(0.0), 6), own, source),
-        rows(pairs.where(mm > SHIFTED), "shifted_component", "review", c, n),
-        rows(pairs.where(~T.agree(F.col("part_class"), F.col("label"))), "class_mismatch", "info", c, n),
-        rows(p.join(pairs.select("board_id", "cad_no"), ["board_id", "cad_no"], "left_anti"), "missing_component", "defect", c, none, regions=F.col("pads"), source=F.lit("cad_only_component")),
-        rows(d.join(pairs.select("board_id", "no"), ["board_id", "no"], "left_anti"), "unexpected_component", "info", none, n, regions=F.lit(0), source=F.lit("derived")),
-        rows(ok.where("not usable"), "registration_rejected", "warning", none, none),
+        F.when(both, row("matched", "ok", c, n, F.bround(F.when(believed, F.col("dx")).otherwise(0.0), 6), F.bround(F.when(believed, F.col("dy")).otherwise(0.0), 6), own, source)),
+        F.when(both & (mm > SHIFTED), row("shifted_component", "review", c, n)),
+        F.when(both & ~T.agree(F.col("part_class"), F.col("label")), row("class_mismatch", "info", c, n)),
+        F.when(n.isNull(), row("missing_component", "defect", c, none, regions=pads_given, source=F.lit("cad_only_component"))),
+        F.when(c.isNull(), row("unexpected_component", "info", none, n, source=F.lit("derived"))),
     ]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    rows = met.select("board_id", F.explode(F.array_compact(F.array(*parts))).alias("r")).select("board_id", "r.*")
+    rejected = ok.where("not usable").select("board_id", row("registration_rejected", "warning", none, none).alias("r")).select("board_id", "r.*")
+    return rows.unionByName(rejected)

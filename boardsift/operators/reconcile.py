@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boardsift.functions import boxes as B
 from boardsift.functions import text as T
+from boardsift.operators import assign
 from boardsift.operators.assign import greedy
 from boardsift.operators.spatial import within
 
@@ -33,6 +34,21 @@ def matched(placements: DataFrame, found: DataFrame, reach: float, penalty: floa
     return greedy(candidates(placements, found, reach, penalty), "board_id", "cad_no", "no", "cost")
 
 
+def met(placements: DataFrame, found: DataFrame, pads: DataFrame, boards: DataFrame, reach: float, penalty: float = 0.5) -> DataFrame:
+    """Every placement and detection of the given boards once, pairs of `matched` in one row.
+
+    board_id, cad_no or null, no or null, part_class and label (as `text.class_word` gives them), pads (null where not given), dx and dy
+    from placement to detection, scale. All that a board has comes to one place by a single shuffle and is paired there.
+    """
+    def some(df, kind, id=F.lit(None), word=F.lit(None), x=F.lit(None), y=F.lit(None), value=F.lit(None)):
+        return df.select("board_id", F.lit(kind).cast("byte").alias("kind"), id.cast("int").alias("id"), word.cast("string").alias("word"), x.cast("double").alias("x"), y.cast("double").alias("y"), value.cast("double").alias("value"))
+
+    rows = some(boards, 0, value=F.col("scale")).unionByName(some(pads, 1, id=F.col("cad_no"), value=F.col("pads")))
+    rows = rows.unionByName(some(placements, 2, id=F.col("cad_no"), word=T.class_word(F.col("part_class")), x=F.col("cx"), y=F.col("cy")))
+    rows = rows.unionByName(some(found, 3, id=F.col("no"), word=T.class_word(F.col("label")), x=B.center_x(B.of()), y=B.center_y(B.of())))
+    return assign.pairs_met(rows, reach, penalty)
+
+
 def findings(placements: DataFrame, found: DataFrame, reach: float, shift: float, complete: bool = True) -> DataFrame:
     """missing, unexpected, class_mismatch and shifted, with their severity."""
     pairs = matched(placements, found, reach)

@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from boardsift.operators import assign, enhance, golden, images, inference, onnx_files, pixels, spatial, training, vision
+from boardsift.operators import assign, enhance, fusion, golden, images, inference, onnx_files, pixels, spatial, training, vision
 from boardsift.operators import registration as R
 
 BOX = st.tuples(st.integers(0, 30), st.integers(0, 30), st.integers(1, 15), st.integers(1, 15)).map(lambda b: [float(b[0]), float(b[1]), float(b[0] + b[2]), float(b[1] + b[3])])
@@ -413,3 +413,23 @@ def test_boards_split_over_batches_stay_whole(spark):
         assert sorted(map(tuple, spatial.in_runs(rows, count, "board_id int, n long").collect())) == [(i, i) for i in range(1, 10)]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_fusion_pairs_boards_by_one_shuffle(spark):
+    """A pair, a part that is missing, one that is unexpected, a board with nothing but a part or a detection, and a board whose registration is poor."""
+    cad = spark.createDataFrame([(1, 1, "ic", 0.0, 0.0), (1, 2, "ic", 90.0, 0.0), (2, 1, "led", 0.0, 0.0), (4, 1, "ic", 0.0, 0.0)], "board_id int, cad_no int, part_class string, cx double, cy double")
+    det = spark.createDataFrame([(1, 7, "led", 0.0, 0.0, 2.0, 4.0), (1, 8, "ic", 50.0, 0.0, 52.0, 4.0), (3, 1, "led", 0.0, 0.0, 2.0, 2.0), (4, 1, "ic", 0.0, 0.0, 2.0, 2.0)], "board_id int, no int, label string, x1 double, y1 double, x2 double, y2 double")
+    pads = spark.createDataFrame([(1, 1, 0), (1, 2, 2)], "board_id int, cad_no int, pads int")
+    boards = spark.createDataFrame([(1, 2.0, 0.9, 3.0), (2, 2.0, 0.9, 3.0), (3, 2.0, 0.9, 3.0), (4, 2.0, 0.1, 3.0)], "board_id int, scale double, inliers double, residual double")
+    got = fusion.drive(cad, det, pads, boards, 6.0)
+    assert exchanges(got) == (1, 0)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        (1, "matched", "ok", 1, 7, 1.0, 2.0, 2, "derived"),
+        (1, "shifted_component", "review", 1, 7, 0.0, 0.0, 0, None),
+        (1, "class_mismatch", "info", 1, 7, 0.0, 0.0, 0, None),
+        (1, "missing_component", "defect", 2, None, 0.0, 0.0, 2, "cad_only_component"),
+        (1, "unexpected_component", "info", None, 8, 0.0, 0.0, 0, "derived"),
+        (2, "missing_component", "defect", 1, None, 0.0, 0.0, 0, "cad_only_component"),
+        (3, "unexpected_component", "info", None, 1, 0.0, 0.0, 0, "derived"),
+        (4, "registration_rejected", "warning", None, None, 0.0, 0.0, 0, None),
+    ], key=str)
