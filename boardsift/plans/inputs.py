@@ -58,6 +58,7 @@ PADS = """WITH p AS (SELECT 'R' || l_orderkey AS designator, l_linenumber AS pin
 def pad_rows(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("board_id", F.floor(F.col("l_orderkey") / 36))
     cells = [F.concat(F.lit(" R"), F.col("l_orderkey").cast("string")), F.col("l_linenumber").cast("string"), F.concat(F.col("l_quantity").cast("string"), F.lit(" mm")), F.concat((F.col("l_partkey") % 100).cast("string"), F.lit("mil")), F.when(F.col("l_orderkey") % 2 == 0, "Bot").otherwise("T")]
+    cells = [F.coalesce(c, F.lit("")) for c in cells]  # `concat_ws` leaves out what is null, and the next cell would take its column
     line = F.when(F.col("l_linenumber") == 3, F.concat(F.lit("  # a remark\n"), F.concat_ws(",", *cells))).otherwise(F.concat_ws(",", *cells))
     return shared.text_files(li, F.expr(FILE), F.struct("l_orderkey", "l_linenumber", "l_partkey"), line, "pads", "# exported\nRef Des,Pin Number,Center X,Center-Y,Layer\n")
 

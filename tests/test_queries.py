@@ -50,6 +50,18 @@ def test_box_cut_with_odd_boxes_matches_its_sql(spark, tmp_path):
     assert got == sorted(want.fetchall()) and 0 < len(got) < met
 
 
+def test_pads_csv_with_unknown_cells_matches_its_sql(spark, tmp_path):
+    """A cell that isn't known is empty, and those after it stay in their columns."""
+    con = duckdb.connect()
+    odd = ", ".join(f"case when (l_orderkey * 7 + l_linenumber * 3) % 11 = {i} then null else {c} end as {c}" for i, c in enumerate(("l_quantity", "l_partkey", "l_linenumber", "l_orderkey")))
+    con.execute(f"copy (select * replace ({odd}) from '{SF}/lineitem.parquet') to '{tmp_path}/lineitem.parquet'")
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = con.execute(catalog.oracle_sql()["pads_csv"])
+    columns = [c[0] for c in want.description]
+    got = catalog.queries()["pads_csv"](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str)
+
+
 def test_box_cut_measures_no_slab_in_its_join_and_is_compiled(spark):
     """A join's condition is asked of every candidate, and the JVM only interprets methods of more than 8,000 bytes."""
     names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
